@@ -1,0 +1,108 @@
+"""The answer pipeline over a whole table of questions (M7):
+
+questions -> embed (M1) -> top-k search (J1) -> retrieve (P3) -> claim writer
+(M2) -> support checker (M3) -> verdict join (J5/J6) -> final answer (A4)
+
+and the evaluation that follows it: judge (M4) -> records (J7) -> per
+question results (A7) -> metrics (A5). Every step is a DataFrame function;
+the model steps are replaceable callables with the same contract.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from typing import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from evidentia.functions.embed import hashed_tf
+from evidentia.operators import claims as C
+from evidentia.operators import evaluate as E
+from evidentia.operators import guardrail as G
+from evidentia.operators.retrieve import retrieve
+from evidentia.operators.search import DEFAULT_K, knn
+
+Embedder = Callable[[DataFrame, str, str], DataFrame]
+
+
+def builtin_embedder(df: DataFrame, key: str, text: str) -> DataFrame:
+    return hashed_tf(df, key, text).select(key, "embedding")
+
+
+@dataclass
+class Answers:
+    questions: DataFrame
+    hits: DataFrame
+    retrieved: DataFrame
+    claims: DataFrame
+    verdicts: DataFrame
+    status: DataFrame
+    answers: DataFrame
+    counts: DataFrame
+
+
+def answer(questions: DataFrame, corpus_vectors: DataFrame, papers: DataFrame, *,
+           k: int = DEFAULT_K, embed: Embedder = builtin_embedder,
+           write_claims=None, check_support=None, persist: bool = False) -> Answers:
+    """Answer every question. ``corpus_vectors(paper_id, embedding)`` must
+    come from the same embedder as the questions; ``papers`` holds the text
+    columns joined after top-k (late materialisation)."""
+    write_claims = write_claims or (lambda q, r, h: C.echo_claims(q, r))
+    check_support = check_support or G.support_check
+    n_q = questions.count()
+    qv = embed(questions.select("qid", "question"), "qid", "question")
+    hits = knn(qv, corpus_vectors, k)
+    retrieved = retrieve(hits, papers, hits_rows_bound=n_q * k)
+    if persist:
+        retrieved = retrieved.persist()
+    claims = write_claims(questions, retrieved, hits)
+    if persist:
+        claims = claims.persist()
+    verdicts = check_support(claims, retrieved)
+    status = G.claim_status(claims, verdicts, retrieved)
+    answers = G.final_answer(questions, status)
+    counts = G.answer_counts(questions, status)
+    return Answers(questions, hits, retrieved, claims, verdicts, status, answers, counts)
+
+
+@dataclass
+class Evaluation:
+    judge: DataFrame
+    records: DataFrame
+    results: DataFrame
+    metrics: DataFrame
+
+
+def evaluate(a: Answers, *, judge=None, judge_model: str = "lexical-judge",
+             pricing: DataFrame | None = None) -> Evaluation:
+    """Grade every claim with an independent judge and roll up the metrics.
+    The judge's token usage is priced by ``judge_model`` (unknown -> 0)."""
+    judge = judge or E.judge_check
+    jv = judge(a.claims, a.retrieved)
+    records = E.claim_records(a.claims, G.claim_supported_by_id(a.status), jv)
+    cost = None
+    if pricing is not None:
+        from evidentia.functions.cost import with_cost
+        usage = E.judge_usage(C.claims_block(a.claims, a.retrieved), jv, judge_model)
+        cost = with_cost(usage, pricing).select("qid", "cost_usd")
+    results = E.question_results(a.questions, a.counts, records, cost)
+    metrics = E.grounding_metrics(results, records)
+    return Evaluation(jv, records, results, metrics)
+
+
+def nested_results(ev: Evaluation) -> DataFrame:
+    """One row per question as written by the result sink."""
+    return ev.results.select(F.col("qid").alias("id"), "expected_status", "claim_count",
+                             "supported_count", "unsupported_count", "answerability_match", "claims")
+
+
+def write_results(ev: Evaluation, path: str, run_date: str, models: dict[str, str]) -> None:
+    """Nested evaluation output: questions as JSON lines under path/questions,
+    and the one-row metrics/run header under path/run. Nothing is gathered
+    on the driver."""
+    nested_results(ev).write.mode("overwrite").json(f"{path}/questions")
+    hdr = ev.metrics.select(F.lit(run_date).alias("run_date"),
+                            F.struct(*[F.lit(v).alias(k) for k, v in models.items()]).alias("models"),
+                            F.struct(*ev.metrics.columns).alias("metrics"))
+    hdr.coalesce(1).write.mode("overwrite").json(f"{path}/run")
