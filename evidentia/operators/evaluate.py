@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions.format import py_fixed, py_percent
 from evidentia.functions.text import match_form, token_count
 from evidentia.operators.claims import claim_citations
 from evidentia.operators.guardrail import last_verdict
@@ -113,6 +114,22 @@ def grounding_metrics(results: DataFrame, records: DataFrame) -> DataFrame:
         F.bround(F.col("_cost"), 4).alias("total_cost_usd"))
 
 
+def claim_metrics(records: DataFrame) -> DataFrame:
+    """Claim-level rates only (no question table)."""
+    c = records.agg(
+        F.count(F.lit(1)).alias("total_claims"),
+        F.count_if("validator_supported").alias("_vs"),
+        F.count_if(~F.col("validator_supported")).alias("_vu"),
+        F.count_if(F.col("validator_supported") & ~F.col("judge_grounded")).alias("_leak"),
+        F.count_if(~F.col("validator_supported") & F.col("judge_grounded")).alias("_fr"),
+        F.count_if("judge_grounded").alias("_jg"))
+    return c.select(
+        F.col("total_claims").cast("long").alias("total_claims"),
+        F.bround(_rate(F.col("_leak"), F.col("_vs")), 4).alias("unsupported_claim_rate"),
+        F.bround(_rate(F.col("_jg"), F.col("total_claims")), 4).alias("citation_accuracy"),
+        F.bround(_rate(F.col("_fr"), F.col("_vu")), 4).alias("false_refusal_rate"))
+
+
 def verdict_confusion(records: DataFrame) -> DataFrame:
     return records.groupBy("validator_supported", "judge_grounded").agg(
         F.count(F.lit(1)).cast("long").alias("n"))
@@ -133,22 +150,22 @@ def gate(metrics: DataFrame, max_unsupported_rate: float | None = None,
 
 
 def pct(c) -> F.Column:
-    """0.1408 -> '14.1%' (one decimal, half-even)."""
-    return F.concat(F.bround(F.col(c) * 100.0, 1).cast("string"), F.lit("%"))
+    """0.1408 -> '14.1%' (Python's '.1%' format)."""
+    return py_percent(c, 1)
 
 
 def report_rows(metrics: DataFrame) -> DataFrame:
     """(metric, value) display strings of the metrics table."""
     m = metrics.select(F.explode(F.array(
         F.struct(F.lit("Unsupported-claim rate").alias("metric"), pct("unsupported_claim_rate").alias("value")),
-        F.struct(F.lit("Citation accuracy"), pct("citation_accuracy")),
-        F.struct(F.lit("False-refusal rate"), pct("false_refusal_rate")),
-        F.struct(F.lit("Answerability-category match"),
+        F.struct(F.lit("Citation accuracy").alias("metric"), pct("citation_accuracy").alias("value")),
+        F.struct(F.lit("False-refusal rate").alias("metric"), pct("false_refusal_rate").alias("value")),
+        F.struct(F.lit("Answerability-category match").alias("metric"),
                  F.concat(F.col("answerability_matches").cast("string"), F.lit("/"),
                           F.col("total_questions").cast("string"), F.lit(" ("),
-                          pct("answerability_match_rate"), F.lit(")"))),
-        F.struct(F.lit("Judge cost (this run)"),
-                 F.concat(F.lit("$"), F.format_number(F.col("total_cost_usd"), 4))),
+                          pct("answerability_match_rate"), F.lit(")")).alias("value")),
+        F.struct(F.lit("Judge cost (this run)").alias("metric"),
+                 F.concat(F.lit("$"), py_fixed("total_cost_usd", 4)).alias("value")),
     )).alias("r"))
     return m.select(F.col("r")["metric"].alias("metric"), F.col("r")["value"].alias("value"))
 
