@@ -10,6 +10,7 @@ size of the change, not of the corpus.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,7 +100,7 @@ def upsert_table(spark: SparkSession, path: str, source: DataFrame, key: str = "
     target = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
     merged = upsert_frame(target.select(*src.columns), src, key)
     affected = source.count()
-    stage = f"{checkpoint_dir(spark).rstrip('/')}/staging-{abs(hash((path, id(source))))}"
+    stage = f"{checkpoint_dir(spark).rstrip('/')}/staging-{uuid.uuid4().hex}"
     merged.write.mode("overwrite").partitionBy("bucket").parquet(stage)
     (spark.read.parquet(stage).select(*src.columns).write.mode("overwrite")
           .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))

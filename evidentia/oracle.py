@@ -568,3 +568,4 @@ ORACLE: dict[str, str] = {
         FROM usage GROUP BY ALL"""),
 }
 ORACLE["vector_search_ivf"] = ORACLE["vector_search"]
+ORACLE["usage_by_day_stream"] = ORACLE["usage_by_day"]

@@ -20,7 +20,7 @@ from evidentia.operators.retrieve import previews, prompt_summary, sources_block
 from evidentia.operators.search import knn, search_one
 from evidentia.plans import fixtures as FX
 from evidentia.plans.pipeline import evaluate, nested_results
-from evidentia.session import read_table
+from evidentia.session import read_table, table_path
 from evidentia.sources.corpus import fixture_corpus, hashed_corpus
 from evidentia.sources.feed import pages_as_entries
 from evidentia.sources.questions import clean_questions
@@ -451,6 +451,11 @@ def usage_by_day(spark, sf):
     return U.usage_by_day(_usage(spark, sf))
 
 
+def usage_by_day_stream(spark, sf):
+    from evidentia.streaming.usage import usage_by_day_stream as run
+    return run(spark, table_path(sf, "events"))
+
+
 QUERIES = {
     "answer_pipeline": answer_pipeline,
     "vector_search": vector_search,
@@ -513,4 +518,5 @@ QUERIES = {
     "turn_usage": turn_usage,
     "authoritative_answer": authoritative_answer,
     "usage_by_day": usage_by_day,
+    "usage_by_day_stream": usage_by_day_stream,
 }
