@@ -15,6 +15,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidentia.functions.text import collapse_ws
 from evidentia.operators.sizing import broadcast_if_bounded
@@ -73,10 +74,18 @@ def with_bucket(df: DataFrame, key: str = "id", buckets: int = DEFAULT_BUCKETS)
     return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
 
 
+TABLE_SCHEMA = T.StructType(PAPERS.fields + [T.StructField("bucket", T.IntegerType(), True)])
+
+
+def read_table_at(spark: SparkSession, path: str) -> DataFrame:
+    """The stored corpus table (explicit schema: an empty table has no files)."""
+    return spark.read.schema(TABLE_SCHEMA).parquet(path)
+
+
 def create_table_if_absent(spark: SparkSession, path: str) -> None:
     """An empty corpus table with the fixed schema, if none exists."""
     try:
-        spark.read.schema(PAPERS).parquet(path).limit(0).collect()
+        read_table_at(spark, path).limit(0).collect()
         return
     except Exception:
         pass
@@ -97,7 +106,7 @@ def upsert_table(spark: SparkSession, path: str, source: DataFrame, key: str = "
     touched = [r["bucket"] for r in src.select("bucket").distinct().collect()]  # <= buckets values
     if not touched:
         return 0
-    target = spark.read.parquet(path).filter(F.col("bucket").isin(touched))
+    target = read_table_at(spark, path).filter(F.col("bucket").isin(touched))
     merged = upsert_frame(target.select(*src.columns), src, key)
     affected = source.count()
     stage = f"{checkpoint_dir(spark).rstrip('/')}/staging-{uuid.uuid4().hex}"
@@ -115,7 +124,7 @@ def clear_counts(corpus: DataFrame) -> DataFrame:
 
 def clear_table(spark: SparkSession, path: str) -> int:
     """Delete every row, keep the table and its schema."""
-    n = spark.read.parquet(path).count()
+    n = read_table_at(spark, path).count()
     empty = with_bucket(spark.createDataFrame([], PAPERS))
     empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
     return n

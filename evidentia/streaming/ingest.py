@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.operators.corpus import upsert_table, with_bucket
+from evidentia.operators.corpus import read_table_at, upsert_table, with_bucket
 from evidentia.schemas import PAPERS
 from evidentia.session import checkpoint_dir
 
@@ -51,4 +51,4 @@ def replay_upsert(spark: SparkSession, target: DataFrame, source: DataFrame, rep
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.parquet(table).drop("bucket")
+    return read_table_at(spark, table).drop("bucket")
