@@ -43,6 +43,21 @@ def cost_expr(in_tokens="input_tokens", out_tokens="output_tokens",
     return F.coalesce(i + o, F.lit(0.0))
 
 
+MONEY = "decimal(38,10)"
+
+
+def money_sum(c) -> Column:
+    """Exact sum of costs. Each cost is tokens x a two-decimal rate / 1e6, so
+    its decimal form has at most 10 places; summing decimals makes the total
+    independent of the order rows arrive in (float sums are not)."""
+    return F.sum((F.col(c) if isinstance(c, str) else c).cast(MONEY))
+
+
+def money_round(c, places: int) -> Column:
+    """Half-even rounding of an exact amount, returned as a double."""
+    return F.bround(F.col(c) if isinstance(c, str) else c, places).cast("double")
+
+
 def with_cost(df: DataFrame, pricing: DataFrame, model_col: str = "model",
               in_tokens: str = "input_tokens", out_tokens: str = "output_tokens",
               out_col: str = "cost_usd") -> DataFrame:

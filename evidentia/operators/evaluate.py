@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.functions.cost import MONEY, money_round, money_sum
 from evidentia.functions.format import py_fixed, py_percent
 from evidentia.functions.text import match_form, token_count
 from evidentia.operators.claims import claim_citations
@@ -96,7 +97,7 @@ def grounding_metrics(results: DataFrame, records: DataFrame) -> DataFrame:
     m = q.unionByName(c).agg(
         F.count_if("_isq").alias("total_questions"),
         F.count_if(F.col("_isq") & F.col("_am")).alias("answerability_matches"),
-        F.coalesce(F.sum("_c"), F.lit(0.0)).alias("_cost"),
+        F.coalesce(money_sum("_c"), F.lit(0).cast(MONEY)).alias("_cost"),
         F.count_if(~F.col("_isq")).alias("total_claims"),
         F.count_if(F.col("_vs")).alias("_vs"),
         F.count_if(~F.col("_vs")).alias("_vu"),
@@ -111,7 +112,7 @@ def grounding_metrics(results: DataFrame, records: DataFrame) -> DataFrame:
         F.bround(_rate(F.col("_fr"), F.col("_vu")), 4).alias("false_refusal_rate"),
         F.col("answerability_matches").cast("long").alias("answerability_matches"),
         F.bround(_rate(F.col("answerability_matches"), F.col("total_questions")), 4).alias("answerability_match_rate"),
-        F.bround(F.col("_cost"), 4).alias("total_cost_usd"))
+        money_round("_cost", 4).alias("total_cost_usd"))
 
 
 def claim_metrics(records: DataFrame) -> DataFrame:

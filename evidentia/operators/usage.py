@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.cost import billed_output, with_cost
+from evidentia.functions.cost import billed_output, money_round, money_sum, with_cost
 from evidentia.functions.format import py_fixed
 from evidentia.functions.text import token_count
 
@@ -80,7 +80,7 @@ def trace_totals(trace: DataFrame) -> DataFrame:
     return trace.groupBy("run_id").agg(
         F.sum("input_tokens").cast("long").alias("input_tokens"),
         F.sum("output_tokens").cast("long").alias("output_tokens"),
-        F.bround(F.sum("cost_usd"), 5).alias("cost_usd"))
+        money_round(money_sum("cost_usd"), 5).alias("cost_usd"))
 
 
 def conversation_turn_usage(conversations: DataFrame) -> DataFrame:
@@ -126,10 +126,10 @@ def usage_by_window(usage: DataFrame, duration: str = "1 day") -> DataFrame:
         F.count(F.lit(1)).cast("long").alias("calls"),
         F.sum("input_tokens").cast("long").alias("input_tokens"),
         F.sum("output_tokens").cast("long").alias("output_tokens"),
-        F.sum("cost_usd").alias("cost_usd"))
+        money_sum("cost_usd").alias("cost_usd"))
 
 
 def usage_by_day(usage: DataFrame) -> DataFrame:
     u = usage_by_window(usage, "1 day")
     return u.select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "tool", "calls",
-                    "input_tokens", "output_tokens", F.bround("cost_usd", 6).alias("cost_usd"))
+                    "input_tokens", "output_tokens", money_round("cost_usd", 6).alias("cost_usd"))

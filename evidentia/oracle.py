@@ -237,9 +237,9 @@ SELECT nq AS total_questions, nc AS total_claims,
        round_even(CASE WHEN vu > 0 THEN fr / vu ELSE 0.0 END, 4) AS false_refusal_rate,
        am AS answerability_matches,
        round_even(CASE WHEN nq > 0 THEN CAST(am AS DOUBLE) / nq ELSE 0.0 END, 4) AS answerability_match_rate,
-       round_even(cost, 4) AS total_cost_usd
+       CAST(round_even(cost, 4) AS DOUBLE) AS total_cost_usd
 FROM (SELECT CAST(count(*) AS BIGINT) AS nq, CAST(count(*) FILTER (WHERE answerability_match) AS BIGINT) AS am,
-             COALESCE(sum(cost_usd), 0.0) AS cost FROM results) q,
+             COALESCE(sum(CAST(cost_usd AS DECIMAL(38,10))), CAST(0 AS DECIMAL(38,10))) AS cost FROM results) q,
      (SELECT CAST(count(*) AS BIGINT) AS nc,
              CAST(count(*) FILTER (WHERE validator_supported) AS DOUBLE) AS vs,
              CAST(count(*) FILTER (WHERE NOT validator_supported) AS DOUBLE) AS vu,
@@ -543,7 +543,7 @@ ORACLE: dict[str, str] = {
                printf('%.0f', latency_ms) AS latency_ms, printf('%.5f', cost_usd) AS cost_usd, substring(output_summary, 1, 60) AS output
         FROM usage"""),
     "trace_totals": sql("""SELECT run_id, CAST(sum(input_tokens) AS BIGINT) AS input_tokens,
-                           CAST(sum(output_tokens) AS BIGINT) AS output_tokens, round_even(sum(cost_usd), 5) AS cost_usd
+                           CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(round_even(sum(CAST(cost_usd AS DECIMAL(38,10))), 5) AS DOUBLE) AS cost_usd
                            FROM usage GROUP BY run_id"""),
     "turn_usage": f"""
         SELECT run_id, input_tokens, output_tokens, model_turns,
@@ -564,7 +564,7 @@ ORACLE: dict[str, str] = {
     "usage_by_day": sql("""
         SELECT strftime(time_bucket(INTERVAL 1 day, ts), '%Y-%m-%d') AS day, tool, CAST(count(*) AS BIGINT) AS calls,
                CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens,
-               round_even(sum(cost_usd), 6) AS cost_usd
+               CAST(round_even(sum(CAST(cost_usd AS DECIMAL(38,10))), 6) AS DOUBLE) AS cost_usd
         FROM usage GROUP BY ALL"""),
 }
 ORACLE["vector_search_ivf"] = ORACLE["vector_search"]

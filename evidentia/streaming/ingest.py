@@ -29,7 +29,11 @@ def start_stream_upsert(spark: SparkSession, source_dir: str, table_path: str, c
     def merge(batch: DataFrame, epoch_id: int) -> None:
         if listener is not None:
             listener.batch_started(epoch_id)
-        n = upsert_table(batch.sparkSession, table_path, batch)
+        b = batch.persist()          # the merge runs several actions on it
+        try:
+            n = upsert_table(b.sparkSession, table_path, b)
+        finally:
+            b.unpersist()
         if listener is not None:
             listener.batch_done(epoch_id, n)
 

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.functions.cost import pricing_frame
+from evidentia.functions.cost import money_round, pricing_frame
 from evidentia.operators.usage import events_as_usage, priced, usage_by_window
 from evidentia.session import checkpoint_dir
 
@@ -61,4 +61,4 @@ def usage_by_day_stream(spark: SparkSession, events_path: str) -> DataFrame:
         raise RuntimeError(str(q.exception()))
     u = latest_windows(spark.read.parquet(os.path.join(base, "log")))
     return u.select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "tool", "calls",
-                    "input_tokens", "output_tokens", F.bround("cost_usd", 6).alias("cost_usd"))
+                    "input_tokens", "output_tokens", money_round("cost_usd", 6).alias("cost_usd"))
