@@ -5,16 +5,20 @@ Each lower-cased letter/digit token goes to bucket
 bucket counts divided by their L2 norm. Everything runs as built-in
 expressions: tokens are exploded map-side, counted per (key, bucket) with a
 partial aggregate before the shuffle (so at most ``dims`` rows per text
-cross the network, whatever the text length), then folded into one dense
-array per key.
+cross the network, whatever the text length), then scattered into one
+dense unit vector per key by an Arrow-batched numpy step.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidentia.functions.text import tokens
+from evidentia.operators.sizing import spread
 
 DEFAULT_DIMS = 256
 MODEL_NAME = "hashed-tf-256"
@@ -32,21 +36,35 @@ def token_buckets(df: DataFrame, keys: list[str], text_col: str,
                     .groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("c")))
 
 
+def _densify(dims: int):
+    """Scatter sparse (bucket, count) lists into unit-length dense vectors,
+    one numpy scatter per Arrow batch."""
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def densify(idx: pd.Series, cnt: pd.Series) -> pd.Series:
+        n = len(idx)
+        if n == 0:
+            return pd.Series([], dtype=object)
+        lens = idx.map(len).to_numpy()
+        rows = np.repeat(np.arange(n), lens)
+        M = np.zeros((n, dims))
+        M[rows, np.concatenate(idx.to_numpy()).astype(np.int64)] = np.concatenate(cnt.to_numpy()).astype(np.float64)
+        M /= np.linalg.norm(M, axis=1, keepdims=True)
+        return pd.Series(list(M))
+    return densify
+
+
 def hashed_tf(df: DataFrame, keys: list[str] | str, text_col: str,
               dims: int = DEFAULT_DIMS, out: str = "embedding") -> DataFrame:
     """(keys..., embedding array<double>, n_tokens, nnz) for every text with
     at least one token. Texts without tokens have no vector (zero norm) and
     are absent: callers left-join to keep and count them."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    sparse = token_buckets(df, keys, text_col, dims)
+    sparse = token_buckets(spread(df), keys, text_col, dims)
     agg = sparse.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "c"))).alias("_m"),
-        F.sum(F.col("c") * F.col("c")).alias("_ss"),
+        F.collect_list(F.struct("bucket", "c")).alias("_s"),
         F.sum("c").alias("n_tokens"),
         F.count(F.lit(1)).alias("nnz"),
     )
-    norm = F.sqrt(F.col("_ss").cast("double"))
-    vec = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)),
-                      lambda i: F.coalesce(F.element_at(F.col("_m"), i), F.lit(0)).cast("double") / norm)
+    vec = _densify(dims)(F.col("_s.bucket"), F.col("_s.c"))
     return agg.select(*keys, vec.alias(out), F.col("n_tokens").cast("long").alias("n_tokens"),
                       F.col("nnz").cast("long").alias("nnz"))

@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidentia.operators.sizing import spread
+
 MAX_PATTERN_BYTES = 64 << 20
 
 PAIRS_SCHEMA = T.StructType([
@@ -81,7 +83,7 @@ def contained_in(items: DataFrame, docs: DataFrame, *, item_key: str = "item_id"
               .filter(F.length("t") > 0)
     total = it.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
     blocks = max(1, math.ceil(total / max_block_bytes))
-    scan = docs.select(F.col(doc_key).cast("long").alias("d"), F.col(doc_text).alias("t"))
+    scan = spread(docs.select(F.col(doc_key).cast("long").alias("d"), F.col(doc_text).alias("t")))
     out = None
     for b in range(blocks):
         ib = it if blocks == 1 else it.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)

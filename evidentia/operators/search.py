@@ -140,6 +140,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, *,
         raise ValueError("k must be at least 1")
     q = queries.select(F.col(qkey).cast("long").alias("qid"),
                        F.col(qvec).cast("array<double>").alias("qv")).filter(F.col("qv").isNotNull())
+    q = q.persist()          # sized, then gathered block by block: computed once
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
     n, d = stats["n"], stats["d"] or 0
     blocks = max(1, math.ceil(n * d * 8 / max_block_bytes))

@@ -41,26 +41,34 @@ class Answers:
     answers: DataFrame
     counts: DataFrame
 
+    def unpersist(self) -> None:
+        for f in (self.questions, self.hits, self.retrieved, self.claims, self.verdicts, self.status):
+            f.unpersist()
+
 
 def answer(questions: DataFrame, corpus_vectors: DataFrame, papers: DataFrame, *,
            k: int = DEFAULT_K, embed: Embedder = builtin_embedder,
-           write_claims=None, check_support=None, persist: bool = False) -> Answers:
+           write_claims=None, check_support=None, persist: bool = True) -> Answers:
     """Answer every question. ``corpus_vectors(paper_id, embedding)`` must
     come from the same embedder as the questions; ``papers`` holds the text
-    columns joined after top-k (late materialisation)."""
+    columns joined after top-k (late materialisation).
+
+    Every intermediate table here is bounded by the question table (k hits,
+    a few claims per question), and each feeds several later steps; with
+    ``persist`` they are kept once (memory and disk; a lost executor's
+    blocks are recomputed from lineage) instead of being recomputed by
+    every consumer."""
+    keep = (lambda df: df.persist()) if persist else (lambda df: df)
     write_claims = write_claims or (lambda q, r, h: C.echo_claims(q, r))
     check_support = check_support or G.support_check
+    questions = keep(questions)
     n_q = questions.count()
     qv = embed(questions.select("qid", "question"), "qid", "question")
-    hits = knn(qv, corpus_vectors, k)
-    retrieved = retrieve(hits, papers, hits_rows_bound=n_q * k)
-    if persist:
-        retrieved = retrieved.persist()
-    claims = write_claims(questions, retrieved, hits)
-    if persist:
-        claims = claims.persist()
-    verdicts = check_support(claims, retrieved)
-    status = G.claim_status(claims, verdicts, retrieved)
+    hits = keep(knn(qv, corpus_vectors, k))
+    retrieved = keep(retrieve(hits, papers, hits_rows_bound=n_q * k))
+    claims = keep(write_claims(questions, retrieved, hits))
+    verdicts = keep(check_support(claims, retrieved))
+    status = keep(G.claim_status(claims, verdicts, retrieved))
     answers = G.final_answer(questions, status)
     counts = G.answer_counts(questions, status)
     return Answers(questions, hits, retrieved, claims, verdicts, status, answers, counts)
