@@ -57,17 +57,26 @@ def upsert_frame(target: DataFrame, source: DataFrame, key: str = "id",
     return kept.unionByName(source.select(*target.columns))
 
 
-def upsert_counts(target: DataFrame, source: DataFrame, key: str = "id") -> DataFrame:
+def upsert_counts(target: DataFrame, source: DataFrame, key: str = "id",
+                  source_rows_bound: int | None = None) -> DataFrame:
     """(updated, inserted, untouched, affected): affected = updated + inserted,
-    what the warehouse reports as DML-affected rows (S6)."""
-    t = target.select(key, F.lit(True).alias("_t"))
-    s = source.select(key, F.lit(True).alias("_s"))
-    j = t.join(s, key, "full_outer")
-    return j.agg(
-        F.count_if(F.col("_t") & F.col("_s")).cast("long").alias("updated"),
-        F.count_if(F.col("_t").isNull() & F.col("_s")).cast("long").alias("inserted"),
-        F.count_if(F.col("_t") & F.col("_s").isNull()).cast("long").alias("untouched"),
-    ).withColumn("affected", (F.col("updated") + F.col("inserted")).cast("long"))
+    what the warehouse reports as DML-affected rows (S6).
+
+    The staged keys are the small side: the target's keys are semi-joined
+    against them (broadcast when their count bounds them), so the corpus is
+    scanned once and never shuffled."""
+    keys = source.select(key).distinct()
+    bound = source_rows_bound if source_rows_bound is not None else None
+    matched = target.select(key).join(broadcast_if_bounded(keys, bound, row_bytes=48), key, "left_semi")
+    parts = (target.select(F.lit(1).alias("_t"), F.lit(0).alias("_s"), F.lit(0).alias("_m"))
+             .unionByName(keys.select(F.lit(0).alias("_t"), F.lit(1).alias("_s"), F.lit(0).alias("_m")))
+             .unionByName(matched.select(F.lit(0).alias("_t"), F.lit(0).alias("_s"), F.lit(1).alias("_m"))))
+    c = parts.agg(F.sum("_t").alias("t"), F.sum("_s").alias("s"), F.sum("_m").alias("m"))
+    return c.select(
+        F.coalesce(F.col("m"), F.lit(0)).cast("long").alias("updated"),
+        F.coalesce(F.col("s") - F.col("m"), F.lit(0)).cast("long").alias("inserted"),
+        F.coalesce(F.col("t") - F.col("m"), F.lit(0)).cast("long").alias("untouched"),
+        F.coalesce(F.col("s"), F.lit(0)).cast("long").alias("affected"))
 
 
 def with_bucket(df: DataFrame, key: str = "id", buckets: int = DEFAULT_BUCKETS) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from evidentia.functions.cost import billed_output, money_round, money_sum, with_cost
 from evidentia.functions.format import py_fixed
 from evidentia.functions.text import token_count
+from evidentia.operators.sizing import broadcast_if_bounded
 
 # --- fixed values --------------------------------------------------------------
 NO_ANSWER = "(no final response produced. validate() may not have completed; see trace above)"
@@ -50,10 +51,53 @@ def priced(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     return with_cost(usage, pricing)
 
 
-def sequence_runs(usage: DataFrame, order_cols=("ts", "event_id")) -> DataFrame:
-    """Number the rows of each run from 1 in call order."""
-    w = Window.partitionBy("run_id").orderBy(*order_cols)
-    return usage.withColumn("seq", F.row_number().over(w).cast("long"))
+def sequence_runs(usage: DataFrame, order_cols=("ts", "event_id"), skew_safe: bool = True) -> DataFrame:
+    """Number the rows of each run from 1 in call order.
+
+    ``row_number() over (partition by run_id)`` puts a whole run in one task;
+    one run may hold a third of all rows. The skew-safe form range-partitions
+    by (run, order) instead, so a hot run is cut across many tasks, numbers
+    rows inside each task, and adds per-task offsets from a small table of
+    (task, run) counts (one row per task a run touches)."""
+    if not skew_safe:
+        w = Window.partitionBy("run_id").orderBy(*order_cols)
+        return usage.withColumn("seq", F.row_number().over(w).cast("long"))
+    return skew_safe_row_number(usage, "run_id", list(order_cols), "seq")
+
+
+def skew_safe_row_number(df: DataFrame, key: str, order_cols: list[str], out: str,
+                         slices: int | None = None, sample_rows: int = 20) -> DataFrame:
+    """row_number() over (partition by key order by order_cols), exact, with
+    no group ever gathered into one task; order_cols must make the order
+    total within a key.
+
+    Rows are cut into ``slices`` ranges of (key, order) by split points taken
+    from a sample (the sample only places the cuts; every row is numbered).
+    Rows are numbered inside their (slice, key) group, and each group adds
+    the row count of the same key's earlier slices, read from a small table
+    with one row per (slice, key). Every step is deterministic, so a task
+    recomputed after an executor loss gives the same numbers."""
+    spark = df.sparkSession
+    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cols = [key] + list(order_cols)
+    total = df.count()
+    frac = min(1.0, (n * sample_rows) / max(total, 1))
+    pts = sorted(tuple(r) for r in df.select(*cols).sample(False, frac, seed=17).collect())
+    cuts = sorted({pts[(i * len(pts)) // n] for i in range(1, n)} if pts else set())
+    row = F.struct(*[F.col(c) for c in cols])
+    types = {f.name: f.dataType for f in df.schema.fields}
+    slice_no = F.lit(0)
+    for cut in cuts:
+        lit = F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(cols, cut)])
+        slice_no = slice_no + (row >= lit).cast("int")
+    s = df.withColumn("_sl", slice_no)
+    local = s.withColumn("_ln", F.row_number().over(Window.partitionBy("_sl", key).orderBy(*order_cols)))
+    g = s.groupBy("_sl", key).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(key).orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
+    off = g.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    off = broadcast_if_bounded(off, off.count(), row_bytes=40)
+    j = local.join(off, ["_sl", key])
+    return j.withColumn(out, (F.col("_off") + F.col("_ln")).cast("long")).drop("_sl", "_ln", "_off")
 
 
 def concat_traces(*frames: DataFrame, order_col: str = "ts") -> DataFrame:

@@ -325,11 +325,13 @@ def _corpus_rows(df):
 
 
 def corpus_upsert(spark, sf):
-    return _corpus_rows(CO.upsert_frame(_target(spark, sf), upsert_source(spark, sf)))
+    src = upsert_source(spark, sf)
+    return _corpus_rows(CO.upsert_frame(_target(spark, sf), src, source_rows_bound=src.count()))
 
 
 def upsert_affected(spark, sf):
-    return CO.upsert_counts(_target(spark, sf), upsert_source(spark, sf))
+    src = upsert_source(spark, sf)
+    return CO.upsert_counts(_target(spark, sf), src, source_rows_bound=src.count())
 
 
 def stream_upsert(spark, sf):

@@ -58,3 +58,14 @@ def test_trace_sequence_and_union(spark):  # W3, U3
     assert [(r.seq, r.tool) for r in t] == [(1, "search_corpus"), (2, "retrieve")]
     tot = U.trace_totals(U.concat_traces(a, b).withColumn("cost_usd", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(0.0))).first()
     assert (tot.input_tokens, tot.output_tokens) == (5, 0)
+
+
+def test_skew_safe_row_number_matches_window(spark):
+    from pyspark.sql import Window, functions as F
+    # one run holds most rows
+    df = spark.range(5000).select((F.when(F.col("id") % 10 < 7, 0).otherwise(F.col("id") % 13)).alias("run_id"),
+                                  (F.col("id") * 7919 % 5003).alias("ts"), F.col("id").alias("event_id"))
+    want = df.withColumn("seq", F.row_number().over(Window.partitionBy("run_id").orderBy("ts", "event_id")))
+    got = U.skew_safe_row_number(df, "run_id", ["ts", "event_id"], "seq")
+    assert sorted(map(tuple, got.select("event_id", "seq").collect())) == \
+        sorted(map(tuple, want.select("event_id", "seq").collect()))
