@@ -20,7 +20,7 @@ from evidentia.operators.retrieve import previews, prompt_summary, sources_block
 from evidentia.operators.search import knn, search_one
 from evidentia.plans import fixtures as FX
 from evidentia.plans.pipeline import evaluate, nested_results
-from evidentia.session import read_table, table_path
+from evidentia.session import read_table, ship_package, table_path
 from evidentia.sources.corpus import fixture_corpus, hashed_corpus
 from evidentia.sources.feed import pages_as_entries
 from evidentia.sources.questions import clean_questions
@@ -352,7 +352,7 @@ def ingest_summary(spark, sf):
 def corpus_scan(spark, sf):
     c = fixture_corpus(spark, sf)
     return c.select("id", "title", "authors", F.date_format("published_date", "yyyy-MM-dd").alias("published_date"),
-                    "url", F.size("embedding").cast("int").alias("n_dims"),
+                    "url", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("int").alias("n_dims"),
                     F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss").alias("ingested_at"))
 
 
@@ -458,6 +458,20 @@ def usage_by_day_stream(spark, sf):
     return run(spark, table_path(sf, "events"))
 
 
+def _in_utc(fn):
+    """Queries compute days and windows on UTC wall-clock time; pin the
+    session time zone (a no-op for sessions built by evidentia), and make
+    the package importable on the executors."""
+    def run(spark, sf):
+        ship_package(spark)
+        if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return fn(spark, sf)
+    run.__name__ = fn.__name__
+    run.__doc__ = fn.__doc__
+    return run
+
+
 QUERIES = {
     "answer_pipeline": answer_pipeline,
     "vector_search": vector_search,
@@ -522,3 +536,4 @@ QUERIES = {
     "usage_by_day": usage_by_day,
     "usage_by_day_stream": usage_by_day_stream,
 }
+QUERIES = {k: _in_utc(v) for k, v in QUERIES.items()}
