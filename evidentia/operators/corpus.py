@@ -125,6 +125,18 @@ def upsert_table(spark: SparkSession, path: str, source: DataFrame, key: str = "
     return affected
 
 
+def read_ids(spark: SparkSession, path: str, ids: DataFrame, key: str = "id",
+             buckets: int = DEFAULT_BUCKETS, ids_rows_bound: int | None = None) -> DataFrame:
+    """Rows of the stored corpus whose id is in ``ids`` (P3 against the
+    table). The ids' buckets (at most ``buckets`` values) become a partition
+    filter, so only the files of touched buckets are read; the id set is
+    then a semi join (broadcast under its bound)."""
+    want = ids.select(F.col(key).alias("id")).distinct()
+    touched = [r["bucket"] for r in with_bucket(want).select("bucket").distinct().collect()]
+    t = read_table_at(spark, path).filter(F.col("bucket").isin(touched))
+    return t.join(broadcast_if_bounded(want, ids_rows_bound, row_bytes=48), "id", "left_semi").drop("bucket")
+
+
 def clear_counts(corpus: DataFrame) -> DataFrame:
     """(rows_before, deleted_rows, rows_after) of deleting every row."""
     return corpus.agg(F.count(F.lit(1)).cast("long").alias("rows_before")).select(

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import re
 import uuid
 
 import pytest
@@ -89,3 +90,13 @@ def test_newest(spark):  # T3, T4
     top = [r.id for r in CO.newest(df, 4).collect()]
     assert top == ["2", "5", "8", "1"]
     assert [r.id for r in CO.newest(df, 2, start=2).collect()] == ["8", "1"]
+
+
+def test_read_ids_prunes_buckets(spark):  # P3 on the stored table
+    path = new_table(spark)
+    CO.upsert_table(spark, path, rows(spark, [str(i) for i in range(50)], "a", dt.datetime(2024, 1, 1)))
+    ids = spark.createDataFrame([("3",), ("3",), ("17",), ("missing",)], "id string")
+    got = CO.read_ids(spark, path, ids, ids_rows_bound=4)
+    assert sorted(r.id for r in got.collect()) == ["17", "3"]            # duplicates and unknown ids vanish
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan), plan
