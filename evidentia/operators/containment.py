@@ -1,12 +1,18 @@
-"""Exact substring containment of a bounded set of passages in a large text
-table: which documents contain which passage verbatim.
-
-Plan: the passage set is checked against a size bound and broadcast; every
-task builds one Aho-Corasick automaton from it and scans each document of
-its partition once, so the cost is linear in the corpus text whatever the
-number of passages. No (passage, document) pair is formed unless the
-document really contains the passage. Passage sets above the bound are
-processed in bounded blocks. Documents are scanned whole.
+"""Exact substring containment: which documents contain which passage
+verbatim. Documents are scanned whole.
+
+Bounded passage set (checked size): broadcast it; every task builds one
+Aho-Corasick automaton and scans each document of its partition once, so
+the cost is linear in the corpus text, and no (passage, document) pair is
+formed unless the document contains the passage.
+
+Passage set above the bound: a distributed anchor join. A token of the
+passage that does not touch either end of the passage is a whole token of
+any document containing it; each passage takes its rarest such token
+(document frequency from the corpus) as anchor, candidates are the
+documents holding the anchor (equi-join on the token), and ``instr``
+verifies each candidate. Passages with no such token (one or two tokens
+touching the ends) are few and short; they go through the automaton.
 """
 
 from __future__ import annotations
@@ -73,23 +79,45 @@ def _scan_fn(bc, token):
     return run
 
 
+def _automaton_scan(it: DataFrame, scan: DataFrame, max_block_bytes: int) -> DataFrame:
+    rows = it.collect()                                   # size checked by the caller
+    if sum(len(r[1].encode()) for r in rows) > max_block_bytes:
+        raise ValueError("passage set above the broadcast bound")
+    bc = scan.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+    return spread(scan).mapInArrow(_scan_fn(bc, uuid.uuid4().hex), PAIRS_SCHEMA)
+
+
+TOKEN = r"[\p{L}\p{N}]+"
+
+
+def _anchor_join(it: DataFrame, scan: DataFrame, max_block_bytes: int) -> DataFrame:
+    inner = F.regexp_replace(F.regexp_replace("t", r"^[\p{L}\p{N}]+", ""), r"[\p{L}\p{N}]+$", "")
+    whole = it.select("i", F.array_distinct(F.regexp_extract_all(inner, F.lit(TOKEN), 0)).alias("w"))
+    doc_tok = scan.select("d", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(TOKEN), 0))).alias("tok"))
+    df = doc_tok.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
+    anchor = (whole.select("i", F.explode("w").alias("tok")).join(df, "tok")
+                   .groupBy("i").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok")))
+    cand = anchor.join(doc_tok, "tok").select("i", "d").distinct()
+    verified = (cand.join(it.withColumnRenamed("t", "pt"), "i").join(scan, "d")
+                    .filter(F.instr("t", F.col("pt")) > 0).select(F.col("i").alias("item_id"), F.col("d").alias("doc_id")))
+    # passages without an inner token, or whose inner tokens occur in no document
+    rest = it.join(anchor.select("i"), "i", "left_anti")
+    anchorless = rest.join(whole.filter(F.size("w") == 0).select("i"), "i", "left_semi")
+    return verified.unionByName(_automaton_scan(anchorless, scan, max_block_bytes))
+
+
 def contained_in(items: DataFrame, docs: DataFrame, *, item_key: str = "item_id",
                  item_text: str = "text", doc_key: str = "doc_id", doc_text: str = "text",
                  max_block_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
     """(item_id, doc_id) for every document whose text contains the item text.
     Null or empty passages match nothing."""
-    spark = docs.sparkSession
     it = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")) \
               .filter(F.length("t") > 0)
+    scan = docs.select(F.col(doc_key).cast("long").alias("d"), F.col(doc_text).alias("t"))
     total = it.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
-    blocks = max(1, math.ceil(total / max_block_bytes))
-    scan = spread(docs.select(F.col(doc_key).cast("long").alias("d"), F.col(doc_text).alias("t")))
-    out = None
-    for b in range(blocks):
-        ib = it if blocks == 1 else it.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        rows = ib.collect()
-        bc = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-        part = scan.mapInArrow(_scan_fn(bc, uuid.uuid4().hex), PAIRS_SCHEMA)
-        out = part if out is None else out.unionByName(part)
+    if total <= max_block_bytes:
+        out = _automaton_scan(it, scan, max_block_bytes)
+    else:
+        out = _anchor_join(it, scan, max_block_bytes)
     return out.withColumnRenamed("item_id", item_key).withColumnRenamed("doc_id", doc_key) \
         if (item_key, doc_key) != ("item_id", "doc_id") else out

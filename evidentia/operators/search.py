@@ -8,9 +8,9 @@ query (``mapInArrow``). The survivors (partitions x queries x k rows) meet in
 one window ``row_number() <= k`` per query. No pair of (query, document) is
 ever materialised as a row, and the work stays in BLAS.
 
-Query sets above the broadcast bound are split into bounded blocks by a hash
-of the query key; every block is the same distributed job, and the results
-are unioned.
+Query sets above the broadcast bound never pass through the driver: they
+go to the distributed exact join (``knn_join``), where queries and corpus
+meet per inverted list.
 """
 
 from __future__ import annotations
@@ -143,12 +143,10 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, *,
     q = q.persist()          # sized, then gathered block by block: computed once
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
     n, d = stats["n"], stats["d"] or 0
-    blocks = max(1, math.ceil(n * d * 8 / max_block_bytes))
-    hits = None
-    for b in range(blocks):
-        qb = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b)
-        part = _search_block(qb, corpus, k, "qid", "qv", ckey, cvec)
-        hits = part if hits is None else hits.unionByName(part)
+    if n * d * 8 > max_block_bytes:
+        from evidentia.operators.knn_join import knn_join
+        return knn_join(q, corpus, k, qkey="qid", qvec="qv", ckey=ckey, cvec=cvec)
+    hits = _search_block(q, corpus, k, "qid", "qv", ckey, cvec)
     w = Window.partitionBy("qid").orderBy("dkey", "paper_id")
     ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.select("qid", F.col("rank").cast("int").alias("rank"), "paper_id", "distance",

@@ -150,3 +150,14 @@ def test_result_sink_and_listener(spark):  # S10, R2
     ev_rows = log.frame(spark).collect()
     assert any(r.status == "progress" and r.input_rows == 7 for r in ev_rows)
     assert ev_rows[-1].status == "done"
+
+
+def test_containment_distributed_path(spark):
+    """Above the broadcast bound the anchor join gives the same pairs."""
+    items = read_table(spark, SF_SMALL, "benchmark")
+    extra = spark.createDataFrame([(10_000, "Er."), (10_001, "e"), (10_002, "zzqx none")], "item_id long, text string")
+    items = items.unionByName(extra)
+    docs = read_table(spark, SF_SMALL, "documents")
+    small = sorted(map(tuple, contained_in(items, docs).collect()))
+    big = sorted(map(tuple, contained_in(items, docs, max_block_bytes=2000).collect()))
+    assert small == big and len(small) > 0
