@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import sentences
+from evidentia.functions.text import sentences, token_count
 
 
 def py_list(ids_col) -> F.Column:
@@ -79,3 +79,37 @@ def claims_block(claims: DataFrame, retrieved: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_claims"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("claim_pos", "b"))),
                                  lambda x: x["b"]), "\n\n").alias("block"))
+
+
+def _doc_tokens(retrieved: DataFrame) -> DataFrame:
+    """(paper_id, _dt): token count of each distinct retrieved text, once."""
+    return (retrieved.select("paper_id", "abstract").dropDuplicates(["paper_id"])
+                     .select("paper_id", token_count("abstract").alias("_dt")))
+
+
+def claims_block_tokens(claims: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """(qid, block_tokens): token count of ``claims_block`` without building
+    it. Every part of the block is joined to the next by a newline, which
+    is never part of a token, so counts add up: per claim its header, plus
+    per retrieved citation the source line and the text (counted once per
+    distinct text)."""
+    cit = (claim_citations(claims).join(retrieved.select("qid", "paper_id"), ["qid", "paper_id"], "left_semi")
+           .join(_doc_tokens(retrieved), "paper_id")
+           .select("qid", (token_count(F.concat(F.lit("--- source text for "), F.col("paper_id"), F.lit(" ---")))
+                           + F.col("_dt")).alias("_t")))
+    head = F.concat(F.lit("claim_id: "), F.col("claim_id").cast("string"), F.lit("\nclaim_text: "),
+                    F.col("text"), F.lit("\ncited_paper_ids: "), py_list(F.col("paper_ids")))
+    heads = claims.select("qid", token_count(head).alias("_t"))
+    return heads.unionByName(cit).groupBy("qid").agg(F.sum("_t").cast("long").alias("block_tokens"))
+
+
+def prompt_tokens(questions: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """(qid, prompt_tokens): token count of the claim writer's prompt
+    (``retrieve.sources_block``), added up part by part in the same way."""
+    q = questions.join(retrieved.select("qid").distinct(), "qid", "left_semi").select(
+        "qid", token_count(F.concat(F.lit("Research question: "), F.col("question"),
+                                    F.lit("\n\nRetrieved abstracts:"))).alias("_t"))
+    per = retrieved.join(_doc_tokens(retrieved), "paper_id").select(
+        "qid", (token_count(F.concat(F.lit("paper_id: "), F.col("paper_id"), F.lit("\ntitle: "), F.col("title"),
+                                     F.lit("\nabstract: "))) + F.col("_dt")).alias("_t"))
+    return q.unionByName(per).groupBy("qid").agg(F.sum("_t").cast("long").alias("prompt_tokens"))

@@ -16,7 +16,6 @@ from evidentia.functions.cost import with_cost
 from evidentia.functions.text import token_count
 from evidentia.operators import claims as C
 from evidentia.operators import guardrail as G
-from evidentia.operators.retrieve import sources_block
 
 
 def model_runs(questions: DataFrame, retrieved: DataFrame, claims: DataFrame,
@@ -24,8 +23,8 @@ def model_runs(questions: DataFrame, retrieved: DataFrame, claims: DataFrame,
     """Per (qid, model): claim_count, supported_count, unsupported_count,
     input_tokens, output_tokens, cost_usd. ``models`` pairs a priced model
     name with the strictness of its support check."""
-    prompt_in = sources_block(questions, retrieved).select("qid", token_count("prompt").alias("_pin"))
-    block_in = C.claims_block(claims, retrieved).select("qid", token_count("block").alias("_bin"))
+    prompt_in = C.prompt_tokens(questions, retrieved).select("qid", F.col("prompt_tokens").alias("_pin"))
+    block_in = C.claims_block_tokens(claims, retrieved).select("qid", F.col("block_tokens").alias("_bin"))
     claims_out = claims.groupBy("qid").agg(F.sum(token_count("text")).alias("_cout"))
     per = []
     for name, strictness in models:

@@ -180,11 +180,11 @@ def status_counts(questions: DataFrame) -> DataFrame:
     return questions.groupBy("expected_status").agg(F.count(F.lit(1)).cast("long").alias("n"))
 
 
-def judge_usage(blocks: DataFrame, judge: DataFrame, model: str) -> DataFrame:
+def judge_usage(block_tokens: DataFrame, judge: DataFrame, model: str) -> DataFrame:
     """(qid, model, input_tokens, output_tokens) of the judge call per
     question: the claims block in, the verdict reasonings out."""
     out = judge.groupBy("qid").agg(F.sum(token_count("reasoning")).cast("long").alias("output_tokens"))
-    return blocks.select("qid", token_count("block").alias("input_tokens")).join(out, "qid", "left") \
+    return block_tokens.select("qid", F.col("block_tokens").alias("input_tokens")).join(out, "qid", "left") \
         .select("qid", F.lit(model).alias("model"), "input_tokens",
                 F.coalesce("output_tokens", F.lit(0)).cast("long").alias("output_tokens"))
 

@@ -394,7 +394,7 @@ ORACLE: dict[str, str] = {
         SELECT c.qid, c.claim_id, CAST(c.pos AS INTEGER) AS pos, c.paper_id, r.abstract IS NOT NULL AS retrieved,
                CAST(length(r.abstract) AS BIGINT) AS source_chars
         FROM cit c LEFT JOIN retrieved r ON r.qid = c.qid AND r.paper_id = c.paper_id"""),
-    "claims_block": sql("SELECT qid, CAST(n_claims AS BIGINT) AS n_claims, CAST(length(block) AS BIGINT) AS block_chars, md5(block) AS block_md5 FROM cblock"),
+    "claims_block": sql(f"SELECT qid, CAST(n_claims AS BIGINT) AS n_claims, CAST(length(block) AS BIGINT) AS block_chars, md5(block) AS block_md5, {ntok('block')} AS block_tokens FROM cblock"),
     "support_check": sql("SELECT qid, claim_id, supported, reasoning FROM verdicts"),
     "unknown_citations": sql(f"SELECT qid, claim_id, {_ids('unknown_ids')} AS unknown_ids FROM status WHERE len(unknown_ids) > 0"),
     "claim_verdicts": sql("SELECT qid, claim_id, claim_supported, reason FROM status"),

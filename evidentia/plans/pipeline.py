@@ -92,7 +92,7 @@ def evaluate(a: Answers, *, judge=None, judge_model: str = "lexical-judge",
     cost = None
     if pricing is not None:
         from evidentia.functions.cost import with_cost
-        usage = E.judge_usage(C.claims_block(a.claims, a.retrieved), jv, judge_model)
+        usage = E.judge_usage(C.claims_block_tokens(a.claims, a.retrieved), jv, judge_model)
         cost = with_cost(usage, pricing).select("qid", "cost_usd")
     results = E.question_results(a.questions, a.counts, records, cost)
     metrics = E.grounding_metrics(results, records)

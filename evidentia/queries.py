@@ -106,7 +106,11 @@ def retrieve_preview(spark, sf):
 
 def sources_block_q(spark, sf):
     a = _answers(spark, sf)
-    return prompt_summary(sources_block(a.questions, a.retrieved))
+    s = prompt_summary(sources_block(a.questions, a.retrieved))
+    # the additive count must agree with counting the built prompt
+    t = C.prompt_tokens(a.questions, a.retrieved)
+    return s.join(t.withColumnRenamed("prompt_tokens", "_t"), "qid", "left").select(
+        "qid", "prompt_chars", "prompt_md5", F.coalesce("_t", F.lit(-1)).cast("long").alias("prompt_tokens"))
 
 
 def synthesize(spark, sf):
@@ -124,8 +128,10 @@ def claim_evidence(spark, sf):
 def claims_block(spark, sf):
     a = _answers(spark, sf)
     b = C.claims_block(a.claims, a.retrieved)
-    return b.select("qid", F.col("n_claims").cast("long").alias("n_claims"),
-                    F.length("block").cast("long").alias("block_chars"), F.md5("block").alias("block_md5"))
+    t = C.claims_block_tokens(a.claims, a.retrieved)
+    return b.join(t, "qid", "left").select("qid", F.col("n_claims").cast("long").alias("n_claims"),
+                    F.length("block").cast("long").alias("block_chars"), F.md5("block").alias("block_md5"),
+                    F.coalesce("block_tokens", F.lit(-1)).cast("long").alias("block_tokens"))
 
 
 # --- guardrail ------------------------------------------------------------------------------
