@@ -80,6 +80,7 @@ def skew_safe_row_number(df: DataFrame, key: str, order_cols: list[str], out: st
     spark = df.sparkSession
     n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cols = [key] + list(order_cols)
+    df = df.persist()        # read by the count, the sample, the numbering and the offsets
     total = df.count()
     frac = min(1.0, (n * sample_rows) / max(total, 1))
     pts = sorted(tuple(r) for r in df.select(*cols).sample(False, frac, seed=17).collect())

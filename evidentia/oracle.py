@@ -567,5 +567,36 @@ ORACLE: dict[str, str] = {
                CAST(round_even(sum(CAST(cost_usd AS DECIMAL(38,10))), 6) AS DOUBLE) AS cost_usd
         FROM usage GROUP BY ALL"""),
 }
+_SM = FX.STEP_MODELS
+ORACLE["pipeline_trace"] = sql(f"""
+SELECT run_id, CAST(step AS BIGINT) AS seq, tool, COALESCE(model, '-') AS model, input_tokens, output_tokens,
+       round_even({price('model', 'input_tokens', 'output_tokens')}, 10) AS cost_usd, output_summary
+FROM (
+  SELECT q.qid AS run_id, 1 AS step, 'search_corpus' AS tool, '{_SM["search_corpus"]}' AS model,
+         {ntok('q.question')} AS input_tokens, CAST(0 AS BIGINT) AS output_tokens,
+         CAST(COALESCE(h.n, 0) AS VARCHAR) || ' results' AS output_summary
+  FROM questions q LEFT JOIN (SELECT qid, count(*) AS n FROM hits GROUP BY qid) h ON h.qid = q.qid
+  UNION ALL
+  SELECT q.qid, 2, 'retrieve', NULL, CAST(0 AS BIGINT), CAST(0 AS BIGINT),
+         CAST(COALESCE(r.n, 0) AS VARCHAR) || ' papers'
+  FROM questions q LEFT JOIN (SELECT qid, count(*) AS n FROM retrieved GROUP BY qid) r ON r.qid = q.qid
+  UNION ALL
+  SELECT q.qid, 3, 'synthesize', CASE WHEN r.n IS NOT NULL THEN '{_SM["synthesize"]}' END,
+         CASE WHEN r.n IS NOT NULL THEN CAST(COALESCE(p.pin, 0) AS BIGINT) ELSE 0 END,
+         CASE WHEN r.n IS NOT NULL THEN CAST(COALESCE(c.cout, 0) AS BIGINT) ELSE 0 END,
+         CASE WHEN r.n IS NOT NULL THEN CAST(COALESCE(c.n, 0) AS VARCHAR) || ' claims' ELSE '0 claims (nothing retrieved)' END
+  FROM questions q LEFT JOIN (SELECT qid, count(*) AS n FROM retrieved GROUP BY qid) r ON r.qid = q.qid
+  LEFT JOIN (SELECT q.qid, {ntok("'Research question: ' || q.question || chr(10) || chr(10) || 'Retrieved abstracts:' || chr(10) || chr(10) || s.block")} AS pin
+             FROM questions q JOIN (SELECT qid, string_agg('paper_id: ' || paper_id || chr(10) || 'title: ' || title || chr(10) || 'abstract: ' || abstract, chr(10) || chr(10) ORDER BY rank) AS block
+                                    FROM retrieved GROUP BY qid) s ON s.qid = q.qid) p ON p.qid = q.qid
+  LEFT JOIN (SELECT qid, count(*) AS n, sum({ntok('text')}) AS cout FROM claims GROUP BY qid) c ON c.qid = q.qid
+  UNION ALL
+  SELECT c.qid, 4, 'validate', CASE WHEN c.claim_count > 0 THEN '{_SM["validate"]}' END,
+         CASE WHEN c.claim_count > 0 THEN CAST(COALESCE(b.bin, 0) AS BIGINT) ELSE 0 END,
+         CASE WHEN c.claim_count > 0 THEN CAST(COALESCE(v.rout, 0) AS BIGINT) ELSE 0 END,
+         CASE WHEN c.claim_count > 0 THEN CAST(c.supported_count AS VARCHAR) || ' supported, ' ||
+              CAST(c.unsupported_count AS VARCHAR) || ' unsupported' ELSE '0 claims to validate (empty synthesis)' END
+  FROM counts c LEFT JOIN (SELECT qid, {ntok('block')} AS bin FROM cblock) b ON b.qid = c.qid
+  LEFT JOIN (SELECT qid, sum({ntok('reasoning')}) AS rout FROM verdicts GROUP BY qid) v ON v.qid = c.qid)""")
 ORACLE["vector_search_ivf"] = ORACLE["vector_search"]
 ORACLE["usage_by_day_stream"] = ORACLE["usage_by_day"]

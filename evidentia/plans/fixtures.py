@@ -24,6 +24,9 @@ FABRICATE_EVERY = 7
 FABRICATED_OFFSET = 1_000_000
 JUDGE_MODEL = "gemini-3.1-pro-preview"   # judge usage is priced as this model
 K = 5
+# usage of each pipeline step is priced as the default model of that step
+STEP_MODELS = {"search_corpus": "gemini-embedding-001", "synthesize": "gemini-3.1-pro-preview",
+               "validate": "gemini-3.7-flash"}
 # ---------------------------------------------------------------------------
 
 

@@ -114,3 +114,56 @@ def write_results(ev: Evaluation, path: str, run_date: str, models: dict[str, st
                             F.struct(*[F.lit(v).alias(k) for k, v in models.items()]).alias("models"),
                             F.struct(*ev.metrics.columns).alias("metrics"))
     hdr.coalesce(1).write.mode("overwrite").json(f"{path}/run")
+
+
+# Model names recorded per step when the caller gives none: the built-in
+# lexical models (not in the price table, so they cost 0).
+BUILTIN_STEP_MODELS = {"search_corpus": "hashed-tf-256", "synthesize": "echo-writer",
+                       "validate": "lexical-checker"}
+
+
+def pipeline_trace(a: Answers, pricing: DataFrame, k: int = DEFAULT_K, models: dict | None = None) -> DataFrame:
+    """One trace per question (run_id = qid) with a row per step, in call
+    order: search_corpus, retrieve, synthesize, validate (U3, W3). A step
+    that needed no model call (nothing retrieved, no claims) still writes
+    its row, with model null and cost 0 (E21)."""
+    from evidentia.functions.cost import with_cost
+    from evidentia.functions.text import token_count
+    m = dict(BUILTIN_STEP_MODELS, **(models or {}))
+    q = a.questions.select("qid", "question")
+    n_hits = a.hits.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"))
+    n_ret = a.retrieved.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"))
+    n_cl = a.claims.groupBy("qid").agg(F.count(F.lit(1)).alias("_n"), F.sum(token_count("text")).alias("_out"))
+    rs = a.verdicts.groupBy("qid").agg(F.sum(token_count("reasoning")).alias("_out"))
+    cnt = a.counts
+    z = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+
+    def row(df, step, tool, model, tin, tout, summary):
+        return df.select(F.col("qid").alias("run_id"), F.lit(step).alias("step"), F.lit(tool).alias("tool"),
+                         model.alias("model"), tin.cast("long").alias("input_tokens"),
+                         tout.cast("long").alias("output_tokens"), summary.alias("output_summary"))
+
+    search = row(q.join(n_hits, "qid", "left"), 1, "search_corpus", F.lit(m["search_corpus"]),
+                 token_count("question"), F.lit(0), F.concat(z("_n").cast("string"), F.lit(" results")))
+    retr = row(q.join(n_ret, "qid", "left"), 2, "retrieve", F.lit(None).cast("string"), F.lit(0), F.lit(0),
+               F.concat(z("_n").cast("string"), F.lit(" papers")))
+    has_papers = F.col("_n").isNotNull()
+    syn_in = q.join(n_ret.select("qid", "_n"), "qid", "left").join(
+        C.prompt_tokens(a.questions, a.retrieved), "qid", "left").join(
+        n_cl.select("qid", F.col("_n").alias("_c"), "_out"), "qid", "left")
+    synth = row(syn_in, 3, "synthesize", F.when(has_papers, F.lit(m["synthesize"])),
+                F.when(has_papers, z("prompt_tokens")).otherwise(F.lit(0)),
+                F.when(has_papers, z("_out")).otherwise(F.lit(0)),
+                F.when(has_papers, F.concat(z("_c").cast("string"), F.lit(" claims")))
+                 .otherwise(F.lit("0 claims (nothing retrieved)")))
+    val_in = (cnt.join(C.claims_block_tokens(a.claims, a.retrieved), "qid", "left").join(rs, "qid", "left"))
+    has_claims = F.col("claim_count") > 0
+    valid = row(val_in, 4, "validate", F.when(has_claims, F.lit(m["validate"])),
+                F.when(has_claims, z("block_tokens")).otherwise(F.lit(0)),
+                F.when(has_claims, z("_out")).otherwise(F.lit(0)),
+                F.when(has_claims, F.concat(F.col("supported_count").cast("string"), F.lit(" supported, "),
+                                            F.col("unsupported_count").cast("string"), F.lit(" unsupported")))
+                 .otherwise(F.lit("0 claims to validate (empty synthesis)")))
+    u = search.unionByName(retr).unionByName(synth).unionByName(valid)
+    # every run has exactly these four steps, so the call order is the step
+    return with_cost(u, pricing).withColumn("seq", F.col("step").cast("long")).drop("step")

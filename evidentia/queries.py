@@ -455,6 +455,15 @@ def authoritative_answer(spark, sf):
     return U.authoritative_answer(c.select("conv_id").distinct(), c)
 
 
+def pipeline_trace(spark, sf):
+    """Per question, the four steps of the answer pipeline with tokens and
+    cost (usage priced as the default models of each step)."""
+    from evidentia.plans.pipeline import pipeline_trace as trace
+    t = trace(_answers(spark, sf), pricing_frame(spark), FX.K, FX.STEP_MODELS)
+    return t.select("run_id", "seq", "tool", F.coalesce("model", F.lit("-")).alias("model"), "input_tokens",
+                    "output_tokens", F.bround("cost_usd", 10).alias("cost_usd"), "output_summary")
+
+
 def usage_by_day(spark, sf):
     return U.usage_by_day(_usage(spark, sf))
 
@@ -539,6 +548,7 @@ QUERIES = {
     "trace_totals": trace_totals,
     "turn_usage": turn_usage,
     "authoritative_answer": authoritative_answer,
+    "pipeline_trace": pipeline_trace,
     "usage_by_day": usage_by_day,
     "usage_by_day_stream": usage_by_day_stream,
 }
