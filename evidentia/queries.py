@@ -39,7 +39,7 @@ TOPIC_CLAUSES = [("that", "with"), ("les", "des"), ("from the",)]
 
 
 def _key(spark, sf):
-    return (id(spark), sf.rstrip("/"))
+    return (spark.sparkContext.applicationId, id(spark), sf.rstrip("/"))
 
 
 def _answers(spark: SparkSession, sf: str):

@@ -161,3 +161,45 @@ def test_containment_distributed_path(spark):
     small = sorted(map(tuple, contained_in(items, docs).collect()))
     big = sorted(map(tuple, contained_in(items, docs, max_block_bytes=2000).collect()))
     assert small == big and len(small) > 0
+
+
+def test_user_model_steps_in_pipeline(spark):  # M2, M3 as user functions, P12
+    from evidentia.operators import claims as C
+    from evidentia.operators.models import claims_from, verdicts_from
+    from evidentia.operators.retrieve import sources_block
+    from evidentia.plans.pipeline import answer
+    from evidentia.sources.corpus import hashed_corpus, paper_texts
+    q = spark.createDataFrame([(1, "Ouréaux qui éoireeau de aiêç ére le."), (2, "Nothing.")],
+                              "qid long, question string")
+
+    def writer(pdf):      # one claim citing the first listed paper; none for question 2
+        rows = []
+        for qid, prompt in zip(pdf["qid"], pdf["prompt"]):
+            if qid == 1:
+                first = prompt.split("paper_id: ", 1)[1].split("\n", 1)[0]
+                rows.append((qid, 7, "a claim", [first, "nope"]))
+                rows.append((qid, 7, "again", [first]))
+        return pd.DataFrame(rows, columns=["qid", "claim_id", "text", "paper_ids"])
+
+    def checker(pdf):     # supports every claim it is shown, twice (last wins)
+        rows = []
+        for qid, block in zip(pdf["qid"], pdf["block"]):
+            rows.append((qid, 7, False, "first look"))
+            rows.append((qid, 7, True, "second look"))
+        return pd.DataFrame(rows, columns=["qid", "claim_id", "supported", "reasoning"])
+
+    def write_claims(questions, retrieved, hits):
+        return claims_from(sources_block(questions, retrieved), writer)
+
+    def check_support(claims, retrieved):
+        return verdicts_from(C.claims_block(claims, retrieved), checker)
+
+    a = answer(q, hashed_corpus(spark, SF_SMALL).select("paper_id", "embedding"), paper_texts(spark, SF_SMALL),
+               k=3, write_claims=write_claims, check_support=check_support)
+    st = {r.claim_pos: r for r in a.status.filter("qid = 1").collect()}
+    assert st[1].claim_supported is False and st[1].unknown_ids == ["nope"]     # E9 beats the verdict
+    assert st[2].claim_supported is True                                      # last verdict wins
+    md = {r.qid: r.final_markdown for r in a.answers.collect()}
+    assert md[1].startswith("## Findings\n\n- again [")
+    from evidentia.operators.guardrail import EMPTY_ANSWER
+    assert md[2] == EMPTY_ANSWER
