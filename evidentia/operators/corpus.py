@@ -48,6 +48,19 @@ def require_unique(source: DataFrame, key: str = "id") -> None:
         raise DuplicateKeyError(f"duplicate source keys: {[r[key] for r in dup]}")
 
 
+class RequiredColumnError(ValueError):
+    pass
+
+
+def require_columns(source: DataFrame, required: list[str] = REQUIRED_PAPER_COLUMNS) -> None:
+    """Staged rows must have every required column (the load fails on a
+    null in a REQUIRED field); one aggregate over the staged rows."""
+    v = null_violations(source, required).first()
+    bad = {c: v[f"null_{c}"] for c in required if v[f"null_{c}"]}
+    if bad:
+        raise RequiredColumnError(f"null values in required columns: {bad}")
+
+
 def upsert_frame(target: DataFrame, source: DataFrame, key: str = "id",
                  source_rows_bound: int | None = None) -> DataFrame:
     """MERGE semantics as a frame: target rows without a source row stay,
@@ -110,6 +123,7 @@ def upsert_table(spark: SparkSession, path: str, source: DataFrame, key: str = "
     folder in the shared checkpoint dir, then swapped in by a dynamic
     partition overwrite. Running it twice with the same source is a no-op."""
     require_unique(source, key)
+    require_columns(source)
     create_table_if_absent(spark, path)
     src = with_bucket(source.select(*PAPERS.fieldNames()), key, buckets)
     touched = [r["bucket"] for r in src.select("bucket").distinct().collect()]  # <= buckets values
@@ -207,9 +221,16 @@ def topic_predicate(text_col: str = "abstract", category_col: str | None = "cate
 
 def topic_filter(df: DataFrame, predicate: Column | str | None = None, **kw) -> DataFrame:
     """Keep the rows on topic. ``predicate``: a Column, a SQL string, or None
-    for the default topic."""
+    for the default topic. An array category column matches when any of
+    its categories is in the set."""
     if predicate is None:
-        predicate = topic_predicate(**kw)
+        cat = kw.get("category_col", "categories")
+        if cat in df.columns and isinstance(df.schema[cat].dataType, T.ArrayType):
+            cats = kw.pop("categories", None) or DEFAULT_CATEGORIES
+            kw["category_col"] = None
+            predicate = F.arrays_overlap(F.col(cat), F.array(*[F.lit(c) for c in cats])) & topic_predicate(**kw)
+        else:
+            predicate = topic_predicate(**kw)
     return df.filter(F.expr(predicate) if isinstance(predicate, str) else predicate)
 
 

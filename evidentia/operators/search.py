@@ -58,6 +58,32 @@ def vector_health(df: DataFrame, vec: str = "embedding", dims: int | None = None
     )
 
 
+class MixedEmbeddersError(ValueError):
+    """Vectors of different embedders (or versions) cannot be compared."""
+
+
+def check_one_embedder(queries: DataFrame, corpus: DataFrame, col: str = "embedder") -> None:
+    """Refuse a search that would compare vectors of different embedders
+    (E23). Applies when both sides carry the embedder's name; the check is
+    one small aggregate per side (distinct names are few)."""
+    if col not in queries.columns or col not in corpus.columns:
+        return
+    names = set()
+    for df in (queries, corpus):
+        names |= {r[0] for r in df.select(col).distinct().limit(3).collect()}
+    if len(names) > 1:
+        raise MixedEmbeddersError(f"vectors from different embedders: {sorted(map(str, names))}; "
+                                  "re-embed the corpus with one model")
+
+
+def search_results(hits: DataFrame, papers: DataFrame, hits_rows_bound: int | None = None) -> DataFrame:
+    """Search projection (P6): (qid, rank, paper_id, title, score), titles
+    joined after top-k."""
+    from evidentia.operators.sizing import broadcast_if_bounded
+    h = broadcast_if_bounded(hits.select("qid", "rank", "paper_id", "score"), hits_rows_bound, row_bytes=48)
+    return papers.select("paper_id", "title").join(h, "paper_id").select("qid", "rank", "paper_id", "title", "score")
+
+
 def _collect_block(queries: DataFrame, qkey: str, qvec: str):
     rows = queries.select(qkey, qvec).collect()
     if not rows:
@@ -138,6 +164,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, *,
     cut-off: k rows come back however far away they are."""
     if k < 1:
         raise ValueError("k must be at least 1")
+    check_one_embedder(queries, corpus)
     q = queries.select(F.col(qkey).cast("long").alias("qid"),
                        F.col(qvec).cast("array<double>").alias("qv")).filter(F.col("qv").isNotNull())
     q = q.persist()          # sized, then gathered block by block: computed once

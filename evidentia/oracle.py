@@ -361,9 +361,11 @@ def _ids(x: str) -> str:
 ORACLE: dict[str, str] = {
     "answer_pipeline": sql("""SELECT a.qid, x.expected_status, x.claim_count, a.supported_count, a.unsupported_count,
         x.answerability_match, a.final_markdown FROM answers a JOIN answerab x ON x.qid = a.qid"""),
-    "vector_search": sql(_KNN.format(qk="vec_id", qv="e", dk="id", dv="embedding",
-                                     qs="(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)", ds="corpus", where="WHERE d.embedding IS NOT NULL", k=FX.K)
-                         .replace("SELECT qid, CAST(rank AS INTEGER) AS rank, paper_id, dist,", "SELECT qid, CAST(rank AS INTEGER) AS rank, paper_id,")),
+    "vector_search": sql("SELECT h.qid, h.rank, h.paper_id, c.title, h.score FROM (" +
+                         _KNN.format(qk="vec_id", qv="e", dk="id", dv="embedding",
+                                     qs="(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)",
+                                     ds="corpus", where="WHERE d.embedding IS NOT NULL", k=FX.K) +
+                         ") h JOIN corpus c ON c.id = h.paper_id"),
     "vector_search_one": sql(f"""
         SELECT CAST(row_number() OVER (ORDER BY round(dist, 9), paper_id) AS INTEGER) AS rank, paper_id,
                round_even(1.0 - dist, 4) AS score
@@ -598,5 +600,9 @@ FROM (
               CAST(c.unsupported_count AS VARCHAR) || ' unsupported' ELSE '0 claims to validate (empty synthesis)' END
   FROM counts c LEFT JOIN (SELECT qid, {ntok('block')} AS bin FROM cblock) b ON b.qid = c.qid
   LEFT JOIN (SELECT qid, sum({ntok('reasoning')}) AS rout FROM verdicts GROUP BY qid) v ON v.qid = c.qid)""")
-ORACLE["vector_search_ivf"] = ORACLE["vector_search"]
+ORACLE["vector_search_ivf"] = sql(_KNN.format(qk="vec_id", qv="e", dk="id", dv="embedding",
+                                              qs="(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)",
+                                              ds="corpus", where="WHERE d.embedding IS NOT NULL", k=FX.K)
+                                  .replace("SELECT qid, CAST(rank AS INTEGER) AS rank, paper_id, dist,",
+                                           "SELECT qid, CAST(rank AS INTEGER) AS rank, paper_id,"))
 ORACLE["usage_by_day_stream"] = ORACLE["usage_by_day"]

@@ -17,7 +17,7 @@ from evidentia.operators import evaluate as E
 from evidentia.operators import guardrail as G
 from evidentia.operators import usage as U
 from evidentia.operators.retrieve import previews, prompt_summary, sources_block
-from evidentia.operators.search import knn, search_one
+from evidentia.operators.search import knn, search_one, search_results
 from evidentia.plans import fixtures as FX
 from evidentia.plans.pipeline import evaluate, nested_results
 from evidentia.session import read_table, ship_package, table_path
@@ -68,7 +68,9 @@ def _stored_corpus(spark, sf):
 
 def vector_search(spark, sf):
     q = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), "embedding")
-    return knn(q, _stored_corpus(spark, sf), FX.K).select("qid", "rank", "paper_id", "score")
+    hits = knn(q, _stored_corpus(spark, sf), FX.K)
+    titles = fixture_corpus(spark, sf).select(F.col("id").alias("paper_id"), "title")
+    return search_results(hits, titles, q.count() * FX.K)
 
 
 def mean_embedding(spark, sf) -> DataFrame:

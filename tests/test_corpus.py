@@ -100,3 +100,15 @@ def test_read_ids_prunes_buckets(spark):  # P3 on the stored table
     assert sorted(r.id for r in got.collect()) == ["17", "3"]            # duplicates and unknown ids vanish
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan), plan
+
+
+def test_required_columns_enforced(spark):  # S9
+    bad = rows(spark, ["1"], "a", dt.datetime(2024, 1, 1)).withColumn("title", F.lit(None).cast("string"))
+    with pytest.raises(CO.RequiredColumnError):
+        CO.upsert_table(spark, new_table(spark), bad)
+
+
+def test_topic_array_categories(spark):  # P1
+    df = spark.createDataFrame([(["q-bio", "cs.SE"], "prompt engineering and code"), (["q-bio"], "prompt engineering code")],
+                               "categories array<string>, abstract string")
+    assert CO.topic_filter(df).count() == 1

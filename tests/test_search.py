@@ -81,3 +81,13 @@ def test_ivf_exact(spark, data, nprobe, max_members, max_queries):
     for r in res.orderBy("qid", "rank").collect():
         got.setdefault(r.qid, []).append(r.paper_id)
     assert got == brute(Q, D, ids, 5)
+
+
+def test_mixed_embedders_refused(spark):  # E23
+    from evidentia.operators.search import MixedEmbeddersError
+    c = spark.createDataFrame([("a", [1.0, 0.0], "m1"), ("b", [0.0, 1.0], "m2")],
+                              "paper_id string, embedding array<double>, embedder string")
+    q = spark.createDataFrame([(1, [1.0, 0.0], "m1")], "qid long, embedding array<double>, embedder string")
+    with pytest.raises(MixedEmbeddersError):
+        knn(q, c, 1)
+    assert knn(q, c.filter("embedder = 'm1'"), 1).first().paper_id == "a"
