@@ -22,6 +22,7 @@ from evidentia.operators import evaluate as E
 from evidentia.operators import guardrail as G
 from evidentia.operators.retrieve import retrieve
 from evidentia.operators.search import DEFAULT_K, knn
+from evidentia.session import cut_lineage
 
 Embedder = Callable[[DataFrame, str, str], DataFrame]
 
@@ -54,20 +55,23 @@ def answer(questions: DataFrame, corpus_vectors: DataFrame, papers: DataFrame, *
     columns joined after top-k (late materialisation).
 
     Every intermediate table here is bounded by the question table (k hits,
-    a few claims per question), and each feeds several later steps; with
-    ``persist`` they are kept once (memory and disk; a lost executor's
-    blocks are recomputed from lineage) instead of being recomputed by
-    every consumer."""
+    a few claims per question) and feeds several later steps. With
+    ``persist`` the outputs of the expensive steps (search hits, the claim
+    writer's and the checker's outputs; with real models these are paid
+    calls) are written once as reliable checkpoints in the shared
+    ``spark.checkpoint.dir``, so a lost executor never re-runs them; the
+    cheap ones are cached (memory and disk, recomputed from lineage)."""
     keep = (lambda df: df.persist()) if persist else (lambda df: df)
+    durable = (lambda df: cut_lineage(df).persist()) if persist else (lambda df: df)
     write_claims = write_claims or (lambda q, r, h: C.echo_claims(q, r))
     check_support = check_support or G.support_check
     questions = keep(questions)
     n_q = questions.count()
     qv = embed(questions.select("qid", "question"), "qid", "question")
-    hits = keep(knn(qv, corpus_vectors, k))
+    hits = durable(knn(qv, corpus_vectors, k))
     retrieved = keep(retrieve(hits, papers, hits_rows_bound=n_q * k))
-    claims = keep(write_claims(questions, retrieved, hits))
-    verdicts = keep(check_support(claims, retrieved))
+    claims = durable(write_claims(questions, retrieved, hits))
+    verdicts = durable(check_support(claims, retrieved))
     status = keep(G.claim_status(claims, verdicts, retrieved))
     answers = G.final_answer(questions, status)
     counts = G.answer_counts(questions, status)
