@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from evidentia.functions.text import collapse_ws
 from evidentia.operators.sizing import broadcast_if_bounded
 from evidentia.schemas import PAPERS, REQUIRED_PAPER_COLUMNS
-from evidentia.session import checkpoint_dir
+from evidentia.session import checkpoint_dir, cut_lineage
 
 DEFAULT_BUCKETS = 64
 MAX_RESULTS_LIMIT = 2000
@@ -122,17 +122,21 @@ def upsert_table(spark: SparkSession, path: str, source: DataFrame, key: str = "
     read and rewritten. The merged buckets are first written to a staging
     folder in the shared checkpoint dir, then swapped in by a dynamic
     partition overwrite. Running it twice with the same source is a no-op."""
-    require_unique(source, key)
-    require_columns(source)
+    # Stage the source once as a written table; the checks, the bucket
+    # list and the merge all read the staged rows, so an expensive source
+    # (embedding calls) is never recomputed
+    staged = cut_lineage(source.select(*PAPERS.fieldNames()), "staging")
+    require_unique(staged, key)
+    require_columns(staged)
     create_table_if_absent(spark, path)
-    src = with_bucket(source.select(*PAPERS.fieldNames()), key, buckets)
+    src = with_bucket(staged, key, buckets)
     touched = [r["bucket"] for r in src.select("bucket").distinct().collect()]  # <= buckets values
     if not touched:
         return 0
     target = read_table_at(spark, path).filter(F.col("bucket").isin(touched))
     merged = upsert_frame(target.select(*src.columns), src, key)
-    affected = source.count()
-    stage = f"{checkpoint_dir(spark).rstrip('/')}/staging-{uuid.uuid4().hex}"
+    affected = staged.count()
+    stage = f"{checkpoint_dir(spark).rstrip('/')}/merged-{uuid.uuid4().hex}"
     merged.write.mode("overwrite").partitionBy("bucket").parquet(stage)
     (spark.read.parquet(stage).select(*src.columns).write.mode("overwrite")
           .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))

@@ -87,11 +87,15 @@ class Evaluation:
 
 
 def evaluate(a: Answers, *, judge=None, judge_model: str = "lexical-judge",
-             pricing: DataFrame | None = None) -> Evaluation:
+             pricing: DataFrame | None = None, persist: bool = True) -> Evaluation:
     """Grade every claim with an independent judge and roll up the metrics.
-    The judge's token usage is priced by ``judge_model`` (unknown -> 0)."""
+    The judge's token usage is priced by ``judge_model`` (unknown -> 0).
+    The judge's verdicts (a model step) are written once, like the
+    pipeline's model outputs."""
     judge = judge or E.judge_check
     jv = judge(a.claims, a.retrieved)
+    if persist:
+        jv = cut_lineage(jv, "judge").persist()
     records = E.claim_records(a.claims, G.claim_supported_by_id(a.status), jv)
     cost = None
     if pricing is not None:
