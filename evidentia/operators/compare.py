@@ -16,7 +16,6 @@ from evidentia.functions.cost import with_cost
 from evidentia.functions.text import token_count
 from evidentia.operators import claims as C
 from evidentia.operators import guardrail as G
-from evidentia.session import cut_lineage
 
 
 def model_runs(questions: DataFrame, retrieved: DataFrame, claims: DataFrame,
@@ -29,7 +28,7 @@ def model_runs(questions: DataFrame, retrieved: DataFrame, claims: DataFrame,
     claims_out = claims.groupBy("qid").agg(F.sum(token_count("text")).alias("_cout"))
     per = []
     for name, strictness in models:
-        v = cut_lineage(G.support_check(claims, retrieved, strictness), "verdicts").persist()  # a model step
+        v = G.support_check(claims, retrieved, strictness).persist()
         st = G.claim_status(claims, v, retrieved)
         c = G.answer_counts(questions, st)
         r_out = v.groupBy("qid").agg(F.sum(token_count("reasoning")).alias("_rout"))

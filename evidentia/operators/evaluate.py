@@ -15,8 +15,10 @@ from evidentia.functions.format import py_fixed, py_percent
 from evidentia.functions.text import match_form, token_count
 from evidentia.operators.claims import claim_citations
 from evidentia.operators.guardrail import last_verdict
+from evidentia.operators.models import builtin_model
 
 
+@builtin_model
 def judge_check(claims: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Built-in strict judge, blind to the support checker: a claim is
     grounded when its normalised text occurs verbatim in the normalised

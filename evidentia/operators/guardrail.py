@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.text import tokens
 from evidentia.operators.claims import claim_citations, py_list
+from evidentia.operators.models import builtin_model
 
 # --- fixed values: the answer texts ----------------------------------------
 FINDINGS_HEADER = "## Findings\n\n"
@@ -37,6 +38,7 @@ def doc_token_sets(retrieved: DataFrame) -> DataFrame:
     return docs.select("paper_id", F.explode(F.array_distinct(tokens("abstract"))).alias("tok"))
 
 
+@builtin_model
 def support_check(claims: DataFrame, retrieved: DataFrame,
                   min_containment: float = DEFAULT_MIN_CONTAINMENT) -> DataFrame:
     """Built-in lexical support checker: a claim is supported when at least

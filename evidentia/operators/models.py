@@ -25,6 +25,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def builtin_model(fn):
+    """Mark a step function as one of the built-in lexical models:
+    deterministic and cheap, so its output may simply be recomputed from
+    lineage after an executor loss. Steps without the mark are treated as
+    paid model calls and their outputs are written once (lineage cut)."""
+    fn._builtin_model = True
+    return fn
+
+
+def is_builtin(fn) -> bool:
+    return bool(getattr(fn, "_builtin_model", False))
+
+
 class RateLimited(Exception):
     """Raised by a model function when the service asks it to slow down."""
 

@@ -22,6 +22,7 @@ from evidentia.operators import evaluate as E
 from evidentia.operators import guardrail as G
 from evidentia.operators.retrieve import retrieve
 from evidentia.operators.search import DEFAULT_K, knn
+from evidentia.operators.models import builtin_model, is_builtin
 from evidentia.session import cut_lineage
 
 Embedder = Callable[[DataFrame, str, str], DataFrame]
@@ -55,29 +56,39 @@ def answer(questions: DataFrame, corpus_vectors: DataFrame, papers: DataFrame, *
     columns joined after top-k (late materialisation).
 
     Every intermediate table here is bounded by the question table (k hits,
-    a few claims per question) and feeds several later steps. With
-    ``persist`` the outputs of the expensive steps (search hits, the claim
-    writer's and the checker's outputs; with real models these are paid
-    calls) are written once as reliable checkpoints in the shared
-    ``spark.checkpoint.dir``, so a lost executor never re-runs them; the
-    cheap ones are cached (memory and disk, recomputed from lineage)."""
+    a few claims per question) and feeds several later steps, so with
+    ``persist`` each is kept once (memory and disk). The output of a model
+    step that is not one of the built-in lexical models (a paid call) is
+    written once to the shared ``spark.checkpoint.dir`` instead, so a lost
+    executor never repeats the calls; built-in steps are recomputed from
+    lineage, which is cheap and deterministic."""
     keep = (lambda df: df.persist()) if persist else (lambda df: df)
-    durable = (lambda df: cut_lineage(df).persist()) if persist else (lambda df: df)
-    write_claims = write_claims or (lambda q, r, h: C.echo_claims(q, r))
+
+    def after(step, df):
+        if persist and not is_builtin(step):
+            return cut_lineage(df, "model-output").persist()
+        return keep(df)
+
+    write_claims = write_claims or _echo_writer
     check_support = check_support or G.support_check
     questions = keep(questions)
     n_q = questions.count()
     qv = embed(questions.select("qid", "question"), "qid", "question")
-    hits = durable(knn(qv, corpus_vectors, k))
+    hits = keep(knn(qv, corpus_vectors, k))
     retrieved = keep(retrieve(hits, papers, hits_rows_bound=n_q * k))
-    claims = durable(write_claims(questions, retrieved, hits))
-    verdicts = durable(check_support(claims, retrieved))
+    claims = after(write_claims, write_claims(questions, retrieved, hits))
+    verdicts = after(check_support, check_support(claims, retrieved))
     status = keep(G.claim_status(claims, verdicts, retrieved))
     answers = G.final_answer(questions, status)
     counts = G.answer_counts(questions, status)
     return Answers(questions, hits, retrieved, claims, verdicts, status, answers, counts)
 
 
+@builtin_model
+def _echo_writer(questions, retrieved, hits):
+    return C.echo_claims(questions, retrieved)
+
+
 @dataclass
 class Evaluation:
     judge: DataFrame
@@ -90,12 +101,12 @@ def evaluate(a: Answers, *, judge=None, judge_model: str = "lexical-judge",
              pricing: DataFrame | None = None, persist: bool = True) -> Evaluation:
     """Grade every claim with an independent judge and roll up the metrics.
     The judge's token usage is priced by ``judge_model`` (unknown -> 0).
-    The judge's verdicts (a model step) are written once, like the
-    pipeline's model outputs."""
+    A judge that is not a built-in model has its verdicts written once,
+    like the pipeline's model outputs."""
     judge = judge or E.judge_check
     jv = judge(a.claims, a.retrieved)
     if persist:
-        jv = cut_lineage(jv, "judge").persist()
+        jv = jv.persist() if is_builtin(judge) else cut_lineage(jv, "judge").persist()
     records = E.claim_records(a.claims, G.claim_supported_by_id(a.status), jv)
     cost = None
     if pricing is not None:
