@@ -203,3 +203,23 @@ def test_user_model_steps_in_pipeline(spark):  # M2, M3 as user functions, P12
     assert md[1].startswith("## Findings\n\n- again [")
     from evidentia.operators.guardrail import EMPTY_ANSWER
     assert md[2] == EMPTY_ANSWER
+
+
+def test_feed_ingest_stream(spark):  # R1 from feed files, E3
+    from evidentia.operators import corpus as CO
+    from evidentia.streaming.ingest import start_feed_ingest
+    base = os.path.join(checkpoint_dir(spark), f"feed-{uuid.uuid4().hex}")
+    os.makedirs(os.path.join(base, "feeds"))
+    with open(os.path.join(base, "feeds", "a.xml"), "w") as f:
+        f.write(FEED)
+    second = FEED.replace("Large language", "Updated language").split("<entry>")
+    with open(os.path.join(base, "feeds", "b.xml"), "w") as f:       # same first paper, new text
+        f.write(second[0] + "<entry>" + second[1] + "</feed>\n")
+    q = start_feed_ingest(spark, os.path.join(base, "feeds"), os.path.join(base, "table"), os.path.join(base, "ck"))
+    q.awaitTermination()
+    assert q.exception() is None
+    rows = {r.id: r for r in CO.read_table_at(spark, os.path.join(base, "table")).collect()}
+    assert set(rows) == {"2508.01234", "0112017"}
+    assert len(rows["2508.01234"].embedding) == 256
+    got = rows["2508.01234"].abstract
+    assert got in ("Updated language models write code.", "Large language models write code.")
