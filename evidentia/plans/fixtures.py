@@ -46,13 +46,13 @@ def fixture_writer(questions, retrieved, hits):
     return with_fabricated_citations(C.echo_claims(questions, retrieved))
 
 
-def fixture_answers(spark: SparkSession, sf_dir: str, persist: bool = False) -> Answers:
+def fixture_answers(spark: SparkSession, sf_dir: str, persist: bool = True) -> Answers:
     questions = fixture_questions(spark, sf_dir)
     return answer(questions, hashed_corpus(spark, sf_dir).select("paper_id", "embedding"),
                   paper_texts(spark, sf_dir), k=K, write_claims=fixture_writer, persist=persist)
 
 
-def fixture_evaluation(spark: SparkSession, sf_dir: str, persist: bool = False):
+def fixture_evaluation(spark: SparkSession, sf_dir: str, persist: bool = True):
     a = fixture_answers(spark, sf_dir, persist)
     return a, evaluate(a, judge_model=JUDGE_MODEL, pricing=pricing_frame(spark))
 

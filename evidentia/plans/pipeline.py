@@ -22,6 +22,7 @@ from evidentia.operators import evaluate as E
 from evidentia.operators import guardrail as G
 from evidentia.operators.retrieve import retrieve
 from evidentia.operators.search import DEFAULT_K, knn
+from evidentia.operators.sizing import spread
 from evidentia.operators.models import builtin_model, is_builtin
 from evidentia.session import cut_lineage
 
@@ -75,7 +76,9 @@ def answer(questions: DataFrame, corpus_vectors: DataFrame, papers: DataFrame, *
     n_q = questions.count()
     qv = embed(questions.select("qid", "question"), "qid", "question")
     hits = keep(knn(qv, corpus_vectors, k))
-    retrieved = keep(retrieve(hits, papers, hits_rows_bound=n_q * k))
+    # retrieved texts feed every lexical step; spread them over the cores
+    # when the corpus scan that produced them was not (one big input file)
+    retrieved = keep(spread(retrieve(hits, papers, hits_rows_bound=n_q * k)))
     claims = after(write_claims, write_claims(questions, retrieved, hits))
     verdicts = after(check_support, check_support(claims, retrieved))
     status = keep(G.claim_status(claims, verdicts, retrieved))
