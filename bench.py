@@ -35,7 +35,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "1"))
     from evidentia.session import build_session
-    spark = build_session(f"local[{cpus}]", app="evidentia-bench", shuffle_partitions=int(cpus) * 2,
+    spark = build_session(f"local[{cpus}]", app="evidentia-bench", shuffle_partitions=int(cpus),
                           extra={"spark.driver.memory": "16g",
                                  "spark.checkpoint.dir": tempfile.mkdtemp(prefix="evidentia-bench-")})
     import evidentia.queries as Q

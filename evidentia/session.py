@@ -8,6 +8,21 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Sizing for a large cluster (hundreds of TB, ~1000 executors): scans split
+# at 128 MB; shuffles start wide and AQE coalesces them towards ~128 MB per
+# task, so a big shuffle never builds partitions that outgrow executor
+# memory and a small one does not run thousands of empty tasks; skewed
+# partitions above 256 MB are split.
+CLUSTER_DEFAULTS = {
+    "spark.sql.files.maxPartitionBytes": str(128 << 20),
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+}
+
+
 def build_session(master: str | None = None, app: str = "evidentia",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
@@ -31,6 +46,8 @@ def build_session(master: str | None = None, app: str = "evidentia",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    elif not (master or "").startswith("local"):
+        conf.update(CLUSTER_DEFAULTS)
     conf.update(extra or {})
     for k, v in conf.items():
         b = b.config(k, v)
