@@ -12,14 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 # at 128 MB; shuffles start wide and AQE coalesces them towards ~128 MB per
 # task, so a big shuffle never builds partitions that outgrow executor
 # memory and a small one does not run thousands of empty tasks; skewed
-# partitions above 256 MB are split.
+# partitions above 256 MB are split. Joins are broadcast only on measured
+# sizes (AQE, after the small side ran) or behind our own checked bounds,
+# never on file-size estimates.
 CLUSTER_DEFAULTS = {
     "spark.sql.files.maxPartitionBytes": str(128 << 20),
     "spark.sql.shuffle.partitions": "20000",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
     "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
-    "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
 }
 
 
