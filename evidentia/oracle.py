@@ -453,6 +453,8 @@ ORACLE: dict[str, str] = {
         UNION ALL SELECT 'Answerability-category match', CAST(answerability_matches AS VARCHAR) || '/' ||
               CAST(total_questions AS VARCHAR) || ' (' || {_fmt_pct('answerability_match_rate')} || ')' FROM metrics
         UNION ALL SELECT 'Judge cost (this run)', '$' || printf('%.4f', total_cost_usd) FROM metrics"""),
+    "eval_report_questions": sql("""SELECT qid, expected_status, claim_count, supported_count,
+                                    CASE WHEN answerability_match THEN 'yes' ELSE 'no' END AS match FROM results"""),
     "status_counts": sql("SELECT expected_status, CAST(count(*) AS BIGINT) AS n FROM questions GROUP BY ALL"),
     "verdict_dedupe": sql(f"""
         SELECT qid, claim_id, arg_max(g, pos) AS grounded FROM (

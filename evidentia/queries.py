@@ -252,6 +252,11 @@ def eval_report(spark, sf):
     return E.report_rows(_evaluation(spark, sf).metrics)
 
 
+def eval_report_questions(spark, sf):
+    """Per-question report rows: id, expected, claims, supported, yes/no."""
+    return E.question_report_rows(_evaluation(spark, sf).results)
+
+
 def status_counts(spark, sf):
     return E.status_counts(_answers(spark, sf).questions)
 
@@ -521,6 +526,7 @@ QUERIES = {
     "eval_gate": eval_gate,
     "eval_nested": eval_nested,
     "eval_report": eval_report,
+    "eval_report_questions": eval_report_questions,
     "status_counts": status_counts,
     "verdict_dedupe": verdict_dedupe,
     "label_metrics": label_metrics,
