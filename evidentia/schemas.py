@@ -74,4 +74,6 @@ FEED_ENTRY = T.StructType([
     T.StructField("published", T.StringType(), True),
     T.StructField("author", T.ArrayType(T.StructType([
         T.StructField("name", T.StringType(), True)])), True),
+    T.StructField("category", T.ArrayType(T.StructType([
+        T.StructField("_term", T.StringType(), True)])), True),
 ])

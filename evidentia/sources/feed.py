@@ -19,15 +19,20 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
                  .option("ignoreNamespace", "true").schema(FEED_ENTRY).load(path))
 
 
-def normalize_entries(entries: DataFrame) -> DataFrame:
-    """Feed entries -> (id, title, authors, published_date, abstract, url)."""
-    return entries.select(
+def normalize_entries(entries: DataFrame, categories: bool = False) -> DataFrame:
+    """Feed entries -> (id, title, authors, published_date, abstract, url),
+    plus the entry's category terms when asked (for the topic filter)."""
+    cols = [
         paper_id_from_url("id").alias("id"),
         collapse_ws("title").alias("title"),
         author_list("author").alias("authors"),
         date_prefix("published").alias("published_date"),
         collapse_ws("summary").alias("abstract"),
-        https_url("id").alias("url"))
+        https_url("id").alias("url")]
+    if categories:
+        cols.append(F.coalesce(F.transform("category", lambda c: c["_term"]),
+                               F.array().cast("array<string>")).alias("categories"))
+    return entries.select(*cols)
 
 
 def pages_as_entries(pages: DataFrame) -> DataFrame:

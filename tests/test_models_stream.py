@@ -94,6 +94,8 @@ FEED = """<?xml version="1.0" encoding="UTF-8"?>
     <author><name>A. One</name></author>
     <author><name>B. Two</name></author>
     <arxiv:primary_category term="cs.SE"/>
+    <category term="cs.SE" scheme="http://arxiv.org/schemas/atom"/>
+    <category term="cs.CL" scheme="http://arxiv.org/schemas/atom"/>
   </entry>
   <entry>
     <id>http://arxiv.org/abs/cs/0112017v1</id>
@@ -117,6 +119,11 @@ def test_feed_xml_source(spark):  # S2, F1-F5
     assert a.authors == "A. One, B. Two" and str(a.published_date) == "2025-08-01"
     assert a.url == "https://arxiv.org/abs/2508.01234v2"
     assert rows["0112017"].authors == "C. Three"                   # E1
+    from evidentia.operators.corpus import topic_filter
+    cats = normalize_entries(read_feed(spark, path), categories=True)
+    assert {r.id: r.categories for r in cats.collect()} == {"2508.01234": ["cs.SE", "cs.CL"], "0112017": []}
+    on_topic = topic_filter(cats, None, text_col="abstract")
+    assert [r.id for r in on_topic.collect()] == []           # no clause of the default topic holds
 
 
 def test_result_sink_and_listener(spark):  # S10, R2
