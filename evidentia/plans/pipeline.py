@@ -189,3 +189,15 @@ def pipeline_trace(a: Answers, pricing: DataFrame, k: int = DEFAULT_K, models: d
     u = search.unionByName(retr).unionByName(synth).unionByName(valid)
     # every run has exactly these four steps, so the call order is the step
     return with_cost(u, pricing).withColumn("seq", F.col("step").cast("long")).drop("step")
+
+
+def run_evaluation(a: Answers, out_path: str, run_date: str, models: dict[str, str], *,
+                   judge=None, judge_model: str = "lexical-judge", pricing: DataFrame | None = None,
+                   max_unsupported_rate: float | None = None,
+                   max_false_refusal_rate: float | None = None) -> tuple[Evaluation, DataFrame]:
+    """The evaluation job: judge every claim, write the nested results
+    (S10), and return the regression gate (P11) next to the evaluation.
+    ``gate.filter('failed').count() > 0`` is the failing exit status."""
+    ev = evaluate(a, judge=judge, judge_model=judge_model, pricing=pricing)
+    write_results(ev, out_path, run_date, models)
+    return ev, E.gate(ev.metrics, max_unsupported_rate, max_false_refusal_rate)

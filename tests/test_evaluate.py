@@ -64,3 +64,17 @@ def test_confusion_cells_sum_to_claims(spark):
                        F.sum("unsupported_count").alias("u")).first()
     assert cnt.c == cnt.s + cnt.u == n
     assert ev.metrics.first().total_claims == n
+
+
+def test_run_evaluation_job(spark):  # S10 + P11 as one job
+    import os, uuid
+    from evidentia.plans.fixtures import fixture_answers
+    from evidentia.plans.pipeline import run_evaluation
+    from evidentia.session import checkpoint_dir
+    from tests.conftest import SF_SMALL
+    a = fixture_answers(spark, SF_SMALL)
+    out = os.path.join(checkpoint_dir(spark), f"run-{uuid.uuid4().hex}")
+    ev, gate = run_evaluation(a, out, "2026-12-02", {"judge": "lexical-judge"}, max_unsupported_rate=-1.0)
+    assert spark.read.json(os.path.join(out, "questions")).count() == a.questions.count()
+    failed = {r.metric: r.failed for r in gate.collect()}
+    assert failed["unsupported_claim_rate"] is True and failed["false_refusal_rate"] is False

@@ -230,3 +230,24 @@ def test_feed_ingest_stream(spark):  # R1 from feed files, E3
     assert len(rows["2508.01234"].embedding) == 256
     got = rows["2508.01234"].abstract
     assert got in ("Updated language models write code.", "Large language models write code.")
+
+
+def test_batch_ingest_job(spark):  # S2 -> P1 -> T3 -> M1 -> S5 -> S11, E3, E4, E5
+    from evidentia.operators import corpus as CO
+    from evidentia.plans.ingest import ingest
+    base = os.path.join(checkpoint_dir(spark), f"ing-{uuid.uuid4().hex}")
+    os.makedirs(os.path.join(base, "feeds"))
+    with open(os.path.join(base, "feeds", "a.xml"), "w") as f:
+        f.write(FEED)
+    table = os.path.join(base, "table")
+    s = ingest(spark, os.path.join(base, "feeds"), table).first()
+    assert (s.fetched, s.affected, s.total_rows) == (2, 2, 2) and s.tokens > 0
+    assert s.cost_usd == round(s.tokens / 1e6 * 0.15, 4)
+    s2 = ingest(spark, os.path.join(base, "feeds"), table, max_results=1).first()   # newest only, idempotent
+    assert (s2.fetched, s2.affected, s2.total_rows) == (1, 1, 2)
+    none = ingest(spark, os.path.join(base, "feeds"), table, predicate="array_contains(categories, 'q-bio')").first()
+    assert (none.fetched, none.affected, none.total_rows) == (0, 0, None)                   # E4
+    s3 = ingest(spark, os.path.join(base, "feeds"), table, predicate="array_contains(categories, 'cs.CL')",
+                clear=True).first()                                                         # E5
+    assert (s3.fetched, s3.total_rows) == (1, 1)
+    assert [r.id for r in CO.read_table_at(spark, table).collect()] == ["2508.01234"]
