@@ -85,18 +85,21 @@ def search_results(hits: DataFrame, papers: DataFrame, hits_rows_bound: int | No
 
 
 def _collect_block(queries: DataFrame, qkey: str, qvec: str):
-    rows = queries.select(qkey, qvec).collect()
-    if not rows:
+    """The (size-checked) query block as numpy arrays, gathered through
+    Arrow: no per-value Python objects on the driver."""
+    import pyarrow.compute as pc
+    tbl = queries.select(F.col(qkey).cast("long"), F.col(qvec)).toArrow()
+    if tbl.num_rows == 0:
         return np.zeros(0, dtype=np.int64), np.zeros((0, 0))
-    qids = np.array([r[0] for r in rows], dtype=np.int64)
-    dims = {len(r[1]) for r in rows}
-    if len(dims) != 1:
-        raise ValueError(f"query vectors of different lengths: {sorted(dims)}")
-    Q = np.array([r[1] for r in rows], dtype=np.float64)
+    vec = tbl.column(1).combine_chunks()
+    lens = pc.list_value_length(vec).to_numpy(zero_copy_only=False)
+    if len(set(lens.tolist())) != 1:
+        raise ValueError(f"query vectors of different lengths: {sorted(set(lens.tolist()))}")
+    qids = tbl.column(0).to_numpy()
+    Q = np.asarray(vec.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(qids), int(lens[0]))
     n = np.linalg.norm(Q, axis=1)
     ok = np.isfinite(n) & (n > 0)
-    Q = Q[ok] / n[ok, None]
-    return qids[ok], Q
+    return qids[ok], Q[ok] / n[ok, None]
 
 
 def _topk_fn(bq, k: int, dims: int):

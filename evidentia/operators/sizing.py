@@ -20,17 +20,15 @@ def broadcast_if_bounded(df: DataFrame, rows_bound: int | None, row_bytes: int,
     return df
 
 
-def count_bound(df: DataFrame) -> int:
-    """Exact row count of a (small, upstream) frame, used as a bound."""
-    return df.count()
+MAX_SPREAD = 256
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan over the cluster's cores before CPU-heavy per-row work
-    when it arrives in fewer partitions than there are cores (one big file
-    with one row group). A scan of many files is already spread and is left
-    alone, so at scale this adds no shuffle."""
-    sc = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(sc.defaultParallelism)
+    """Spread a scan over the cores before CPU-heavy per-row work when it
+    arrives in fewer partitions than there are cores (one big file with one
+    row group), up to MAX_SPREAD tasks. A scan of many files is already
+    spread and is left alone, so at scale this adds no shuffle."""
+    target = min(df.sparkSession.sparkContext.defaultParallelism, MAX_SPREAD)
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
     return df
