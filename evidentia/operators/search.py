@@ -102,11 +102,25 @@ def _collect_block(queries: DataFrame, qkey: str, qvec: str):
     return qids[ok], Q[ok] / n[ok, None]
 
 
+def _merge_topk(parts, k: int):
+    """Fold candidate chunks into the exact k best per query under the
+    global order (distance key, id)."""
+    qi = np.concatenate([p[0] for p in parts])
+    pid = np.concatenate([p[1] for p in parts])
+    dist = np.concatenate([p[2] for p in parts])
+    key = np.concatenate([p[3] for p in parts])
+    order = np.lexsort((pid.astype(str), key, qi))
+    qi, pid, dist, key = qi[order], pid[order], dist[order], key[order]
+    first = np.searchsorted(qi, qi, side="left")
+    keep = (np.arange(len(qi)) - first) < k
+    return qi[keep], pid[keep], dist[keep], key[keep]
+
+
 def _topk_fn(bq, k: int, dims: int):
     def run(batches):
         qids, Q = bq.value
         nq = Q.shape[0]
-        parts = []
+        parts, held = [], 0
         for rb in batches:
             if rb.num_rows == 0 or nq == 0:
                 continue
@@ -128,20 +142,16 @@ def _topk_fn(bq, k: int, dims: int):
                 else:
                     qi, ci = np.nonzero(np.ones_like(key, dtype=bool))
                 parts.append((qi, ids[s + ci], dist[qi, ci], key[qi, ci]))
+                held += len(qi)
+                if held > 4 * nq * k:          # keep task memory at O(queries x k)
+                    parts = [_merge_topk(parts, k)]
+                    held = len(parts[0][0])
         if not parts:
             return
-        qi = np.concatenate([p[0] for p in parts])
-        pid = np.concatenate([p[1] for p in parts])
-        dist = np.concatenate([p[2] for p in parts])
-        key = np.concatenate([p[3] for p in parts])
-        # exact per-partition top-k under the global order (key, id)
-        order = np.lexsort((pid.astype(str), key, qi))
-        qi, pid, dist, key = qi[order], pid[order], dist[order], key[order]
-        first = np.searchsorted(qi, qi, side="left")
-        keep = (np.arange(len(qi)) - first) < k
+        qi, pid, dist, key = _merge_topk(parts, k)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(qids[qi[keep]], pa.int64()), pa.array(pid[keep].tolist(), pa.string()),
-             pa.array(dist[keep], pa.float64()), pa.array(key[keep], pa.float64())],
+            [pa.array(qids[qi], pa.int64()), pa.array(pid.tolist(), pa.string()),
+             pa.array(dist, pa.float64()), pa.array(key, pa.float64())],
             schema=pa.schema([("qid", pa.int64(), False), ("paper_id", pa.string(), False),
                               ("distance", pa.float64(), False), ("dkey", pa.float64(), False)]))
     return run

@@ -91,3 +91,22 @@ def test_mixed_embedders_refused(spark):  # E23
     with pytest.raises(MixedEmbeddersError):
         knn(q, c, 1)
     assert knn(q, c.filter("embedder = 'm1'"), 1).first().paper_id == "a"
+
+
+def test_merge_topk_is_exact_over_chunks():
+    from evidentia.operators.search import _merge_topk
+    rng = np.random.default_rng(5)
+    parts = []
+    for _ in range(6):
+        qi = rng.integers(0, 4, 30)
+        ids = np.array([f"p{rng.integers(0, 50)}" for _ in range(30)], dtype=object)
+        d = np.round(rng.random(30), 2)
+        parts.append((qi, ids, d, d))
+    once = _merge_topk(parts, 3)
+    folded = _merge_topk([_merge_topk(parts[:3], 3), _merge_topk(parts[3:], 3)], 3)
+    for a, b in zip(once, folded):
+        assert list(a) == list(b)
+    for q in range(4):                       # exactly the 3 best (distance, id) per query
+        rows = sorted((d, p) for qq, p, d, _ in zip(*[np.concatenate([x[i] for x in parts]) for i in range(4)]) if qq == q)
+        got = [(d, p) for qq, p, d, _ in zip(*once) if qq == q]
+        assert got == rows[:3]
