@@ -18,7 +18,7 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 HEADLINE = [
-    "answer_pipeline",      # M7: embed, search, retrieve, claims, guardrail, answer
+    "answer_questions",      # M7: embed, search, retrieve, claims, guardrail, answer
     "eval_metrics",         # A5 over the judged pipeline
     "vector_search",        # J1: every stored vector against the corpus
     "vector_search_ivf",    # J3: same answer through the inverted lists
@@ -78,9 +78,9 @@ def rates(sf_dir: str, times: dict) -> dict:
         out["j1_query_corpus_dims_per_sec"] = round(emb * corpus_vecs * 64 / times["vector_search"])
     if times.get("corpus_upsert"):
         out["s5_rows_merged_per_sec"] = round(merged / times["corpus_upsert"])
-    if times.get("answer_pipeline"):
-        out["pipeline_questions_per_sec"] = round(items / times["answer_pipeline"], 2)
-        out["pipeline_question_doc_pairs_per_sec"] = round(items * docs / times["answer_pipeline"])
+    if times.get("answer_questions"):
+        out["answer_questions_per_sec"] = round(items / times["answer_questions"], 2)
+        out["answer_question_doc_pairs_per_sec"] = round(items * docs / times["answer_questions"])
     return out
     spark.stop()
 

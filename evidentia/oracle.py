@@ -359,7 +359,7 @@ def _ids(x: str) -> str:
 
 
 ORACLE: dict[str, str] = {
-    "answer_pipeline": sql("""SELECT a.qid, x.expected_status, x.claim_count, a.supported_count, a.unsupported_count,
+    "answer_questions": sql("""SELECT a.qid, x.expected_status, x.claim_count, a.supported_count, a.unsupported_count,
         x.answerability_match, a.final_markdown FROM answers a JOIN answerab x ON x.qid = a.qid"""),
     "vector_search": sql("SELECT h.qid, h.rank, h.paper_id, c.title, h.score FROM (" +
                          _KNN.format(qk="vec_id", qv="e", dk="id", dv="embedding",
@@ -572,7 +572,7 @@ ORACLE: dict[str, str] = {
         FROM usage GROUP BY ALL"""),
 }
 _SM = FX.STEP_MODELS
-ORACLE["pipeline_trace"] = sql(f"""
+ORACLE["step_trace"] = sql(f"""
 SELECT run_id, CAST(step AS BIGINT) AS seq, tool, COALESCE(model, '-') AS model, input_tokens, output_tokens,
        round_even({price('model', 'input_tokens', 'output_tokens')}, 10) AS cost_usd, output_summary
 FROM (

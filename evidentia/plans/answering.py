@@ -144,7 +144,7 @@ BUILTIN_STEP_MODELS = {"search_corpus": "hashed-tf-256", "synthesize": "echo-wri
                        "validate": "lexical-checker"}
 
 
-def pipeline_trace(a: Answers, pricing: DataFrame, k: int = DEFAULT_K, models: dict | None = None) -> DataFrame:
+def step_trace(a: Answers, pricing: DataFrame, k: int = DEFAULT_K, models: dict | None = None) -> DataFrame:
     """One trace per question (run_id = qid) with a row per step, in call
     order: search_corpus, retrieve, synthesize, validate (U3, W3). A step
     that needed no model call (nothing retrieved, no claims) still writes

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from evidentia.functions.cost import pricing_frame
 from evidentia.operators import claims as C
 from evidentia.operators.models import builtin_model
-from evidentia.plans.pipeline import Answers, answer, evaluate
+from evidentia.plans.answering import Answers, answer, evaluate
 from evidentia.sources.corpus import hashed_corpus, paper_texts
 from evidentia.sources.questions import benchmark_truth, fixture_questions
 

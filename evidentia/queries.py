@@ -19,7 +19,7 @@ from evidentia.operators import usage as U
 from evidentia.operators.retrieve import previews, prompt_summary, sources_block
 from evidentia.operators.search import knn, search_one, search_results
 from evidentia.plans import fixtures as FX
-from evidentia.plans.pipeline import evaluate, nested_results
+from evidentia.plans.answering import evaluate, nested_results
 from evidentia.session import read_table, ship_package, table_path
 from evidentia.sources.corpus import fixture_corpus, hashed_corpus
 from evidentia.sources.feed import pages_as_entries
@@ -176,7 +176,7 @@ def empty_answer(spark, sf):
     return c.select("qid", "claim_count", kind.alias("answer_kind"))
 
 
-def answer_pipeline(spark, sf):
+def answer_questions(spark, sf):
     a = _answers(spark, sf)
     r = E.answerability(a.questions, a.counts)
     return a.answers.join(r.select("qid", "expected_status", "claim_count", "answerability_match"), "qid").select(
@@ -462,10 +462,10 @@ def authoritative_answer(spark, sf):
     return U.authoritative_answer(c.select("conv_id").distinct(), c)
 
 
-def pipeline_trace(spark, sf):
+def step_trace(spark, sf):
     """Per question, the four steps of the answer pipeline with tokens and
     cost (usage priced as the default models of each step)."""
-    from evidentia.plans.pipeline import pipeline_trace as trace
+    from evidentia.plans.answering import step_trace as trace
     t = trace(_answers(spark, sf), pricing_frame(spark), FX.K, FX.STEP_MODELS)
     return t.select("run_id", "seq", "tool", F.coalesce("model", F.lit("-")).alias("model"), "input_tokens",
                     "output_tokens", F.bround("cost_usd", 10).alias("cost_usd"), "output_summary")
@@ -495,7 +495,7 @@ def _in_utc(fn):
 
 
 QUERIES = {
-    "answer_pipeline": answer_pipeline,
+    "answer_questions": answer_questions,
     "vector_search": vector_search,
     "vector_search_one": vector_search_one,
     "vector_search_ivf": vector_search_ivf,
@@ -556,7 +556,7 @@ QUERIES = {
     "trace_totals": trace_totals,
     "turn_usage": turn_usage,
     "authoritative_answer": authoritative_answer,
-    "pipeline_trace": pipeline_trace,
+    "step_trace": step_trace,
     "usage_by_day": usage_by_day,
     "usage_by_day_stream": usage_by_day_stream,
 }

@@ -69,7 +69,7 @@ def test_confusion_cells_sum_to_claims(spark):
 def test_run_evaluation_job(spark):  # S10 + P11 as one job
     import os, uuid
     from evidentia.plans.fixtures import fixture_answers
-    from evidentia.plans.pipeline import run_evaluation
+    from evidentia.plans.answering import run_evaluation
     from evidentia.session import checkpoint_dir
     from tests.conftest import SF_SMALL
     a = fixture_answers(spark, SF_SMALL)

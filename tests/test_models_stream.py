@@ -129,7 +129,7 @@ def test_feed_xml_source(spark):  # S2, F1-F5
 def test_result_sink_and_listener(spark):  # S10, R2
     import json
     from evidentia.plans.fixtures import fixture_evaluation
-    from evidentia.plans.pipeline import write_results
+    from evidentia.plans.answering import write_results
     from evidentia.streaming.progress import ProgressLog
     from tests.conftest import SF_SMALL
     a, ev = fixture_evaluation(spark, SF_SMALL)
@@ -174,7 +174,7 @@ def test_user_model_steps_in_pipeline(spark):  # M2, M3 as user functions, P12
     from evidentia.operators import claims as C
     from evidentia.operators.models import claims_from, verdicts_from
     from evidentia.operators.retrieve import sources_block
-    from evidentia.plans.pipeline import answer
+    from evidentia.plans.answering import answer
     from evidentia.sources.corpus import hashed_corpus, paper_texts
     q = spark.createDataFrame([(1, "Ouréaux qui éoireeau de aiêç ére le."), (2, "Nothing.")],
                               "qid long, question string")

@@ -71,15 +71,15 @@ def test_skew_safe_row_number_matches_window(spark):
         sorted(map(tuple, want.select("event_id", "seq").collect()))
 
 
-def test_pipeline_trace_no_model_rows(spark):  # E21, U3
+def test_step_trace_no_model_rows(spark):  # E21, U3
     from pyspark.sql import functions as F
     from evidentia.functions.cost import pricing_frame
-    from evidentia.plans.pipeline import answer, pipeline_trace
+    from evidentia.plans.answering import answer, step_trace
     q = spark.createDataFrame([(1, "alpha beta. gamma."), (2, "delta.")], "qid long, question string")
     vecs = spark.createDataFrame([], "paper_id string, embedding array<double>")
     papers = spark.createDataFrame([], "paper_id string, title string, authors string, published_date date, abstract string, url string")
     a = answer(q, vecs, papers, k=3)
-    t = {(r.run_id, r.seq): r for r in pipeline_trace(a, pricing_frame(spark)).collect()}
+    t = {(r.run_id, r.seq): r for r in step_trace(a, pricing_frame(spark)).collect()}
     assert [t[(1, s)].tool for s in (1, 2, 3, 4)] == ["search_corpus", "retrieve", "synthesize", "validate"]
     for s in (2, 3, 4):
         assert t[(1, s)].model is None and t[(1, s)].cost_usd == 0.0
