@@ -46,8 +46,9 @@ def fixture_writer(questions, retrieved, hits):
     return with_fabricated_citations(C.echo_claims(questions, retrieved))
 
 
-def fixture_answers(spark: SparkSession, sf_dir: str, persist: bool = True) -> Answers:
-    questions = fixture_questions(spark, sf_dir)
+def fixture_answers(spark: SparkSession, sf_dir: str, persist: bool = True,
+                    truth: DataFrame | None = None) -> Answers:
+    questions = fixture_questions(spark, sf_dir, truth)
     return answer(questions, hashed_corpus(spark, sf_dir).select("paper_id", "embedding"),
                   paper_texts(spark, sf_dir), k=K, write_claims=fixture_writer, persist=persist)
 
@@ -57,7 +58,7 @@ def fixture_evaluation(spark: SparkSession, sf_dir: str, persist: bool = True):
     return a, evaluate(a, judge_model=JUDGE_MODEL, pricing=pricing_frame(spark))
 
 
-def truth_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def truth_pairs(spark: SparkSession, sf_dir: str, truth: DataFrame | None = None) -> DataFrame:
     """(qid, paper_id) of documents that contain the question verbatim."""
-    t = benchmark_truth(spark, sf_dir)
+    t = truth if truth is not None else benchmark_truth(spark, sf_dir)
     return t.select(F.col("item_id").alias("qid"), F.col("doc_id").cast("string").alias("paper_id"))

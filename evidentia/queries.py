@@ -42,10 +42,20 @@ def _key(spark, sf):
     return (spark.sparkContext.applicationId, id(spark), sf.rstrip("/"))
 
 
+def _truth(spark: SparkSession, sf: str):
+    """Containment truth, scanned once and shared by the question labels
+    and the retrieval-quality query."""
+    k = ("truth",) + _key(spark, sf)
+    if k not in _CACHE:
+        from evidentia.sources.questions import benchmark_truth
+        _CACHE[k] = benchmark_truth(spark, sf).persist()
+    return _CACHE[k]
+
+
 def _answers(spark: SparkSession, sf: str):
     k = ("answers",) + _key(spark, sf)
     if k not in _CACHE:
-        _CACHE[k] = FX.fixture_answers(spark, sf)
+        _CACHE[k] = FX.fixture_answers(spark, sf, truth=_truth(spark, sf))
     return _CACHE[k]
 
 
@@ -92,7 +102,7 @@ def vector_search_ivf(spark, sf):
 
 def recall_at_k(spark, sf):
     a = _answers(spark, sf)
-    return E.retrieval_quality(a.hits, FX.truth_pairs(spark, sf), FX.K)
+    return E.retrieval_quality(a.hits, FX.truth_pairs(spark, sf, _truth(spark, sf)), FX.K)
 
 
 # --- retrieval and claims --------------------------------------------------------------
