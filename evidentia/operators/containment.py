@@ -17,7 +17,6 @@ touching the ends) are few and short; they go through the automaton.
 
 from __future__ import annotations
 
-import math
 import uuid
 
 import pyarrow as pa

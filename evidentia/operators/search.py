@@ -15,7 +15,6 @@ meet per inverted list.
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pyarrow as pa

@@ -8,7 +8,6 @@ claims     the built-in writer's claims, with a fabricated citation added
 
 from __future__ import annotations
 
-from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
