@@ -201,3 +201,17 @@ def run_evaluation(a: Answers, out_path: str, run_date: str, models: dict[str, s
     ev = evaluate(a, judge=judge, judge_model=judge_model, pricing=pricing)
     write_results(ev, out_path, run_date, models)
     return ev, E.gate(ev.metrics, max_unsupported_rate, max_false_refusal_rate)
+
+
+def search_question(spark, question: str, corpus_vectors: DataFrame, papers: DataFrame,
+                    k: int = DEFAULT_K, embed: Embedder = builtin_embedder) -> DataFrame:
+    """One question as text, the k best papers: (rank, paper_id, title,
+    score), ordered by distance then id (J2, P6). The question's vector is
+    made by the same embedder as the corpus's."""
+    from evidentia.operators.search import search_one
+    q = spark.createDataFrame([(0, question)], "qid long, question string")
+    v = embed(q, "qid", "question").select("embedding")
+    hits = search_one(v, corpus_vectors, k)
+    titles = papers.select("paper_id", "title")
+    return (titles.join(F.broadcast(hits), "paper_id")          # k rows
+                  .select("rank", "paper_id", "title", "score").orderBy("rank"))

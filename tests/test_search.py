@@ -110,3 +110,16 @@ def test_merge_topk_is_exact_over_chunks():
         rows = sorted((d, p) for qq, p, d, _ in zip(*[np.concatenate([x[i] for x in parts]) for i in range(4)]) if qq == q)
         got = [(d, p) for qq, p, d, _ in zip(*once) if qq == q]
         assert got == rows[:3]
+
+
+def test_search_question_text(spark):  # J2 from text, P6
+    from evidentia.plans.answering import search_question
+    from evidentia.sources.corpus import hashed_corpus, paper_texts
+    from tests.conftest import SF_SMALL
+    from evidentia.session import read_table
+    doc = read_table(spark, SF_SMALL, "documents").orderBy("doc_id").first()
+    res = search_question(spark, doc.text, hashed_corpus(spark, SF_SMALL).select("paper_id", "embedding"),
+                          paper_texts(spark, SF_SMALL), 3).collect()
+    assert [r.rank for r in res] == [1, 2, 3]
+    assert res[0].score == 1.0 and res[0].title is not None       # a text finds itself (or an exact copy) first
+    assert all(res[i].score >= res[i + 1].score for i in range(2))
