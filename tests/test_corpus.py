@@ -112,3 +112,30 @@ def test_topic_array_categories(spark):  # P1
     df = spark.createDataFrame([(["q-bio", "cs.SE"], "prompt engineering and code"), (["q-bio"], "prompt engineering code")],
                                "categories array<string>, abstract string")
     assert CO.topic_filter(df).count() == 1
+
+
+def test_question_source_and_cleanup(spark):  # S3, P9
+    import json
+    from evidentia.sources.questions import clean_questions, read_questions
+    path = os.path.join(checkpoint_dir(spark), f"q-{uuid.uuid4().hex}.jsonl")
+    with open(path, "w") as f:
+        for row in [{"qid": 1, "question": "  What is x? ", "expected_status": "answerable", "notes": "n"},
+                    {"qid": 2, "question": "   ", "expected_status": "unanswerable"},
+                    {"qid": 3, "question": "Why?", "expected_status": "partial", "extra": 1}]:
+            f.write(json.dumps(row) + "\n")
+    q = read_questions(spark, path)
+    assert q.columns == ["qid", "question", "expected_status", "notes"]
+    got = {r.qid: r.question for r in clean_questions(q).collect()}
+    assert got == {1: "What is x?", 3: "Why?"}
+
+
+def test_retrieve_by_ids(spark):  # P3, P4, F6 single-request form
+    from evidentia.operators.retrieve import retrieve_ids
+    papers = spark.createDataFrame([("a", "A", "x", dt.date(2024, 1, 2), "text a", "u/a", [1.0]),
+                                    ("b", "B", "y", dt.date(2024, 1, 3), "text b", "u/b", [2.0])],
+                                   "paper_id string, title string, authors string, published_date date, "
+                                   "abstract string, url string, embedding array<double>")
+    ids = spark.createDataFrame([("a",), ("a",), ("zz",)], "paper_id string")
+    rows = retrieve_ids(ids, papers, ids_rows_bound=3).collect()
+    assert [(r.paper_id, r.published_date) for r in rows] == [("a", "2024-01-02")]
+    assert "embedding" not in rows[0].asDict()
