@@ -382,6 +382,13 @@ ORACLE: dict[str, str] = {
                round_even(CASE WHEN count(*) > 0 THEN CAST(sum(hit) AS DOUBLE) / (count(*) * {FX.K}) ELSE 0.0 END, 4) AS precision_at_k
         FROM (SELECT t.qid, count(*) AS rel, count(h.paper_id) AS hit FROM truth t
               LEFT JOIN hits h ON h.qid = t.qid AND h.paper_id = t.paper_id AND h.rank <= {FX.K} GROUP BY t.qid)"""),
+    "vector_health": sql("""
+        SELECT CAST(count(*) AS BIGINT) AS total,
+               CAST(count(*) FILTER (WHERE embedding IS NULL) AS BIGINT) AS null_vectors,
+               CAST(count(*) FILTER (WHERE embedding IS NOT NULL AND len(embedding) <> 64) AS BIGINT) AS wrong_length,
+               CAST(count(*) FILTER (WHERE embedding IS NOT NULL AND len(embedding) = 64 AND
+                    list_sum(list_transform(embedding, lambda x: COALESCE(x, 0) * COALESCE(x, 0))) = 0) AS BIGINT) AS zero_norm
+        FROM corpus"""),
     "retrieve": sql("SELECT qid, rank, paper_id, title, authors, published_date, url, abstract FROM retrieved"),
     "retrieve_preview": sql("""SELECT qid, rank, paper_id, title, authors, published_date, url,
                                substring(abstract, 1, 150) AS abstract_preview FROM retrieved"""),

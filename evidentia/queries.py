@@ -100,6 +100,13 @@ def vector_search_ivf(spark, sf):
     return ivf_knn(q, _stored_corpus(spark, sf), FX.K).select("qid", "rank", "paper_id", "score")
 
 
+def vector_health_q(spark, sf):
+    """Vectors the search excludes, counted (E7): null, wrong length, zero norm."""
+    from evidentia.operators.search import vector_health
+    h = vector_health(_stored_corpus(spark, sf), "embedding", 64)
+    return h.select(*[F.col(c).cast("long").alias(c) for c in h.columns])
+
+
 def recall_at_k(spark, sf):
     a = _answers(spark, sf)
     return E.retrieval_quality(a.hits, FX.truth_pairs(spark, sf, _truth(spark, sf)), FX.K)
@@ -510,6 +517,7 @@ QUERIES = {
     "vector_search_one": vector_search_one,
     "vector_search_ivf": vector_search_ivf,
     "recall_at_k": recall_at_k,
+    "vector_health": vector_health_q,
     "retrieve": retrieve,
     "retrieve_preview": retrieve_preview,
     "sources_block": sources_block_q,
