@@ -7,13 +7,19 @@ from pyspark.sql import functions as F
 
 from evidentia.llm import decontaminate as D
 from evidentia.llm import exact_dedup as X
+from evidentia.llm import jaccard_join as J
+from evidentia.llm import language_model as LM
 from evidentia.llm import mixing as M
+from evidentia.llm import quality as Q
+from evidentia.llm import substring_dedup as S
 from evidentia.llm import url_filter as U
 from evidentia.session import read_table, ship_package
 
 # --- fixed values of the registered queries -------------------------------------
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+HELD_OUT = 2                   # op4: crc32(doc_id) mod 4 of rows whose labels are not learnt from
+GOOD_SCORE = 0.7
 # ----------------------------------------------------------------------------------
 
 
@@ -34,10 +40,35 @@ def op2_mix(spark, sf):
     return M.mix_sources(_docs(spark, sf)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def crc_rest(doc_id, modulo: int):
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulo))
+
+
+def quality_model(spark, sf):
+    """Fitted on labelled rows whose crc32(doc_id) mod 4 is not HELD_OUT."""
+    labels = read_table(spark, sf, "labels").filter(crc_rest(F.col("doc_id"), 4) != HELD_OUT)
+    return Q.train(_docs(spark, sf), labels)
+
+
+def op4_quality(spark, sf):
+    scored = Q.score(_docs(spark, sf), quality_model(spark, sf))
+    held = F.coalesce(crc_rest(F.col("doc_id"), 4) == HELD_OUT, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score",
+                         (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted"))
+
+
+def op5_near_dedup(spark, sf):
+    return J.similar_classes(_docs(spark, sf))
+
+
 def op6_exact_dedup(spark, sf):
     return X.exact_groups(_docs(spark, sf))
 
 
+def op7_substring_dedup(spark, sf):
+    return S.repeated_spans(_docs(spark, sf))
+
+
 def listed_urls(spark, sf) -> DataFrame:
     """The query's block list: canonical URLs of pages whose id is labelled toxic."""
     p = read_table(spark, sf, "pages").select("page_id", "url")
@@ -50,7 +81,12 @@ def op9_url_filter(spark, sf):
     return U.url_filter(read_table(spark, sf, "pages"), listed_urls(spark, sf), URL_RULES)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix, op6_exact_dedup, op9_url_filter)}
+def op10_language_model(spark, sf):
+    return LM.model_scores(_docs(spark, sf))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix, op4_quality, op5_near_dedup, op6_exact_dedup,
+                                   op7_substring_dedup, op9_url_filter, op10_language_model)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'"
 _SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
