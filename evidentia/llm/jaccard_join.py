@@ -39,49 +39,65 @@ PIVOTS = 16                    # pivots of a cell per round
 _TOP = np.uint64(56)
 
 
+def ranked_sets(w, rows: int, level, k: int):
+    """Distinct ``k``-word shingles of each row of a block as numbers that
+    sort by rarity first, then by hash: (numbers, their rows, first per row).
+    The top byte is the rank of the shingle's rarest word."""
+    at, h = shingles(w, k, True)
+    per_word = np.append(level[(w.hash & np.uint64(len(level) - 1)).astype(np.int64)], np.full(k, 255, np.uint8))
+    rare = per_word[at]
+    for j in range(1, k):
+        inside = (at + j < len(w.row)) & (w.row[np.minimum(at + j, max(len(w.row) - 1, 0))] == w.row[at])
+        rare = np.minimum(rare, np.where(inside, per_word[at + j], 255))
+    key = (rare.astype(np.uint64) << _TOP) | (h >> np.uint64(8))
+    row = w.row[at]
+    order = np.lexsort((key, row))
+    key, row = key[order], row[order]
+    if len(key):
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
+        key, row = key[new], row[new]
+    return key, row, np.searchsorted(row, np.arange(rows + 1))
+
+
+def set_names(key, ptr) -> pa.Array:
+    """128-bit name of each row's set."""
+    rows = len(ptr) - 1
+    full = np.diff(ptr) > 0
+    name = np.zeros((rows, 2), np.uint64)
+    if len(key):
+        name[full, 0] = np.add.reduceat(mix(key), ptr[:-1][full])
+        name[full, 1] = np.add.reduceat(mix(key ^ np.uint64(0x5851F42D4C957F2D)), ptr[:-1][full])
+    return pa.array([x.tobytes() for x in name], type=pa.binary())
+
+
+def prefixes(key, row, ptr, percent: int):
+    """Prefix numbers of each row: (numbers, first per row, places in the
+    row). Rows of similarity ``percent`` share one of their n - ceil(t n) + 1
+    rarest numbers; those that occur in no other row are left out."""
+    n = np.diff(ptr)
+    length = n - (percent * n + 99) // 100 + 1
+    place = np.arange(len(key)) - ptr[row]
+    use = (place < length[row]) & (key >> _TOP > 0)
+    return key[use], np.concatenate([[0], np.cumsum(np.bincount(row[use], minlength=len(n)))]), place[use]
+
+
+def set_bytes(key, ptr, use) -> pa.Array:
+    raw = key.tobytes()
+    return pa.array([raw[8 * ptr[i]:8 * ptr[i + 1]] if use[i] else None for i in range(len(ptr) - 1)], type=pa.binary())
+
+
 def _describe(levels, k: int, percent: int):
     """Per document: id, number of shingles, 128-bit name of the set, keys of
     its regions, and the whole set if it has any region."""
     def run(batches):
         tables = byte_tables(True, True)
-        level = levels.value
-        low = np.uint64(len(level) - 1)
         for b in blocks(batches, "text"):
-            rows = b.num_rows
-            w = words(b.column(1), tables)
-            at, h = shingles(w, k, True)
-            per_word = np.append(level[(w.hash & low).astype(np.int64)], np.full(k, 255, np.uint8))
-            rare = per_word[at]
-            for j in range(1, k):
-                inside = (at + j < len(w.row)) & (w.row[np.minimum(at + j, max(len(w.row) - 1, 0))] == w.row[at])
-                rare = np.minimum(rare, np.where(inside, per_word[at + j], 255))
-            # one number per shingle, its rank first: the order is by rarity, then by hash
-            key = (rare.astype(np.uint64) << _TOP) | (h >> np.uint64(8))
-            row = w.row[at]
-            order = np.lexsort((key, row))
-            key, row = key[order], row[order]
-            if len(key):
-                new = np.ones(len(key), dtype=bool)
-                new[1:] = (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-                key, row = key[new], row[new]
-            ptr = np.searchsorted(row, np.arange(rows + 1))
-            n = np.diff(ptr)
-            full = n > 0
-            one, two = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
-            if len(key):
-                one[full] = np.add.reduceat(mix(key), ptr[:-1][full])
-                two[full] = np.add.reduceat(mix(key ^ np.uint64(0x5851F42D4C957F2D)), ptr[:-1][full])
-            prefix = n - (percent * n + 99) // 100 + 1
-            inside = (np.arange(len(key)) - ptr[row] < prefix[row]) & (key >> _TOP > 0)
-            sig_ptr = np.concatenate([[0], np.cumsum(np.bincount(row[inside], minlength=rows))])
-            raw = key.tobytes()
-            name = np.stack([one, two], axis=1)
+            key, row, ptr = ranked_sets(words(b.column(1), tables), b.num_rows, levels.value, k)
+            sig, sig_ptr, _ = prefixes(key, row, ptr, percent)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array(n.astype(np.int64)),
-                 pa.array([name[i].tobytes() for i in range(rows)], type=pa.binary()),
-                 lists(signed(key[inside]), sig_ptr, pa.int64()),
-                 pa.array([raw[8 * ptr[i]:8 * ptr[i + 1]] if sig_ptr[i + 1] > sig_ptr[i] else None for i in range(rows)],
-                          type=pa.binary())],
+                [b.column(0).cast(pa.int64()), pa.array(np.diff(ptr).astype(np.int64)), set_names(key, ptr),
+                 lists(signed(sig), sig_ptr, pa.int64()), set_bytes(key, ptr, np.diff(sig_ptr) > 0)],
                 names=["doc_id", "n", "node", "sig", "keys"])
     return run
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +12,13 @@ from evidentia.llm import decontaminate as D
 from evidentia.llm import exact_dedup as X
 from evidentia.llm import jaccard_join as J
 from evidentia.llm import language_model as LM
+from evidentia.llm import line_dedup as L
 from evidentia.llm import mixing as M
 from evidentia.llm import quality as Q
 from evidentia.llm import substring_dedup as S
+from evidentia.llm import token_rollup as T
 from evidentia.llm import url_filter as U
-from evidentia.session import read_table, ship_package
+from evidentia.session import checkpoint_dir, cut_lineage, read_table, ship_package
 
 # --- fixed values of the registered queries -------------------------------------
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -40,6 +45,10 @@ def op2_mix(spark, sf):
     return M.mix_sources(_docs(spark, sf)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_line_dedup(spark, sf):
+    return L.line_dedup(_docs(spark, sf))
+
+
 def crc_rest(doc_id, modulo: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulo))
 
@@ -69,6 +78,24 @@ def op7_substring_dedup(spark, sf):
     return S.repeated_spans(_docs(spark, sf))
 
 
+def op8_token_counts(spark, sf):
+    """Four batches over all documents: insert everything; delete what is
+    labelled toxic; re-count what is labelled bad without its digits; replay
+    the deletes, which changes nothing."""
+    docs, labels = _docs(spark, sf), read_table(spark, sf, "labels")
+    counts = cut_lineage(T.counted(docs), "token-counts")
+    roll = T.TokenRollup(spark, os.path.join(checkpoint_dir(spark), f"token-rollup-{uuid.uuid4().hex}"))
+    roll.commit("0001", T.inserts(counts))
+    toxic = labels.filter("toxic = 1").select("doc_id").distinct()
+    bad = labels.filter("quality = 0 and toxic <> 1").select("doc_id").distinct()
+    deleted = T.deletes(counts.join(toxic, "doc_id", "left_semi"))
+    roll.commit("0002", deleted)
+    shorter = docs.join(bad, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", "[0-9]+", ""))
+    roll.commit("0003", T.revisions(counts.join(bad, "doc_id", "left_semi"), T.counted(shorter)))
+    roll.commit("0002", deleted)
+    return roll.totals()
+
+
 def listed_urls(spark, sf) -> DataFrame:
     """The query's block list: canonical URLs of pages whose id is labelled toxic."""
     p = read_table(spark, sf, "pages").select("page_id", "url")
@@ -85,8 +112,9 @@ def op10_language_model(spark, sf):
     return LM.model_scores(_docs(spark, sf))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix, op4_quality, op5_near_dedup, op6_exact_dedup,
-                                   op7_substring_dedup, op9_url_filter, op10_language_model)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix, op3_line_dedup, op4_quality, op5_near_dedup,
+                                   op6_exact_dedup, op7_substring_dedup, op8_token_counts, op9_url_filter,
+                                   op10_language_model)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ','abcdefghijklmnopqrstuvwxyz'"
 _SEP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -111,6 +139,15 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(n.t) AS text_sha256
 FROM n JOIN g ON n.t = g.t""",
+    "op8_token_counts": r"""
+WITH c AS (SELECT doc_id, source, lang, text, unnest(['space-1', 'alnum-1']) AS tokenizer FROM documents),
+x AS (SELECT c.*, q.quality, q.toxic FROM c LEFT JOIN labels q USING (doc_id)),
+k AS (SELECT source, lang, tokenizer, CASE WHEN quality = 0 AND toxic <> 1
+    THEN regexp_replace(coalesce(text, ''), '[0-9]+', '', 'g') ELSE coalesce(text, '') END AS t
+  FROM x WHERE coalesce(toxic, 0) <> 1)
+SELECT source, lang, tokenizer, count(*) AS docs,
+  CAST(sum(len(regexp_extract_all(t, CASE tokenizer WHEN 'space-1' THEN '[^\x20\x09-\x0D]+' ELSE '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+' END))) AS BIGINT) AS tokens
+FROM k GROUP BY ALL""",
     "op9_url_filter": rf"""
 WITH p AS (SELECT page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), {_AZ}), '') AS host,
   coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
