@@ -117,6 +117,6 @@ def is_contaminated(min_share: int = MIN_SHARE) -> Column:
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """Rows of ``docs`` that are not contaminated, with all their columns."""
     bad = benchmark_hits(docs, items, **options).filter(is_contaminated()).select(
-        F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key")).distinct()
-    i, t = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    return docs.join(bad, docs[i].eqNullSafe(F.col("_bad_id")) & (F.xxhash64(docs[t]) == F.col("_bad_key")), "left_anti")
+        F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    i, t = docs[options.get("id_col", "doc_id")], docs[options.get("text_col", "text")]
+    return docs.join(bad, i.eqNullSafe(bad["bad_id"]) & (F.xxhash64(t) == bad["bad_key"]), "left_anti")

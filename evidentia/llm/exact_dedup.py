@@ -44,11 +44,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` that stay, with all their columns; a repeated kept row
-    (same id, same text) stays once. The groups are found as above; only the
-    ids of rows to drop are joined back, so texts move no further."""
+    """Rows of ``docs`` that stay, with all their columns. Rows that repeat
+    both the id and the text of a kept row cannot be told from it and stay."""
     groups = exact_groups(docs, id_col, text_col).filter("not kept").select(
-        F.col("doc_id").alias("_drop"), F.col("text_sha256").alias("_sha")).distinct()
-    sha = F.sha2(normalised(F.col(text_col)), 256)
-    kept = docs.join(groups, docs[id_col].eqNullSafe(F.col("_drop")) & (sha == F.col("_sha")), "left_anti")
-    return kept
+        F.col("doc_id").alias("drop_id"), F.col("text_sha256").alias("drop_sha")).distinct()
+    sha = F.sha2(normalised(docs[text_col]), 256)
+    return docs.join(groups, docs[id_col].eqNullSafe(groups["drop_id"]) & (sha == groups["drop_sha"]), "left_anti")

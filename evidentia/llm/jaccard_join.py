@@ -252,5 +252,5 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Rows of ``docs`` that stay, with all their columns: of each component
     the rows with its smallest id (rows without an id stay)."""
     drop = similar_classes(docs, id_col=id_col, **options).filter("doc_id <> component_id").select(
-        F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs[id_col] == F.col("_drop"), "left_anti")
+        F.col("doc_id").alias("drop_id")).distinct()
+    return docs.join(drop, docs[id_col].cast("long") == drop["drop_id"], "left_anti")

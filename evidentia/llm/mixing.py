@@ -178,23 +178,23 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                       (copies * F.col("size")).cast("long").alias("taken"), copies.alias("copies"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
+def mixed(docs: DataFrame, copy_col: str = "copy", **options) -> DataFrame:
     """``docs`` repeated as the mix takes them, with all their columns and,
-    first, ``copy`` (1, 2, ...). Documents taken no time are left out."""
-    cols = docs.columns
+    first, ``copy_col`` (1, 2, ...), which replaces a column of that name.
+    Documents taken no time are left out."""
+    cols = [c for c in docs.columns if c != copy_col]
     plan = mix_sources(docs, **options)
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     source_col = options.get("source_col", "source")
     # rows equal in id, source and size are interchangeable: number them on both sides
-    nth = F.row_number().over(W.partitionBy("_id", "_source", "_size").orderBy("_key"))
-    p = plan.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-                    F.col("copies").alias("_key")).withColumn("_nth", nth).select(
-        F.col("_id").alias("p_id"), F.col("_source").alias("p_source"), F.col("_size").alias("p_size"),
-        F.col("_nth").alias("p_nth"), F.col("_key").alias("p_copies"))
-    d = docs.select(F.struct(*[docs[c] for c in cols]).alias("_row"), F.col(id_col).alias("_id"),
-                    F.col(source_col).cast("string").alias("_source"), size_of(F.col(text_col)).alias("_size"))
-    d = d.withColumn("_key", F.xxhash64(F.col("_row"))).withColumn("_nth", nth)
-    j = d.join(p, F.col("_id").eqNullSafe(F.col("p_id")) & F.col("_source").eqNullSafe(F.col("p_source"))
-               & (F.col("_size") == F.col("p_size")) & (F.col("_nth") == F.col("p_nth")))
+    nth = F.row_number().over(W.partitionBy("p_id", "p_source", "p_size").orderBy("p_order"))
+    p = plan.select(F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("size").alias("p_size"),
+                    F.col("copies").alias("p_order")).withColumn("p_nth", nth).withColumnRenamed("p_order", "p_copies")
+    nth = F.row_number().over(W.partitionBy("d_id", "d_source", "d_size").orderBy("d_order"))
+    d = docs.select(F.struct(*[docs[c] for c in cols]).alias("d_row"), docs[id_col].alias("d_id"),
+                    docs[source_col].cast("string").alias("d_source"), size_of(docs[text_col]).alias("d_size"))
+    d = d.withColumn("d_order", F.xxhash64(F.to_json("d_row"))).withColumn("d_nth", nth)
+    j = d.join(p, F.col("d_id").eqNullSafe(F.col("p_id")) & F.col("d_source").eqNullSafe(F.col("p_source"))
+               & (F.col("d_size") == F.col("p_size")) & (F.col("d_nth") == F.col("p_nth")))
     return j.filter("p_copies > 0").select(
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("p_copies"))).alias("copy"), "_row").select("copy", "_row.*")
+        F.explode(F.sequence(F.lit(1).cast("long"), F.col("p_copies"))).alias(copy_col), "d_row").select(copy_col, "d_row.*")
