@@ -93,14 +93,19 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     named = key.join(cand, key.doc_id.eqNullSafe(cand.c_id) & (key.text_key == cand.c_key), "left_semi")
     named = named.select("doc_id", "text_key", "text").distinct().join(
         cand, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("text_key") == F.col("c_key")))
-    checked = named.select("doc_id", "text_key", "cand", word_array(ascii_lower(F.col("text"))).alias("w")).select(
-        "doc_id", "text_key",
-        F.filter("cand", lambda c: F.slice(F.col("w"), c["s"] + 1, F.size(c["words"])) == c["words"]).alias("ok"))
-    checked = checked.filter(F.size("ok") > 0).select(
-        F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"),
-        F.size(F.array_distinct(F.flatten(F.transform(
-            "ok", lambda c: F.sequence(c["s"], c["s"] + F.size(c["words"]) - 1))))).cast("long").alias("n_hit"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform("ok", lambda c: c["items"])))).alias("hit_items"))
+    # a one-element transform names a value, so that Spark works it out once per row and not at each use
+    def right(w):
+        return F.filter("cand", lambda c: F.slice(w, c["s"] + 1, F.size(c["words"])) == c["words"])
+
+    def result(ok):
+        return F.when(F.size(ok) > 0, F.struct(
+            F.size(F.array_distinct(F.flatten(F.transform(
+                ok, lambda c: F.sequence(c["s"], c["s"] + F.size(c["words"]) - 1))))).cast("long").alias("n_hit"),
+            F.array_sort(F.array_distinct(F.flatten(F.transform(ok, lambda c: c["items"])))).alias("hit_items")))
+    found_words = F.transform(F.array(word_array(ascii_lower(F.col("text")))), lambda w: right(w))
+    checked = named.select(F.col("doc_id").alias("h_id"), F.col("text_key").alias("h_key"),
+                           F.element_at(F.transform(found_words, lambda ok: result(ok)), 1).alias("h"))
+    checked = checked.filter("h is not null").select("h_id", "h_key", "h.n_hit", "h.hit_items")
     pieces = F.split(F.coalesce(text, F.lit("")), SEPARATORS)
     n = (F.size(pieces) - (F.element_at(pieces, 1) == "").cast("int")
          - ((F.element_at(pieces, -1) == "") & (F.size(pieces) > 1)).cast("int"))

@@ -117,7 +117,8 @@ def _fly(landing: bool):
         p = flight(sizes, pdf["prob"].tolist(), us)
         if landing:
             p = land(sizes, p, us)
-        return pdf.assign(prob=p)[["row_key", "source", "size", "u", "prob", "spot"]]
+        # plain object strings: a pandas string column may come in chunks, which Arrow's row batches refuse
+        return pdf.assign(prob=p, source=pdf["source"].astype(object))[["row_key", "source", "size", "u", "prob", "spot"]]
     return run
 
 
