@@ -2,11 +2,9 @@
 
 Each lower-cased letter/digit token goes to bucket
 ``int(first 8 hex digits of md5(token), 16) % dims``; the vector is the
-bucket counts divided by their L2 norm. Everything runs as built-in
-expressions: tokens are exploded map-side, counted per (key, bucket) with a
-partial aggregate before the shuffle (so at most ``dims`` rows per text
-cross the network, whatever the text length), then scattered into one
-dense unit vector per key by an Arrow-batched numpy step.
+bucket counts divided by their L2 norm. It is a function of one row: tokens
+and buckets are built-in expressions, and one Arrow-batched numpy count per
+batch makes the unit vectors. Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -28,43 +26,35 @@ def bucket_of(tok: Column, dims: int = DEFAULT_DIMS) -> Column:
     return (F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("long") % F.lit(dims)).cast("int")
 
 
-def token_buckets(df: DataFrame, keys: list[str], text_col: str,
-                  dims: int = DEFAULT_DIMS) -> DataFrame:
-    """(keys..., bucket, c): bucket counts per text, sparse."""
-    exploded = df.select(*keys, F.explode(tokens(text_col)).alias("_tok"))
-    return (exploded.select(*keys, bucket_of(F.col("_tok"), dims).alias("bucket"))
-                    .groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("c")))
+_RESULT = T.StructType([T.StructField("embedding", T.ArrayType(T.DoubleType())), T.StructField("n_tokens", T.LongType()),
+                        T.StructField("nnz", T.LongType())])
 
 
-def _densify(dims: int):
-    """Scatter sparse (bucket, count) lists into unit-length dense vectors,
-    one numpy scatter per Arrow batch."""
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def densify(idx: pd.Series, cnt: pd.Series) -> pd.Series:
-        n = len(idx)
+def _vectors(dims: int):
+    """Bucket lists -> (unit vector, number of tokens, buckets in use), one
+    numpy count per Arrow batch."""
+    @F.pandas_udf(_RESULT)
+    def vectors(buckets: pd.Series) -> pd.DataFrame:
+        n = len(buckets)
         if n == 0:
-            return pd.Series([], dtype=object)
-        lens = idx.map(len).to_numpy()
-        rows = np.repeat(np.arange(n), lens)
-        M = np.zeros((n, dims))
-        M[rows, np.concatenate(idx.to_numpy()).astype(np.int64)] = np.concatenate(cnt.to_numpy()).astype(np.float64)
-        M /= np.linalg.norm(M, axis=1, keepdims=True)
-        return pd.Series(list(M))
-    return densify
+            return pd.DataFrame({"embedding": pd.Series([], dtype=object), "n_tokens": pd.Series([], dtype="int64"),
+                                 "nnz": pd.Series([], dtype="int64")})
+        lens = buckets.map(len).to_numpy()
+        cell = np.repeat(np.arange(n) * dims, lens) + np.concatenate(buckets.to_numpy()).astype(np.int64)
+        m = np.bincount(cell, minlength=n * dims).reshape(n, dims).astype(np.float64)
+        nnz = (m > 0).sum(axis=1)
+        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        return pd.DataFrame({"embedding": list(m), "n_tokens": lens.astype("int64"), "nnz": nnz.astype("int64")})
+    return vectors
 
 
 def hashed_tf(df: DataFrame, keys: list[str] | str, text_col: str,
               dims: int = DEFAULT_DIMS, out: str = "embedding") -> DataFrame:
-    """(keys..., embedding array<double>, n_tokens, nnz) for every text with
-    at least one token. Texts without tokens have no vector (zero norm) and
-    are absent: callers left-join to keep and count them."""
+    """(keys..., embedding array<double>, n_tokens, nnz) for every row whose
+    text has at least one token. Texts without tokens have no vector (zero
+    norm) and are absent: callers left-join to keep and count them."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    sparse = token_buckets(spread(df), keys, text_col, dims)
-    agg = sparse.groupBy(*keys).agg(
-        F.collect_list(F.struct("bucket", "c")).alias("_s"),
-        F.sum("c").alias("n_tokens"),
-        F.count(F.lit(1)).alias("nnz"),
-    )
-    vec = _densify(dims)(F.col("_s.bucket"), F.col("_s.c"))
-    return agg.select(*keys, vec.alias(out), F.col("n_tokens").cast("long").alias("n_tokens"),
-                      F.col("nnz").cast("long").alias("nnz"))
+    buckets = F.transform(tokens(text_col), lambda t: bucket_of(t, dims))
+    rows = spread(df).select(*keys, buckets.alias("_b")).filter(F.size("_b") > 0)
+    return rows.select(*keys, _vectors(dims)("_b").alias("_v")).select(
+        *keys, F.col("_v.embedding").alias(out), "_v.n_tokens", "_v.nnz")

@@ -25,6 +25,12 @@ def collapse_ws(c, unicode: bool = True) -> Column:
     return F.trim(F.regexp_replace(_c(c), UNICODE_WS if unicode else ASCII_WS, " "))
 
 
+def strip_ws(c) -> Column:
+    """Text without white space at either end, all kinds that Python's
+    ``str.strip()`` takes off."""
+    return F.regexp_replace(_c(c), r"(?U)\A[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+\z", "")
+
+
 def tokens(c, lower: bool = True) -> Column:
     """Array of letter/digit runs, lower-cased by default."""
     x = F.lower(_c(c)) if lower else _c(c)

@@ -8,10 +8,10 @@ writer's own id and may repeat.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import sentences, token_count
+from evidentia.functions.text import sentences, token_count, tokens
 
 
 def py_list(ids_col) -> F.Column:
@@ -20,33 +20,39 @@ def py_list(ids_col) -> F.Column:
                     F.lit("]"))
 
 
-def cited_lists(retrieved: DataFrame) -> DataFrame:
-    """(qid, paper_ids): retrieved ids of each question in rank order."""
-    return retrieved.groupBy("qid").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "paper_id"))),
-                    lambda x: x["paper_id"]).alias("paper_ids"))
+# --- fixed values of the built-in claim writer ----------------------------------
+MAX_CLAIMS = 8                 # claims per question
+MIN_PERCENT = 60               # share of a sentence's tokens that the question must hold
+MIN_TOKENS = 4                 # shorter sentences state nothing
+# ----------------------------------------------------------------------------------
 
 
-def echo_claims(questions: DataFrame, retrieved: DataFrame, min_top_score: float | None = None,
-                hits: DataFrame | None = None) -> DataFrame:
-    """Built-in lexical claim writer.
+def extractive_claims(questions: DataFrame, retrieved: DataFrame, max_claims: int = MAX_CLAIMS,
+                      min_percent: int = MIN_PERCENT, min_top_score: float | None = None,
+                      hits: DataFrame | None = None) -> DataFrame:
+    """Built-in lexical claim writer: sentences of the retrieved texts.
 
-    Each sentence of the question becomes one claim, citing every retrieved
-    paper in rank order (claim_id = claim_pos = 1-based sentence position).
-    It writes zero claims when nothing was retrieved, or when the best hit
-    scores below ``min_top_score`` (the sources do not address the question).
-    """
-    lists = cited_lists(retrieved)
+    A sentence is a claim if at least ``min_percent`` of its distinct tokens
+    occur in the question; the ``max_claims`` with the largest share (ties:
+    paper rank, then place in the text) are kept, each citing the paper it
+    stands in (claim_id = claim_pos = 1, 2, ...). A question that no
+    retrieved sentence addresses gets no claim, as does one whose best hit
+    scores below ``min_top_score``."""
+    r = retrieved
     if min_top_score is not None:
         if hits is None:
             raise ValueError("min_top_score needs the search hits")
-        best = hits.groupBy("qid").agg(F.max("score").alias("_best"))
-        lists = lists.join(best, "qid").filter(F.col("_best") >= F.lit(min_top_score)).drop("_best")
-    q = questions.select("qid", F.posexplode(sentences("question")).alias("_p", "_s"))
-    c = q.join(lists, "qid", "inner")
-    return c.select("qid", (F.col("_p") + 1).cast("int").alias("claim_pos"),
-                    (F.col("_p") + 1).cast("int").alias("claim_id"),
-                    F.trim("_s").alias("text"), "paper_ids")
+        best = hits.groupBy("qid").agg(F.max("score").alias("_best")).filter(F.col("_best") >= F.lit(min_top_score))
+        r = r.join(best.select("qid"), "qid", "left_semi")
+    s = r.select("qid", "rank", "paper_id", F.posexplode(sentences("abstract")).alias("_p", "_s"))
+    s = s.withColumn("_t", F.array_distinct(tokens("_s"))).filter(F.size("_t") >= MIN_TOKENS)
+    q = questions.select("qid", F.array_distinct(tokens("question")).alias("_q"))
+    j = s.join(q, "qid").withColumn("_o", F.size(F.array_intersect("_t", "_q")))
+    j = j.filter(F.col("_o") * 100 >= F.size("_t") * min_percent)
+    order = Window.partitionBy("qid").orderBy((F.col("_o").cast("double") / F.size("_t")).desc(), "rank", "_p", "paper_id")
+    top = j.withColumn("claim_pos", F.row_number().over(order).cast("int")).filter(F.col("claim_pos") <= max_claims)
+    return top.select("qid", "claim_pos", F.col("claim_pos").alias("claim_id"), F.trim("_s").alias("text"),
+                      F.array("paper_id").alias("paper_ids"))
 
 
 def claim_citations(claims: DataFrame) -> DataFrame:

@@ -1,13 +1,15 @@
 """Model comparison over one shared retrieval.
 
-The retrieved frame is computed once (persist it when comparing); each
-model runs the support check and the verdict join on it, and the per-model
-rows are unioned. The model list is a small parameter, not data.
+Retrieval is shared; each model writes its own claims, checks them, and
+gets its own answer, and the per-model rows are unioned. The model list is a
+small parameter, not data.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
+from typing import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,30 +18,48 @@ from evidentia.functions.cost import with_cost
 from evidentia.functions.text import token_count
 from evidentia.operators import claims as C
 from evidentia.operators import guardrail as G
+from evidentia.operators.models import is_builtin
+from evidentia.session import cut_lineage
 
 
-def model_runs(questions: DataFrame, retrieved: DataFrame, claims: DataFrame,
-               models: list[tuple[str, float]], pricing: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class ModelRun:
+    """A priced model: its claim writer (questions, retrieved) -> claims, its
+    support checker (claims, retrieved) -> verdicts, and, for a writer that
+    measures it, ``latency`` (questions, retrieved) -> (qid, latency_ms).
+    The built-in models make no calls, so their latency is 0."""
+    name: str
+    write_claims: Callable
+    check_support: Callable
+    latency: Callable | None = None
+
+
+def model_runs(questions: DataFrame, retrieved: DataFrame, models: list[ModelRun], pricing: DataFrame) -> DataFrame:
     """Per (qid, model): claim_count, supported_count, unsupported_count,
-    input_tokens, output_tokens, cost_usd. ``models`` pairs a priced model
-    name with the strictness of its support check."""
+    input_tokens, output_tokens, latency_ms, final_markdown, cost_usd. Claims
+    and verdicts of steps that are not built in are written once."""
     prompt_in = C.prompt_tokens(questions, retrieved).select("qid", F.col("prompt_tokens").alias("_pin"))
-    block_in = C.claims_block_tokens(claims, retrieved).select("qid", F.col("block_tokens").alias("_bin"))
-    claims_out = claims.groupBy("qid").agg(F.sum(token_count("text")).alias("_cout"))
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
     per = []
-    for name, strictness in models:
-        v = G.support_check(claims, retrieved, strictness).persist()
+    for m in models:
+        claims = m.write_claims(questions, retrieved)
+        claims = claims if is_builtin(m.write_claims) else cut_lineage(claims, "model-claims")
+        v = m.check_support(claims, retrieved)
+        v = v if is_builtin(m.check_support) else cut_lineage(v, "model-verdicts")
         st = G.claim_status(claims, v, retrieved)
-        c = G.answer_counts(questions, st)
+        c = G.answer_counts(questions, st).join(G.final_answer(questions, st).select("qid", "final_markdown"), "qid")
         r_out = v.groupBy("qid").agg(F.sum(token_count("reasoning")).alias("_rout"))
-        per.append(c.join(r_out, "qid", "left").withColumn("model", F.lit(name)))
-    runs = reduce(lambda a, b: a.unionByName(b), per)
-    j = runs.join(prompt_in, "qid", "left").join(block_in, "qid", "left").join(claims_out, "qid", "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0))
-    j = j.select("qid", "model", "claim_count", "supported_count", "unsupported_count",
-                 (z("_pin") + z("_bin")).cast("long").alias("input_tokens"),
-                 (z("_cout") + z("_rout")).cast("long").alias("output_tokens"))
-    return with_cost(j, pricing)
+        c_out = claims.groupBy("qid").agg(F.sum(token_count("text")).alias("_cout"))
+        b_in = C.claims_block_tokens(claims, retrieved).select("qid", F.col("block_tokens").alias("_bin"))
+        j = c.join(r_out, "qid", "left").join(c_out, "qid", "left").join(b_in, "qid", "left").join(prompt_in, "qid", "left")
+        if m.latency is None:
+            j = j.withColumn("latency_ms", F.lit(0.0))
+        else:
+            j = j.join(m.latency(questions, retrieved).select("qid", "latency_ms"), "qid", "left")
+        per.append(j.select("qid", F.lit(m.name).alias("model"), "claim_count", "supported_count", "unsupported_count",
+                            (z("_pin") + z("_bin")).cast("long").alias("input_tokens"),
+                            (z("_cout") + z("_rout")).cast("long").alias("output_tokens"), "latency_ms", "final_markdown"))
+    return with_cost(reduce(lambda a, b: a.unionByName(b), per), pricing)
 
 
 def cost_ratio(runs: DataFrame, order: list[str]) -> DataFrame:

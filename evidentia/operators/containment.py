@@ -12,7 +12,7 @@ any document containing it; each passage takes its rarest such token
 (document frequency from the corpus) as anchor, candidates are the
 documents holding the anchor (equi-join on the token), and ``instr``
 verifies each candidate. Passages with no such token (one or two tokens
-touching the ends) are few and short; they go through the automaton.
+touching the ends) go through the automaton, in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -79,11 +79,19 @@ def _scan_fn(bc, token):
 
 
 def _automaton_scan(it: DataFrame, scan: DataFrame, max_block_bytes: int) -> DataFrame:
-    rows = it.collect()                                   # size checked by the caller
-    if sum(len(r[1].encode()) for r in rows) > max_block_bytes:
-        raise ValueError("passage set above the broadcast bound")
-    bc = scan.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-    return spread(scan).mapInArrow(_scan_fn(bc, uuid.uuid4().hex), PAIRS_SCHEMA)
+    """Scan with the passages of ``it``, in blocks whose size is measured
+    before any of them is gathered: one pass over the documents per block."""
+    total = it.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
+    blocks = max(1, -(-2 * total // max_block_bytes)) if total > max_block_bytes else 1
+    docs = spread(scan)
+    out = None
+    for n in range(blocks):
+        part = it.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == n) if blocks > 1 else it
+        rows = part.toArrow()
+        bc = scan.sparkSession.sparkContext.broadcast((rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+        found = docs.mapInArrow(_scan_fn(bc, uuid.uuid4().hex), PAIRS_SCHEMA)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 TOKEN = r"[\p{L}\p{N}]+"

@@ -10,7 +10,6 @@ size of the change, not of the corpus.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +19,11 @@ from pyspark.sql import types as T
 from evidentia.functions.text import collapse_ws
 from evidentia.operators.sizing import broadcast_if_bounded
 from evidentia.schemas import PAPERS, REQUIRED_PAPER_COLUMNS
-from evidentia.session import checkpoint_dir, cut_lineage
+from evidentia.session import drop_path, path_exists, stage
 
 DEFAULT_BUCKETS = 64
-MAX_RESULTS_LIMIT = 2000
+BUCKET_ROWS = 2_000_000        # rows per bucket that a table made from a sized source aims at
+MAX_RESULTS_LIMIT = 2000       # bound of the interactive form; the batch job has none
 
 
 class DuplicateKeyError(ValueError):
@@ -104,71 +104,131 @@ def read_table_at(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TABLE_SCHEMA).parquet(path)
 
 
-def create_table_if_absent(spark: SparkSession, path: str) -> None:
-    """An empty corpus table with the fixed schema, if none exists."""
-    try:
-        read_table_at(spark, path).limit(0).collect()
-        return
-    except Exception:
-        pass
-    empty = spark.createDataFrame([], PAPERS)
-    with_bucket(empty).write.mode("overwrite").partitionBy("bucket").parquet(path)
+class BucketCountError(ValueError):
+    pass
+
+
+def table_buckets(spark: SparkSession, path: str) -> int | None:
+    """Bucket count stored with the table (a hidden one-row file beside the
+    data); None if there is no table."""
+    meta = f"{path.rstrip('/')}/_buckets"
+    if not path_exists(spark, meta):
+        return None
+    return spark.read.schema("buckets int").json(meta).first()["buckets"]
+
+
+def _store_buckets(spark: SparkSession, path: str, buckets: int) -> None:
+    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").json(f"{path.rstrip('/')}/_buckets")
+
+
+def buckets_for(rows: int) -> int:
+    """Bucket count for a table expected to grow to ``rows`` rows."""
+    return max(DEFAULT_BUCKETS, -(-rows // BUCKET_ROWS))
+
+
+def create_table_if_absent(spark: SparkSession, path: str, buckets: int | None = None) -> int:
+    """An empty corpus table with the fixed schema, if none exists.
+    Returns the stored bucket count; a different one that is asked for is
+    refused (ids would be looked for in the wrong bucket). Only a path that
+    is not there makes a table: a failed read is raised, never taken for an
+    absent table, and nothing that exists is overwritten."""
+    stored = table_buckets(spark, path)
+    if stored is None:
+        if path_exists(spark, path):
+            raise BucketCountError(f"{path} holds data but no stored bucket count")
+        stored = buckets or DEFAULT_BUCKETS
+        empty = spark.createDataFrame([], PAPERS)
+        with_bucket(empty, buckets=stored).write.mode("ignore").partitionBy("bucket").parquet(path)
+        _store_buckets(spark, path, stored)
+    if buckets is not None and buckets != stored:
+        raise BucketCountError(f"table at {path} has {stored} buckets, not {buckets}")
+    return stored
+
+
+def write_table(path: str, rows: DataFrame, buckets: int = DEFAULT_BUCKETS) -> None:
+    """A new corpus table holding ``rows``; refuses a path that exists."""
+    spark = rows.sparkSession
+    with_bucket(rows.select(*PAPERS.fieldNames()), buckets=buckets).write.partitionBy("bucket").parquet(path)
+    _store_buckets(spark, path, buckets)
+
+
+def keep_last(source: DataFrame, key: str = "id", order: str = "ingested_at") -> DataFrame:
+    """One row per key: the last by ``order`` (ties: the largest row). For
+    deliveries that repeat keys, where a batch load would be refused."""
+    rest = [c for c in source.columns if c != key]
+    best = F.max(F.struct(F.col(order).alias("_order"), *rest)).alias("_last")
+    return source.groupBy(key).agg(best).select(key, "_last.*").select(*source.columns)
 
 
 def upsert_table(spark: SparkSession, path: str, source: DataFrame, key: str = "id",
-                 buckets: int = DEFAULT_BUCKETS) -> int:
+                 buckets: int | None = None) -> int:
     """Upsert ``source`` into the bucketed parquet table at ``path``; returns
     the number of affected rows. Only the buckets the source touches are
     read and rewritten. The merged buckets are first written to a staging
     folder in the shared checkpoint dir, then swapped in by a dynamic
-    partition overwrite. Running it twice with the same source is a no-op."""
+    partition overwrite; staging folders are removed after the swap. Running
+    it twice with the same source is a no-op."""
     # Stage the source once as a written table; the checks, the bucket
     # list and the merge all read the staged rows, so an expensive source
     # (embedding calls) is never recomputed
-    staged = cut_lineage(source.select(*PAPERS.fieldNames()), "staging")
-    require_unique(staged, key)
-    require_columns(staged)
-    create_table_if_absent(spark, path)
-    src = with_bucket(staged, key, buckets)
-    touched = [r["bucket"] for r in src.select("bucket").distinct().collect()]  # <= buckets values
-    if not touched:
-        return 0
-    target = read_table_at(spark, path).filter(F.col("bucket").isin(touched))
-    merged = upsert_frame(target.select(*src.columns), src, key)
-    affected = staged.count()
-    stage = f"{checkpoint_dir(spark).rstrip('/')}/merged-{uuid.uuid4().hex}"
-    merged.write.mode("overwrite").partitionBy("bucket").parquet(stage)
-    (spark.read.parquet(stage).select(*src.columns).write.mode("overwrite")
-          .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    staged, staged_path = stage(source.select(*PAPERS.fieldNames()), "staging")
+    merged_path = None
+    try:
+        require_unique(staged, key)
+        require_columns(staged)
+        buckets = create_table_if_absent(spark, path, buckets)
+        src = with_bucket(staged, key, buckets)
+        touched = [r["bucket"] for r in src.select("bucket").distinct().collect()]  # <= buckets values
+        if not touched:
+            return 0
+        target = read_table_at(spark, path).filter(F.col("bucket").isin(touched))
+        affected = staged.count()
+        merged, merged_path = stage(upsert_frame(target.select(*src.columns), src, key), "merged")
+        (merged.select(*src.columns).repartition("bucket").write.mode("overwrite")
+               .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+    finally:
+        # on an error before the swap the table is untouched; after it, the swap is done
+        drop_path(spark, staged_path)
+        if merged_path:
+            drop_path(spark, merged_path)
     return affected
 
 
 def read_ids(spark: SparkSession, path: str, ids: DataFrame, key: str = "id",
-             buckets: int = DEFAULT_BUCKETS, ids_rows_bound: int | None = None) -> DataFrame:
+             ids_rows_bound: int | None = None) -> DataFrame:
     """Rows of the stored corpus whose id is in ``ids`` (P3 against the
-    table). The ids' buckets (at most ``buckets`` values) become a partition
-    filter, so only the files of touched buckets are read; the id set is
-    then a semi join (broadcast under its bound)."""
+    table). The ids' buckets, by the table's stored bucket count, become a
+    partition filter, so only the files of touched buckets are read; the id
+    set is then a semi join (broadcast under its bound)."""
+    buckets = table_buckets(spark, path)
+    if buckets is None:
+        raise BucketCountError(f"no corpus table at {path}")
     want = ids.select(F.col(key).alias("id")).distinct()
-    touched = [r["bucket"] for r in with_bucket(want).select("bucket").distinct().collect()]
+    touched = [r["bucket"] for r in with_bucket(want, buckets=buckets).select("bucket").distinct().collect()]
     t = read_table_at(spark, path).filter(F.col("bucket").isin(touched))
     return t.join(broadcast_if_bounded(want, ids_rows_bound, row_bytes=48), "id", "left_semi").drop("bucket")
 
 
-def clear_counts(corpus: DataFrame) -> DataFrame:
-    """(rows_before, deleted_rows, rows_after) of deleting every row."""
-    return corpus.agg(F.count(F.lit(1)).cast("long").alias("rows_before")).select(
-        "rows_before", F.col("rows_before").alias("deleted_rows"), F.lit(0).cast("long").alias("rows_after"))
-
-
 def clear_table(spark: SparkSession, path: str) -> int:
-    """Delete every row, keep the table and its schema."""
+    """Delete every row, keep the table, its schema and its bucket count."""
+    buckets = create_table_if_absent(spark, path)
     n = read_table_at(spark, path).count()
-    empty = with_bucket(spark.createDataFrame([], PAPERS))
+    empty = with_bucket(spark.createDataFrame([], PAPERS), buckets=buckets)
     empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
+    _store_buckets(spark, path, buckets)
     return n
 
 
+def clear_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(rows_before, deleted_rows, rows_after) of really clearing the table
+    at ``path`` and reading it again (S7)."""
+    before = read_table_at(spark, path).count()
+    deleted = clear_table(spark, path)
+    after = corpus_count(read_table_at(spark, path))
+    return after.select(F.lit(before).cast("long").alias("rows_before"), F.lit(deleted).cast("long").alias("deleted_rows"),
+                        F.col("n").alias("rows_after"))
+
+
 def corpus_count(corpus: DataFrame) -> DataFrame:
     return corpus.agg(F.count(F.lit(1)).cast("long").alias("n"))
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidentia.functions.text import tokens
+from evidentia.functions.text import strip_ws, tokens
 from evidentia.operators.claims import claim_citations, py_list
 from evidentia.operators.models import builtin_model
 
@@ -169,7 +169,7 @@ def parse_answer(answers: DataFrame, md_col: str = "final_markdown") -> DataFram
     lines = answers.select("qid", F.posexplode(F.split(F.col(md_col), "\n")).alias("i", "line"))
     kind = (F.when(F.col("line").startswith("## "), F.lit("header"))
              .when(F.col("line").startswith("- "), F.lit("bullet"))
-             .when(F.trim("line") == "", F.lit("blank"))
+             .when(strip_ws("line") == "", F.lit("blank"))
              .otherwise(F.lit("paragraph")))
     text = (F.when(F.col("line").startswith("## "), F.expr("substring(line, 4)"))
              .when(F.col("line").startswith("- "), F.expr("substring(line, 3)"))

@@ -15,6 +15,7 @@ re-runs the batch, so functions must be deterministic or idempotent).
 
 from __future__ import annotations
 
+import contextlib
 import time
 from dataclasses import dataclass, field
 from typing import Callable
@@ -42,22 +43,33 @@ class RateLimited(Exception):
     """Raised by a model function when the service asks it to slow down."""
 
 
+# --- fixed values of the default call policy --------------------------------------
+ATTEMPTS = 4
+FIRST_WAIT = 15.0              # seconds; each further wait is twice the last
+# -----------------------------------------------------------------------------------
+
+
 @dataclass(frozen=True)
 class CallPolicy:
-    max_retries: int = 4
-    base_wait: float = 15.0
+    max_retries: int = ATTEMPTS        # attempts in all
+    base_wait: float = FIRST_WAIT
     min_interval: float = 0.0          # pause between calls within a task
     retry_on: tuple = field(default=(RateLimited,))
 
+    @property
+    def waits(self) -> list[float]:
+        """Pauses between the attempts."""
+        return [self.base_wait * 2 ** i for i in range(self.max_retries - 1)]
+
 
 def call_with_policy(fn: Callable, args: tuple, policy: CallPolicy, sleep=time.sleep):
-    for attempt in range(policy.max_retries):
-        try:
+    """One attempt before each wait of the policy, then a last one whose
+    error, whatever it is, is the caller's."""
+    for pause in policy.waits:
+        with contextlib.suppress(*policy.retry_on):
             return fn(*args)
-        except policy.retry_on:
-            if attempt >= policy.max_retries - 1:
-                raise
-            sleep(policy.base_wait * (2 ** attempt))
+        sleep(pause)
+    return fn(*args)
 
 
 def map_model(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: T.StructType | str,
@@ -98,9 +110,14 @@ def embed_with(df: DataFrame, key: str, text_col: str, embed: Callable, task: st
     return map_model(src, call, EMBED_SCHEMA, batch_size, policy).withColumnRenamed("key", key)
 
 
-CLAIM_ROWS = "qid long, claim_id int, text string, paper_ids array<string>"
-VERDICT_ROWS = "qid long, claim_id int, supported boolean, reasoning string"
-JUDGE_ROWS = "qid long, claim_id int, grounded boolean, reasoning string"
+# columns that a step function returns beside the question id, whose type is that of its input
+CLAIM_ROWS = "claim_id int, text string, paper_ids array<string>"
+VERDICT_ROWS = "claim_id int, supported boolean, reasoning string"
+JUDGE_ROWS = "claim_id int, grounded boolean, reasoning string"
+
+
+def _rows(df: DataFrame, columns: str) -> str:
+    return f"qid {df.schema['qid'].dataType.simpleString()}, claim_pos int, {columns}"
 
 
 def claims_from(prompts: DataFrame, write: Callable[[pd.DataFrame], pd.DataFrame],
@@ -114,9 +131,7 @@ def claims_from(prompts: DataFrame, write: Callable[[pd.DataFrame], pd.DataFrame
         out = out.copy()
         out["claim_pos"] = out.groupby("qid").cumcount() + 1
         return out[["qid", "claim_pos", "claim_id", "text", "paper_ids"]]
-    rows = map_model(prompts, call, "qid long, claim_pos int, claim_id int, text string, paper_ids array<string>",
-                     batch_size, policy)
-    return rows
+    return map_model(prompts, call, _rows(prompts, CLAIM_ROWS), batch_size, policy)
 
 
 def verdicts_from(blocks: DataFrame, check: Callable[[pd.DataFrame], pd.DataFrame], schema: str = VERDICT_ROWS,
@@ -131,4 +146,4 @@ def verdicts_from(blocks: DataFrame, check: Callable[[pd.DataFrame], pd.DataFram
         out = out.copy()
         out["claim_pos"] = out.groupby("qid").cumcount() + 1
         return out
-    return map_model(blocks, call, schema + ", claim_pos int", batch_size, policy)
+    return map_model(blocks, call, _rows(blocks, schema), batch_size, policy)

@@ -9,8 +9,8 @@ one window ``row_number() <= k`` per query. No pair of (query, document) is
 ever materialised as a row, and the work stays in BLAS.
 
 Query sets above the broadcast bound never pass through the driver: they
-go to the distributed exact join (``knn_join``), where queries and corpus
-meet per inverted list.
+meet the corpus in a grid of (query block, corpus shard) cells
+(``grid.grid_hits``), with the same rules for vectors, ties and results.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidentia.session import cut_lineage
+
 DEFAULT_K = 5
 # Upper bound for the broadcast query block (rows x dims x 8 bytes).
 MAX_QUERY_BLOCK_BYTES = 256 << 20
@@ -31,12 +33,35 @@ SLICE_BYTES = 64 << 20
 # vector tie (and fall back to the id order) whatever the BLAS kernel did.
 RANK_DECIMALS = 9
 
-HITS_SCHEMA = T.StructType([
-    T.StructField("qid", T.LongType(), False),
-    T.StructField("paper_id", T.StringType(), False),
-    T.StructField("distance", T.DoubleType(), False),
-    T.StructField("dkey", T.DoubleType(), False),
-])
+
+
+def id_type(df: DataFrame, col: str) -> T.DataType:
+    """Question ids stay what they are: whole numbers as long, others as string."""
+    return T.LongType() if isinstance(df.schema[col].dataType, T.IntegralType) else T.StringType()
+
+
+def hits_schema(qid: T.DataType) -> T.StructType:
+    return T.StructType([
+        T.StructField("qid", qid, False),
+        T.StructField("paper_id", T.StringType(), False),
+        T.StructField("distance", T.DoubleType(), False),
+        T.StructField("dkey", T.DoubleType(), False),
+    ])
+
+
+def usable(m: np.ndarray) -> np.ndarray:
+    """Rows of a matrix that have a direction: finite and not zero."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        n = np.linalg.norm(m, axis=1)
+    return np.isfinite(n) & (n > 0)
+
+
+def one_length(queries: DataFrame, vec: str) -> tuple[int, int]:
+    """(number, length) of the query vectors; different lengths are refused."""
+    st = queries.agg(F.count(F.lit(1)).alias("n"), F.min(F.size(vec)).alias("lo"), F.max(F.size(vec)).alias("hi")).first()
+    if st["n"] and st["lo"] != st["hi"]:
+        raise ValueError(f"query vectors of different lengths: {st['lo']} to {st['hi']}")
+    return st["n"], st["hi"] or 0
 
 
 def valid_vectors(df: DataFrame, vec: str, dims: int) -> DataFrame:
@@ -83,22 +108,17 @@ def search_results(hits: DataFrame, papers: DataFrame, hits_rows_bound: int | No
     return papers.select("paper_id", "title").join(h, "paper_id").select("qid", "rank", "paper_id", "title", "score")
 
 
-def _collect_block(queries: DataFrame, qkey: str, qvec: str):
+def _collect_block(queries: DataFrame, qkey: str, qvec: str, dims: int):
     """The (size-checked) query block as numpy arrays, gathered through
     Arrow: no per-value Python objects on the driver."""
-    import pyarrow.compute as pc
-    tbl = queries.select(F.col(qkey).cast("long"), F.col(qvec)).toArrow()
+    tbl = queries.select(F.col(qkey).cast(id_type(queries, qkey)), F.col(qvec)).toArrow()
     if tbl.num_rows == 0:
-        return np.zeros(0, dtype=np.int64), np.zeros((0, 0))
-    vec = tbl.column(1).combine_chunks()
-    lens = pc.list_value_length(vec).to_numpy(zero_copy_only=False)
-    if len(set(lens.tolist())) != 1:
-        raise ValueError(f"query vectors of different lengths: {sorted(set(lens.tolist()))}")
+        return np.zeros(0, dtype=object), np.zeros((0, dims))
     qids = tbl.column(0).to_numpy()
-    Q = np.asarray(vec.flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(qids), int(lens[0]))
-    n = np.linalg.norm(Q, axis=1)
-    ok = np.isfinite(n) & (n > 0)
-    return qids[ok], Q[ok] / n[ok, None]
+    Q = np.asarray(tbl.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False),
+                   dtype=np.float64).reshape(len(qids), dims)
+    ok = usable(Q)
+    return qids[ok], Q[ok] / np.linalg.norm(Q[ok], axis=1, keepdims=True)
 
 
 def _merge_topk(parts, k: int):
@@ -115,7 +135,7 @@ def _merge_topk(parts, k: int):
     return qi[keep], pid[keep], dist[keep], key[keep]
 
 
-def _topk_fn(bq, k: int, dims: int):
+def _topk_fn(bq, k: int, dims: int, qid: pa.DataType):
     def run(batches):
         qids, Q = bq.value
         nq = Q.shape[0]
@@ -126,9 +146,8 @@ def _topk_fn(bq, k: int, dims: int):
             ids = np.asarray(rb.column(0).to_pylist(), dtype=object)
             flat = rb.column(1).flatten().to_numpy(zero_copy_only=False)
             D = np.asarray(flat, dtype=np.float64).reshape(-1, dims)
-            norms = np.linalg.norm(D, axis=1)
-            ok = np.isfinite(norms) & (norms > 0)
-            D = D[ok] / norms[ok, None]
+            ok = usable(D)
+            D = D[ok] / np.linalg.norm(D[ok], axis=1, keepdims=True)
             ids = ids[ok]
             step = max(1, SLICE_BYTES // (8 * max(nq, 1)))
             for s in range(0, D.shape[0], step):
@@ -149,55 +168,76 @@ def _topk_fn(bq, k: int, dims: int):
             return
         qi, pid, dist, key = _merge_topk(parts, k)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(qids[qi], pa.int64()), pa.array(pid.tolist(), pa.string()),
+            [pa.array(qids[qi].tolist(), qid), pa.array(pid.tolist(), pa.string()),
              pa.array(dist, pa.float64()), pa.array(key, pa.float64())],
-            schema=pa.schema([("qid", pa.int64(), False), ("paper_id", pa.string(), False),
+            schema=pa.schema([("qid", qid, False), ("paper_id", pa.string(), False),
                               ("distance", pa.float64(), False), ("dkey", pa.float64(), False)]))
     return run
 
 
 def _search_block(queries: DataFrame, corpus: DataFrame, k: int, qkey: str, qvec: str,
-                  ckey: str, cvec: str) -> DataFrame:
+                  ckey: str, cvec: str, dims: int) -> DataFrame:
     spark = corpus.sparkSession
-    qids, Q = _collect_block(queries, qkey, qvec)
-    dims = Q.shape[1] if Q.size else 0
-    bq = spark.sparkContext.broadcast((qids, Q))
+    bq = spark.sparkContext.broadcast(_collect_block(queries, qkey, qvec, dims))
     scan = valid_vectors(corpus.select(F.col(ckey).cast("string").alias("paper_id"),
-                                       F.col(cvec).alias("v")), "v", dims)
-    return scan.mapInArrow(_topk_fn(bq, k, dims), HITS_SCHEMA)
+                                       F.col(cvec).cast("array<double>").alias("v")), "v", dims)
+    kind = id_type(queries, qkey)
+    return scan.mapInArrow(_topk_fn(bq, k, dims, pa.int64() if isinstance(kind, T.LongType) else pa.string()),
+                           hits_schema(kind))
+
+
+def best_of(hits: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, paper_id, distance, score, dkey): the k best hits of each
+    query. The limit works in each task before the shuffle and after it."""
+    w = Window.partitionBy("qid").orderBy("dkey", "paper_id")
+    ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.select("qid", F.col("rank").cast("int").alias("rank"), "paper_id", "distance",
+                         F.bround(1.0 - F.col("distance"), 4).alias("score"), "dkey")
 
 
 def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, *,
         qkey: str = "qid", qvec: str = "embedding",
         ckey: str = "paper_id", cvec: str = "embedding",
         max_block_bytes: int = MAX_QUERY_BLOCK_BYTES) -> DataFrame:
-    """(qid, rank, paper_id, distance, score) with the k nearest corpus rows
-    per query, by cosine distance, ties by paper_id. There is no score
-    cut-off: k rows come back however far away they are."""
+    """(qid, rank, paper_id, distance, score, dkey) with the k nearest corpus
+    rows per query, by cosine distance, ties by paper_id. There is no score
+    cut-off: k rows come back however far away they are.
+
+    Corpus vectors that are null, of another length, zero or not finite take
+    no part; so do null, zero or not finite queries; queries of different
+    lengths are refused. Both paths, the broadcast block and the grid beyond
+    ``max_block_bytes``, follow the same rules and give the same rows."""
     if k < 1:
         raise ValueError("k must be at least 1")
     check_one_embedder(queries, corpus)
-    q = queries.select(F.col(qkey).cast("long").alias("qid"),
+    q = queries.select(F.col(qkey).cast(id_type(queries, qkey)).alias("qid"),
                        F.col(qvec).cast("array<double>").alias("qv")).filter(F.col("qv").isNotNull())
-    q = q.persist()          # sized, then gathered block by block: computed once
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("qv")).alias("d")).first()
-    n, d = stats["n"], stats["d"] or 0
+    q = cut_lineage(q, "queries")          # sized, then read again: computed once
+    n, d = one_length(q, "qv")
     if n * d * 8 > max_block_bytes:
-        from evidentia.operators.knn_join import knn_join
-        return knn_join(q, corpus, k, qkey="qid", qvec="qv", ckey=ckey, cvec=cvec)
-    hits = _search_block(q, corpus, k, "qid", "qv", ckey, cvec)
-    w = Window.partitionBy("qid").orderBy("dkey", "paper_id")
-    ranked = hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return ranked.select("qid", F.col("rank").cast("int").alias("rank"), "paper_id", "distance",
-                         F.bround(1.0 - F.col("distance"), 4).alias("score"), "dkey")
+        from evidentia.operators.grid import grid_hits
+        return best_of(grid_hits(q, corpus, k, n, d, ckey=ckey, cvec=cvec), k)
+    return best_of(_search_block(q, corpus, k, "qid", "qv", ckey, cvec, d), k)
+
+
+class OneQueryError(ValueError):
+    """The single-query search was given another number of queries."""
 
 
 def search_one(query: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, *, qvec: str = "embedding",
                ckey: str = "paper_id", cvec: str = "embedding") -> DataFrame:
-    """Single-query form: one vector in ``query`` (one row). The answer is a
-    global order by (distance, id) and a limit (TakeOrderedAndProject)."""
+    """Single-query form: one vector in ``query`` (one row, else refused). The
+    answer is a global order by (distance, id) and a limit
+    (TakeOrderedAndProject)."""
+    check_one_embedder(query, corpus)
     q = query.select(F.lit(0).cast("long").alias("qid"), F.col(qvec).cast("array<double>").alias("qv"))
-    hits = _search_block(q, corpus, k, "qid", "qv", ckey, cvec)
+    rows = q.limit(2).collect()
+    if len(rows) != 1:
+        raise OneQueryError(f"search_one takes one query row, got {'none' if not rows else 'several'}")
+    if rows[0]["qv"] is None:
+        raise OneQueryError("search_one takes a query with a vector")
+    q = q.sparkSession.createDataFrame(rows, "qid long, qv array<double>")
+    hits = _search_block(q, corpus, k, "qid", "qv", ckey, cvec, len(rows[0]["qv"]))
     top = hits.orderBy("dkey", "paper_id").limit(k)
     return top.select(F.row_number().over(Window.orderBy("dkey", "paper_id")).cast("int").alias("rank"),
                       "paper_id", "distance", F.bround(1.0 - F.col("distance"), 4).alias("score"))

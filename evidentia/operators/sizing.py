@@ -25,10 +25,11 @@ MAX_SPREAD = 256
 
 def spread(df: DataFrame) -> DataFrame:
     """Spread a scan over the cores before CPU-heavy per-row work when it
-    arrives in fewer partitions than there are cores (one big file with one
-    row group), up to MAX_SPREAD tasks. A scan of many files is already
+    comes from fewer files than there are cores (one big file with one row
+    group), up to MAX_SPREAD tasks. A scan of many files is already
     spread and is left alone, so at scale this adds no shuffle."""
     target = min(df.sparkSession.sparkContext.defaultParallelism, MAX_SPREAD)
-    if df.rdd.getNumPartitions() < target:
+    files = len(df.inputFiles())        # from the plan: no stage is run to decide
+    if 0 < files < target:
         return df.repartition(target)
     return df

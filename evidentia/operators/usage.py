@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from evidentia.functions.cost import billed_output, money_round, money_sum, with_cost
 from evidentia.functions.format import py_fixed
-from evidentia.functions.text import token_count
-from evidentia.operators.sizing import broadcast_if_bounded
+from evidentia.functions.text import strip_ws, token_count
+from evidentia.session import cut_lineage
 
 # --- fixed values --------------------------------------------------------------
 NO_ANSWER = "(no final response produced. validate() may not have completed; see trace above)"
@@ -28,12 +28,14 @@ EVENT_MODELS = [
     ("signup", "gemini-2.5-flash"),
     ("error", "local-checker"),
 ]
+THINKING_MODULO = 5
 # -------------------------------------------------------------------------------
 
 
 def events_as_usage(events: DataFrame) -> DataFrame:
     """events -> usage rows: run = user, tool = event type, latency = value,
-    input tokens = props.k, visible output tokens = floor(value)."""
+    input tokens = props.k, visible output tokens = floor(value), thinking
+    tokens = event_id modulo THINKING_MODULO (billed with the visible ones)."""
     model = reduce(lambda acc, kv: acc.when(F.col("event_type") == kv[0], F.lit(kv[1])),
                    EVENT_MODELS[1:], F.when(F.col("event_type") == EVENT_MODELS[0][0], F.lit(EVENT_MODELS[0][1])))
     k = F.get_json_object("props", "$.k").cast("long")
@@ -42,7 +44,7 @@ def events_as_usage(events: DataFrame) -> DataFrame:
         F.concat(F.lit("k="), k.cast("string")).alias("input_summary"),
         F.concat(F.col("event_type"), F.lit(" value="), F.col("value").cast("string")).alias("output_summary"),
         model.alias("model"), k.alias("input_tokens"),
-        billed_output(F.floor("value").cast("long")).alias("output_tokens"),
+        billed_output(F.floor("value").cast("long"), F.pmod("event_id", F.lit(THINKING_MODULO))).alias("output_tokens"),
         F.col("value").alias("latency_ms"))
 
 
@@ -66,45 +68,37 @@ def sequence_runs(usage: DataFrame, order_cols=("ts", "event_id"), skew_safe: bo
 
 
 def skew_safe_row_number(df: DataFrame, key: str, order_cols: list[str], out: str,
-                         slices: int | None = None, sample_rows: int = 20) -> DataFrame:
+                         slices: int | None = None) -> DataFrame:
     """row_number() over (partition by key order by order_cols), exact, with
     no group ever gathered into one task; order_cols must make the order
-    total within a key.
-
-    Rows are cut into ``slices`` ranges of (key, order) by split points taken
-    from a sample (the sample only places the cuts; every row is numbered).
-    Rows are numbered inside their (slice, key) group, and each group adds
-    the row count of the same key's earlier slices, read from a small table
-    with one row per (slice, key). Every step is deterministic, so a task
-    recomputed after an executor loss gives the same numbers."""
-    spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cols = [key] + list(order_cols)
-    df = df.persist()        # read by the count, the sample, the numbering and the offsets
-    total = df.count()
-    frac = min(1.0, (n * sample_rows) / max(total, 1))
-    pts = sorted(tuple(r) for r in df.select(*cols).sample(False, frac, seed=17).collect())
-    cuts = sorted({pts[(i * len(pts)) // n] for i in range(1, n)} if pts else set())
-    row = F.struct(*[F.col(c) for c in cols])
-    types = {f.name: f.dataType for f in df.schema.fields}
-    slice_no = F.lit(0)
-    for cut in cuts:
-        lit = F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(cols, cut)])
-        slice_no = slice_no + (row >= lit).cast("int")
-    s = df.withColumn("_sl", slice_no)
+    total within a key. Null keys are one group.
+
+    Rows are range-partitioned by (key, order) into ``slices`` (default: the
+    shuffle partitions, merged by AQE where they are small) and written once
+    with their slice, which fixes it whatever is recomputed later. Rows are
+    numbered inside their (slice, key) group, and each group adds the row
+    count of the same key's earlier slices, from a table with one row per
+    (slice, key)."""
+    cols = [F.col(key), *[F.col(c) for c in order_cols]]
+    ranged = df.repartitionByRange(slices, *cols) if slices else df.repartitionByRange(*cols)
+    s = cut_lineage(ranged.withColumn("_sl", F.spark_partition_id()), "row-slices")
     local = s.withColumn("_ln", F.row_number().over(Window.partitionBy("_sl", key).orderBy(*order_cols)))
     g = s.groupBy("_sl", key).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(key).orderBy("_sl").rowsBetween(Window.unboundedPreceding, -1)
-    off = g.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    off = broadcast_if_bounded(off, off.count(), row_bytes=40)
-    j = local.join(off, ["_sl", key])
-    return j.withColumn(out, (F.col("_off") + F.col("_ln")).cast("long")).drop("_sl", "_ln", "_off")
+    off = g.select(F.col("_sl").alias("_osl"), F.col(key).alias("_okey"),
+                   F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    j = local.join(off, (F.col("_sl") == F.col("_osl")) & F.col(key).eqNullSafe(F.col("_okey")))
+    return j.withColumn(out, (F.col("_off") + F.col("_ln")).cast("long")).drop("_sl", "_ln", "_off", "_osl", "_okey")
 
 
 def concat_traces(*frames: DataFrame, order_col: str = "ts") -> DataFrame:
-    """One trace from the usage frames of several steps, in call order."""
-    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
-    return sequence_runs(u, (order_col,))
+    """One trace from the usage frames of several steps, in call order.
+    Calls of one moment keep the order of ``frames``, then of their tool and
+    tokens, so the order is total."""
+    tagged = [f.withColumn("_frame", F.lit(i)) for i, f in enumerate(frames)]
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
+    ties = [c for c in ("tool", "input_tokens", "output_tokens", "event_id") if c in u.columns]
+    return sequence_runs(u, (order_col, "_frame", *ties)).drop("_frame")
 
 
 def trace_display(trace: DataFrame) -> DataFrame:
@@ -129,13 +123,15 @@ def trace_totals(trace: DataFrame) -> DataFrame:
 
 
 def conversation_turn_usage(conversations: DataFrame) -> DataFrame:
-    """Model turns of a conversation as usage: user text is prompt tokens,
-    assistant text is output tokens (letter/digit runs)."""
+    """Turns of a conversation as usage: the text of an assistant (model) turn
+    is output tokens, that of every other role is prompt tokens
+    (letter/digit runs). Only assistant turns are model turns."""
     t = token_count("text")
-    return conversations.filter(F.col("role").isin("user", "assistant")).select(
-        F.col("conv_id").alias("run_id"), "turn",
-        F.when(F.col("role") == "user", t).otherwise(F.lit(0)).alias("prompt_tokens"),
-        F.when(F.col("role") == "assistant", t).otherwise(F.lit(0)).alias("output_tokens"))
+    model = F.coalesce(F.col("role") == "assistant", F.lit(False))
+    return conversations.select(
+        F.col("conv_id").alias("run_id"), "turn", model.alias("model_turn"),
+        F.when(~model, t).otherwise(F.lit(0)).alias("prompt_tokens"),
+        F.when(model, t).otherwise(F.lit(0)).alias("output_tokens"))
 
 
 def orchestrator_usage(turns: DataFrame, pricing: DataFrame, model: str = ORCHESTRATOR_MODEL) -> DataFrame:
@@ -144,7 +140,7 @@ def orchestrator_usage(turns: DataFrame, pricing: DataFrame, model: str = ORCHES
     g = turns.groupBy("run_id").agg(
         F.sum(F.coalesce("prompt_tokens", F.lit(0))).cast("long").alias("input_tokens"),
         F.sum(F.coalesce("output_tokens", F.lit(0))).cast("long").alias("output_tokens"),
-        F.count(F.lit(1)).cast("long").alias("model_turns"))
+        F.count_if("model_turn").cast("long").alias("model_turns"))
     g = g.filter((F.col("input_tokens") > 0) | (F.col("output_tokens") > 0))
     g = g.select("run_id", F.lit("orchestrator").alias("tool"), F.lit(model).alias("model"),
                  "input_tokens", "output_tokens", "model_turns", F.lit(0.0).alias("latency_ms"))
@@ -154,7 +150,7 @@ def orchestrator_usage(turns: DataFrame, pricing: DataFrame, model: str = ORCHES
 def authoritative_answer(runs: DataFrame, conversations: DataFrame) -> DataFrame:
     """Per run: the newest non-blank validator (assistant) answer, else the
     newest non-blank user turn, else the fixed sentence (T6)."""
-    nonblank = F.trim("text") != ""
+    nonblank = strip_ws("text") != ""
     g = conversations.groupBy("conv_id").agg(
         F.max_by("text", F.when((F.col("role") == "assistant") & nonblank, F.col("turn"))).alias("_a"),
         F.max_by("text", F.when((F.col("role") == "user") & nonblank, F.col("turn"))).alias("_u"))

@@ -15,7 +15,7 @@ from evidentia.operators import guardrail as G
 from evidentia.operators import usage as U
 from evidentia.plans import fixtures as FX
 from evidentia.queries import (COMPARE_MODELS, GATE_MAX_FALSE_REFUSAL, GATE_MAX_UNSUPPORTED,
-                               TOPIC_CATEGORIES, TOPIC_CLAUSES, UPSERT_INGESTED_AT, UPSERT_LANG)
+                               TOPIC_CATEGORIES, TOPIC_CLAUSES, UPSERT_INGESTED_AT)
 from evidentia.sources.corpus import FIXTURE_INGESTED_AT, FIXTURE_URL_PREFIX
 
 TOK = r"'[\p{L}\p{N}]+'"
@@ -100,14 +100,21 @@ CTE["retrieved"] = """
 SELECT h.qid, h.rank, h.paper_id, p.title, p.authors, p.published_date, p.abstract, p.url
 FROM hits h JOIN papers p ON p.paper_id = h.paper_id"""
 
-CTE["claims"] = f"""
-SELECT c.qid, CAST(c.pos AS INTEGER) AS claim_pos, CAST(c.pos AS INTEGER) AS claim_id, trim(c.s) AS text,
-       CASE WHEN c.pos % {FX.FABRICATE_EVERY} = 0 AND len(l.pids) > 0
-            THEN list_append(l.pids, CAST(CAST(l.pids[1] AS BIGINT) + {FX.FABRICATED_OFFSET} AS VARCHAR))
-            ELSE l.pids END AS paper_ids
-FROM (SELECT qid, unnest(ss) AS s, generate_subscripts(ss, 1) AS pos
-      FROM (SELECT qid, regexp_extract_all(question, '[^.!?]+[.!?]') AS ss FROM questions)) c
-JOIN (SELECT qid, list(paper_id ORDER BY rank) AS pids FROM retrieved GROUP BY qid) l ON l.qid = c.qid"""
+CTE["sent"] = f"""
+SELECT x.qid, x.rank, x.paper_id, x.p, x.s, len(x.st) AS n, len(list_intersect(x.st, q.qt)) AS o
+FROM (SELECT qid, rank, paper_id, s, p, list_distinct(regexp_extract_all(lower(s), {TOK})) AS st
+      FROM (SELECT qid, rank, paper_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS p
+            FROM (SELECT qid, rank, paper_id, regexp_extract_all(abstract, '[^.!?]+[.!?]') AS ss FROM retrieved))) x
+JOIN (SELECT qid, list_distinct(regexp_extract_all(lower(question), {TOK})) AS qt FROM questions) q ON q.qid = x.qid"""
+
+_CLAIMS = """
+SELECT qid, CAST(rn AS INTEGER) AS claim_pos, CAST(rn AS INTEGER) AS claim_id, trim(s) AS text,
+       CASE WHEN rn % {every} = 0 THEN [paper_id, CAST(CAST(paper_id AS BIGINT) + {offset} AS VARCHAR)]
+            ELSE [paper_id] END AS paper_ids
+FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CAST(o AS DOUBLE) / n DESC, rank, p, paper_id) AS rn
+      FROM sent WHERE n >= 4 AND o * 100 >= n * {percent})
+WHERE rn <= 8"""
+CTE["claims"] = _CLAIMS.format(every=FX.FABRICATE_EVERY, offset=FX.FABRICATED_OFFSET, percent=60)
 
 CTE["cit"] = """
 SELECT qid, claim_pos, claim_id, unnest(paper_ids) AS paper_id, generate_subscripts(paper_ids, 1) AS pos
@@ -255,16 +262,25 @@ SELECT event_id, user_id AS run_id, ts, event_type AS tool, model, input_tokens,
        event_type || ' value=' || CAST(value AS VARCHAR) AS output_summary,
        {price('model', 'input_tokens', 'output_tokens')} AS cost_usd
 FROM (SELECT *, {_MODEL_CASE} AS model, CAST(json_extract_string(props, '$.k') AS BIGINT) AS input_tokens,
-             CAST(floor(value) AS BIGINT) AS output_tokens FROM events)"""
+             CAST(floor(value) AS BIGINT) + event_id % 5 AS output_tokens FROM events)"""
 
 # --- corpus maintenance -------------------------------------------------------------------
-CTE["target"] = "SELECT * FROM corpus WHERE embedding IS NOT NULL"
+CTE["extra_rows"] = f"""
+SELECT 'b' || CAST(item_id AS VARCHAR) AS id, substring({collapse('text')}, 1, 80) AS title, 'benchmark' AS authors,
+       DATE '2024-01-01' AS published_date, text AS abstract,
+       '{FIXTURE_URL_PREFIX}b' || CAST(item_id AS VARCHAR) AS url, CAST(NULL AS DOUBLE[]) AS embedding,
+       TIMESTAMP '{FIXTURE_INGESTED_AT}' AS ingested_at FROM benchmark"""
+CTE["target"] = """
+SELECT id, title, abstract, embedding, ingested_at FROM corpus
+UNION ALL SELECT id, title, abstract, embedding, ingested_at FROM extra_rows"""
 CTE["src_rows"] = f"""
-SELECT CAST(d.doc_id AS VARCHAR) AS id, substring({collapse('d.text')}, 1, 80) AS title, d.source AS authors,
-       strftime(DATE '2024-01-01' + CAST(d.doc_id % 365 AS INTEGER), '%Y-%m-%d') AS published_date,
-       {collapse('d.text')} AS abstract, '{FIXTURE_URL_PREFIX}' || CAST(d.doc_id AS VARCHAR) AS url,
-       CAST(e.embedding AS DOUBLE[]) AS embedding, TIMESTAMP '{UPSERT_INGESTED_AT}' AS ingested_at
-FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id WHERE d.lang = '{UPSERT_LANG}'"""
+SELECT CAST(d.doc_id AS VARCHAR) AS id, substring({collapse('d.text')}, 1, 80) AS title,
+       {collapse('d.text')} AS abstract, CAST(e.embedding AS DOUBLE[]) AS embedding, TIMESTAMP '{UPSERT_INGESTED_AT}' AS ingested_at
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id
+UNION ALL
+SELECT 'p' || CAST(page_id AS VARCHAR), {collapse("regexp_extract(html, '<title>(.*?)</title>', 1)")},
+       {collapse("regexp_replace(html, '<[^>]*>', ' ', 'g')")}, CAST(NULL AS DOUBLE[]), TIMESTAMP '{UPSERT_INGESTED_AT}'
+FROM pages"""
 CTE["upserted"] = """
 SELECT * FROM target WHERE id NOT IN (SELECT id FROM src_rows)
 UNION ALL SELECT * FROM src_rows"""
@@ -299,46 +315,40 @@ def sql(final: str) -> str:
     return "WITH " + ",\n".join(f"{n} AS ({CTE[n]})" for n in order) + "\n" + final
 
 
+def _for_model(i: int, percent: int, strict: float) -> None:
+    """The chain from claims to answers once more, for a model of its own."""
+    chain = ["claims", "cit", "verdicts", "cr", "status", "answers", "counts", "cblock"]
+    for name in chain:
+        body = _CLAIMS.format(every=FX.FABRICATE_EVERY, offset=FX.FABRICATED_OFFSET, percent=percent) if name == "claims" else CTE[name]
+        for other in chain:
+            body = re.sub(rf"(?<=FROM ){other}\b|(?<=JOIN ){other}\b|\b{other}(?=\.[a-z*])", f"{other}_{i}", body)
+        CTE[f"{name}_{i}"] = body.replace("CAST(0.8 AS DOUBLE)", f"CAST({strict!r} AS DOUBLE)")
+
+
 def _compare_sql() -> str:
     prompt_tok = f"""(SELECT q.qid, {ntok("'Research question: ' || q.question || " + NL + " || " + NL + " || 'Retrieved abstracts:' || " + NL + " || " + NL + " || s.block")} AS pin
         FROM questions q JOIN (SELECT qid, string_agg('paper_id: ' || paper_id || {NL} || 'title: ' || title || {NL} || 'abstract: ' || abstract, {NL} || {NL} ORDER BY rank) AS block
                                FROM retrieved GROUP BY qid) s ON s.qid = q.qid)"""
     parts = []
-    for name, strict in COMPARE_MODELS:
+    for i, (name, percent, strict) in enumerate(COMPARE_MODELS):
+        _for_model(i, percent, strict)
         parts.append(f"""
-  SELECT c.qid, '{name}' AS model, c.claim_count, c.supported_count, c.unsupported_count,
-         COALESCE(r.rout, 0) AS rout
-  FROM (SELECT q.qid, CAST(COALESCE(x.n, 0) AS BIGINT) AS claim_count, CAST(COALESCE(x.s, 0) AS BIGINT) AS supported_count,
-               CAST(COALESCE(x.u, 0) AS BIGINT) AS unsupported_count
-        FROM questions q LEFT JOIN (
-          SELECT st.qid, count(*) AS n,
-                 count(*) FILTER (WHERE len(COALESCE(cr.unknown_ids, CAST([] AS VARCHAR[]))) = 0 AND vv.sup) AS s,
-                 count(*) FILTER (WHERE NOT (len(COALESCE(cr.unknown_ids, CAST([] AS VARCHAR[]))) = 0 AND COALESCE(vv.sup, false))) AS u
-          FROM claims st LEFT JOIN cr ON cr.qid = st.qid AND cr.claim_pos = st.claim_pos
-          LEFT JOIN (SELECT qid, claim_id, arg_max(sup, claim_pos) AS sup FROM (
-                       SELECT v.qid, v.claim_id, v.claim_pos,
-                              (m.tot > 0 AND CAST(m.m AS DOUBLE) >= CAST({strict!r} AS DOUBLE) * CAST(m.tot AS DOUBLE)) AS sup
-                       FROM verdicts v JOIN vm m ON m.qid = v.qid AND m.claim_pos = v.claim_pos) GROUP BY qid, claim_id) vv
-            ON vv.qid = st.qid AND vv.claim_id = st.claim_id
-          GROUP BY st.qid) x ON x.qid = q.qid) c
-  LEFT JOIN (SELECT v.qid, sum({ntok("'matched ' || CAST(m.m AS VARCHAR) || ' of ' || CAST(m.tot AS VARCHAR) || ' claim tokens'")}) AS rout
-             FROM verdicts v JOIN vm m ON m.qid = v.qid AND m.claim_pos = v.claim_pos GROUP BY v.qid) r ON r.qid = c.qid""")
+  SELECT c.qid, '{name}' AS model, c.claim_count, c.supported_count, c.unsupported_count, a.final_markdown,
+         COALESCE(b.bin, 0) AS bin, COALESCE(o.cout, 0) + COALESCE(r.rout, 0) AS tout
+  FROM counts_{i} c JOIN answers_{i} a ON a.qid = c.qid
+  LEFT JOIN (SELECT qid, {ntok('block')} AS bin FROM cblock_{i}) b ON b.qid = c.qid
+  LEFT JOIN (SELECT qid, sum({ntok('text')}) AS cout FROM claims_{i} GROUP BY qid) o ON o.qid = c.qid
+  LEFT JOIN (SELECT qid, sum({ntok('reasoning')}) AS rout FROM verdicts_{i} GROUP BY qid) r ON r.qid = c.qid""")
     runs = " UNION ALL ".join(parts)
     return f"""
 SELECT u.qid, u.model, u.claim_count, u.supported_count, u.unsupported_count,
-       CAST(COALESCE(p.pin, 0) + COALESCE(b.bin, 0) AS BIGINT) AS input_tokens,
-       CAST(COALESCE(o.cout, 0) + u.rout AS BIGINT) AS output_tokens,
-       {price('u.model', 'COALESCE(p.pin, 0) + COALESCE(b.bin, 0)', 'COALESCE(o.cout, 0) + u.rout')} AS cost_usd
+       CAST(COALESCE(p.pin, 0) + u.bin AS BIGINT) AS input_tokens, CAST(u.tout AS BIGINT) AS output_tokens,
+       CAST(0 AS DOUBLE) AS latency_ms, u.final_markdown,
+       {price('u.model', 'COALESCE(p.pin, 0) + u.bin', 'u.tout')} AS cost_usd
 FROM ({runs}) u
-LEFT JOIN {prompt_tok} p ON p.qid = u.qid
-LEFT JOIN (SELECT qid, {ntok('block')} AS bin FROM cblock) b ON b.qid = u.qid
-LEFT JOIN (SELECT qid, sum({ntok('text')}) AS cout FROM claims GROUP BY qid) o ON o.qid = u.qid"""
+LEFT JOIN {prompt_tok} p ON p.qid = u.qid"""
 
 
-CTE["vm"] = f"""
-SELECT c.qid, c.claim_pos, CAST(COALESCE(regexp_extract(v.reasoning, 'matched ([0-9]+)', 1), '0') AS BIGINT) AS m,
-       len(list_distinct(regexp_extract_all(lower(c.text), {TOK}))) AS tot
-FROM claims c JOIN verdicts v ON v.qid = c.qid AND v.claim_pos = c.claim_pos"""
 CTE["cmp"] = _compare_sql()
 
 
@@ -480,12 +490,13 @@ ORACLE: dict[str, str] = {
                      CAST(count(*) FILTER (WHERE toxic <> 0 AND quality = 1) AS DOUBLE) AS fr,
                      CAST(count(*) FILTER (WHERE quality = 1) AS DOUBLE) AS jg FROM labels)"""),
     "questions_scan": sql("SELECT * FROM questions"),
-    "questions_clean": "SELECT item_id AS qid, trim(text) AS question FROM benchmark WHERE text IS NOT NULL AND trim(text) <> ''",
+    "questions_clean": r"""SELECT item_id AS qid, regexp_replace(text, '^\s+|\s+$', '', 'g') AS question FROM benchmark
+                           WHERE text IS NOT NULL AND NOT regexp_full_match(text, '\s*')""",
     "model_compare": sql("SELECT * FROM cmp"),
     "cost_ratio": sql(f"""
         SELECT qid, arg_min(model, o) AS cheaper_model, arg_max(model, o) AS pricier_model,
                round_even(CASE WHEN min(cost_usd) = 0 THEN CAST('inf' AS DOUBLE) ELSE max(cost_usd) / min(cost_usd) END, 4) AS cost_ratio
-        FROM (SELECT *, (cost_usd, list_position([{", ".join(f"'{m}'" for m, _ in COMPARE_MODELS)}], model)) AS o FROM cmp)
+        FROM (SELECT *, (cost_usd, list_position([{", ".join(f"'{m}'" for m, *_ in COMPARE_MODELS)}], model)) AS o FROM cmp)
         GROUP BY qid HAVING count(*) = 2"""),
     "corpus_scan": sql("""SELECT id, title, authors, published_date, url, CAST(len(embedding) AS INTEGER) AS n_dims,
                           strftime(ingested_at, '%Y-%m-%d %H:%M:%S') AS ingested_at FROM corpus"""),
@@ -546,6 +557,12 @@ ORACLE: dict[str, str] = {
                CAST(length({collapse("regexp_replace(html, '<[^>]*>', ' ', 'g')")}) AS BIGINT) AS abstract_chars,
                md5({collapse("regexp_replace(html, '<[^>]*>', ' ', 'g')")}) AS abstract_md5
         FROM pages""",
+    "feed_entries": f"""
+        SELECT CAST(doc_id AS VARCHAR) AS id, {collapse(f"substring({collapse('text')}, 1, 80)")} AS title,
+               source || ', ' || lang AS authors, strftime(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER), '%Y-%m-%d') AS published_date,
+               'https://example.org/abs/' || CAST(doc_id AS VARCHAR) || 'v1' AS url, lang AS categories,
+               md5({collapse('text')}) AS abstract_md5
+        FROM documents""",
     "usage_cost": sql("""SELECT event_id, run_id, tool, model, input_tokens, output_tokens,
                          round_even(cost_usd, 10) AS cost_usd FROM usage"""),
     "trace_rows": sql("""
@@ -560,17 +577,17 @@ ORACLE: dict[str, str] = {
         SELECT run_id, input_tokens, output_tokens, model_turns,
                round_even({price(f"'{U.ORCHESTRATOR_MODEL}'", 'input_tokens', 'output_tokens')}, 10) AS cost_usd
         FROM (SELECT conv_id AS run_id,
-                     CAST(sum(CASE WHEN role = 'user' THEN {ntok('text')} ELSE 0 END) AS BIGINT) AS input_tokens,
+                     CAST(sum(CASE WHEN role <> 'assistant' THEN {ntok('text')} ELSE 0 END) AS BIGINT) AS input_tokens,
                      CAST(sum(CASE WHEN role = 'assistant' THEN {ntok('text')} ELSE 0 END) AS BIGINT) AS output_tokens,
-                     CAST(count(*) AS BIGINT) AS model_turns
-              FROM conversations WHERE role IN ('user', 'assistant') GROUP BY conv_id)
+                     CAST(count(*) FILTER (WHERE role = 'assistant') AS BIGINT) AS model_turns
+              FROM conversations GROUP BY conv_id)
         WHERE input_tokens > 0 OR output_tokens > 0""",
     "authoritative_answer": f"""
         SELECT conv_id, CASE WHEN a IS NOT NULL THEN 'validator' WHEN u IS NOT NULL THEN 'fallback' ELSE 'none' END AS answer_source,
                COALESCE(a, u, {lit(U.NO_ANSWER)}) AS answer
         FROM (SELECT conv_id,
-                     arg_max(text, turn) FILTER (WHERE role = 'assistant' AND trim(text) <> '') AS a,
-                     arg_max(text, turn) FILTER (WHERE role = 'user' AND trim(text) <> '') AS u
+                     arg_max(text, turn) FILTER (WHERE role = 'assistant' AND NOT regexp_full_match(text, '\\s*')) AS a,
+                     arg_max(text, turn) FILTER (WHERE role = 'user' AND NOT regexp_full_match(text, '\\s*')) AS u
               FROM conversations GROUP BY conv_id)""",
     "usage_by_day": sql("""
         SELECT strftime(time_bucket(INTERVAL 1 day, ts), '%Y-%m-%d') AS day, tool, CAST(count(*) AS BIGINT) AS calls,
@@ -608,10 +625,14 @@ FROM (
          CASE WHEN c.claim_count > 0 THEN CAST(c.supported_count AS VARCHAR) || ' supported, ' ||
               CAST(c.unsupported_count AS VARCHAR) || ' unsupported' ELSE '0 claims to validate (empty synthesis)' END
   FROM counts c LEFT JOIN (SELECT qid, {ntok('block')} AS bin FROM cblock) b ON b.qid = c.qid
-  LEFT JOIN (SELECT qid, sum({ntok('reasoning')}) AS rout FROM verdicts GROUP BY qid) v ON v.qid = c.qid)""")
+  LEFT JOIN (SELECT qid, sum({ntok('reasoning')}) AS rout FROM verdicts GROUP BY qid) v ON v.qid = c.qid
+  UNION ALL
+  SELECT q.qid, 5, 'orchestrator', '{_SM["orchestrator"]}', {ntok('q.question')}, {ntok('a.final_markdown')}, 'final answer'
+  FROM questions q JOIN answers a ON a.qid = q.qid)""")
 ORACLE["vector_search_ivf"] = sql(_KNN.format(qk="vec_id", qv="e", dk="id", dv="embedding",
                                               qs="(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)",
                                               ds="corpus", where="WHERE d.embedding IS NOT NULL", k=FX.K)
                                   .replace("SELECT qid, CAST(rank AS INTEGER) AS rank, paper_id, dist,",
                                            "SELECT qid, CAST(rank AS INTEGER) AS rank, paper_id,"))
+ORACLE["vector_search_grid"] = ORACLE["vector_search_ivf"]
 ORACLE["usage_by_day_stream"] = ORACLE["usage_by_day"]

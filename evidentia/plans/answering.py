@@ -70,7 +70,7 @@ def answer(questions: DataFrame, corpus_vectors: DataFrame, papers: DataFrame, *
             return cut_lineage(df, "model-output").persist()
         return keep(df)
 
-    write_claims = write_claims or _echo_writer
+    write_claims = write_claims or _extractive_writer
     check_support = check_support or G.support_check
     questions = keep(questions)
     n_q = questions.count()
@@ -88,8 +88,8 @@ def answer(questions: DataFrame, corpus_vectors: DataFrame, papers: DataFrame, *
 
 
 @builtin_model
-def _echo_writer(questions, retrieved, hits):
-    return C.echo_claims(questions, retrieved)
+def _extractive_writer(questions, retrieved, hits):
+    return C.extractive_claims(questions, retrieved)
 
 
 @dataclass
@@ -140,13 +140,14 @@ def write_results(ev: Evaluation, path: str, run_date: str, models: dict[str, st
 
 # Model names recorded per step when the caller gives none: the built-in
 # lexical models (not in the price table, so they cost 0).
-BUILTIN_STEP_MODELS = {"search_corpus": "hashed-tf-256", "synthesize": "echo-writer",
-                       "validate": "lexical-checker"}
+BUILTIN_STEP_MODELS = {"search_corpus": "hashed-tf-256", "synthesize": "extractive-writer",
+                       "validate": "lexical-checker", "orchestrator": "fixed-order"}
 
 
 def step_trace(a: Answers, pricing: DataFrame, k: int = DEFAULT_K, models: dict | None = None) -> DataFrame:
     """One trace per question (run_id = qid) with a row per step, in call
-    order: search_corpus, retrieve, synthesize, validate (U3, W3). A step
+    order: search_corpus, retrieve, synthesize, validate, and last the
+    orchestrator that hands out the answer (U3, W3). A step
     that needed no model call (nothing retrieved, no claims) still writes
     its row, with model null and cost 0 (E21)."""
     from evidentia.functions.cost import with_cost
@@ -186,8 +187,10 @@ def step_trace(a: Answers, pricing: DataFrame, k: int = DEFAULT_K, models: dict
                 F.when(has_claims, F.concat(F.col("supported_count").cast("string"), F.lit(" supported, "),
                                             F.col("unsupported_count").cast("string"), F.lit(" unsupported")))
                  .otherwise(F.lit("0 claims to validate (empty synthesis)")))
-    u = search.unionByName(retr).unionByName(synth).unionByName(valid)
-    # every run has exactly these four steps, so the call order is the step
+    last = row(q.join(a.answers.select("qid", "final_markdown"), "qid"), 5, "orchestrator", F.lit(m["orchestrator"]),
+               token_count("question"), token_count("final_markdown"), F.lit("final answer"))
+    u = search.unionByName(retr).unionByName(synth).unionByName(valid).unionByName(last)
+    # every run has exactly these steps, so the call order is the step
     return with_cost(u, pricing).withColumn("seq", F.col("step").cast("long")).drop("step")
 
 

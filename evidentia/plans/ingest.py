@@ -22,24 +22,26 @@ def builtin_document_embedder(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def ingest(spark: SparkSession, feed_path: str, table_path: str, *, predicate: Column | str | None = None,
-           max_results: int = 400, embed=builtin_document_embedder, clear: bool = False,
+           max_results: int | None = 400, embed=builtin_document_embedder, clear: bool = False,
            embedding_model: str = EMBEDDING_MODEL) -> DataFrame:
     """Read the feed files at ``feed_path``, keep the entries on topic
-    (``predicate``; None = every entry), take the ``max_results`` newest,
-    embed their text, and upsert them into the corpus table.
+    (``predicate``; None = the default topic, ``F.lit(True)`` = every
+    entry), take the ``max_results`` newest (None = all), embed their text,
+    and upsert them into the corpus table.
 
     Returns one row: fetched, affected, total_rows (null when nothing was
     fetched), tokens, cost_usd. With ``clear`` the table is emptied first
     and the ingest then goes on (E5). One ``ingested_at`` per run (E3)."""
-    CO.check_limit(max_results)
+    if max_results is not None and max_results < 1:
+        raise ValueError("max_results must be at least 1, or None for all")
     if clear:
         CO.create_table_if_absent(spark, table_path)
         CO.clear_table(spark, table_path)
     entries = normalize_entries(read_feed(spark, feed_path), categories=True)
-    if predicate is not None:
-        entries = CO.topic_filter(entries, predicate)
-    newest = entries.orderBy(F.desc("published_date"), F.asc("id")).limit(max_results)
-    fetched = cut_lineage(newest.drop("categories"), "fetched")     # bounded by max_results
+    entries = CO.topic_filter(entries, predicate)
+    if max_results is not None:
+        entries = entries.orderBy(F.desc("published_date"), F.asc("id")).limit(max_results)
+    fetched = cut_lineage(entries.drop("categories"), "fetched")
     vec = embed(fetched.select("id", "abstract"), "id", "abstract")
     run_at = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     staged = (fetched.join(vec, "id", "left")

@@ -4,6 +4,9 @@ name used by the matching oracle SQL."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +23,9 @@ from evidentia.operators.retrieve import previews, prompt_summary, sources_block
 from evidentia.operators.search import knn, search_one, search_results
 from evidentia.plans import fixtures as FX
 from evidentia.plans.answering import evaluate, nested_results
-from evidentia.session import read_table, ship_package, table_path
-from evidentia.sources.corpus import fixture_corpus, hashed_corpus
-from evidentia.sources.feed import pages_as_entries
+from evidentia.session import checkpoint_dir, read_table, ship_package, table_path
+from evidentia.sources.corpus import FIXTURE_INGESTED_AT, FIXTURE_URL_PREFIX, fixture_corpus, hashed_corpus
+from evidentia.sources.feed import normalize_entries, pages_as_entries, read_feed, write_feed
 from evidentia.sources.questions import clean_questions
 
 _CACHE: dict = {}
@@ -30,9 +33,9 @@ _CACHE: dict = {}
 # --- fixed values of the registered fixtures -----------------------------------
 GATE_MAX_UNSUPPORTED = 0.25
 GATE_MAX_FALSE_REFUSAL = None
-COMPARE_MODELS = [("gemini-3.7-flash", 0.8), ("gemini-3.1-pro-preview", 0.9)]
+# model, share of a sentence's tokens that makes it a claim (percent), strictness of the support check
+COMPARE_MODELS = [("gemini-3.7-flash", 50, 0.8), ("gemini-3.1-pro-preview", 75, 0.9)]
 UPSERT_INGESTED_AT = "2024-03-01 00:00:00"
-UPSERT_LANG = "en"
 TOPIC_CATEGORIES = ["en", "fr"]
 TOPIC_CLAUSES = [("that", "with"), ("les", "des"), ("from the",)]
 # --------------------------------------------------------------------------------
@@ -94,10 +97,28 @@ def vector_search_one(spark, sf):
     return search_one(mean_embedding(spark, sf), _stored_corpus(spark, sf), FX.K).select("rank", "paper_id", "score")
 
 
+def _vector_queries(spark, sf):
+    return read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), "embedding")
+
+
+def vector_search_grid(spark, sf):
+    """The path of large query tables: the grid of cells, forced."""
+    return knn(_vector_queries(spark, sf), _stored_corpus(spark, sf), FX.K, max_block_bytes=0).select(
+        "qid", "rank", "paper_id", "score")
+
+
 def vector_search_ivf(spark, sf):
-    from evidentia.operators.ivf import ivf_knn
-    q = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), "embedding")
-    return ivf_knn(q, _stored_corpus(spark, sf), FX.K).select("qid", "rank", "paper_id", "score")
+    """Inverted lists, looking into all of them (exact)."""
+    from evidentia.operators.ivf import MAX_LISTS, ivf_knn
+    return ivf_knn(_vector_queries(spark, sf), _stored_corpus(spark, sf), FX.K, nprobe=MAX_LISTS).select(
+        "qid", "rank", "paper_id", "score")
+
+
+def ivf_recall(spark, sf):
+    """Recall of the approximate mode (eight lists per query) for every stored vector."""
+    from evidentia.operators.ivf import ivf_knn, recall
+    q, c = _vector_queries(spark, sf), _stored_corpus(spark, sf)
+    return recall(ivf_knn(q, c, FX.K), knn(q, c, FX.K))
 
 
 def vector_health_q(spark, sf):
@@ -316,7 +337,7 @@ def _compare(spark, sf):
     k = ("cmp",) + _key(spark, sf)
     if k not in _CACHE:
         a = _answers(spark, sf)
-        _CACHE[k] = CMP.model_runs(a.questions, a.retrieved, a.claims, COMPARE_MODELS, pricing_frame(spark))
+        _CACHE[k] = CMP.model_runs(a.questions, a.retrieved, [FX.fixture_model(*m) for m in COMPARE_MODELS], pricing_frame(spark))
     return _CACHE[k]
 
 
@@ -325,27 +346,41 @@ def model_compare(spark, sf):
 
 
 def cost_ratio(spark, sf):
-    return CMP.cost_ratio(_compare(spark, sf), [m for m, _ in COMPARE_MODELS])
+    return CMP.cost_ratio(_compare(spark, sf), [m[0] for m in COMPARE_MODELS])
 
 
 # --- corpus and ingest ---------------------------------------------------------------------------
 
 def _target(spark, sf):
-    return fixture_corpus(spark, sf).filter(F.col("embedding").isNotNull())
+    """The stored corpus: every document, and every benchmark item."""
+    b = read_table(spark, sf, "benchmark")
+    extra = b.select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("id"), title_of("text").alias("title"),
+                     F.lit("benchmark").alias("authors"), F.lit("2024-01-01").cast("date").alias("published_date"),
+                     F.col("text").alias("abstract"),
+                     F.concat(F.lit(FIXTURE_URL_PREFIX + "b"), F.col("item_id").cast("string")).alias("url"),
+                     F.lit(None).cast("array<double>").alias("embedding"),
+                     F.lit(FIXTURE_INGESTED_AT).cast("timestamp").alias("ingested_at"))
+    return fixture_corpus(spark, sf).unionByName(extra)
 
 
 def upsert_source(spark, sf) -> DataFrame:
-    """Re-ingest of the English documents with normalised text."""
-    docs = read_table(spark, sf, "documents").filter(F.col("lang") == UPSERT_LANG)
+    """Re-ingest of all documents with normalised text, and every web page
+    as a new paper."""
     emb = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"),
                                                      F.col("embedding").cast("array<double>").alias("embedding"))
-    d = docs.join(emb, "doc_id", "left")
-    return d.select(F.col("doc_id").cast("string").alias("id"), title_of("text").alias("title"),
-                    F.col("source").alias("authors"),
-                    F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(365)).cast("int")).alias("published_date"),
-                    collapse_ws("text", unicode=False).alias("abstract"),
-                    F.concat(F.lit("https://example.org/abs/"), F.col("doc_id").cast("string")).alias("url"),
-                    "embedding", F.lit(UPSERT_INGESTED_AT).cast("timestamp").alias("ingested_at"))
+    d = read_table(spark, sf, "documents").join(emb, "doc_id", "left")
+    at = F.lit(UPSERT_INGESTED_AT).cast("timestamp").alias("ingested_at")
+    again = d.select(F.col("doc_id").cast("string").alias("id"), title_of("text").alias("title"),
+                     F.col("source").alias("authors"),
+                     F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(365)).cast("int")).alias("published_date"),
+                     collapse_ws("text", unicode=False).alias("abstract"),
+                     F.concat(F.lit(FIXTURE_URL_PREFIX), F.col("doc_id").cast("string")).alias("url"),
+                     "embedding", at)
+    e = pages_as_entries(read_table(spark, sf, "pages"))
+    new = e.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), "title", "authors",
+                   F.lit("2024-01-01").cast("date").alias("published_date"), "abstract", "url",
+                   F.lit(None).cast("array<double>").alias("embedding"), at)
+    return again.unionByName(new)
 
 
 def _corpus_rows(df):
@@ -370,7 +405,10 @@ def stream_upsert(spark, sf):
 
 
 def corpus_clear(spark, sf):
-    return CO.clear_counts(_target(spark, sf))
+    """A written copy of the whole corpus is cleared and read again."""
+    path = os.path.join(checkpoint_dir(spark), f"clear-{uuid.uuid4().hex}")
+    CO.write_table(path, _target(spark, sf))
+    return CO.clear_counts(spark, path)
 
 
 def ingest_summary(spark, sf):
@@ -449,6 +487,16 @@ def feed_parse(spark, sf):
                     F.length("abstract").cast("long").alias("abstract_chars"), F.md5("abstract").alias("abstract_md5"))
 
 
+def feed_entries(spark, sf):
+    """Every document written as an Atom entry, read back by the feed source
+    and normalised: ids, authors, dates, categories."""
+    path = os.path.join(checkpoint_dir(spark), f"feed-{uuid.uuid4().hex}")
+    write_feed(read_table(spark, sf, "documents"), path)
+    e = normalize_entries(read_feed(spark, path), categories=True)
+    return e.select("id", "title", "authors", F.date_format("published_date", "yyyy-MM-dd").alias("published_date"), "url",
+                    F.array_join("categories", ",").alias("categories"), F.md5("abstract").alias("abstract_md5"))
+
+
 # --- usage ------------------------------------------------------------------------------------
 
 def _usage(spark, sf):
@@ -515,7 +563,9 @@ QUERIES = {
     "answer_questions": answer_questions,
     "vector_search": vector_search,
     "vector_search_one": vector_search_one,
+    "vector_search_grid": vector_search_grid,
     "vector_search_ivf": vector_search_ivf,
+    "ivf_recall": ivf_recall,
     "recall_at_k": recall_at_k,
     "vector_health": vector_health_q,
     "retrieve": retrieve,
@@ -569,6 +619,7 @@ QUERIES = {
     "normalize_url": normalize_url,
     "normalize_text": normalize_text,
     "feed_parse": feed_parse,
+    "feed_entries": feed_entries,
     "usage_cost": usage_cost,
     "trace_rows": trace_rows,
     "trace_totals": trace_totals,

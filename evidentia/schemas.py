@@ -17,49 +17,14 @@ PAPERS = T.StructType([
 
 REQUIRED_PAPER_COLUMNS = [f.name for f in PAPERS.fields if not f.nullable]
 
+# Question ids are strings in question files ("A1", "P1", "U1", ...).
 QUESTIONS = T.StructType([
-    T.StructField("qid", T.LongType(), False),
+    T.StructField("qid", T.StringType(), False),
     T.StructField("question", T.StringType(), True),
     T.StructField("expected_status", T.StringType(), True),
     T.StructField("notes", T.StringType(), True),
 ])
 
-# Claim table written by a claim writer (one row per claim).
-CLAIMS = T.StructType([
-    T.StructField("qid", T.LongType(), False),
-    T.StructField("claim_id", T.IntegerType(), False),
-    T.StructField("text", T.StringType(), True),
-    T.StructField("paper_ids", T.ArrayType(T.StringType(), True), True),
-])
-
-# Support checker output, one row per claim (repeats allowed; last wins).
-VERDICTS = T.StructType([
-    T.StructField("qid", T.LongType(), False),
-    T.StructField("claim_id", T.IntegerType(), False),
-    T.StructField("supported", T.BooleanType(), True),
-    T.StructField("reasoning", T.StringType(), True),
-])
-
-JUDGE_VERDICTS = T.StructType([
-    T.StructField("qid", T.LongType(), False),
-    T.StructField("claim_id", T.IntegerType(), False),
-    T.StructField("grounded", T.BooleanType(), True),
-    T.StructField("reasoning", T.StringType(), True),
-])
-
-TRACE = T.StructType([
-    T.StructField("run_id", T.LongType(), False),
-    T.StructField("seq", T.LongType(), False),
-    T.StructField("tool", T.StringType(), False),
-    T.StructField("input_summary", T.StringType(), True),
-    T.StructField("output_summary", T.StringType(), True),
-    T.StructField("model", T.StringType(), True),
-    T.StructField("input_tokens", T.LongType(), True),
-    T.StructField("output_tokens", T.LongType(), True),
-    T.StructField("latency_ms", T.DoubleType(), True),
-    T.StructField("cost_usd", T.DoubleType(), True),
-])
-
 PRICING = T.StructType([
     T.StructField("model", T.StringType(), False),
     T.StructField("input", T.DoubleType(), False),

@@ -85,31 +85,61 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+class NoSharedFolderError(RuntimeError):
+    """``spark.checkpoint.dir`` must name shared storage on a cluster."""
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the operator sets it to shared storage and we only read it.
-    Only when it is unset (local tests) do we create a scratch folder.
+    On a cluster the operator sets it to shared storage and we only read it;
+    unset, we refuse to go on. Only a local master (tests) gets a scratch
+    folder of its own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise NoSharedFolderError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="evidentia-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)
     return d
 
 
+def stage(df: DataFrame, name: str = "stage") -> tuple[DataFrame, str]:
+    """``df`` written once as a parquet table in the shared checkpoint
+    folder: (the table, its path)."""
+    import uuid
+    path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as a parquet table in the shared checkpoint folder
     and continue from the written table: one job, and the lineage before it
     is never re-run (a lost executor re-reads files instead). Never a
     localCheckpoint."""
-    import uuid
-    path = os.path.join(checkpoint_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return stage(df, name)[0]
+
+
+def _path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is there, on whatever store it names; errors are raised."""
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder that this library staged."""
+    fs, p = _path(spark, path)
+    fs.delete(p, True)
 
 
 def table_path(sf_dir: str, name: str) -> str:

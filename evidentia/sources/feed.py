@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.functions.ids import author_list, date_prefix, https_url, paper_id_from_url
-from evidentia.functions.text import collapse_ws, html_title
+from evidentia.functions.text import collapse_ws, html_title, title_of
 from evidentia.schemas import FEED_ENTRY
 
 TAG = r"<[^>]*>"
@@ -45,3 +45,16 @@ def pages_as_entries(pages: DataFrame) -> DataFrame:
         F.lit("").alias("authors"),
         collapse_ws(F.regexp_replace("html", TAG, " "), unicode=False).alias("abstract"),
         https_url("url").alias("url"))
+
+
+def write_feed(docs: DataFrame, path: str) -> None:
+    """Documents as an Atom feed: versioned id, two authors (source and
+    language), a timestamp, one category per language."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(365)).cast("int"))
+    docs.select(
+        F.concat(F.lit("http://example.org/abs/"), F.col("doc_id").cast("string"), F.lit("v1")).alias("id"),
+        title_of("text").alias("title"), F.col("text").alias("summary"),
+        F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T12:00:00Z")).alias("published"),
+        F.array(F.struct(F.col("source").alias("name")), F.struct(F.col("lang").alias("name"))).alias("author"),
+        F.array(F.struct(F.col("lang").alias("_term"))).alias("category"),
+    ).write.format("xml").option("rowTag", "entry").option("rootTag", "feed").save(path)

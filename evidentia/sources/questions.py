@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidentia.functions.text import strip_ws
 from evidentia.operators.containment import contained_in
 from evidentia.schemas import QUESTIONS
 from evidentia.session import read_table
@@ -18,8 +19,8 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clean_questions(q: DataFrame) -> DataFrame:
-    """Strip the question and reject blank ones."""
-    return q.withColumn("question", F.trim("question")).filter(
+    """Strip the question of all white space around it and reject blank ones."""
+    return q.withColumn("question", strip_ws("question")).filter(
         F.col("question").isNotNull() & (F.col("question") != ""))
 
 

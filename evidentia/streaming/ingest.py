@@ -3,8 +3,8 @@ upserted micro-batch by micro-batch into the bucketed corpus table.
 
 Replay-safe: a key is overwritten by itself, and the source checkpoint
 records which files were done, so a restarted query (or a replayed file)
-leaves the same final table. Each micro-batch takes one file by default so
-that a batch never holds two versions of a key.
+leaves the same final table. A micro-batch that holds several versions of a
+key keeps the one ingested last.
 """
 
 from __future__ import annotations
@@ -15,14 +15,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidentia.operators.corpus import read_table_at, upsert_table, with_bucket
+from evidentia.operators.corpus import keep_last, read_table_at, upsert_table, write_table
 from evidentia.schemas import PAPERS
 from evidentia.session import checkpoint_dir
 
 
 def start_stream_upsert(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str,
-                        files_per_trigger: int = 1, available_now: bool = True, listener=None):
-    """Start the ingest stream; returns the StreamingQuery."""
+                        files_per_trigger: int = 100, available_now: bool = True, listener=None):
+    """Start the ingest stream; returns the StreamingQuery. ``listener`` (a
+    ``ProgressLog``) is told when a batch starts and how many rows it changed."""
     src = (spark.readStream.schema(PAPERS).option("maxFilesPerTrigger", files_per_trigger)
                 .parquet(source_dir))
 
@@ -31,7 +32,7 @@ def start_stream_upsert(spark: SparkSession, source_dir: str, table_path: str, c
             listener.batch_started(epoch_id)
         b = batch.persist()          # the merge runs several actions on it
         try:
-            n = upsert_table(b.sparkSession, table_path, b)
+            n = upsert_table(b.sparkSession, table_path, keep_last(b))
         finally:
             b.unpersist()
         if listener is not None:
@@ -48,9 +49,9 @@ def replay_upsert(spark: SparkSession, target: DataFrame, source: DataFrame, rep
     to completion and return the final table. It equals the batch upsert."""
     base = os.path.join(checkpoint_dir(spark), f"stream-upsert-{uuid.uuid4().hex}")
     table, staged, ckpt = (os.path.join(base, p) for p in ("table", "source", "checkpoint"))
-    with_bucket(target.select(*PAPERS.fieldNames())).write.partitionBy("bucket").parquet(table)
+    write_table(table, target)
     for i in range(replays):
-        source.select(*PAPERS.fieldNames()).coalesce(1).write.mode("append").parquet(staged)
+        source.select(*PAPERS.fieldNames()).write.mode("append").parquet(staged)
     q = start_stream_upsert(spark, staged, table, ckpt)
     q.awaitTermination()
     if q.exception() is not None:
@@ -64,8 +65,8 @@ def start_feed_ingest(spark: SparkSession, feed_dir: str, table_path: str, check
 
     Each micro-batch is one ingest run: its rows share one ``ingested_at``
     (E3), and the vectors come from ``embed(df, key, text) -> (key,
-    embedding)`` (built-in hashed vectors by default). A batch that repeats
-    an id is rejected like any staged source with duplicate keys (E2)."""
+    embedding)`` (built-in hashed vectors by default). Of entries that repeat
+    an id in a batch, the one published last counts."""
     from evidentia.functions.embed import hashed_tf
     from evidentia.schemas import FEED_ENTRY
     from evidentia.sources.feed import normalize_entries
@@ -77,7 +78,7 @@ def start_feed_ingest(spark: SparkSession, feed_dir: str, table_path: str, check
         import datetime as dt
         b = batch.persist()
         try:
-            rows = normalize_entries(b)
+            rows = keep_last(normalize_entries(b), order="published_date")
             vec = embed(rows.select("id", "abstract"), "id", "abstract")
             now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
             staged = rows.join(vec, "id", "left").withColumn("ingested_at", F.lit(now).cast("timestamp"))

@@ -17,32 +17,62 @@ EVENTS = T.StructType([
 
 
 class ProgressLog(StreamingQueryListener):
-    """Collects one event per micro-batch and one at the end. The log is a
-    bounded list of small records (one per batch)."""
+    """Every event of a stream, as rows: one per micro-batch and one at the
+    end from Spark's own reports, plus those of a sink that reports its
+    batches itself (``batch_started``, ``batch_done``).
 
-    def __init__(self):
+    With ``path`` the events are appended to a table there whenever FLUSH of
+    them are held, so a stream of any life holds few on the driver and loses
+    none; without it they are all held."""
+
+    FLUSH = 500
+
+    def __init__(self, spark: SparkSession | None = None, path: str | None = None):
         self.events: list[tuple] = []
+        self.spark, self.path = spark, path
+
+    def _add(self, *event):
+        self.events.append(event)
+        if self.path and len(self.events) >= self.FLUSH:
+            self.flush()
+
+    def flush(self) -> None:
+        held, self.events = self.events, []
+        if held and self.path:
+            self.spark.createDataFrame(held, EVENTS).coalesce(1).write.mode("append").parquet(self.path)
+
+    def batch_started(self, batch_id: int) -> None:
+        self._add(None, int(batch_id), "started", None, None)
+
+    def batch_done(self, batch_id: int, rows: int) -> None:
+        self._add(None, int(batch_id), "progress", int(rows), None)
 
     def onQueryStarted(self, event):
         pass
 
     def onQueryProgress(self, event):
         p = event.progress
-        self.events.append((str(p.id), int(p.batchId), "progress", int(p.numInputRows), None))
+        self._add(str(p.id), int(p.batchId), "progress", int(p.numInputRows), None)
 
     def onQueryIdle(self, event):
         pass
 
     def onQueryTerminated(self, event):
-        status = "error" if event.exception else "done"
-        self.events.append((str(event.id), None, status, None, event.exception))
+        self._add(str(event.id), None, "error" if event.exception else "done", None, event.exception)
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.events, EVENTS)
+        if not self.path:
+            return spark.createDataFrame(self.events, EVENTS)
+        self.flush()
+        return spark.read.schema(EVENTS).parquet(self.path)
 
 
-def progress_frame(spark: SparkSession, query) -> DataFrame:
-    """Progress rows from a finished query's recent progress reports."""
+def progress_frame(spark: SparkSession, query, log: ProgressLog | None = None) -> DataFrame:
+    """Progress rows of a finished query: all of them from ``log``, if one
+    was kept; else from the query's recent reports, which Spark trims to the
+    last ``spark.sql.streaming.numRecentProgressUpdates``."""
+    if log is not None:
+        return log.frame(spark)
     rows = [(str(p["id"]), int(p["batchId"]), "progress", int(p["numInputRows"]), None)
             for p in query.recentProgress]
     exc = query.exception()

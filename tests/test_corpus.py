@@ -119,14 +119,34 @@ def test_question_source_and_cleanup(spark):  # S3, P9
     from evidentia.sources.questions import clean_questions, read_questions
     path = os.path.join(checkpoint_dir(spark), f"q-{uuid.uuid4().hex}.jsonl")
     with open(path, "w") as f:
-        for row in [{"qid": 1, "question": "  What is x? ", "expected_status": "answerable", "notes": "n"},
-                    {"qid": 2, "question": "   ", "expected_status": "unanswerable"},
-                    {"qid": 3, "question": "Why?", "expected_status": "partial", "extra": 1}]:
+        for row in [{"qid": "A1", "question": "  What is x? \n", "expected_status": "answerable", "notes": "n"},
+                    {"qid": "U1", "question": "\t\n", "expected_status": "unanswerable"},
+                    {"qid": "P1", "question": "Why?", "expected_status": "partial", "extra": 1}]:
             f.write(json.dumps(row) + "\n")
     q = read_questions(spark, path)
     assert q.columns == ["qid", "question", "expected_status", "notes"]
     got = {r.qid: r.question for r in clean_questions(q).collect()}
-    assert got == {1: "What is x?", 3: "Why?"}
+    assert got == {"A1": "What is x?", "P1": "Why?"}
+
+
+def test_question_file_with_string_ids_through_answer_and_evaluation(spark):  # S3, M7
+    import json
+    from evidentia.plans.answering import answer, evaluate
+    from evidentia.sources.corpus import hashed_corpus, paper_texts
+    from evidentia.sources.questions import clean_questions, read_questions
+    from evidentia.session import read_table
+    from tests.conftest import SF_SMALL
+    doc = read_table(spark, SF_SMALL, "documents").filter("length(text) > 500").orderBy("doc_id").first()
+    path = os.path.join(checkpoint_dir(spark), f"q-{uuid.uuid4().hex}.jsonl")
+    with open(path, "w") as f:
+        for qid, text, status in [("A1", doc.text[:400], "answerable"), ("U1", "zzz qqq xxx vvv?", "unanswerable")]:
+            f.write(json.dumps({"qid": qid, "question": text, "expected_status": status, "notes": ""}) + "\n")
+    a = answer(clean_questions(read_questions(spark, path)), hashed_corpus(spark, SF_SMALL).select("paper_id", "embedding"),
+               paper_texts(spark, SF_SMALL))
+    counts = {r.qid: r.claim_count for r in a.counts.collect()}
+    assert set(counts) == {"A1", "U1"} and counts["A1"] > 0 and counts["U1"] == 0
+    got = {r.qid: r.answerability_match for r in evaluate(a).results.collect()}
+    assert got == {"A1": True, "U1": True}
 
 
 def test_retrieve_by_ids(spark):  # P3, P4, F6 single-request form
@@ -139,3 +159,65 @@ def test_retrieve_by_ids(spark):  # P3, P4, F6 single-request form
     rows = retrieve_ids(ids, papers, ids_rows_bound=3).collect()
     assert [(r.paper_id, r.published_date) for r in rows] == [("a", "2024-01-02")]
     assert "embedding" not in rows[0].asDict()
+
+
+def test_failed_read_never_empties_the_table(spark, monkeypatch):  # S9
+    path = new_table(spark)
+    CO.upsert_table(spark, path, rows(spark, [str(i) for i in range(50)], "a", dt.datetime(2024, 1, 1)))
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        with monkeypatch.context() as m:
+            m.setattr(CO, "read_table_at", lambda *a: (_ for _ in ()).throw(OSError("store is away")))
+            with pytest.raises(OSError):
+                CO.upsert_table(spark, path, rows(spark, ["1"], "b", dt.datetime(2024, 1, 2)))
+        assert CO.read_table_at(spark, path).count() == 50
+        CO.create_table_if_absent(spark, path)
+        assert CO.read_table_at(spark, path).count() == 50
+        CO.upsert_table(spark, path, rows(spark, ["1", "x"], "b", dt.datetime(2024, 1, 2)))     # any session mode
+        assert CO.read_table_at(spark, path).count() == 51
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+
+
+def test_bucket_count_is_kept_with_the_table(spark):  # S5, P3
+    path = new_table(spark)
+    t = dt.datetime(2024, 1, 1)
+    CO.upsert_table(spark, path, rows(spark, [str(i) for i in range(200)], "a", t), buckets=8)
+    assert CO.table_buckets(spark, path) == 8
+    ids = spark.createDataFrame([(str(i),) for i in range(5)], "id string")
+    assert CO.read_ids(spark, path, ids).count() == 5
+    CO.upsert_table(spark, path, rows(spark, [str(i) for i in range(5)], "b", t))
+    got = CO.read_table_at(spark, path)
+    assert got.count() == 200 == got.select("id").distinct().count()
+    with pytest.raises(CO.BucketCountError):
+        CO.upsert_table(spark, path, rows(spark, ["1"], "b", t), buckets=16)
+    assert CO.clear_counts(spark, path).first().asDict() == {"rows_before": 200, "deleted_rows": 200, "rows_after": 0}
+    assert CO.table_buckets(spark, path) == 8
+    assert CO.buckets_for(10) == 64 and CO.buckets_for(10 ** 9) == 500
+
+
+def test_upsert_removes_its_staging(spark):  # S4
+    held = checkpoint_dir(spark).replace("file:", "")
+    staged = lambda: [d for d in os.listdir(held) if d.startswith(("staging-", "merged-"))]
+    before = staged()
+    CO.upsert_table(spark, new_table(spark), rows(spark, ["1", "2"], "a", dt.datetime(2024, 1, 1)))
+    assert staged() == before
+
+
+def test_checkpoint_folder_must_be_shared_on_a_cluster(spark, monkeypatch):
+    from evidentia import session as SE
+
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+    with pytest.raises(SE.NoSharedFolderError):
+        SE.checkpoint_dir(Session())

@@ -82,6 +82,28 @@ def test_stream_upsert_progress(spark):
     assert sum(e.input_rows or 0 for e in ev if e.status == "progress") == 10
 
 
+def test_progress_log_on_the_upsert_stream_loses_nothing(spark):  # R2
+    """The log is told by the stream itself; beyond what it holds, it writes."""
+    import datetime as dt
+    from evidentia.schemas import PAPERS
+    from evidentia.streaming.ingest import start_stream_upsert
+    from evidentia.streaming.progress import ProgressLog
+    base = os.path.join(checkpoint_dir(spark), f"pl-{uuid.uuid4().hex}")
+    src = spark.createDataFrame([(str(i), "t", "a", dt.date(2024, 1, 1), f"x{i}", "u", None, dt.datetime(2024, 1, 1))
+                                 for i in range(5)], PAPERS)
+    for _ in range(3):
+        src.unionByName(src).coalesce(1).write.mode("append").parquet(os.path.join(base, "src"))     # repeats keys
+    log = ProgressLog(spark, os.path.join(base, "log"))
+    log.FLUSH = 2
+    q = start_stream_upsert(spark, os.path.join(base, "src"), os.path.join(base, "table"), os.path.join(base, "ck"),
+                            files_per_trigger=1, listener=log)
+    q.awaitTermination()
+    assert q.exception() is None and len(log.events) < 2
+    got = sorted((r.batch_id, r.status, r.input_rows) for r in log.frame(spark).collect())
+    assert [x for x in got if x[1] == "progress"] == [(i, "progress", 5) for i in range(3)]
+    assert [x for x in got if x[1] == "started"] == [(i, "started", None) for i in range(3)]
+
+
 FEED = """<?xml version="1.0" encoding="UTF-8"?>
 <feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom">
   <entry>
@@ -240,10 +262,12 @@ def test_batch_ingest_job(spark):  # S2 -> P1 -> T3 -> M1 -> S5 -> S11, E3, E4,
     with open(os.path.join(base, "feeds", "a.xml"), "w") as f:
         f.write(FEED)
     table = os.path.join(base, "table")
-    s = ingest(spark, os.path.join(base, "feeds"), table).first()
+    off = ingest(spark, os.path.join(base, "feeds"), table).first()                # no predicate: the default topic
+    assert (off.fetched, off.affected, off.total_rows) == (0, 0, None)
+    s = ingest(spark, os.path.join(base, "feeds"), table, predicate="true", max_results=None).first()
     assert (s.fetched, s.affected, s.total_rows) == (2, 2, 2) and s.tokens > 0
     assert s.cost_usd == round(s.tokens / 1e6 * 0.15, 4)
-    s2 = ingest(spark, os.path.join(base, "feeds"), table, max_results=1).first()   # newest only, idempotent
+    s2 = ingest(spark, os.path.join(base, "feeds"), table, predicate="true", max_results=1).first()   # newest only, idempotent
     assert (s2.fetched, s2.affected, s2.total_rows) == (1, 1, 2)
     none = ingest(spark, os.path.join(base, "feeds"), table, predicate="array_contains(categories, 'q-bio')").first()
     assert (none.fetched, none.affected, none.total_rows) == (0, 0, None)                   # E4

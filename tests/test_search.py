@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidentia.operators.ivf import ivf_knn
+from evidentia.operators.ivf import ivf_knn, recall
 from evidentia.operators.search import knn, search_one, vector_health
 
 
@@ -71,18 +71,54 @@ def test_search_one(spark, data):
     assert [r.paper_id for r in search_one(one, corpus, 5).orderBy("rank").collect()] == brute(Q, D, ids, 5)[3]
 
 
-@pytest.mark.parametrize("nprobe,max_members,max_queries", [(1, 20000, 2000), (3, 20000, 2000), (2, 7, 3)])
-def test_ivf_exact(spark, data, nprobe, max_members, max_queries):
-    """Exact for any nprobe, and with lists cut into a grid of tiny cells
-    (hot-list splitting) the answer does not change."""
+@pytest.mark.parametrize("max_members,max_queries", [(20000, 2000), (7, 3)])
+def test_ivf_over_all_lists_is_exact(spark, data, max_members, max_queries):
+    """Looking into every list is exact, also with lists cut into tiny cells."""
     Q, D, ids, corpus, queries = data
     got = {}
-    res = ivf_knn(queries, corpus, 5, nlists=6, nprobe=nprobe, max_members=max_members, max_queries=max_queries)
+    res = ivf_knn(queries, corpus, 5, nlists=6, nprobe=6, max_members=max_members, max_queries=max_queries)
     for r in res.orderBy("qid", "rank").collect():
         got.setdefault(r.qid, []).append(r.paper_id)
     assert got == brute(Q, D, ids, 5)
 
 
+def test_ivf_approximate_mode_reports_its_recall(spark, data):
+    Q, D, ids, corpus, queries = data
+    exact = knn(queries, corpus, 5)
+    few = recall(ivf_knn(queries, corpus, 5, nlists=6, nprobe=1), exact).first()
+    most = recall(ivf_knn(queries, corpus, 5, nlists=6, nprobe=5), exact).first()
+    assert few.expected == 100 and 0 < few.recall <= most.recall <= 1.0 and most.recall >= 0.9
+
+
+BAD = [("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 0.0]), ("d", [1.0, 2.0, 3.0]), ("e", [0.0, 1.0]),
+       ("f", [float("nan"), 1.0]), ("g", [float("inf"), 1.0])]
+
+
+@pytest.mark.parametrize("bound", [1 << 20, 0])
+def test_both_paths_follow_the_same_rules(spark, bound):
+    """Wrong length, NaN, infinite, zero and null vectors on either side; ids as strings."""
+    corpus = spark.createDataFrame(BAD, "paper_id string, embedding array<double>")
+    q = spark.createDataFrame([("A1", [1.0, 0.1]), ("P1", [float("nan"), 0.0]), ("U1", None), ("Z", [0.0, 0.0])],
+                              "qid string, embedding array<double>")
+    got = [(r.qid, r.rank, r.paper_id) for r in knn(q, corpus, 5, max_block_bytes=bound).orderBy("qid", "rank").collect()]
+    assert got == [("A1", 1, "a"), ("A1", 2, "e")]
+    mixed = spark.createDataFrame([(1, [1.0, 0.1]), (2, [1.0])], "qid long, embedding array<double>")
+    with pytest.raises(ValueError, match="different lengths"):
+        knn(mixed, corpus, 5, max_block_bytes=bound)
+    none = spark.createDataFrame([], "qid long, embedding array<double>")
+    assert knn(none, corpus, 5, max_block_bytes=bound).collect() == []
+    assert knn(q, corpus.limit(0), 5, max_block_bytes=bound).collect() == []
+
+
+def test_search_one_takes_one_query(spark, data):
+    from evidentia.operators.search import OneQueryError
+    Q, D, ids, corpus, queries = data
+    with pytest.raises(OneQueryError):
+        search_one(queries.limit(2), corpus, 5)
+    with pytest.raises(OneQueryError):
+        search_one(queries.limit(0), corpus, 5)
+
+
 def test_mixed_embedders_refused(spark):  # E23
     from evidentia.operators.search import MixedEmbeddersError
     c = spark.createDataFrame([("a", [1.0, 0.0], "m1"), ("b", [0.0, 1.0], "m2")],

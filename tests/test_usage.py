@@ -21,11 +21,11 @@ def test_billed_output_nulls(spark):  # F10
 
 
 def test_orchestrator_row(spark):  # A9, E20
-    turns = spark.createDataFrame([(1, 0, 10, None), (1, 1, None, 5), (2, 0, 0, 0)],
-                                  "run_id long, turn long, prompt_tokens long, output_tokens long")
+    turns = spark.createDataFrame([(1, 0, False, 10, None), (1, 1, True, None, 5), (2, 0, True, 0, 0)],
+                                  "run_id long, turn long, model_turn boolean, prompt_tokens long, output_tokens long")
     rows = {r.run_id: r for r in U.orchestrator_usage(turns, pricing_frame(spark)).collect()}
     assert set(rows) == {1}                                  # all-zero run emits nothing
-    assert (rows[1].input_tokens, rows[1].output_tokens, rows[1].model_turns) == (10, 5, 2)
+    assert (rows[1].input_tokens, rows[1].output_tokens, rows[1].model_turns) == (10, 5, 1)
     assert rows[1].latency_ms == 0.0
 
 
@@ -39,7 +39,7 @@ def test_cost_ratio_infinity(spark):  # E22, T5
 
 
 def test_authoritative_answer_precedence(spark):  # T6, E19
-    conv = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "ans"), (1, 2, "assistant", "  "),
+    conv = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "ans"), (1, 2, "assistant", "\t\n"),
                                   (2, 0, "user", "only user"), (3, 0, "system", "sys")],
                                  "conv_id long, turn long, role string, text string")
     got = {r.conv_id: (r.answer_source, r.answer) for r in
@@ -88,3 +88,33 @@ def test_step_trace_no_model_rows(spark):  # E21, U3
     md = {r.qid: r.final_markdown for r in a.answers.collect()}
     from evidentia.operators.guardrail import EMPTY_ANSWER
     assert md == {1: EMPTY_ANSWER, 2: EMPTY_ANSWER}
+
+
+def test_row_numbers_with_many_slices_and_null_keys(spark):  # W3
+    """As many slices as a cluster has shuffle partitions; null keys; equal to a plain window."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.lit(None)).otherwise(F.col("id") % 5).alias("run_id"),
+                                  F.pmod(F.xxhash64("id"), F.lit(997)).alias("ts"), F.col("id").alias("event_id"))
+    got = U.skew_safe_row_number(df, "run_id", ["ts", "event_id"], "seq", slices=2000)
+    w = Window.partitionBy("run_id").orderBy("ts", "event_id")
+    want = df.withColumn("seq", F.row_number().over(w).cast("long"))
+    assert sorted(got.select("event_id", "seq").collect()) == sorted(want.select("event_id", "seq").collect())
+
+
+def test_usage_stream_counts_late_files(spark):  # R3
+    """Files out of order, one per batch: the stream equals the batch rollup."""
+    import os
+    import uuid
+    from pyspark.sql import functions as F
+    from evidentia.session import checkpoint_dir, read_table
+    from evidentia.streaming.usage import usage_by_day_stream
+    from tests.conftest import SF_SMALL
+    ev = read_table(spark, SF_SMALL, "events")
+    path = os.path.join(checkpoint_dir(spark), f"late-{uuid.uuid4().hex}")
+    for part in (3, 0, 2, 1):
+        cut = F.ntile(4).over(__import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(F.desc("ts"))) - 1
+        ev.withColumn("part", cut).filter(F.col("part") == part).drop("part").coalesce(1).write.mode("append").parquet(path)
+    got = usage_by_day_stream(spark, path, files_per_trigger=1)
+    want = U.usage_by_day(U.priced(U.events_as_usage(ev), pricing_frame(spark)))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
