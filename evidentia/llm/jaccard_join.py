@@ -11,13 +11,17 @@ to compare:
   bound on its own frequency); one whose rarest word occurs once has no
   other document and no region.
 * In each region, documents are chosen as pivots and every member is
-  compared with them. Members within the radius are linked. Each member
-  belongs to the Voronoi cell of its nearest pivot, those far from all
-  pivots to the rest; by the triangle inequality a near pair of two cells
-  has each member inside a window around the other's pivot, and so boundary
-  members are replicated. Cells are split in the same way, with new pivots.
-* A cell whose members are connected already, or whose own members have all
-  been pivots, is done.
+  compared with them. Members within the radius are linked.
+* A region of many members that one pivot did not join up is split: each
+  member belongs to the Voronoi cell of its nearest pivot, those far from
+  all pivots to the rest; by the triangle inequality a near pair of two
+  cells has each member inside a window around the other's pivot, and so
+  boundary members are replicated. Cells are split in the same way, with
+  new pivots; small ones go on with further pivots until all have met.
+* A region whose members are connected already, or whose own members have
+  all been pivots, is done.
+
+Sets travel as 40 bits a shingle, and only those of documents in a region.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from evidentia.llm.bloom import blocks_for, possible
 from evidentia.llm.components import components
 from evidentia.llm.rarity import SLOTS, word_levels
 from evidentia.llm.words import blocks, byte_tables, lists, mix, shingles, signed, words
@@ -35,8 +40,11 @@ from evidentia.session import cut_lineage
 
 WORDS = 5
 PERCENT = 80                   # similarity in percent: whole numbers keep the bound exact
-PIVOTS = 16                    # pivots of a cell per round
+PIVOTS = 64                    # pivots of a region per round
+LEAF = 256                     # regions of more members are dealt into cells by distance
+NO_ID = -(1 << 63)             # stands for a null id where keys are hashed
 _TOP = np.uint64(56)
+_SHORT = np.uint64((1 << 40) - 1)
 
 
 def ranked_sets(w, rows: int, level, k: int):
@@ -83,57 +91,91 @@ def prefixes(key, row, ptr, percent: int):
 
 
 def set_bytes(key, ptr, use) -> pa.Array:
-    raw = key.tobytes()
-    return pa.array([raw[8 * ptr[i]:8 * ptr[i + 1]] if use[i] else None for i in range(len(ptr) - 1)], type=pa.binary())
+    """The numbers of each wanted row's set, five bytes each (40 of their
+    hash bits), sorted by value."""
+    out = []
+    for i in range(len(ptr) - 1):
+        if use[i]:
+            v = np.sort(key[ptr[i]:ptr[i + 1]] & _SHORT)
+            out.append(v.view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
+        else:
+            out.append(None)
+    return pa.array(out, type=pa.binary())
+
+
+def _numbers(raw) -> np.ndarray:
+    five = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, 5)
+    eight = np.zeros((len(five), 8), np.uint8)
+    eight[:, :5] = five
+    return eight.view(np.uint64).ravel()
 
 
 def _describe(levels, k: int, percent: int):
-    """Per document: id, number of shingles, 128-bit name of the set, keys of
-    its regions, and the whole set if it has any region."""
+    """Per document: id, number of shingles, 128-bit name of the set, and the
+    numbers and places of its regions."""
     def run(batches):
         tables = byte_tables(True, True)
         for b in blocks(batches, "text"):
             key, row, ptr = ranked_sets(words(b.column(1), tables), b.num_rows, levels.value, k)
-            sig, sig_ptr, _ = prefixes(key, row, ptr, percent)
+            sig, sig_ptr, place = prefixes(key, row, ptr, percent)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), pa.array(np.diff(ptr).astype(np.int64)), set_names(key, ptr),
-                 lists(signed(sig), sig_ptr, pa.int64()), set_bytes(key, ptr, np.diff(sig_ptr) > 0)],
-                names=["doc_id", "n", "node", "sig", "keys"])
+                 lists(signed(sig), sig_ptr, pa.int64()), lists(place.astype(np.int32), sig_ptr, pa.int32())],
+                names=["doc_id", "n", "name", "sig", "place"])
+    return run
+
+
+def _sets(levels, k: int):
+    """Names and whole sets of documents."""
+    def run(batches):
+        tables = byte_tables(True, True)
+        for b in blocks(batches, "text"):
+            key, _, ptr = ranked_sets(words(b.column(1), tables), b.num_rows, levels.value, k)
+            yield pa.RecordBatch.from_arrays([b.column(0), set_names(key, ptr), set_bytes(key, ptr, np.diff(ptr) > 0)],
+                                             names=["doc_id", "name", "keys"])
     return run
 
 
 def _common(batches):
     for b in batches:
         ka, kb = b.column(4), b.column(5)
-        common = [len(np.intersect1d(np.frombuffer(ka[i].as_buffer(), np.uint64), np.frombuffer(kb[i].as_buffer(), np.uint64),
-                                     assume_unique=True)) for i in range(b.num_rows)]
+        common = [len(np.intersect1d(_numbers(ka[i]), _numbers(kb[i]), assume_unique=True)) for i in range(b.num_rows)]
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(common, pa.int64())],
                                          names=["a", "b", "na", "nb", "common"])
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Exact sizes of the intersections of ``pairs`` (a, b, na, nb), a < b."""
+def _compare(pairs: DataFrame, sets: DataFrame, node: str = "long") -> DataFrame:
+    """Exact sizes of the intersections of ``pairs`` (a, b, na, nb). Only the
+    sets that a pair may ask for are shuffled."""
+    pairs = cut_lineage(pairs, "pairs")
+    n = pairs.count()
+    if not n:
+        return sets.sparkSession.createDataFrame([], f"a {node}, b {node}, na long, nb long, common long, whole long")
+    both = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+    sets = possible(sets, F.col("node"), both, blocks_for(2 * n))
     left = sets.select(F.col("node").alias("a"), F.col("keys").alias("ka"))
     right = sets.select(F.col("node").alias("b"), F.col("keys").alias("kb"))
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ka", "kb")
-    got = both.mapInArrow(_common, "a binary, b binary, na long, nb long, common long")
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ka", "kb")
+    got = met.mapInArrow(_common, f"a {node}, b {node}, na long, nb long, common long")
     return cut_lineage(got.withColumn("whole", F.col("na") + F.col("nb") - F.col("common")), "distances")
 
 
-def _pairs(members: DataFrame, pivots: DataFrame, percent: int, leaf_only: bool) -> DataFrame:
-    """Distinct pairs (a < b) of members and pivots of their region. Sizes
-    bound the distance from below: where only links matter, pairs that are
-    connected already or whose sizes rule out a link are left out; where the
-    distances deal out cells, those whose sizes put the member beyond every
-    window."""
+def _pairs(members: DataFrame, pivots: DataFrame, percent: int, links_only: bool) -> DataFrame:
+    """Distinct pairs (a < b) of members and pivots of their region. Where
+    only links matter, pairs are left out that are connected already, whose
+    sizes rule a link out, or whose shared shingle, were it the first one,
+    stands too far back in either (a linked pair passes at its first). Where
+    distances deal out cells, only those are left out whose sizes put the
+    member beyond every window."""
     p = pivots.select(F.col("region").alias("p_region"), F.col("node").alias("pivot"), F.col("n").alias("pn"),
-                      F.col("root").alias("p_root"))
+                      F.col("place").alias("p_place"), F.col("root").alias("p_root"))
     j = members.join(p, F.col("region") == F.col("p_region")).filter("node <> pivot")
-    if leaf_only:
-        j = j.filter("root <> p_root")
     small, large = F.least("n", "pn"), F.greatest("n", "pn")
-    bound = percent if leaf_only else max(0, 100 - 4 * (100 - percent))
+    bound = percent if links_only else max(0, 100 - 4 * (100 - percent))
     j = j.filter(small * 100 >= large * bound)
+    if links_only:
+        most = F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("p_place"))
+        j = j.filter("root <> p_root").filter(most * (100 + percent) >= (F.col("n") + F.col("pn")) * percent)
     first = F.col("node") < F.col("pivot")
     return j.select(F.when(first, F.col("node")).otherwise(F.col("pivot")).alias("a"),
                     F.when(first, F.col("pivot")).otherwise(F.col("node")).alias("b"),
@@ -163,21 +205,21 @@ def _cells(members: DataFrame, pivots: DataFrame, dist: DataFrame, percent: int)
         F.col("region").alias("b_region"), F.col("node").alias("b_node"), "best")
     m = stay.join(best, (F.col("region") == F.col("b_region")) & (F.col("node") == F.col("b_node")), "left")
     home = F.when(F.col("best.d") < 3 * e, F.col("best.pivot"))
-    own = m.select(F.when(home.isNull(), F.xxhash64("region")).otherwise(F.xxhash64("region", home)).alias("cell"), "node", "n", "owner")
+    own = m.select(F.when(home.isNull(), F.xxhash64("region")).otherwise(F.xxhash64("region", home)).alias("cell"), "node", "n", "place", "owner")
     far = F.least(F.col("best.d") + 2 * e, F.lit(4 * e)) + 1e-9
     copies = m.join(near.select(F.col("region").alias("n_region"), F.col("node").alias("n_node"),
                                 F.col("pivot").alias("other"), F.col("d").alias("other_d")),
                     (F.col("region") == F.col("n_region")) & (F.col("node") == F.col("n_node")))
     copies = copies.filter((F.col("other_d") <= F.when(home.isNull(), F.lit(4 * e + 1e-9)).otherwise(far))
                            & (home.isNull() | (F.col("other") != home)))
-    copies = copies.select(F.xxhash64("region", "other").alias("cell"), "node", "n", F.lit(False).alias("owner"))
+    copies = copies.select(F.xxhash64("region", "other").alias("cell"), "node", "n", "place", F.lit(False).alias("owner"))
     edge = m.filter(home.isNotNull() & (F.col("best.d") >= 2 * e - 1e-9)).select(
-        F.xxhash64("region").alias("cell"), "node", "n", F.lit(False).alias("owner"))
+        F.xxhash64("region").alias("cell"), "node", "n", "place", F.lit(False).alias("owner"))
     return own.unionByName(copies).unionByName(edge).withColumnRenamed("cell", "region")
 
 
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS,
-                    percent: int = PERCENT, pivots: int = PIVOTS, slots: int = SLOTS) -> DataFrame:
+                    percent: int = PERCENT, pivots: int = PIVOTS, leaf: int = LEAF, slots: int = SLOTS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
     Sets are the distinct ``k``-word shingles (A-Z lower-cased) of the whole
@@ -191,28 +233,36 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     levels = word_levels(docs, text_col, True, slots)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    all_rows = cut_lineage(src.mapInArrow(_describe(levels, k, percent),
-                                          "doc_id long, n long, node binary, sig array<long>, keys binary"), "sets")
-    # one row per distinct set that has regions; equal sets have equal keys, so any of them will do
-    named = all_rows.filter("keys is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sig").alias("sig"))
-    spread = named.select("node", "n", F.explode("sig").alias("region"))
-    shared = spread.groupBy("region").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(
-        F.col("region").alias("s_region"))
-    members = cut_lineage(spread.join(shared, F.col("region") == F.col("s_region"), "left_semi")
-                          .withColumn("owner", F.lit(True)), "regions")
-    needed = members.select(F.col("node").alias("need")).distinct()
-    sets = all_rows.filter("keys is not null").join(needed, F.col("node") == F.col("need"), "left_semi")
-    sets = cut_lineage(sets.select("node", "keys").groupBy("node").agg(F.first("keys").alias("keys")), "needed-sets")
-
-    links, roots, wide = None, None, 1
+    described = src.mapInArrow(_describe(levels, k, percent), "doc_id long, n long, name binary, sig array<long>, place array<int>")
+    # a class is known by the row number of one of its rows, fixed once written
+    rows = cut_lineage(described.withColumn("row", F.monotonically_increasing_id()), "sets")
+    classes = cut_lineage(rows.groupBy("name").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "classes")
+    heads = rows.filter(F.size("sig") > 0).join(
+        classes.select(F.col("node").alias("c_node")), F.col("row") == F.col("c_node"), "left_semi")
+    spread = heads.select(F.col("row").alias("node"), "n", F.explode(F.arrays_zip("sig", "place")).alias("x")).select(
+        "node", "n", F.col("x.sig").alias("region"), F.col("x.place").alias("place"))
+    shared = cut_lineage(spread.groupBy("region").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(
+        F.col("region").alias("key")), "shared")
+    members = possible(spread, F.col("region"), shared).join(
+        shared, F.col("region") == F.col("key"), "left_semi").withColumn("owner", F.lit(True))
+    members = cut_lineage(members, "regions")
+    # whole sets, only of the documents that stand in a region
+    needed = cut_lineage(heads.select("row", "doc_id", "name").join(
+        members.select(F.col("node").alias("m_node")).distinct(), F.col("row") == F.col("m_node"), "left_semi").select(
+        F.col("row").alias("node"), F.col("doc_id").alias("n_id"), F.col("name").alias("n_name")), "needed")
+    asked = possible(src.withColumn("id_key", F.coalesce("doc_id", F.lit(NO_ID))), F.col("id_key"),
+                     needed.select(F.coalesce("n_id", F.lit(NO_ID)).alias("key"))).select("doc_id", "text")
+    sets = asked.mapInArrow(_sets(levels, k), "doc_id long, name binary, keys binary").join(
+        needed, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("name") == F.col("n_name")))
+    sets = cut_lineage(sets.select("node", "keys"), "needed-sets")
+
+    roots, wide = None, 1
     while True:
-        m = members
         if roots is None:
-            m = m.withColumn("root", F.col("node"))
+            m = members.withColumn("root", F.col("node"))
         else:
             r = roots.select(F.col("node").alias("r_node"), F.col("root").alias("r_root"))
-            m = m.join(r, F.col("node") == F.col("r_node"), "left").withColumn(
+            m = members.join(r, F.col("node") == F.col("r_node"), "left").withColumn(
                 "root", F.coalesce("r_root", "node")).drop("r_node", "r_root")
         open_ = m.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                                         F.count(F.when(F.col("owner"), 1)).alias("owners")).filter("lo <> hi and owners > 0")
@@ -220,30 +270,36 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                F.col("region") == F.col("o_region")).drop("o_region"), "open-regions")
         if not m.take(1):
             break
-        turn = F.row_number().over(W.partitionBy("region").orderBy("node"))
-        chosen = m.filter("owner").withColumn("turn", turn).filter(F.col("turn") <= wide).drop("turn")
+        # the first round asks only for links to one pivot, which joins up most regions
+        crowded = (F.col("owners") > leaf) if roots is not None else F.lit(False)
+        # members of the region's smaller components first: once they have met all others, one component is left
+        alike = F.count(F.lit(1)).over(W.partitionBy("region", "root")) if roots is not None else F.lit(1)
+        turn = F.row_number().over(W.partitionBy("region").orderBy("alike", F.xxhash64("node"), "node"))
+        chosen = m.filter("owner").withColumn("alike", alike).withColumn("turn", turn).filter(
+            F.col("turn") <= wide).drop("turn", "alike")
         chosen = cut_lineage(chosen, "pivots")
-        leaf = F.col("owners") <= wide
-        todo = _pairs(m.filter(leaf), chosen.filter(leaf), percent, True).unionByName(
-            _pairs(m.filter(~leaf), chosen.filter(~leaf), percent, False)).distinct()
+        todo = _pairs(m.filter(~crowded), chosen.filter(~crowded), percent, True).unionByName(
+            _pairs(m.filter(crowded), chosen.filter(crowded), percent, False)).distinct()
         dist = _compare(todo, sets)
         new = dist.filter(F.col("common") * 100 >= F.col("whole") * percent).select("a", "b")
-        links = new if links is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)
-        roots = cut_lineage(components(links), "roots")
-        members = cut_lineage(_cells(m.filter(~leaf).select("region", "node", "n", "owner"), chosen.filter(~leaf), dist, percent),
-                              "cells")
+        if roots is None or new.take(1):
+            links = new if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)
+            roots = cut_lineage(components(links), "roots")
+        plain = m.filter(~crowded).join(chosen.select(F.col("region").alias("p_region"), F.col("node").alias("p_node")),
+                                        (F.col("region") == F.col("p_region")) & (F.col("node") == F.col("p_node")), "left_anti")
+        cells = _cells(m.filter(crowded).select("region", "node", "n", "place", "owner"), chosen.filter(crowded), dist, percent)
+        members = plain.select("region", "node", "n", "place", "owner").unionByName(cells.select(
+            "region", "node", "n", "place", "owner"))
+        members = cut_lineage(members, "cells")
         wide = pivots
-    ids = all_rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     if roots is None:
-        found = ids.select("node", F.col("first_id").alias("component_id"))
+        found = classes.select(F.col("name").alias("f_name"), F.col("first_id").alias("component_id"))
     else:
         r = roots.select(F.col("node").alias("r_node"), "root")
-        ids = ids.join(r, F.col("node") == F.col("r_node"), "left").withColumn("root", F.coalesce("root", "node"))
-        names = ids.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "c_root")
-        found = ids.join(names, F.col("root") == F.col("c_root")).select("node", "component_id")
-    found = found.withColumnRenamed("node", "f_node")
-    rows = all_rows.select("doc_id", F.col("n").alias("n_shingles"), "node")
-    out = rows.join(found, F.col("node") == F.col("f_node"), "left")
+        c = classes.join(r, F.col("node") == F.col("r_node"), "left").withColumn("root", F.coalesce("root", "node"))
+        names = c.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "c_root")
+        found = c.join(names, F.col("root") == F.col("c_root")).select(F.col("name").alias("f_name"), "component_id")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "name").join(found, F.col("name") == F.col("f_name"))
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(
         F.coalesce("component_id", "doc_id")).alias("component_id"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from evidentia.llm.bloom import bit_table, in_table, possible
 from evidentia.llm.jaccard_join import _compare, prefixes, ranked_sets, set_bytes, set_names
 from evidentia.llm.rarity import SLOTS, word_levels
 from evidentia.llm.words import Words, blocks, byte_tables, lists, signed, words
@@ -19,7 +20,8 @@ WORDS = 5
 PERCENT = 80
 STEPS = (1, 16, 256, None)     # earliest lines of a token that later ones meet, step by step; last: all
 LAST_ID = (1 << 63) - 1
-_LINES = "line array<int>, node array<binary>, n array<long>, sig array<array<long>>, place array<array<int>>, keys array<binary>"
+_LINES = ("doc_id long, name binary, n_lines long, sha string, line array<int>, node array<binary>, tag array<long>, "
+          "n array<long>, sig array<array<long>>, place array<array<short>>")
 
 
 def _by_line(w: Words, first_byte: np.ndarray, rows: int):
@@ -32,34 +34,60 @@ def _by_line(w: Words, first_byte: np.ndarray, rows: int):
     return Words(line, w.start, w.end, w.hash, ptr, w.data), per_row, base
 
 
+def _line_words(col: pa.Array, tables):
+    """(texts as bytes, words by line, lines per row, first line per row)."""
+    col = col.cast(pa.large_string())
+    raw = [(t or "").encode("utf-8") for t in col.to_pylist()]
+    edge = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    return raw, *_by_line(words(col, tables), edge, len(raw))
+
+
+def _tags(names: pa.Array) -> np.ndarray:
+    """First eight bytes of each 128-bit name."""
+    return np.frombuffer(b"".join(x.as_py()[:8] for x in names), np.int64)
+
+
 def _describe(levels, k: int, percent: int):
+    """Per row: id, name and hash of the text, and of each line with words its
+    number, its set's name and size, and its prefix tokens with their places."""
     def run(batches):
         tables = byte_tables(True, True)
         for b in blocks(batches, "text"):
-            col = b.column(1).cast(pa.large_string())
-            texts = [t if t is not None else "" for t in col.to_pylist()]
-            raw = [t.encode("utf-8") for t in texts]
-            edge = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
-            w, per_row, base = _by_line(words(col, tables), edge, b.num_rows)
+            raw, w, per_row, base = _line_words(b.column(1), tables)
             key, row, ptr = ranked_sets(w, int(base[-1]), levels.value, k)
             sig, sig_ptr, place = prefixes(key, row, ptr, percent)
             n = np.diff(ptr)
             full = np.flatnonzero(n > 0)                 # blank lines take no part
             owner = np.searchsorted(base, full, side="right") - 1
-            out_ptr = np.searchsorted(owner, np.arange(b.num_rows + 1))
             names = set_names(key, ptr).take(pa.array(full))
             sigs = lists(signed(sig), sig_ptr, pa.int64()).take(pa.array(full))
-            places = lists(place.astype(np.int32), sig_ptr, pa.int32()).take(pa.array(full))
-            keys = set_bytes(key, ptr, np.diff(sig_ptr) > 0).take(pa.array(full))
-            off = pa.array(out_ptr.astype(np.int32))
+            places = lists(np.minimum(place, 32767).astype(np.int16), sig_ptr, pa.int16()).take(pa.array(full))
+            off = pa.array(np.searchsorted(owner, np.arange(b.num_rows + 1)).astype(np.int32))
             wrap = lambda values: pa.ListArray.from_arrays(off, values)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([hashlib.md5(t).digest() for t in raw], pa.binary()),
                  pa.array([int(c) if t else 0 for c, t in zip(per_row, raw)], pa.int64()),
-                 pa.array([hashlib.sha256(t).hexdigest() for t in raw]),
-                 wrap(pa.array((full - base[owner]).astype(np.int32))), wrap(names), wrap(pa.array(n[full].astype(np.int64))),
-                 wrap(sigs), wrap(places), wrap(keys)],
-                names=["doc_id", "name", "n_lines", "sha", "line", "node", "n", "sig", "place", "keys"])
+                 pa.array([hashlib.sha256(t).hexdigest() for t in raw], pa.string()),
+                 wrap(pa.array((full - base[owner]).astype(np.int32))), wrap(names), wrap(pa.array(_tags(names))),
+                 wrap(pa.array(n[full].astype(np.int64))), wrap(sigs), wrap(places)],
+                names=["doc_id", "name", "n_lines", "sha", "line", "node", "tag", "n", "sig", "place"])
+    return run
+
+
+def _sets(levels, wanted, k: int):
+    """Whole sets of the lines whose tag may be wanted."""
+    def run(batches):
+        tables = byte_tables(True, True)
+        for b in blocks(batches, "text"):
+            _, w, _, base = _line_words(b.column(1), tables)
+            key, _, ptr = ranked_sets(w, int(base[-1]), levels.value, k)
+            tag = _tags(set_names(key, ptr)) if len(ptr) > 1 else np.zeros(0, np.int64)
+            use = (np.diff(ptr) > 0) & in_table(wanted.value, tag.view(np.uint64))
+            at = np.flatnonzero(use)
+            owner = np.searchsorted(base, at, side="right") - 1
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(owner)), pa.array((at - base[owner]).astype(np.int32)), pa.array(tag[at]),
+                 set_bytes(key, ptr, use).take(pa.array(at))], names=["doc_id", "line", "tag", "keys"])
     return run
 
 
@@ -130,31 +158,41 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     levels = word_levels(docs, text_col, True, slots)
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut_lineage(src.mapInArrow(_describe(levels, k, percent),
-                                      "doc_id long, name binary, n_lines long, sha string, " + _LINES), "lines")
-    x = F.explode(F.arrays_zip("line", "node", "n", "sig", "place", "keys")).alias("x")
+    rows = cut_lineage(src.mapInArrow(_describe(levels, k, percent), _LINES), "lines")
+    x = F.explode(F.arrays_zip("line", "node", "tag", "n", "sig", "place")).alias("x")
     lines = rows.select("doc_id", "name", x).select("doc_id", "name", "x.*")
     at = F.struct("doc_id", "line")
-    first = lines.groupBy("node").agg(F.min(at).alias("first"))
-    first = cut_lineage(first, "first-lines")
-    classes = lines.filter("keys is not null").select("doc_id", "line", "node", "n", "sig", "place", "keys").join(
-        first.select(F.col("node").alias("f_node"), "first"),
-        (F.col("node") == F.col("f_node")) & (at == F.col("first"))).dropDuplicates(["node"])
-    spread = classes.select("node", "n", "first", F.explode(F.arrays_zip("sig", "place")).alias("y")).select(
-        "node", "n", "first", F.col("y.sig").alias("token"), F.col("y.place").alias("place"))
-    shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(F.col("token").alias("s_token"))
-    members = cut_lineage(spread.join(shared, F.col("token") == F.col("s_token"), "left_semi"), "line-tokens")
-    needed = members.select(F.col("node").alias("need")).distinct()
-    sets = cut_lineage(classes.select("node", "keys").join(needed, F.col("node") == F.col("need"), "left_semi"), "line-sets")
+    first = lines.groupBy("node").agg(F.min(at).alias("first"), F.first("tag").alias("f_tag"), F.count(F.lit(1)).alias("rows"))
+    first = cut_lineage(first.select(F.col("node").alias("f_node"), "first", "f_tag", "rows").withColumn(
+        "cls", F.monotonically_increasing_id()), "first-lines")          # class numbers are fixed once written
+    heads = lines.filter(F.size("sig") > 0).select("doc_id", "line", "node", "n", "sig", "place").join(
+        first, (F.col("node") == F.col("f_node")) & (at == F.col("first")))
+    spread = heads.select(F.col("cls").alias("node"), "n", "first", F.explode(F.arrays_zip("sig", "place")).alias("y")).select(
+        "node", "n", "first", F.col("y.sig").alias("token"), F.col("y.place").cast("int").alias("place"))
+    shared = cut_lineage(spread.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(
+        F.col("token").alias("key")), "shared-tokens")
+    members = cut_lineage(possible(spread, F.col("token"), shared).join(
+        shared, F.col("token") == F.col("key"), "left_semi"), "line-tokens")
+    # whole sets, only of lines that share a token
+    needed = cut_lineage(first.join(members.select(F.col("node").alias("m_node")).distinct(),
+                                    F.col("cls") == F.col("m_node"), "left_semi").select(
+        F.col("cls").alias("node"), F.col("first.doc_id").alias("n_id"), F.col("first.line").alias("n_line"),
+        F.col("f_tag").alias("n_tag")), "needed-lines")
+    wanted = bit_table(needed.select(F.col("n_tag").alias("key")))
+    asked = possible(src, F.col("doc_id"), needed.select(F.col("n_id").alias("key")))
+    sets = asked.mapInArrow(_sets(levels, wanted, k), "doc_id long, line int, tag long, keys binary").join(
+        needed, (F.col("doc_id") == F.col("n_id")) & (F.col("line") == F.col("n_line")) & (F.col("tag") == F.col("n_tag")))
+    sets = cut_lineage(sets.select("node", "keys"), "line-sets")
     gone = _similar_later(members, sets, percent)
-    known = first.select(F.col("node").alias("f_node"), "first").join(
-        gone.select(F.col("node").alias("g_node")), F.col("f_node") == F.col("g_node"), "left").select(
-        "f_node", "first", F.col("g_node").isNotNull().alias("similar"))
-    removed = lines.select("doc_id", "name", "line", "node").join(known, F.col("node") == F.col("f_node")).filter(
-        F.col("similar") | (at > F.col("first")))
+    known = first.join(gone.select(F.col("node").alias("g_node")), F.col("cls") == F.col("g_node"), "left").select(
+        "f_node", "first", "rows", F.col("g_node").isNotNull().alias("similar")).filter("similar or rows > 1")
+    known = cut_lineage(known, "known-lines")
+    removed = possible(lines.select("doc_id", "name", "line", "node"), F.col("node"), known.select(F.col("f_node").alias("key")))
+    removed = removed.join(known, F.col("node") == F.col("f_node")).filter(F.col("similar") | (at > F.col("first")))
     removed = removed.groupBy("doc_id", "name").agg(F.collect_set("line").alias("gone"))
     removed = cut_lineage(removed.select(F.col("doc_id").alias("g_id"), F.col("name").alias("g_name"), "gone"), "removed-lines")
-    named = src.withColumn("text", F.coalesce("text", F.lit(""))).join(removed, F.col("doc_id") == F.col("g_id")).filter(
+    named = possible(src, F.col("doc_id"), removed.select(F.col("g_id").alias("key"))).withColumn(
+        "text", F.coalesce("text", F.lit(""))).join(removed, F.col("doc_id") == F.col("g_id")).filter(
         F.unhex(F.md5("text")) == F.col("g_name"))
     cut = named.select("doc_id", "text", F.col("g_name").alias("name"), "gone").dropDuplicates(["doc_id", "name"]).mapInArrow(
         _cut(keep_text), "r_id long, r_name binary, kept_sha256 string, kept_text string")

@@ -8,9 +8,10 @@ symbols but near their ends. With each symbol goes the stretch of words
 that decided it; a window that holds this whole stretch holds the symbol
 wherever the window occurs.
 
-Each window picks its rarest symbol of the highest round that it holds, and
-equal windows pick equal ones: windows whose symbol occurs in one document
-only cannot be repeated. The others' windows are compared.
+Each window picks the rarest of the symbol groups that it holds, from the
+highest round that gives any, and equal windows pick equal ones: windows
+whose pick occurs in one document only cannot be repeated. The others'
+windows are compared.
 """
 
 from __future__ import annotations
@@ -22,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evidentia.llm.bloom import bit_table, bloom, in_table, mark, possible
 from evidentia.llm.exact_dedup import normalised
 from evidentia.llm.rarity import SLOTS, word_levels
 from evidentia.llm.words import blocks, byte_tables, fold, lists, mix, shingles, signed, words
 from evidentia.session import cut_lineage
 
 WINDOW = 13
-ROUNDS = 2
 _TOP = np.uint64(56)
 LAST_ID = (1 << 63) - 1        # stands for a null id, which is larger than any other
 
@@ -67,19 +68,41 @@ def compress(sym, lo, hi, rare, row, salt: int):
     return p_sym[keep], p_lo[keep], p_hi[keep], p_rare[keep], r_row[keep]
 
 
-def picks(w, rare, window: int, rounds: int):
-    """(first word, hash, picked symbol) of every window of a block. The top
-    byte of the symbol is the rarity of its rarest word."""
+# which symbols make a pick: (round, consecutive symbols), the first that a window holds
+GROUPS = ((2, 3), (1, 4), (2, 2), (1, 2))
+
+
+def _group(state, size: int, salt: int):
+    """``size`` consecutive symbols of a row as one: (rank and hash in one
+    number, words [lo, hi) that decide it)."""
+    sym, lo, hi, rare, row = state
+    n = len(sym) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), lo[:0], hi[:0]
+    at = np.flatnonzero(row[size - 1:] == row[:n])
+    low = rare[at]
+    for j in range(1, size):
+        low = np.minimum(low, rare[at + j])
+    key = (low.astype(np.uint64) << _TOP) | (fold([sym[at + j] for j in range(size)], salt) >> np.uint64(8))
+    return key, lo[at], hi[at + size - 1]
+
+
+def picks(w, rare, window: int):
+    """(first word, hash, pick) of every window of a block that can be
+    repeated: one that holds a word which occurs nowhere else cannot. The top
+    byte of a pick is the rarity of its rarest word."""
     at, h = shingles(w, window, False)
+    ok = rare[at] > 0
+    for j in range(1, window):
+        ok &= rare[at + j] > 0
+    at, h = at[ok], h[ok]
     best = np.full(len(at), np.iinfo(np.uint64).max, dtype=np.uint64)
     open_ = np.ones(len(at), dtype=bool)
-    state = (w.hash, np.arange(len(w.hash)), np.arange(len(w.hash)) + 1, rare, w.row)
-    levels = []
-    for r in range(rounds):
-        state = compress(*state, r)
-        levels.append(state)
-    for r, (sym, lo, hi, rarity, _) in reversed(list(enumerate(levels))):
-        key = (rarity.astype(np.uint64) << _TOP) | (mix(sym + np.uint64(r + 1)) >> np.uint64(8))
+    levels = [(w.hash, np.arange(len(w.hash)), np.arange(len(w.hash)) + 1, rare, w.row)]
+    for r in range(max(g[0] for g in GROUPS)):
+        levels.append(compress(*levels[-1], r))
+    for r, size in GROUPS:
+        key, lo, hi = _group(levels[r], size, 100 * r + size)
         idx = np.flatnonzero(open_)
         if not len(idx) or not len(key):
             continue
@@ -91,7 +114,7 @@ def picks(w, rare, window: int, rounds: int):
             got[has] = np.minimum(got[has], key[first[has] + j])
         best[idx] = got
         open_[idx] = count <= 0
-    # a window without a symbol of its own (one long run) stands for itself
+    # a window without a group of its own (one long run) stands for itself
     best[open_] = (np.uint64(255) << _TOP) | (h[open_] >> np.uint64(8))
     return at, h, best
 
@@ -100,16 +123,26 @@ def _rare(w, level):
     return level[(w.hash & np.uint64(len(level) - 1)).astype(np.int64)]
 
 
-def _describe(levels, window: int, rounds: int):
+def _names(w, rows: int):
+    """Per row: its words joined by one space, and the 128-bit name of that."""
+    joined = [b" ".join(w.text(j) for j in range(w.ptr[i], w.ptr[i + 1])) for i in range(rows)]
+    return joined, [hashlib.md5(t).digest() for t in joined]
+
+
+def _tags(names) -> pa.Array:
+    return pa.array(np.frombuffer(b"".join(x[:8] for x in names), np.int64) if names else np.zeros(0, np.int64))
+
+
+def _describe(levels, window: int):
+    """Per row: id, name and tag of its words, their number, the hash of the
+    text if nothing goes, and its distinct picks."""
     def run(batches):
         tables = byte_tables(True, False)
         for b in blocks(batches, "text"):
             rows = b.num_rows
             w = words(b.column(1), tables)
-            at, _, pick = picks(w, _rare(w, levels.value), window, rounds)
+            at, _, pick = picks(w, _rare(w, levels.value), window)
             row = w.row[at]
-            shared = pick >> _TOP > 0       # else the rarest word occurs nowhere else
-            pick, row = pick[shared], row[shared]
             order = np.lexsort((pick, row))
             pick, row = pick[order], row[order]
             if len(pick):
@@ -117,36 +150,28 @@ def _describe(levels, window: int, rounds: int):
                 new[1:] = (pick[1:] != pick[:-1]) | (row[1:] != row[:-1])
                 pick, row = pick[new], row[new]
             ptr = np.searchsorted(row, np.arange(rows + 1))
-            names, shas = [], []
-            for i in range(rows):
-                joined = b" ".join(w.text(j) for j in range(w.ptr[i], w.ptr[i + 1]))
-                names.append(hashlib.md5(joined).digest())
-                shas.append(hashlib.sha256(joined).hexdigest())
+            joined, names = _names(w, rows)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(names, pa.binary()), pa.array(w.counts.astype(np.int64)), pa.array(shas),
-                 lists(signed(pick), ptr, pa.int64())], names=["doc_id", "name", "n_words", "sha", "picks"])
+                [b.column(0), pa.array(names, pa.binary()), _tags(names), pa.array(w.counts.astype(np.int64)),
+                 pa.array([hashlib.sha256(t).hexdigest() for t in joined], pa.string()), lists(signed(pick), ptr, pa.int64())],
+                names=["doc_id", "name", "tag", "n_words", "sha", "picks"])
     return run
 
 
-def _windows(levels, window: int, rounds: int):
+def _windows(levels, shared, window: int):
+    """Windows whose pick may be shared."""
     def run(batches):
         tables = byte_tables(True, False)
         for b in blocks(batches, "text"):
             w = words(b.column(1), tables)
-            at, h, pick = picks(w, _rare(w, levels.value), window, rounds)
+            at, h, pick = picks(w, _rare(w, levels.value), window)
+            mine = in_table(shared.value, pick)
+            at, h = at[mine], h[mine]
             row = w.row[at]
-            wanted = b.column(3)
-            if isinstance(wanted, pa.ChunkedArray):
-                wanted = wanted.combine_chunks()
-            flat = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            owner = np.repeat(np.arange(b.num_rows), np.diff(wanted.offsets.to_numpy()))
-            have = np.unique(mix(flat) + owner.astype(np.uint64))
-            mine = np.isin(mix(pick) + row.astype(np.uint64), have)
-            ids = b.column(0).take(pa.array(row[mine]))
-            names = b.column(2).take(pa.array(row[mine]))
+            tags = _tags(_names(w, b.num_rows)[1])
             yield pa.RecordBatch.from_arrays(
-                [ids, names, pa.array((at - w.ptr[w.row[at]])[mine].astype(np.int32)), pa.array(signed(h[mine]))],
-                names=["doc_id", "name", "start", "win"])
+                [b.column(0).take(pa.array(row)), tags.take(pa.array(row)), pa.array((at - w.ptr[row]).astype(np.int32)),
+                 pa.array(signed(h))], names=["doc_id", "tag", "start", "win"])
     return run
 
 
@@ -155,25 +180,30 @@ def _cut(window: int, keep_text: bool):
         tables = byte_tables(True, False)
         for b in blocks(batches, "text"):
             w = words(b.column(1), tables)
-            removed, shas, kept = [], [], []
-            starts = b.column(3)
+            tags = _tags(_names(w, b.num_rows)[1]).to_numpy()
+            ids, tagged, removed, shas, kept = [], [], [], [], []
             for i in range(b.num_rows):
+                if tags[i] != b.column(2)[i].as_py():
+                    continue                             # another row of the same id
                 n = int(w.ptr[i + 1] - w.ptr[i])
-                s = np.asarray(starts[i].values.to_numpy(zero_copy_only=False))
+                s = np.unique(b.column(3)[i].values.to_numpy(zero_copy_only=False))
                 depth = np.bincount(s, minlength=n + window) - np.bincount(s + window, minlength=n + window)[:n + window]
                 out = np.cumsum(depth)[:n] > 0
                 text = b" ".join(w.text(w.ptr[i] + j) for j in np.flatnonzero(~out))
+                ids.append(b.column(0)[i].as_py())
+                tagged.append(int(tags[i]))
                 removed.append(int(out.sum()))
                 shas.append(hashlib.sha256(text).hexdigest())
                 kept.append(text.decode("utf-8") if keep_text else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(removed, pa.int64()), pa.array(shas, pa.string()),
-                                              pa.array(kept, pa.string())],
-                                             names=["r_id", "r_name", "n_removed", "kept_sha256", "kept_text"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(tagged, pa.int64()), pa.array(removed, pa.int64()),
+                 pa.array(shas, pa.string()), pa.array(kept, pa.string())],
+                names=["r_id", "r_tag", "n_removed", "kept_sha256", "kept_text"])
     return run
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                   rounds: int = ROUNDS, slots: int = SLOTS, keep_text: bool = False) -> DataFrame:
+                   slots: int = SLOTS, keep_text: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256
     (and kept_text with ``keep_text``, words joined by one space).
 
@@ -182,7 +212,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged on the input. Texts of equal words are one class: all but its
     smallest id lose everything (if they hold a window at all), and only that
     one is compared, so large groups of copies cost nothing. Windows travel
-    as 64-bit hashes, and only those whose symbol occurs in several classes.
+    as 64-bit hashes, and only those whose pick several classes have. Texts
+    are read where they lie; only those that lose words are shuffled.
 
     Null text has no words; a null id counts as larger than any other, rows
     of one id never remove one another's words; no rows in, no rows out;
@@ -190,33 +221,36 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     levels = word_levels(docs, text_col, False, slots)
     src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = cut_lineage(src.mapInArrow(_describe(levels, window, rounds),
-                                      "doc_id long, name binary, n_words long, sha string, picks array<long>"), "picks")
-    first = rows.groupBy("name").agg(F.min("doc_id").alias("first_id"))
-    heads = rows.filter(F.size("picks") > 0).select("doc_id", "name", "picks").join(
-        first.select(F.col("name").alias("f_name"), "first_id"), (F.col("name") == F.col("f_name"))
-        & (F.col("doc_id") == F.col("first_id"))).select("doc_id", "name", F.explode("picks").alias("pick"))
-    shared = heads.groupBy("pick").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select(
-        F.col("pick").alias("s_pick"))
-    wanted = heads.join(shared, F.col("pick") == F.col("s_pick"), "left_semi").groupBy("doc_id", "name").agg(
-        F.collect_set("pick").alias("wanted"))
-    wanted = cut_lineage(wanted.select(F.col("doc_id").alias("w_id"), F.col("name").alias("w_name"), "wanted"), "shared-picks")
-    # of rows that share an id, only those of these words; repeated rows only repeat windows
-    texts = src.join(wanted, F.col("doc_id") == F.col("w_id")).filter(
-        F.unhex(F.md5(F.trim(normalised(F.col("text"))))) == F.col("w_name")).select(
-        "doc_id", "text", F.col("w_name").alias("name"), "wanted")
-    texts = cut_lineage(texts, "compared-texts")
-    win = cut_lineage(texts.mapInArrow(_windows(levels, window, rounds), "doc_id long, name binary, start int, win long"), "windows")
+    described = src.mapInArrow(_describe(levels, window), "doc_id long, name binary, tag long, n_words long, sha string, "
+                               "picks array<long>")
+    rows = cut_lineage(described.withColumn("row", F.monotonically_increasing_id()), "picks")     # ids are fixed once written
+    classes = rows.groupBy("name").agg(F.min(F.struct("doc_id", "row")).alias("head"))
+    classes = cut_lineage(classes.select(F.col("name").alias("c_name"), F.col("head.doc_id").alias("first_id"),
+                                         F.col("head.row").alias("head_row")), "classes")
+    heads = rows.filter(F.size("picks") > 0).select("row", "picks").join(
+        classes.select("head_row"), F.col("row") == F.col("head_row"), "left_semi")
+    shared = heads.select(F.explode("picks").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = bit_table(shared.select("key"))
+    # texts of the classes' first rows: what surely is no later copy, and what the exact join leaves of the rest
+    copies = cut_lineage(rows.select("doc_id", "name").join(classes, F.col("name") == F.col("c_name")).filter(
+        "doc_id > first_id").select(F.col("doc_id").alias("k_id"), F.col("name").alias("k_name")), "copies")
+    marked = mark(src, F.col("doc_id"), bloom(copies.select(F.col("k_id").alias("key"))), "may_copy")
+    name = F.unhex(F.md5(F.trim(normalised(F.col("text")))))
+    rest = marked.filter("may_copy").withColumn("t_name", name).join(
+        copies, (F.col("doc_id") == F.col("k_id")) & (F.col("t_name") == F.col("k_name")), "left_anti")
+    firsts = marked.filter("not may_copy").select("doc_id", "text").unionByName(rest.select("doc_id", "text"))
+    win = cut_lineage(firsts.mapInArrow(_windows(levels, shared, window), "doc_id long, tag long, start int, win long"), "windows")
     low = win.groupBy("win").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select(
         F.col("win").alias("l_win"), "low")
-    starts = win.join(low, F.col("win") == F.col("l_win")).filter("doc_id > low").groupBy("doc_id", "name").agg(
-        F.collect_set("start").alias("starts")).select(F.col("doc_id").alias("s_id"), F.col("name").alias("s_name"), "starts")
-    cut = texts.dropDuplicates(["doc_id", "name"]).join(starts, (F.col("doc_id") == F.col("s_id")) & (F.col("name") == F.col("s_name"))).select(
-        "doc_id", "text", "name", "starts").mapInArrow(
-        _cut(window, keep_text), "r_id long, r_name binary, n_removed long, kept_sha256 string, kept_text string")
-    f = first.select(F.col("name").alias("c_name"), "first_id")
-    out = rows.select("doc_id", "name", "n_words", "sha").join(f, F.col("name") == F.col("c_name")).join(
-        cut, (F.col("doc_id") == F.col("r_id")) & (F.col("name") == F.col("r_name")), "left")
+    starts = win.join(low, F.col("win") == F.col("l_win")).filter("doc_id > low").groupBy("doc_id", "tag").agg(
+        F.collect_list("start").alias("starts")).select(F.col("doc_id").alias("s_id"), F.col("tag").alias("s_tag"), "starts")
+    starts = cut_lineage(starts, "repeated-starts")
+    losing = possible(src, F.col("doc_id"), starts.select(F.col("s_id").alias("key")))
+    cut = losing.join(starts, F.col("doc_id") == F.col("s_id")).select("doc_id", "text", "s_tag", "starts").mapInArrow(
+        _cut(window, keep_text), "r_id long, r_tag long, n_removed long, kept_sha256 string, kept_text string")
+    cut = cut.dropDuplicates(["r_id", "r_tag"])          # repeated rows
+    out = rows.select("doc_id", "name", "tag", "n_words", "sha").join(classes, F.col("name") == F.col("c_name")).join(
+        cut, (F.col("doc_id") == F.col("r_id")) & (F.col("tag") == F.col("r_tag")), "left")
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= window)
     empty = hashlib.sha256(b"").hexdigest()
     cols = [F.when(F.col("doc_id") < LAST_ID, F.col("doc_id")).alias("doc_id"), "n_words",

@@ -4,15 +4,12 @@ functions only."""
 
 from __future__ import annotations
 
-import math
 import string
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_BLOCKS = 1 << 18           # 64-bit blocks: at most 4 MB of filter, whatever the list
-KEYS_PER_BLOCK = 4
-BITS_PER_KEY = 4
+from evidentia.llm.bloom import blocks_for, bloom, mark
 
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -47,24 +44,6 @@ def rule_column(host: Column, path: Column, rules) -> Column:
     return out
 
 
-def _probe(key: Column, blocks: int):
-    """(block, 64-bit mask) of a key."""
-    h = F.xxhash64(key)
-    bits = F.lit(0).cast("long")
-    for k in range(BITS_PER_KEY):
-        at = F.shiftrightunsigned(h, 6 * k).bitwiseAND(F.lit(63).cast("long")).cast("int")
-        bits = bits.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), at))
-    return F.pmod(F.xxhash64(key, F.lit(1)), F.lit(blocks)), bits
-
-
-def bloom(keys: DataFrame, blocks: int) -> DataFrame:
-    """Blocked Bloom filter of the column ``key``: (block, word), at most
-    ``blocks`` rows; combined before the shuffle."""
-    block, mask = _probe(F.col("key"), blocks)
-    return keys.select(block.alias("block"), mask.alias("mask")).groupBy("block").agg(
-        F.bit_or("mask").alias("word"))
-
-
 def url_filter(pages: DataFrame, listed: DataFrame, rules, id_col: str = "page_id", url_col: str = "url",
                expected: int | None = None) -> DataFrame:
     """Verdict on every page: page_id, host, path, rule, verdict, listed.
@@ -82,17 +61,13 @@ def url_filter(pages: DataFrame, listed: DataFrame, rules, id_col: str = "page_i
     keys = listed.select("key").filter(F.col("key").isNotNull()).distinct()
     if expected is None:
         expected = keys.count()
-    blocks = min(MAX_BLOCKS, 1 << max(4, math.ceil(math.log2(max(1, expected / KEYS_PER_BLOCK)))))
+    blocks = blocks_for(expected)
     filt = bloom(keys, blocks)
     url = F.col(url_col)
     judged = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     judged = judged.withColumn("r", rule_column(F.col("host"), F.col("path"), rules)).withColumn(
         "key", F.when(F.col("r").isNull(), canonical(F.col("host"), F.col("path"))))
-    block, mask = _probe(F.col("key"), blocks)
-    probed = judged.withColumn("probe_block", F.when(F.col("key").isNotNull(), block)).withColumn("mask", mask).join(
-        F.broadcast(filt), F.col("probe_block") == F.col("block"), "left")   # at most MAX_BLOCKS rows of 16 bytes
-    hit = F.coalesce(F.col("word").bitwiseAND(F.col("mask")) == F.col("mask"), F.lit(False))
-    probed = probed.withColumn("possible", F.when(hit, F.col("key")))
+    probed = mark(judged, F.col("key"), filt, "hit", blocks).withColumn("possible", F.when(F.col("hit"), F.col("key")))
     exact = probed.join(keys.select(F.col("key").alias("l_key")), F.col("possible") == F.col("l_key"), "left")
     is_listed = F.col("l_key").isNotNull()
     return exact.select(

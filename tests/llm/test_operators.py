@@ -16,6 +16,7 @@ from evidentia.llm import quality as Q
 from evidentia.llm import substring_dedup as S
 from evidentia.llm import token_rollup as T
 from evidentia.llm import url_filter as U
+from evidentia.llm.bloom import bloom
 from evidentia.llm.components import components
 from tests.llm import brute as B
 
@@ -82,7 +83,7 @@ def test_similar_classes_many_rounds(spark):
         rows.append((i, " ".join(w)))
     chain = ["c%d" % i for i in range(200)]
     rows += [(100 + i, " ".join(chain[i * 3:i * 3 + 100])) for i in range(30)]
-    got = {r.doc_id: r.component_id for r in J.similar_classes(frame(spark, rows), pivots=2, slots=1 << 16).collect()}
+    got = {r.doc_id: r.component_id for r in J.similar_classes(frame(spark, rows), pivots=2, leaf=8, slots=1 << 16).collect()}
     assert got == {i: c for i, (_, c) in B.similar(rows).items()}
 
 
@@ -164,7 +165,7 @@ def test_bloom_has_no_false_negatives_and_stays_bounded(spark):
     keys = spark.range(5000).select(F.concat(F.lit("host/"), F.col("id").cast("string")).alias("key"))
     pages = keys.select(F.monotonically_increasing_id().alias("page_id"), F.concat(F.lit("http://"), "key").alias("url"))
     assert U.url_filter(pages, keys, [], expected=100).filter("not listed").count() == 0
-    assert U.bloom(keys, 16).count() <= 16
+    assert bloom(keys, 16).count() <= 16
 
 
 def test_mix_targets_follow_the_contract(spark):
