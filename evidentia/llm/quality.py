@@ -70,23 +70,27 @@ def _extract(bits: int):
     return run
 
 
-def coordinate_descent(rows, y, cost, dims: int, epochs: int, seed: int = 7):
+def coordinate_descent(rows, ratio, y, cost, epochs: int, seed: int = 7):
     """min |w|^2 / 2 + sum cost_i max(0, 1 - y_i w.x_i) by dual coordinate
-    descent. ``rows`` holds (indices, values) per example."""
-    w = np.zeros(dims)
+    descent. ``rows`` holds the feature indices of each example; its values
+    are ``ratio`` there over the root of their number, and the last weight is
+    that of a constant. Values are worked out when needed, not kept."""
+    w = np.zeros(len(ratio) + 1)
     alpha = np.zeros(len(rows))
-    square = [float(v @ v) for _, v in rows]
+    scale = np.array([1.0 / np.sqrt(len(f) + 1.0) for f in rows])
+    square = np.array([(float(ratio[f] @ ratio[f]) + 1.0) for f in rows]) * scale ** 2
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            idx, v = rows[i]
-            if not square[i]:
-                continue
-            grad = y[i] * float(w[idx] @ v) - 1.0
+            f = rows[i]
+            v = ratio[f]
+            grad = y[i] * scale[i] * (float(w[f] @ v) + w[-1]) - 1.0
             new = min(max(alpha[i] - grad / square[i], 0.0), cost[i])
             if new != alpha[i]:
-                w[idx] += (new - alpha[i]) * y[i] * v
+                step = (new - alpha[i]) * y[i] * scale[i]
+                w[f] += step * v
+                w[-1] += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
         if moved < 1e-4:
@@ -130,22 +134,17 @@ def fit(sample, bits: int = BITS, epochs: int = EPOCHS):
     for i in np.flatnonzero(~held):
         count[bool(good[i])][sample[i][1]] += 1
     ratio = np.log(count[True] / count[True].sum()) - np.log(count[False] / count[False].sum())
-    ratio = np.append(ratio, 1.0)                    # the last slot is the constant
-
-    def row(f):
-        idx = np.append(f, dims)
-        return idx, ratio[idx] / np.sqrt(len(idx))
-    rows = [row(f) for _, f in sample]
+    rows = [f for _, f in sample]
     train = np.flatnonzero(~held)
     weight = {True: len(train) / (2.0 * good[train].sum()), False: len(train) / (2.0 * (~good[train]).sum())}
-    w = coordinate_descent([rows[i] for i in train], y[train], np.array([C * weight[bool(good[i])] for i in train]),
-                           dims + 1, epochs)
+    w = coordinate_descent([rows[i] for i in train], ratio, y[train],
+                           np.array([C * weight[bool(good[i])] for i in train]), epochs)
     mean = np.abs(w).sum() / (dims + 1)
     w = BLEND * w + (1 - BLEND) * mean * np.sign(w)
     check = np.flatnonzero(held) if held.any() and good[held].any() and not good[held].all() else train
-    margin = np.array([float(w[rows[i][0]] @ rows[i][1]) for i in check])
+    margin = np.array([(float(w[rows[i]] @ ratio[rows[i]]) + w[-1]) / np.sqrt(len(rows[i]) + 1.0) for i in check])
     slope, offset = _platt(margin, good[check])
-    return (w * ratio).astype(np.float32), float(slope), float(offset)
+    return (w * np.append(ratio, 1.0)).astype(np.float32), float(slope), float(offset)
 
 
 def _score(model, bits: int):
