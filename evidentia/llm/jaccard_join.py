@@ -26,6 +26,8 @@ Sets travel as 40 bits a shingle, and only those of documents in a region.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,8 +42,8 @@ from evidentia.session import cut_lineage
 
 WORDS = 5
 PERCENT = 80                   # similarity in percent: whole numbers keep the bound exact
-PIVOTS = 64                    # pivots of a region per round
-LEAF = 256                     # regions of more members are dealt into cells by distance
+PIVOTS = 256                   # pivots of a region per round
+LEAF = 1024                    # regions of more members are dealt into cells by distance
 NO_ID = -(1 << 63)             # stands for a null id where keys are hashed
 _TOP = np.uint64(56)
 _SHORT = np.uint64((1 << 40) - 1)
@@ -218,6 +220,14 @@ def _cells(members: DataFrame, pivots: DataFrame, dist: DataFrame, percent: int)
     return own.unionByName(copies).unionByName(edge).withColumnRenamed("cell", "region")
 
 
+def drop_unused(spark) -> None:
+    """Have both garbage collectors run, so that Spark's cleaner drops the
+    shuffle files, broadcasts and plans of the rounds that are over (it acts
+    only when the driver's objects for them are collected)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS,
                     percent: int = PERCENT, pivots: int = PIVOTS, leaf: int = LEAF, slots: int = SLOTS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
@@ -292,6 +302,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             "region", "node", "n", "place", "owner"))
         members = cut_lineage(members, "cells")
         wide = pivots
+        drop_unused(docs.sparkSession)
     if roots is None:
         found = classes.select(F.col("name").alias("f_name"), F.col("first_id").alias("component_id"))
     else:
