@@ -90,8 +90,9 @@ def op8_token_counts(spark, sf):
     bad = labels.filter("quality = 0 and toxic <> 1").select("doc_id").distinct()
     deleted = T.deletes(counts.join(toxic, "doc_id", "left_semi"))
     roll.commit("0002", deleted)
-    shorter = docs.join(bad, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", "[0-9]+", ""))
-    roll.commit("0003", T.revisions(counts.join(bad, "doc_id", "left_semi"), T.counted(shorter)))
+    # counted before the join, so that no text is shuffled
+    again = T.counted(docs.withColumn("text", F.regexp_replace("text", "[0-9]+", "")))
+    roll.commit("0003", T.revisions(counts.join(bad, "doc_id", "left_semi"), again.join(bad, "doc_id", "left_semi")))
     roll.commit("0002", deleted)
     return roll.totals()
 
