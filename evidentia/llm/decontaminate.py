@@ -62,18 +62,19 @@ def benchmark_hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", te
     """
     wins = cut_lineage(item_windows(items, item_id, item_text, window), "windows")
     win_words = wins.select("win", "len", "words", F.posexplode("words").alias("pos", "word"))
-    # the vocabulary is matched by full lower case, which never separates what A-Z lower case joins
+    # matched by full lower case of single words, which never separates what A-Z lower case joins; of a whole
+    # text it can, as a letter's lower case may depend on what follows its word (final sigma)
     vocab = win_words.select(F.lower("word").alias("v")).distinct()
     small = _small(win_words, 512)
     hint = F.broadcast if small else (lambda d: d)
     text = F.col(text_col)
     base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"),
-                       F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS).alias("w"))
+                       F.split(F.coalesce(text, F.lit("")), SEPARATORS).alias("w"))
     # an empty first or last piece is no word; both are settled before the words are spread, so no row carries its text
     first, last = (F.element_at("w", 1) == "").cast("int"), ((F.element_at("w", -1) == "") & (F.size("w") > 1)).cast("int")
     base = base.select("doc_id", "text_key", first.alias("shift"), (F.size("w") - first - last).alias("n"), "w")
     spots = base.select("doc_id", "text_key", "shift", "n", F.posexplode_outer("w").alias("raw_at", "word")).select(
-        "doc_id", "text_key", "n", "word", (F.col("raw_at") - F.col("shift")).alias("at"))
+        "doc_id", "text_key", "n", F.lower("word").alias("word"), (F.col("raw_at") - F.col("shift")).alias("at"))
     counts = spots.join(hint(vocab), F.col("word") == F.col("v"), "left_semi").groupBy("word").agg(
         F.count(F.lit(1)).alias("freq"))
     ranked = win_words.join(counts.withColumnRenamed("word", "c_word"), F.lower("word") == F.col("c_word"), "left")

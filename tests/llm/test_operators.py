@@ -132,6 +132,14 @@ def test_benchmark_hits(spark, rows):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 3] and kept.columns == SCHEMA_COLUMNS
 
 
+def test_benchmark_hits_capital_sigma(spark):
+    """A letter whose full lower case depends on what follows the word (final sigma)."""
+    bench = spark.createDataFrame([("i1", "ΟΔΟΣ Next One"), ("i2", "ΟΔΟΣ")], "item_id string, text string")
+    some = [(1, "a ΟΔΟΣ.Next one b"), (2, "ΟΔΟΣ's"), (3, "οδος.next one")]
+    got = {r.doc_id: (r.n_hit, r.hit_items) for r in D.benchmark_hits(frame(spark, some), bench).collect()}
+    assert got == {1: (3, ["i1", "i2"]), 2: (1, ["i2"]), 3: (0, None)}
+
+
 SCHEMA_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
