@@ -115,7 +115,7 @@ def vector_search_ivf(spark, sf):
 
 
 def ivf_recall(spark, sf):
-    """Recall of the approximate mode (eight lists per query) for every stored vector."""
+    """Recall of the approximate mode (lists per query as measured on a sample) for every stored vector."""
     from evidentia.operators.ivf import ivf_knn, recall
     q, c = _vector_queries(spark, sf), _stored_corpus(spark, sf)
     return recall(ivf_knn(q, c, FX.K), knn(q, c, FX.K))
