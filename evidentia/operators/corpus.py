@@ -2,10 +2,11 @@
 (S8), required-column check (S9), ingest summary (S11), newest-first
 listing (T3, T4) and the topic predicate (P1, P2).
 
-Storage layout for the table form: parquet partitioned by
-``bucket = pmod(xxhash64(id), B)``. An upsert rewrites only the buckets its
-source keys fall in (dynamic partition overwrite), so its cost follows the
-size of the change, not of the corpus.
+Storage layout for the table form: parquet in buckets, ``bucket =
+pmod(xxhash64(id), B)``, and a log of commits that names the files of each
+bucket (``commits.py``). An upsert rewrites only the buckets its source keys
+fall in, as a new generation, so its cost follows the size of the change, not
+of the corpus, and it is seen as a whole or not at all.
 """
 
 from __future__ import annotations
@@ -17,12 +18,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.functions.text import collapse_ws
+from evidentia.operators.commits import (KEEP_VERSIONS, Commit, commit_at, folder_names, publish, read_commit, vacuum,
+                                         write_generation)
 from evidentia.operators.sizing import broadcast_if_bounded
 from evidentia.schemas import PAPERS, REQUIRED_PAPER_COLUMNS
-from evidentia.session import drop_path, path_exists, stage
+from evidentia.session import drop_path, stage
 
 DEFAULT_BUCKETS = 64
 BUCKET_ROWS = 2_000_000        # rows per bucket that a table made from a sized source aims at
+BUCKET_PARTS = 8               # tasks that write one bucket, at most
 MAX_RESULTS_LIMIT = 2000       # bound of the interactive form; the batch job has none
 
 
@@ -99,26 +103,26 @@ def with_bucket(df: DataFrame, key: str = "id", buckets: int = DEFAULT_BUCKETS)
 TABLE_SCHEMA = T.StructType(PAPERS.fields + [T.StructField("bucket", T.IntegerType(), True)])
 
 
-def read_table_at(spark: SparkSession, path: str) -> DataFrame:
-    """The stored corpus table (explicit schema: an empty table has no files)."""
-    return spark.read.schema(TABLE_SCHEMA).parquet(path)
+def read_table_at(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The stored corpus table as of its newest commit, or of ``version``."""
+    return read_commit(spark, path, _commit(spark, path, version), TABLE_SCHEMA)
 
 
 class BucketCountError(ValueError):
     pass
 
 
-def table_buckets(spark: SparkSession, path: str) -> int | None:
-    """Bucket count stored with the table (a hidden one-row file beside the
-    data); None if there is no table."""
-    meta = f"{path.rstrip('/')}/_buckets"
-    if not path_exists(spark, meta):
-        return None
-    return spark.read.schema("buckets int").json(meta).first()["buckets"]
+def _commit(spark: SparkSession, path: str, version: int | None = None) -> Commit:
+    c = commit_at(spark, path, version)
+    if c is None:
+        raise BucketCountError(f"no corpus table at {path}")
+    return c
 
 
-def _store_buckets(spark: SparkSession, path: str, buckets: int) -> None:
-    spark.range(1).select(F.lit(buckets).alias("buckets")).write.mode("overwrite").json(f"{path.rstrip('/')}/_buckets")
+def table_buckets(spark: SparkSession, path: str) -> int | None:
+    """Bucket count stored with the table; None if there is no table."""
+    c = commit_at(spark, path)
+    return None if c is None else c.buckets
 
 
 def buckets_for(rows: int) -> int:
@@ -129,68 +133,114 @@ def buckets_for(rows: int) -> int:
 def create_table_if_absent(spark: SparkSession, path: str, buckets: int | None = None) -> int:
     """An empty corpus table with the fixed schema, if none exists.
     Returns the stored bucket count; a different one that is asked for is
-    refused (ids would be looked for in the wrong bucket). Only a path that
-    is not there makes a table: a failed read is raised, never taken for an
-    absent table, and nothing that exists is overwritten."""
-    stored = table_buckets(spark, path)
-    if stored is None:
-        if path_exists(spark, path):
-            raise BucketCountError(f"{path} holds data but no stored bucket count")
-        stored = buckets or DEFAULT_BUCKETS
-        empty = spark.createDataFrame([], PAPERS)
-        with_bucket(empty, buckets=stored).write.mode("ignore").partitionBy("bucket").parquet(path)
-        _store_buckets(spark, path, stored)
-    if buckets is not None and buckets != stored:
-        raise BucketCountError(f"table at {path} has {stored} buckets, not {buckets}")
-    return stored
+    refused (ids would be looked for in the wrong bucket). Only a folder
+    without commits makes a table: a failed read is raised, never taken for an
+    absent table, and nothing that exists is overwritten. A creation or a first
+    load that stopped before its commit has left nothing that counts, so it is
+    simply done again; a folder with files of another kind is refused."""
+    current = commit_at(spark, path)
+    if current is None:
+        foreign = [n for n, _ in folder_names(spark, path) if not n.startswith(("gen=", "_commits"))]
+        if foreign:
+            raise BucketCountError(f"{path} holds {foreign[:3]} but no commit")
+        current = Commit(0, buckets or DEFAULT_BUCKETS, {}, 0)
+        publish(spark, path, current)
+    if buckets is not None and buckets != current.buckets:
+        raise BucketCountError(f"table at {path} has {current.buckets} buckets, not {buckets}")
+    return current.buckets
+
+
+def _generation(path: str, rows: DataFrame, key: str = "id") -> tuple[dict, int]:
+    """``rows`` written as a new generation: (its buckets, row count read from
+    the file footers). A bucket's rows are written by up to BUCKET_PARTS tasks,
+    so no task holds a whole bucket."""
+    part = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(BUCKET_PARTS))
+    held = write_generation(path, rows.repartition("bucket", part))
+    n = read_commit(rows.sparkSession, path, Commit(0, 0, held), TABLE_SCHEMA).count()
+    return held, n
 
 
 def write_table(path: str, rows: DataFrame, buckets: int = DEFAULT_BUCKETS) -> None:
-    """A new corpus table holding ``rows``; refuses a path that exists."""
+    """A new corpus table holding ``rows``; refuses a path that holds one. A
+    write that stops half-way leaves no table, and can be done again."""
     spark = rows.sparkSession
-    with_bucket(rows.select(*PAPERS.fieldNames()), buckets=buckets).write.partitionBy("bucket").parquet(path)
-    _store_buckets(spark, path, buckets)
+    if commit_at(spark, path) is not None:
+        raise FileExistsError(f"there is a table at {path}")
+    held, n = _generation(path, with_bucket(rows.select(*PAPERS.fieldNames()), buckets=buckets))
+    publish(spark, path, Commit(0, buckets, held, n))
 
 
 def keep_last(source: DataFrame, key: str = "id", order: str = "ingested_at") -> DataFrame:
     """One row per key: the last by ``order`` (ties: the largest row). For
     deliveries that repeat keys, where a batch load would be refused."""
-    rest = [c for c in source.columns if c != key]
+    rest = [c for c in source.columns if c not in (key, order)]
     best = F.max(F.struct(F.col(order).alias("_order"), *rest)).alias("_last")
-    return source.groupBy(key).agg(best).select(key, "_last.*").select(*source.columns)
+    return (source.groupBy(key).agg(best).select(key, "_last.*").withColumnRenamed("_order", order)
+                  .select(*source.columns))
+
+
+def newer_rows(target: DataFrame, source: DataFrame, key: str = "id", order: str = "ingested_at") -> DataFrame:
+    """The rows of ``source`` (one per key) that come after the stored row of
+    their key: by ``order``, ties by the rest of the row as in ``keep_last``.
+    Rows of new keys all count. Which of two versions is kept so never depends
+    on the order in which they were delivered."""
+    rest = [c for c in source.columns if c not in (key, order)]
+    version = F.struct(F.col(order).alias("_order"), *rest)
+    stored = target.select(F.col(key), version.alias("_stored"))
+    late = source.withColumn("_version", version).join(stored, key, "left")
+    return late.filter(F.col("_stored").isNull() | (F.col("_version") > F.col("_stored"))).select(*source.columns)
 
 
 def upsert_table(spark: SparkSession, path: str, source: DataFrame, key: str = "id",
-                 buckets: int | None = None) -> int:
-    """Upsert ``source`` into the bucketed parquet table at ``path``; returns
-    the number of affected rows. Only the buckets the source touches are
-    read and rewritten. The merged buckets are first written to a staging
-    folder in the shared checkpoint dir, then swapped in by a dynamic
-    partition overwrite; staging folders are removed after the swap. Running
-    it twice with the same source is a no-op."""
+                 buckets: int | None = None, newest_by: str | None = None,
+                 keep_versions: int = KEEP_VERSIONS) -> int:
+    """Upsert ``source`` into the corpus table at ``path``; returns the number
+    of affected rows. Only the buckets the source touches are read; the merged
+    buckets are written once, as a new generation, and one commit makes them
+    the table. A change that stops before it leaves the table as it was.
+    Running it twice with the same source gives the same table.
+
+    With ``newest_by`` a source row replaces a stored one only if it is the
+    newer version (``newer_rows``); a delivery with nothing newer changes
+    nothing and commits nothing."""
     # Stage the source once as a written table; the checks, the bucket
     # list and the merge all read the staged rows, so an expensive source
     # (embedding calls) is never recomputed
-    staged, staged_path = stage(source.select(*PAPERS.fieldNames()), "staging")
-    merged_path = None
+    paths = []
+
+    def staging(df, name):
+        out, at = stage(df, name)
+        paths.append(at)
+        return out
+
     try:
+        staged = staging(source.select(*PAPERS.fieldNames()), "staging")
         require_unique(staged, key)
         require_columns(staged)
-        buckets = create_table_if_absent(spark, path, buckets)
-        src = with_bucket(staged, key, buckets)
-        touched = [r["bucket"] for r in src.select("bucket").distinct().collect()]  # <= buckets values
+        create_table_if_absent(spark, path, buckets)
+        base = _commit(spark, path)
+
+        def touched_part(src):
+            touched = [r["bucket"] for r in src.select("bucket").distinct().collect()]      # <= buckets values
+            return touched, read_commit(spark, path, base, TABLE_SCHEMA, touched).filter(F.col("bucket").isin(touched))
+
+        src = with_bucket(staged, key, base.buckets)
+        touched, target = touched_part(src)
+        if newest_by and touched:
+            src = staging(newer_rows(target.select(*src.columns), src, key, newest_by), "newer")
+            touched, target = touched_part(src)
         if not touched:
             return 0
-        target = read_table_at(spark, path).filter(F.col("bucket").isin(touched))
-        affected = staged.count()
-        merged, merged_path = stage(upsert_frame(target.select(*src.columns), src, key), "merged")
-        (merged.select(*src.columns).repartition("bucket").write.mode("overwrite")
-               .option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path))
+        affected = src.count()
+        before = target.count()
+        held, merged = _generation(path, upsert_frame(target.select(*src.columns), src, key), key)
+        now = {b: g for b, g in base.generations.items() if b not in touched} | held
+        publish(spark, path, Commit(base.version + 1, base.buckets, now,
+                                    None if base.rows is None else base.rows - before + merged))
+        vacuum(spark, path, keep_versions)
     finally:
-        # on an error before the swap the table is untouched; after it, the swap is done
-        drop_path(spark, staged_path)
-        if merged_path:
-            drop_path(spark, merged_path)
+        for at in paths:
+            drop_path(spark, at)
     return affected
 
 
@@ -198,24 +248,23 @@ def read_ids(spark: SparkSession, path: str, ids: DataFrame, key: str = "id",
              ids_rows_bound: int | None = None) -> DataFrame:
     """Rows of the stored corpus whose id is in ``ids`` (P3 against the
     table). The ids' buckets, by the table's stored bucket count, become a
-    partition filter, so only the files of touched buckets are read; the id
-    set is then a semi join (broadcast under its bound)."""
-    buckets = table_buckets(spark, path)
-    if buckets is None:
-        raise BucketCountError(f"no corpus table at {path}")
+    partition filter, so only the files of touched buckets are listed and
+    read; the id set is then a semi join (broadcast under its bound)."""
+    base = _commit(spark, path)
     want = ids.select(F.col(key).alias("id")).distinct()
-    touched = [r["bucket"] for r in with_bucket(want, buckets=buckets).select("bucket").distinct().collect()]
-    t = read_table_at(spark, path).filter(F.col("bucket").isin(touched))
+    touched = [r["bucket"] for r in with_bucket(want, buckets=base.buckets).select("bucket").distinct().collect()]
+    t = read_commit(spark, path, base, TABLE_SCHEMA, touched).filter(F.col("bucket").isin(touched))
     return t.join(broadcast_if_bounded(want, ids_rows_bound, row_bytes=48), "id", "left_semi").drop("bucket")
 
 
-def clear_table(spark: SparkSession, path: str) -> int:
-    """Delete every row, keep the table, its schema and its bucket count."""
-    buckets = create_table_if_absent(spark, path)
-    n = read_table_at(spark, path).count()
-    empty = with_bucket(spark.createDataFrame([], PAPERS), buckets=buckets)
-    empty.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("bucket").parquet(path)
-    _store_buckets(spark, path, buckets)
+def clear_table(spark: SparkSession, path: str, keep_versions: int = KEEP_VERSIONS) -> int:
+    """Delete every row, keep the table, its schema and its bucket count: a
+    commit that names no generation. Readers see all rows or none."""
+    create_table_if_absent(spark, path)
+    base = _commit(spark, path)
+    n = read_commit(spark, path, base, TABLE_SCHEMA).count()
+    publish(spark, path, Commit(base.version + 1, base.buckets, {}, 0))
+    vacuum(spark, path, keep_versions)
     return n
 
 

@@ -517,6 +517,11 @@ ORACLE: dict[str, str] = {
         FROM corpus"""),
     "corpus_upsert": sql(_CORPUS_ROWS),
     "stream_upsert": sql(_CORPUS_ROWS),
+    "ingest_progress": """
+WITH d AS (SELECT count(*) AS n FROM documents), p AS (SELECT count(*) AS n FROM pages), b(i) AS (VALUES (0), (1), (2))
+SELECT CAST(i AS BIGINT) AS batch_id, 'started' AS status, CAST(NULL AS BIGINT) AS input_rows, CAST(NULL AS BIGINT) AS affected FROM b
+UNION ALL SELECT CAST(i AS BIGINT), 'progress', d.n + CASE WHEN i < 2 THEN p.n ELSE 0 END, CASE WHEN i = 0 THEN d.n + p.n ELSE 0 END FROM b, d, p
+UNION ALL SELECT NULL, 'done', NULL, NULL FROM b""",
     "upsert_affected": sql("""
         SELECT CAST(count(*) FILTER (WHERE t.id IS NOT NULL AND s.id IS NOT NULL) AS BIGINT) AS updated,
                CAST(count(*) FILTER (WHERE t.id IS NULL) AS BIGINT) AS inserted,

@@ -36,6 +36,7 @@ GATE_MAX_FALSE_REFUSAL = None
 # model, share of a sentence's tokens that makes it a claim (percent), strictness of the support check
 COMPARE_MODELS = [("gemini-3.7-flash", 50, 0.8), ("gemini-3.1-pro-preview", 75, 0.9)]
 UPSERT_INGESTED_AT = "2024-03-01 00:00:00"
+STALE_INGESTED_AT = "2024-01-01 00:00:00"
 TOPIC_CATEGORIES = ["en", "fr"]
 TOPIC_CLAUSES = [("that", "with"), ("les", "des"), ("from the",)]
 # --------------------------------------------------------------------------------
@@ -399,9 +400,28 @@ def upsert_affected(spark, sf):
     return CO.upsert_counts(_target(spark, sf), src, source_rows_bound=src.count())
 
 
+def _stale(spark, sf):
+    """An older version of every stored row that is re-ingested, with another text."""
+    src = upsert_source(spark, sf).withColumn("ingested_at", F.lit(STALE_INGESTED_AT).cast("timestamp"))
+    known = _target(spark, sf).select("id")                  # new papers have no older version
+    return src.withColumn("abstract", F.lit("stale")).join(known, "id", "left_semi")
+
+
+def ingest_progress(spark, sf):
+    """Events of three runs of the ingest stream: the re-ingest, the same
+    again, and a stale delivery."""
+    from evidentia.streaming.ingest import logged_runs
+    src = upsert_source(spark, sf)
+    ev = logged_runs(spark, _target(spark, sf), [src, src, _stale(spark, sf)])
+    return ev.select("batch_id", "status", "input_rows", "affected")
+
+
 def stream_upsert(spark, sf):
+    """The re-ingest as a stream, delivered twice; then a stale delivery comes
+    last: an older version of every row, with another text."""
     from evidentia.streaming.ingest import replay_upsert
-    return _corpus_rows(replay_upsert(spark, _target(spark, sf), upsert_source(spark, sf)))
+    return _corpus_rows(replay_upsert(spark, _target(spark, sf), upsert_source(spark, sf), replays=2,
+                                      stale=_stale(spark, sf), files_per_trigger=4))
 
 
 def corpus_clear(spark, sf):
@@ -608,6 +628,7 @@ QUERIES = {
     "corpus_upsert": corpus_upsert,
     "upsert_affected": upsert_affected,
     "stream_upsert": stream_upsert,
+    "ingest_progress": ingest_progress,
     "corpus_clear": corpus_clear,
     "ingest_summary": ingest_summary,
     "topic_filter": topic_filter,

@@ -1,10 +1,11 @@
 """Continuous corpus ingest (R1): new files of staged corpus rows are
 upserted micro-batch by micro-batch into the bucketed corpus table.
 
-Replay-safe: a key is overwritten by itself, and the source checkpoint
-records which files were done, so a restarted query (or a replayed file)
-leaves the same final table. A micro-batch that holds several versions of a
-key keeps the one ingested last.
+The table ends with the newest version of every key (largest ``ingested_at``,
+ties by the rest of the row), however the files fall into micro-batches and
+in whatever order they come: within a batch the newest version is taken, and
+it replaces the stored row only if it is newer than that. A replayed file, or
+a restarted query, therefore changes nothing.
 """
 
 from __future__ import annotations
@@ -12,18 +13,20 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from evidentia.operators.corpus import keep_last, read_table_at, upsert_table, write_table
 from evidentia.schemas import PAPERS
 from evidentia.session import checkpoint_dir
+from evidentia.streaming.progress import ProgressLog
 
 
 def start_stream_upsert(spark: SparkSession, source_dir: str, table_path: str, checkpoint: str,
                         files_per_trigger: int = 100, available_now: bool = True, listener=None):
     """Start the ingest stream; returns the StreamingQuery. ``listener`` (a
-    ``ProgressLog``) is told when a batch starts and how many rows it changed."""
+    ``ProgressLog``) is told when a batch starts, how many rows it brought and
+    how many of them changed the table."""
     src = (spark.readStream.schema(PAPERS).option("maxFilesPerTrigger", files_per_trigger)
                 .parquet(source_dir))
 
@@ -32,33 +35,55 @@ def start_stream_upsert(spark: SparkSession, source_dir: str, table_path: str, c
             listener.batch_started(epoch_id)
         b = batch.persist()          # the merge runs several actions on it
         try:
-            n = upsert_table(b.sparkSession, table_path, keep_last(b))
+            # counted while the merge stages the rows: no job of its own
+            seen = Observation()
+            rows = keep_last(b).observe(seen, F.count(F.lit(1)).alias("rows"))
+            n = upsert_table(b.sparkSession, table_path, rows, newest_by="ingested_at")
+            if listener is not None:
+                listener.batch_done(epoch_id, seen.get["rows"], n)
         finally:
             b.unpersist()
-        if listener is not None:
-            listener.batch_done(epoch_id, n)
 
     w = src.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
-def replay_upsert(spark: SparkSession, target: DataFrame, source: DataFrame, replays: int = 3) -> DataFrame:
+def replay_upsert(spark: SparkSession, target: DataFrame, source: DataFrame, replays: int = 3,
+                  stale: DataFrame | None = None, files_per_trigger: int = 100) -> DataFrame:
     """Load ``target`` as the corpus table, stage ``source`` as ``replays``
-    files (the same rows delivered again and again), run the ingest stream
-    to completion and return the final table. It equals the batch upsert."""
+    files (the same rows delivered again and again) and ``stale``, older
+    versions of rows, after them; run the ingest stream to completion and
+    return the final table. It equals the batch upsert of ``source``."""
     base = os.path.join(checkpoint_dir(spark), f"stream-upsert-{uuid.uuid4().hex}")
     table, staged, ckpt = (os.path.join(base, p) for p in ("table", "source", "checkpoint"))
     write_table(table, target)
-    for i in range(replays):
-        source.select(*PAPERS.fieldNames()).write.mode("append").parquet(staged)
-    q = start_stream_upsert(spark, staged, table, ckpt)
+    for rows in [source] * replays + ([] if stale is None else [stale]):
+        rows.select(*PAPERS.fieldNames()).write.mode("append").parquet(staged)
+    q = start_stream_upsert(spark, staged, table, ckpt, files_per_trigger)
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return read_table_at(spark, table).drop("bucket")
 
 
+def logged_runs(spark: SparkSession, target: DataFrame, deliveries: list[DataFrame]) -> DataFrame:
+    """Load ``target`` as the corpus table, then for each delivery write its
+    rows into the stream's folder and run the stream to the end; the events of
+    all runs as they stand in the progress table (R2): one "started" and one
+    "progress" row per batch, one "done" or "error" row per run."""
+    base = os.path.join(checkpoint_dir(spark), f"stream-log-{uuid.uuid4().hex}")
+    table, staged, ckpt, events = (os.path.join(base, p) for p in ("table", "source", "checkpoint", "events"))
+    write_table(table, target)
+    log = ProgressLog(spark, events)
+    for rows in deliveries:
+        rows.select(*PAPERS.fieldNames()).write.mode("append").parquet(staged)
+        q = start_stream_upsert(spark, staged, table, ckpt, files_per_trigger=1_000_000, listener=log)
+        q.awaitTermination()
+        log.run_done(q)
+    return log.frame(spark)
+
+
 def start_feed_ingest(spark: SparkSession, feed_dir: str, table_path: str, checkpoint: str,
                       embed=None, files_per_trigger: int = 1, available_now: bool = True):
     """Feed files -> normalise (F1-F6) -> embed -> upsert, as a stream.

@@ -11,8 +11,9 @@ EVENTS = T.StructType([
     T.StructField("query_id", T.StringType()),
     T.StructField("batch_id", T.LongType()),
     T.StructField("status", T.StringType()),       # progress | done | error
-    T.StructField("input_rows", T.LongType()),
+    T.StructField("input_rows", T.LongType()),     # rows delivered (a sink's own: after repeated keys are folded)
     T.StructField("message", T.StringType()),
+    T.StructField("affected", T.LongType()),       # rows changed in the table, where the sink says so
 ])
 
 
@@ -42,23 +43,28 @@ class ProgressLog(StreamingQueryListener):
             self.spark.createDataFrame(held, EVENTS).coalesce(1).write.mode("append").parquet(self.path)
 
     def batch_started(self, batch_id: int) -> None:
-        self._add(None, int(batch_id), "started", None, None)
+        self._add(None, int(batch_id), "started", None, None, None)
 
-    def batch_done(self, batch_id: int, rows: int) -> None:
-        self._add(None, int(batch_id), "progress", int(rows), None)
+    def batch_done(self, batch_id: int, rows: int, affected: int | None = None) -> None:
+        self._add(None, int(batch_id), "progress", int(rows), None, affected)
+
+    def run_done(self, query) -> None:
+        """The end of a run that the caller has waited for."""
+        e = query.exception()
+        self._add(str(query.id), None, "error" if e else "done", None, str(e) if e else None, None)
 
     def onQueryStarted(self, event):
         pass
 
     def onQueryProgress(self, event):
         p = event.progress
-        self._add(str(p.id), int(p.batchId), "progress", int(p.numInputRows), None)
+        self._add(str(p.id), int(p.batchId), "progress", int(p.numInputRows), None, None)
 
     def onQueryIdle(self, event):
         pass
 
     def onQueryTerminated(self, event):
-        self._add(str(event.id), None, "error" if event.exception else "done", None, event.exception)
+        self._add(str(event.id), None, "error" if event.exception else "done", None, event.exception, None)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         if not self.path:
@@ -73,8 +79,8 @@ def progress_frame(spark: SparkSession, query, log: ProgressLog | None = None) -
     last ``spark.sql.streaming.numRecentProgressUpdates``."""
     if log is not None:
         return log.frame(spark)
-    rows = [(str(p["id"]), int(p["batchId"]), "progress", int(p["numInputRows"]), None)
+    rows = [(str(p["id"]), int(p["batchId"]), "progress", int(p["numInputRows"]), None, None)
             for p in query.recentProgress]
     exc = query.exception()
-    rows.append((str(query.id), None, "error" if exc else "done", None, str(exc) if exc else None))
+    rows.append((str(query.id), None, "error" if exc else "done", None, str(exc) if exc else None, None))
     return spark.createDataFrame(rows, EVENTS)

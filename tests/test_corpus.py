@@ -167,7 +167,7 @@ def test_failed_read_never_empties_the_table(spark, monkeypatch):  # S9
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
     try:
         with monkeypatch.context() as m:
-            m.setattr(CO, "read_table_at", lambda *a: (_ for _ in ()).throw(OSError("store is away")))
+            m.setattr(CO, "read_commit", lambda *a: (_ for _ in ()).throw(OSError("store is away")))
             with pytest.raises(OSError):
                 CO.upsert_table(spark, path, rows(spark, ["1"], "b", dt.datetime(2024, 1, 2)))
         assert CO.read_table_at(spark, path).count() == 50

@@ -102,6 +102,8 @@ def test_progress_log_on_the_upsert_stream_loses_nothing(spark):  # R2
     got = sorted((r.batch_id, r.status, r.input_rows) for r in log.frame(spark).collect())
     assert [x for x in got if x[1] == "progress"] == [(i, "progress", 5) for i in range(3)]
     assert [x for x in got if x[1] == "started"] == [(i, "started", None) for i in range(3)]
+    changed = sorted((r.batch_id, r.affected) for r in log.frame(spark).collect() if r.status == "progress")
+    assert changed == [(0, 5), (1, 0), (2, 0)]               # the same rows again change nothing
 
 
 FEED = """<?xml version="1.0" encoding="UTF-8"?>
