@@ -517,6 +517,10 @@ ORACLE: dict[str, str] = {
         FROM corpus"""),
     "corpus_upsert": sql(_CORPUS_ROWS),
     "stream_upsert": sql(_CORPUS_ROWS),
+    "call_ledger": """
+WITH d AS (SELECT count(*) AS n, count(DISTINCT text) AS c, sum(len(text)) AS t FROM documents WHERE text IS NOT NULL)
+SELECT r AS run, n AS inputs, c AS calls, CASE r WHEN 1 THEN 0 ELSE c END AS known, CASE r WHEN 1 THEN c ELSE 0 END AS called,
+  n AS answers, CAST(t AS BIGINT) AS tokens, c AS held FROM d, (VALUES (1), (2)) v(r)""",
     "ingest_progress": """
 WITH d AS (SELECT count(*) AS n FROM documents), p AS (SELECT count(*) AS n FROM pages), b(i) AS (VALUES (0), (1), (2))
 SELECT CAST(i AS BIGINT) AS batch_id, 'started' AS status, CAST(NULL AS BIGINT) AS input_rows, CAST(NULL AS BIGINT) AS affected FROM b

@@ -483,6 +483,26 @@ def embed_tokens(spark, sf):
     return with_cost(u, pricing_frame(spark)).select("texts", "input_tokens", F.bround("cost_usd", 6).alias("cost_usd"))
 
 
+def call_ledger(spark, sf):
+    """Every document through a user embedder and the ledger, twice: what each
+    run asked, knew and called, and what the answers add up to."""
+    from evidentia.operators import ledger as LG
+    from evidentia.operators.models import embed_with
+    docs = read_table(spark, sf, "documents")
+    ledger = LG.Ledger(os.path.join(checkpoint_dir(spark), f"ledger-{uuid.uuid4().hex}"), "embed", EMBEDDING_MODEL)
+
+    def embed(texts, task):
+        return [[float(len(t))] for t in texts], [len(t) for t in texts]
+
+    sums = [embed_with(docs, "doc_id", "text", embed, ledger=ledger).agg(
+        F.lit(i).alias("run"), F.count(F.lit(1)).alias("answers"), F.sum("n_tokens").alias("tokens")) for i in (1, 2)]
+    held = LG.calls(spark, ledger.path).groupBy("step").agg(F.count(F.lit(1)).alias("held"))
+    ran = LG.runs(spark, ledger.path).select("step", F.when(F.col("known") == 0, F.lit(1)).otherwise(F.lit(2)).alias("run"),
+                                             "inputs", "calls", "known", "called")
+    return ran.join(sums[0].unionByName(sums[1]), "run").join(held, "step").select(
+        "run", "inputs", "calls", "known", "called", "answers", "tokens", "held")
+
+
 # --- feed normalisation ------------------------------------------------------------------------
 
 def normalize_id(spark, sf):
@@ -636,6 +656,7 @@ QUERIES = {
     "newest_page": newest_page,
     "embed_corpus": embed_corpus,
     "embed_tokens": embed_tokens,
+    "call_ledger": call_ledger,
     "normalize_id": normalize_id,
     "normalize_url": normalize_url,
     "normalize_text": normalize_text,
