@@ -21,13 +21,12 @@ to compare:
 * A region whose members are connected already, or whose own members have
   all been pivots, is done.
 
-Sets travel as 40 bits a shingle, and only those of documents in a region.
+Sets travel as 64 bits a shingle (the rank of its rarest word and 56 bits of
+its hash), and only those of documents in a region.
 """
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +36,7 @@ from pyspark.sql import Window as W
 from evidentia.llm.bloom import blocks_for, possible
 from evidentia.llm.components import components
 from evidentia.llm.rarity import SLOTS, word_levels
+from evidentia.llm.scratch import Scratch
 from evidentia.llm.words import blocks, byte_tables, lists, mix, shingles, signed, words
 from evidentia.session import cut_lineage
 
@@ -46,7 +46,6 @@ PIVOTS = 256                   # pivots of a region per round
 LEAF = 1024                    # regions of more members are dealt into cells by distance
 NO_ID = -(1 << 63)             # stands for a null id where keys are hashed
 _TOP = np.uint64(56)
-_SHORT = np.uint64((1 << 40) - 1)
 
 
 def ranked_sets(w, rows: int, level, k: int):
@@ -93,23 +92,12 @@ def prefixes(key, row, ptr, percent: int):
 
 
 def set_bytes(key, ptr, use) -> pa.Array:
-    """The numbers of each wanted row's set, five bytes each (40 of their
-    hash bits), sorted by value."""
-    out = []
-    for i in range(len(ptr) - 1):
-        if use[i]:
-            v = np.sort(key[ptr[i]:ptr[i + 1]] & _SHORT)
-            out.append(v.view(np.uint8).reshape(-1, 8)[:, :5].tobytes())
-        else:
-            out.append(None)
-    return pa.array(out, type=pa.binary())
+    """The numbers of each wanted row's set, eight bytes each."""
+    return pa.array([key[ptr[i]:ptr[i + 1]].tobytes() if use[i] else None for i in range(len(ptr) - 1)], type=pa.binary())
 
 
 def _numbers(raw) -> np.ndarray:
-    five = np.frombuffer(raw.as_buffer(), np.uint8).reshape(-1, 5)
-    eight = np.zeros((len(five), 8), np.uint8)
-    eight[:, :5] = five
-    return eight.view(np.uint64).ravel()
+    return np.frombuffer(raw.as_buffer(), np.uint64)
 
 
 def _describe(levels, k: int, percent: int):
@@ -138,6 +126,17 @@ def _sets(levels, k: int):
     return run
 
 
+def _named(levels, k: int):
+    """Ids, names of the sets and texts of documents."""
+    def run(batches):
+        tables = byte_tables(True, True)
+        for b in blocks(batches, "text"):
+            key, _, ptr = ranked_sets(words(b.column(1), tables), b.num_rows, levels.value, k)
+            yield pa.RecordBatch.from_arrays([b.column(0), set_names(key, ptr), b.column(1).cast(pa.string())],
+                                             names=["t_id", "t_name", "t_text"])
+    return run
+
+
 def _common(batches):
     for b in batches:
         ka, kb = b.column(4), b.column(5)
@@ -146,10 +145,10 @@ def _common(batches):
                                          names=["a", "b", "na", "nb", "common"])
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, node: str = "long") -> DataFrame:
+def _compare(pairs: DataFrame, sets: DataFrame, held: Scratch, node: str = "long") -> DataFrame:
     """Exact sizes of the intersections of ``pairs`` (a, b, na, nb). Only the
     sets that a pair may ask for are shuffled."""
-    pairs = cut_lineage(pairs, "pairs")
+    pairs = held.table(pairs, "pairs")
     n = pairs.count()
     if not n:
         return sets.sparkSession.createDataFrame([], f"a {node}, b {node}, na long, nb long, common long, whole long")
@@ -159,7 +158,7 @@ def _compare(pairs: DataFrame, sets: DataFrame, node: str = "long") -> DataFrame
     right = sets.select(F.col("node").alias("b"), F.col("keys").alias("kb"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ka", "kb")
     got = met.mapInArrow(_common, f"a {node}, b {node}, na long, nb long, common long")
-    return cut_lineage(got.withColumn("whole", F.col("na") + F.col("nb") - F.col("common")), "distances")
+    return held.table(got.withColumn("whole", F.col("na") + F.col("nb") - F.col("common")), "distances")
 
 
 def _pairs(members: DataFrame, pivots: DataFrame, percent: int, links_only: bool) -> DataFrame:
@@ -220,14 +219,6 @@ def _cells(members: DataFrame, pivots: DataFrame, dist: DataFrame, percent: int)
     return own.unionByName(copies).unionByName(edge).withColumnRenamed("cell", "region")
 
 
-def drop_unused(spark) -> None:
-    """Have both garbage collectors run, so that Spark's cleaner drops the
-    shuffle files, broadcasts and plans of the rounds that are over (it acts
-    only when the driver's objects for them are collected)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS,
                     percent: int = PERCENT, pivots: int = PIVOTS, leaf: int = LEAF, slots: int = SLOTS) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
@@ -241,30 +232,39 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fine; a null id takes part and counts as larger than any other; no rows
     in, no rows out; other columns are ignored.
     """
+    held = Scratch(docs.sparkSession)
+    out = cut_lineage(_classes(docs, id_col, text_col, k, percent, pivots, leaf, slots, held).drop("name"), "similar-classes")
+    held.close()
+    return out
+
+
+def _classes(docs: DataFrame, id_col, text_col, k, percent, pivots, leaf, slots, held: Scratch) -> DataFrame:
+    """``similar_classes`` with the name of each row's set; reads tables of ``held``."""
     levels = word_levels(docs, text_col, True, slots)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     described = src.mapInArrow(_describe(levels, k, percent), "doc_id long, n long, name binary, sig array<long>, place array<int>")
     # a class is known by the row number of one of its rows, fixed once written
-    rows = cut_lineage(described.withColumn("row", F.monotonically_increasing_id()), "sets")
-    classes = cut_lineage(rows.groupBy("name").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "classes")
+    rows = held.table(described.withColumn("row", F.monotonically_increasing_id()), "sets")
+    classes = held.table(rows.groupBy("name").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "classes")
     heads = rows.filter(F.size("sig") > 0).join(
         classes.select(F.col("node").alias("c_node")), F.col("row") == F.col("c_node"), "left_semi")
     spread = heads.select(F.col("row").alias("node"), "n", F.explode(F.arrays_zip("sig", "place")).alias("x")).select(
         "node", "n", F.col("x.sig").alias("region"), F.col("x.place").alias("place"))
-    shared = cut_lineage(spread.groupBy("region").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(
+    shared = held.table(spread.groupBy("region").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(
         F.col("region").alias("key")), "shared")
     members = possible(spread, F.col("region"), shared).join(
         shared, F.col("region") == F.col("key"), "left_semi").withColumn("owner", F.lit(True))
-    members = cut_lineage(members, "regions")
+    members = held.table(members, "members")
     # whole sets, only of the documents that stand in a region
-    needed = cut_lineage(heads.select("row", "doc_id", "name").join(
+    needed = held.table(heads.select("row", "doc_id", "name").join(
         members.select(F.col("node").alias("m_node")).distinct(), F.col("row") == F.col("m_node"), "left_semi").select(
         F.col("row").alias("node"), F.col("doc_id").alias("n_id"), F.col("name").alias("n_name")), "needed")
     asked = possible(src.withColumn("id_key", F.coalesce("doc_id", F.lit(NO_ID))), F.col("id_key"),
                      needed.select(F.coalesce("n_id", F.lit(NO_ID)).alias("key"))).select("doc_id", "text")
     sets = asked.mapInArrow(_sets(levels, k), "doc_id long, name binary, keys binary").join(
         needed, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("name") == F.col("n_name")))
-    sets = cut_lineage(sets.select("node", "keys"), "needed-sets")
+    sets = held.table(sets.select("node", "keys"), "needed-sets")
+    held.drop("shared", "needed")
 
     roots, wide = None, 1
     while True:
@@ -276,7 +276,7 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 "root", F.coalesce("r_root", "node")).drop("r_node", "r_root")
         open_ = m.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
                                         F.count(F.when(F.col("owner"), 1)).alias("owners")).filter("lo <> hi and owners > 0")
-        m = cut_lineage(m.join(open_.select(F.col("region").alias("o_region"), "owners"),
+        m = held.table(m.join(open_.select(F.col("region").alias("o_region"), "owners"),
                                F.col("region") == F.col("o_region")).drop("o_region"), "open-regions")
         if not m.take(1):
             break
@@ -287,22 +287,22 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         turn = F.row_number().over(W.partitionBy("region").orderBy("alike", F.xxhash64("node"), "node"))
         chosen = m.filter("owner").withColumn("alike", alike).withColumn("turn", turn).filter(
             F.col("turn") <= wide).drop("turn", "alike")
-        chosen = cut_lineage(chosen, "pivots")
+        chosen = held.table(chosen, "pivots")
         todo = _pairs(m.filter(~crowded), chosen.filter(~crowded), percent, True).unionByName(
             _pairs(m.filter(crowded), chosen.filter(crowded), percent, False)).distinct()
-        dist = _compare(todo, sets)
+        dist = _compare(todo, sets, held)
         new = dist.filter(F.col("common") * 100 >= F.col("whole") * percent).select("a", "b")
         if roots is None or new.take(1):
             links = new if roots is None else roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new)
-            roots = cut_lineage(components(links), "roots")
+            roots = components(links, held)
         plain = m.filter(~crowded).join(chosen.select(F.col("region").alias("p_region"), F.col("node").alias("p_node")),
                                         (F.col("region") == F.col("p_region")) & (F.col("node") == F.col("p_node")), "left_anti")
         cells = _cells(m.filter(crowded).select("region", "node", "n", "place", "owner"), chosen.filter(crowded), dist, percent)
         members = plain.select("region", "node", "n", "place", "owner").unionByName(cells.select(
             "region", "node", "n", "place", "owner"))
-        members = cut_lineage(members, "cells")
-        wide = pivots
-        drop_unused(docs.sparkSession)
+        members = held.table(members, "members")
+        # four times as many pivots a round: links found in between leave fewer pairs of different components
+        wide = min(4 * wide, pivots)
     if roots is None:
         found = classes.select(F.col("name").alias("f_name"), F.col("first_id").alias("component_id"))
     else:
@@ -312,12 +312,32 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = c.join(names, F.col("root") == F.col("c_root")).select(F.col("name").alias("f_name"), "component_id")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "name").join(found, F.col("name") == F.col("f_name"))
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(
-        F.coalesce("component_id", "doc_id")).alias("component_id"))
+        F.coalesce("component_id", "doc_id")).alias("component_id"), "name")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = PERCENT,
+               pivots: int = PIVOTS, leaf: int = LEAF, slots: int = SLOTS) -> DataFrame:
     """Rows of ``docs`` that stay, with all their columns: of each component
-    the rows with its smallest id (rows without an id stay)."""
-    drop = similar_classes(docs, id_col=id_col, **options).filter("doc_id <> component_id").select(
-        F.col("doc_id").alias("drop_id")).distinct()
-    return docs.join(drop, docs[id_col].cast("long") == drop["drop_id"], "left_anti")
+    the rows with its smallest id (rows without an id stay). Of an id on
+    several rows, only those go whose own text is in such a component."""
+    held = Scratch(docs.sparkSession)
+    found = _classes(docs, id_col, text_col, k, percent, pivots, leaf, slots, held)
+    drop = cut_lineage(found.filter("doc_id <> component_id").select(
+        F.col("doc_id").alias("drop_id"), F.col("name").alias("drop_name")).distinct(), "near-copies")
+    held.close()
+    ids = drop.groupBy("drop_id").agg(F.count(F.lit(1)).alias("names"))
+    mine = docs[id_col].cast("long")
+    # an id that stands on one row, as nearly all do, is decided by the id alone
+    rows = possible(docs.select(mine.alias("r_id")), F.col("r_id"), drop.select(F.col("drop_id").alias("key")))
+    twice = cut_lineage(rows.groupBy("r_id").agg(F.count(F.lit(1)).alias("rows")).join(
+        ids, F.col("r_id") == F.col("drop_id")).filter("rows > 1").select("r_id"), "repeated-ids")
+    once = drop.join(twice, F.col("drop_id") == F.col("r_id"), "left_anti").select("drop_id").distinct()
+    out = docs.join(once, mine == once["drop_id"], "left_anti")
+    if twice.isEmpty():
+        return out
+    levels = word_levels(docs, text_col, True, slots)
+    text = out.join(twice, mine == twice["r_id"], "left_semi").select(mine.alias("doc_id"), F.col(text_col).alias("text")).distinct()
+    named = text.mapInArrow(_named(levels, k), "t_id long, t_name binary, t_text string")
+    gone = cut_lineage(named.join(drop, (F.col("t_id") == F.col("drop_id")) & (F.col("t_name") == F.col("drop_name")),
+                                  "left_semi").select("t_id", F.md5("t_text").alias("t_md5")).distinct(), "near-copy-texts")
+    return out.join(gone, (mine == gone["t_id"]) & (F.md5(docs[text_col]) == gone["t_md5"]), "left_anti")

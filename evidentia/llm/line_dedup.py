@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from evidentia.llm.bloom import bit_table, in_table, possible
 from evidentia.llm.jaccard_join import _compare, prefixes, ranked_sets, set_bytes, set_names
 from evidentia.llm.rarity import SLOTS, word_levels
+from evidentia.llm.scratch import Scratch
 from evidentia.llm.words import Words, blocks, byte_tables, lists, signed, words
 from evidentia.session import cut_lineage
 
@@ -110,7 +111,7 @@ def _similar_later(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
     first (when the node first occurs). Lines that share a token meet; the
     sizes must allow the similarity (length filter), and so must what follows
     the token in both, were it their first common one (positional filter)."""
-    gone, before = None, 0
+    gone, before, held = None, 0, Scratch(members.sparkSession)
     for step in STEPS:
         open_ = members
         if gone is not None:
@@ -128,13 +129,14 @@ def _similar_later(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
         most = F.least(F.col("n") - F.col("place"), F.col("nb") - F.col("p_place"))
         j = j.filter(most * (100 + percent) >= (F.col("n") + F.col("nb")) * percent)
         pairs = j.select(F.col("node").alias("a"), "b", F.col("n").alias("na"), "nb").distinct()
-        dist = _compare(pairs, sets)
+        dist = _compare(pairs, sets, held)
         if step is None and gone is None and not dist.take(1):
             break
         found = dist.filter(F.col("common") * 100 >= F.col("whole") * percent).select(F.col("a").alias("node")).distinct()
         gone = cut_lineage(found if gone is None else gone.unionByName(found).distinct(), "similar-lines")
         if step and not members.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > step).take(1):
             break
+    held.close()
     return gone
 
 

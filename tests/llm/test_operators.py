@@ -95,6 +95,46 @@ def test_similar_classes_null_id_repeated_rows_and_empty_table(spark):
     assert J.similar_classes(frame(spark, []), slots=1 << 16).collect() == []
 
 
+@pytest.fixture(scope="module")
+def colliding():
+    """Two words whose shingles in one context agree in 40 bits of their hash."""
+    import numpy as np
+    import pyarrow as pa
+    from evidentia.llm.words import byte_tables, fold, words
+    w = words(pa.array(["a b c d " + " ".join(f"w{i}" for i in range(8_000_000))]), byte_tables(True, True)).hash
+    h = fold([np.full(len(w) - 4, x) for x in w[:4]] + [w[4:]], 5) >> np.uint64(8) & np.uint64((1 << 40) - 1)
+    order = np.argsort(h)
+    i = int(np.flatnonzero(h[order][1:] == h[order][:-1])[0])
+    return f"w{order[i]}", f"w{order[i + 1]}"
+
+
+def test_shingles_that_agree_in_40_bits_are_different(spark, colliding):
+    """True similarity 4/6: neither linked by the join nor removed as a line."""
+    x, y = colliding
+    rows = [(1, f"p q r s a b c d {x}"), (2, f"p q r s a b c d {y}")]
+    assert {r.component_id for r in J.similar_classes(frame(spark, rows), slots=1 << 16).collect()} == {1, 2}
+    assert all(r.n_removed == 0 for r in L.line_dedup(frame(spark, rows), slots=1 << 16).collect())
+
+
+def test_near_dedup_keeps_an_unrelated_text_of_a_dropped_id(spark):
+    a = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, a), (2, a + " more"), (2, "something else altogether that is near to nothing here"), (3, a), (4, None), (2, None)]
+    got = sorted(((r.doc_id, r.text) for r in J.near_dedup(frame(spark, rows), slots=1 << 16).collect()), key=repr)
+    assert got == sorted([(1, a), (2, rows[2][1]), (4, None), (2, None)], key=repr)
+
+
+def test_join_drops_its_tables(spark, tmp_path):
+    import os
+    from evidentia.session import checkpoint_dir
+    held = checkpoint_dir(spark).replace("file:", "")
+    before = set(os.listdir(held))
+    a = " ".join(f"w{i}" for i in range(60))
+    rows = [(i, a + f" {i}") for i in range(30)] + [(50, "other words that are not near anything at all")]
+    assert J.similar_classes(frame(spark, rows), slots=1 << 16, pivots=4).filter("component_id = 0").count() == 30
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(held)) - before if len(n) != 36}      # not Spark's own folder
+    assert left == {"similar-classes"}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(7, 7), (100, 101), (101, 100)], "a long, b long")
     got = {r.node: r.root for r in components(links).collect()}
