@@ -91,13 +91,9 @@ def prefixes(key, row, ptr, percent: int):
     return key[use], np.concatenate([[0], np.cumsum(np.bincount(row[use], minlength=len(n)))]), place[use]
 
 
-def set_bytes(key, ptr, use) -> pa.Array:
-    """The numbers of each wanted row's set, eight bytes each."""
-    return pa.array([key[ptr[i]:ptr[i + 1]].tobytes() if use[i] else None for i in range(len(ptr) - 1)], type=pa.binary())
-
-
-def _numbers(raw) -> np.ndarray:
-    return np.frombuffer(raw.as_buffer(), np.uint64)
+def whole_sets(key, ptr) -> pa.Array:
+    """The numbers of each row's set."""
+    return lists(signed(key), ptr, pa.int64())
 
 
 def _describe(levels, k: int, percent: int):
@@ -121,7 +117,7 @@ def _sets(levels, k: int):
         tables = byte_tables(True, True)
         for b in blocks(batches, "text"):
             key, _, ptr = ranked_sets(words(b.column(1), tables), b.num_rows, levels.value, k)
-            yield pa.RecordBatch.from_arrays([b.column(0), set_names(key, ptr), set_bytes(key, ptr, np.diff(ptr) > 0)],
+            yield pa.RecordBatch.from_arrays([b.column(0), set_names(key, ptr), whole_sets(key, ptr)],
                                              names=["doc_id", "name", "keys"])
     return run
 
@@ -137,14 +133,6 @@ def _named(levels, k: int):
     return run
 
 
-def _common(batches):
-    for b in batches:
-        ka, kb = b.column(4), b.column(5)
-        common = [len(np.intersect1d(_numbers(ka[i]), _numbers(kb[i]), assume_unique=True)) for i in range(b.num_rows)]
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(common, pa.int64())],
-                                         names=["a", "b", "na", "nb", "common"])
-
-
 def _compare(pairs: DataFrame, sets: DataFrame, held: Scratch, node: str = "long") -> DataFrame:
     """Exact sizes of the intersections of ``pairs`` (a, b, na, nb). Only the
     sets that a pair may ask for are shuffled."""
@@ -156,8 +144,8 @@ def _compare(pairs: DataFrame, sets: DataFrame, held: Scratch, node: str = "long
     sets = possible(sets, F.col("node"), both, blocks_for(2 * n))
     left = sets.select(F.col("node").alias("a"), F.col("keys").alias("ka"))
     right = sets.select(F.col("node").alias("b"), F.col("keys").alias("kb"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ka", "kb")
-    got = met.mapInArrow(_common, f"a {node}, b {node}, na long, nb long, common long")
+    got = pairs.join(left, "a").join(right, "b").select(
+        "a", "b", "na", "nb", F.size(F.array_intersect("ka", "kb")).cast("long").alias("common"))
     return held.table(got.withColumn("whole", F.col("na") + F.col("nb") - F.col("common")), "distances")
 
 
@@ -261,7 +249,7 @@ def _classes(docs: DataFrame, id_col, text_col, k, percent, pivots, leaf, slots,
         F.col("row").alias("node"), F.col("doc_id").alias("n_id"), F.col("name").alias("n_name")), "needed")
     asked = possible(src.withColumn("id_key", F.coalesce("doc_id", F.lit(NO_ID))), F.col("id_key"),
                      needed.select(F.coalesce("n_id", F.lit(NO_ID)).alias("key"))).select("doc_id", "text")
-    sets = asked.mapInArrow(_sets(levels, k), "doc_id long, name binary, keys binary").join(
+    sets = asked.mapInArrow(_sets(levels, k), "doc_id long, name binary, keys array<long>").join(
         needed, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("name") == F.col("n_name")))
     sets = held.table(sets.select("node", "keys"), "needed-sets")
     held.drop("shared", "needed")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evidentia.llm.bloom import bit_table, in_table, possible
-from evidentia.llm.jaccard_join import _compare, prefixes, ranked_sets, set_bytes, set_names
+from evidentia.llm.jaccard_join import _compare, prefixes, ranked_sets, set_names, whole_sets
 from evidentia.llm.rarity import SLOTS, word_levels
 from evidentia.llm.scratch import Scratch
 from evidentia.llm.words import Words, blocks, byte_tables, lists, signed, words
@@ -88,7 +88,7 @@ def _sets(levels, wanted, k: int):
             owner = np.searchsorted(base, at, side="right") - 1
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(owner)), pa.array((at - base[owner]).astype(np.int32)), pa.array(tag[at]),
-                 set_bytes(key, ptr, use).take(pa.array(at))], names=["doc_id", "line", "tag", "keys"])
+                 whole_sets(key, ptr).take(pa.array(at))], names=["doc_id", "line", "tag", "keys"])
     return run
 
 
@@ -182,7 +182,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("f_tag").alias("n_tag")), "needed-lines")
     wanted = bit_table(needed.select(F.col("n_tag").alias("key")))
     asked = possible(src, F.col("doc_id"), needed.select(F.col("n_id").alias("key")))
-    sets = asked.mapInArrow(_sets(levels, wanted, k), "doc_id long, line int, tag long, keys binary").join(
+    sets = asked.mapInArrow(_sets(levels, wanted, k), "doc_id long, line int, tag long, keys array<long>").join(
         needed, (F.col("doc_id") == F.col("n_id")) & (F.col("line") == F.col("n_line")) & (F.col("tag") == F.col("n_tag")))
     sets = cut_lineage(sets.select("node", "keys"), "line-sets")
     gone = _similar_later(members, sets, percent)
