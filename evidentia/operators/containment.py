@@ -1,130 +1,87 @@
 """Exact substring containment: which documents contain which passage
-verbatim. Documents are scanned whole.
-
-Bounded passage set (checked size): broadcast it; every task builds one
-Aho-Corasick automaton and scans each document of its partition once, so
-the cost is linear in the corpus text, and no (passage, document) pair is
-formed unless the document contains the passage.
-
-Passage set above the bound: a distributed anchor join. A token of the
-passage that does not touch either end of the passage is a whole token of
-any document containing it; each passage takes its rarest such token
-(document frequency from the corpus) as anchor, candidates are the
-documents holding the anchor (equi-join on the token), and ``instr``
-verifies each candidate. Passages with no such token (one or two tokens
-touching the ends) go through the automaton, in blocks of bounded size.
+verbatim. One path at every size, built-in functions only.
+
+A token of the passage that touches neither of its ends is a whole token of
+any document that contains it, and two such tokens in a row stand in a row
+there too. Each passage is keyed by the rarest of its inner token pairs (by
+documents that hold the pair; of its inner tokens, if it has only one); a
+passage with a pair that no document holds is contained nowhere. Documents
+meet passages by key, and each candidate is decided on the text itself.
+
+Only pairs that some passage has leave a document, each once per document.
+Passages without an inner token (one or two tokens that touch the ends) are a
+query set that is held against all documents in blocks of BLOCK texts, each
+block one scan without a shuffle.
 """
 
 from __future__ import annotations
 
-import uuid
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from evidentia.operators.sizing import spread
+from evidentia.session import cut_lineage
 
-MAX_PATTERN_BYTES = 64 << 20
-
-PAIRS_SCHEMA = T.StructType([
-    T.StructField("item_id", T.LongType(), False),
-    T.StructField("doc_id", T.LongType(), False),
-])
-
-_AUTOMATA: dict = {}
-
-
-def _automaton(bc, token):
-    import ahocorasick
-    a = _AUTOMATA.get(token)
-    if a is None:
-        ids, texts = bc.value
-        a = ahocorasick.Automaton()
-        by_text: dict[str, list[int]] = {}
-        for i, t in zip(ids, texts):
-            by_text.setdefault(t, []).append(i)
-        for t, lst in by_text.items():
-            a.add_word(t, lst)
-        if by_text:
-            a.make_automaton()
-        _AUTOMATA.clear()
-        _AUTOMATA[token] = a = (a, bool(by_text))
-    return a
-
-
-def _scan_fn(bc, token):
-    def run(batches):
-        auto, nonempty = _automaton(bc, token)
-        for rb in batches:
-            out_item, out_doc = [], []
-            if nonempty:
-                doc_ids = rb.column(0).to_pylist()
-                texts = rb.column(1).to_pylist()
-                for d, t in zip(doc_ids, texts):
-                    if not t:
-                        continue
-                    seen = set()
-                    for _, lst in auto.iter(t):
-                        for i in lst:
-                            if i not in seen:
-                                seen.add(i)
-                                out_item.append(i)
-                                out_doc.append(d)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out_item, pa.int64()), pa.array(out_doc, pa.int64())],
-                schema=pa.schema([("item_id", pa.int64(), False), ("doc_id", pa.int64(), False)]))
-    return run
-
-
-def _automaton_scan(it: DataFrame, scan: DataFrame, max_block_bytes: int) -> DataFrame:
-    """Scan with the passages of ``it``, in blocks whose size is measured
-    before any of them is gathered: one pass over the documents per block."""
-    total = it.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
-    blocks = max(1, -(-2 * total // max_block_bytes)) if total > max_block_bytes else 1
-    docs = spread(scan)
-    out = None
-    for n in range(blocks):
-        part = it.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == n) if blocks > 1 else it
-        rows = part.toArrow()
-        bc = scan.sparkSession.sparkContext.broadcast((rows.column(0).to_pylist(), rows.column(1).to_pylist()))
-        found = docs.mapInArrow(_scan_fn(bc, uuid.uuid4().hex), PAIRS_SCHEMA)
-        out = found if out is None else out.unionByName(found)
-    return out
+TOKEN = r"[\p{L}\p{N}]+"
+BLOCK = 256                    # passages without an inner token that one scan looks for
 
 
-TOKEN = r"[\p{L}\p{N}]+"
+def _tokens(text):
+    return F.regexp_extract_all(text, F.lit(TOKEN), 0)
+
+
+def _pairs(tokens):
+    """Every two tokens in a row."""
+    last = F.greatest(F.size(tokens) - 1, F.lit(0))
+    return F.zip_with(F.slice(tokens, F.lit(1), last), F.slice(tokens, F.lit(2), last), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+def _keyed(passages: DataFrame) -> DataFrame:
+    """(i, keys) of the passages: inner token pairs, else inner tokens, else none."""
+    inner = _tokens(F.regexp_replace(F.regexp_replace("t", rf"^{TOKEN}", ""), rf"{TOKEN}$", ""))
+    p = passages.select("i", inner.alias("w"))
+    return p.select("i", F.array_distinct(F.when(F.size("w") > 1, _pairs(F.col("w"))).otherwise(F.col("w"))).alias("keys"))
+
+
+def _by_key(passages: DataFrame, keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """(i, d) of passages with an inner token."""
+    wanted = keys.select("i", F.explode("keys").alias("key"))
+    both = docs.select("d", _tokens("t").alias("w")).select(
+        "d", F.explode(F.array_distinct(F.concat(_pairs(F.col("w")), "w"))).alias("key"))
+    held = cut_lineage(both.join(wanted.select("key").distinct(), "key", "left_semi"), "passage-keys")
+    seen = held.groupBy("key").agg(F.count(F.lit(1)).alias("docs"))
+    docs_of = F.coalesce("docs", F.lit(0))
+    rarest = wanted.join(seen, "key", "left").groupBy("i").agg(F.min(F.struct(docs_of.alias("docs"), "key")).alias("k"))
+    found = rarest.filter(F.col("k.docs") > 0).select("i", F.col("k.key").alias("key")).join(held, "key").select("i", "d")
+    return (found.join(passages.withColumnRenamed("t", "pt"), "i").join(docs, "d")
+                 .filter(F.instr("t", F.col("pt")) > 0).select("i", "d").distinct())
 
 
-def _anchor_join(it: DataFrame, scan: DataFrame, max_block_bytes: int) -> DataFrame:
-    inner = F.regexp_replace(F.regexp_replace("t", r"^[\p{L}\p{N}]+", ""), r"[\p{L}\p{N}]+$", "")
-    whole = it.select("i", F.array_distinct(F.regexp_extract_all(inner, F.lit(TOKEN), 0)).alias("w"))
-    doc_tok = scan.select("d", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(TOKEN), 0))).alias("tok"))
-    df = doc_tok.groupBy("tok").agg(F.count(F.lit(1)).alias("df"))
-    anchor = (whole.select("i", F.explode("w").alias("tok")).join(df, "tok")
-                   .groupBy("i").agg(F.min_by("tok", F.struct("df", "tok")).alias("tok")))
-    cand = anchor.join(doc_tok, "tok").select("i", "d").distinct()
-    verified = (cand.join(it.withColumnRenamed("t", "pt"), "i").join(scan, "d")
-                    .filter(F.instr("t", F.col("pt")) > 0).select(F.col("i").alias("item_id"), F.col("d").alias("doc_id")))
-    # passages without an inner token, or whose inner tokens occur in no document
-    rest = it.join(anchor.select("i"), "i", "left_anti")
-    anchorless = rest.join(whole.filter(F.size("w") == 0).select("i"), "i", "left_semi")
-    return verified.unionByName(_automaton_scan(anchorless, scan, max_block_bytes))
+def _by_block(passages: DataFrame, docs: DataFrame, block: int) -> DataFrame:
+    """(i, d) of passages without an inner token: their distinct texts, block
+    by block, against all documents."""
+    texts = cut_lineage(passages.select("t").distinct().withColumn(
+        "n", F.pmod(F.xxhash64("t"), F.lit(-(-passages.count() // block) or 1))), "edge-passages")
+    found = None
+    for r in texts.select("n").distinct().orderBy("n").collect():                     # one row per block
+        part = [x["t"] for x in texts.filter(F.col("n") == r["n"]).collect()]         # about BLOCK short texts
+        hits = docs.select("d", F.explode(F.filter(F.array(*map(F.lit, part)), lambda p: F.instr(F.col("t"), p) > 0)).alias("t"))
+        found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        return passages.sparkSession.createDataFrame([], "i long, d long")
+    return found.join(passages, "t").select("i", "d").distinct()
 
 
 def contained_in(items: DataFrame, docs: DataFrame, *, item_key: str = "item_id",
                  item_text: str = "text", doc_key: str = "doc_id", doc_text: str = "text",
-                 max_block_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
+                 block: int = BLOCK) -> DataFrame:
     """(item_id, doc_id) for every document whose text contains the item text.
-    Null or empty passages match nothing."""
-    it = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")) \
-              .filter(F.length("t") > 0)
-    scan = docs.select(F.col(doc_key).cast("long").alias("d"), F.col(doc_text).alias("t"))
-    total = it.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("b")).first()["b"]
-    if total <= max_block_bytes:
-        out = _automaton_scan(it, scan, max_block_bytes)
-    else:
-        out = _anchor_join(it, scan, max_block_bytes)
-    return out.withColumnRenamed("item_id", item_key).withColumnRenamed("doc_id", doc_key) \
-        if (item_key, doc_key) != ("item_id", "doc_id") else out
+    Null or empty passages and null texts match nothing."""
+    passages = items.select(F.col(item_key).cast("long").alias("i"), F.col(item_text).alias("t")).filter(F.length("t") > 0)
+    texts = spread(docs.select(F.col(doc_key).cast("long").alias("d"), F.col(doc_text).alias("t")).filter("t is not null"))
+    keys = cut_lineage(_keyed(passages), "passages")
+    out = _by_key(passages, keys.filter(F.size("keys") > 0), texts)
+    edge = keys.filter(F.size("keys") == 0).select("i")
+    if not edge.isEmpty():
+        out = out.unionByName(_by_block(passages.join(edge, "i", "left_semi"), texts, block))
+    return out.select(F.col("i").alias(item_key), F.col("d").alias(doc_key))

@@ -183,15 +183,26 @@ def test_result_sink_and_listener(spark):  # S10, R2
     assert ev_rows[-1].status == "done"
 
 
-def test_containment_distributed_path(spark):
-    """Above the broadcast bound the anchor join gives the same pairs."""
-    items = read_table(spark, SF_SMALL, "benchmark")
-    extra = spark.createDataFrame([(10_000, "Er."), (10_001, "e"), (10_002, "zzqx none")], "item_id long, text string")
-    items = items.unionByName(extra)
-    docs = read_table(spark, SF_SMALL, "documents")
-    small = sorted(map(tuple, contained_in(items, docs).collect()))
-    big = sorted(map(tuple, contained_in(items, docs, max_block_bytes=2000).collect()))
-    assert small == big and len(small) > 0
+def test_containment_of_any_passage(spark):
+    """Passages without inner tokens, with one, repeated, of other scripts and of white space; several blocks."""
+    import random
+    rnd = random.Random(4)
+    words = ["alpha", "be", "x", "été", "zwei3", "данные", "-", "a.b", "\n", "  "]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 30))) for _ in range(120)] + [None, "", "alpha"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    passages = [None, "", " ", "a", "alph", "be x", "été zwei3 данные", "lpha be", "x été zwei3 x", "none of these", "-", "b - ", "alpha"]
+    for t in rnd.sample([t for t in texts if t and len(t) > 12], 40):
+        a = rnd.randrange(len(t) - 10)
+        passages.append(t[a:a + rnd.randint(1, 40)])
+    passages += passages[-3:]
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, text string")
+    want = sorted((i, d) for i, p in enumerate(passages) for d, t in enumerate(texts) if p and t and p in t)
+    for block in (256, 4):
+        got = sorted(map(tuple, contained_in(items, docs, block=block).collect()))
+        assert got == want
+    assert contained_in(items.limit(0), docs).count() == 0 == contained_in(items, docs.limit(0)).count()
+    named = contained_in(items.withColumnRenamed("item_id", "p"), docs.withColumnRenamed("doc_id", "q"), item_key="p", doc_key="q")
+    assert named.columns == ["p", "q"]
 
 
 def test_user_model_steps_in_pipeline(spark):  # M2, M3 as user functions, P12
