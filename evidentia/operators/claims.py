@@ -21,21 +21,20 @@ def py_list(ids_col) -> F.Column:
 
 
 # --- fixed values of the built-in claim writer ----------------------------------
-MAX_CLAIMS = 8                 # claims per question
 MIN_PERCENT = 60               # share of a sentence's tokens that the question must hold
-MIN_TOKENS = 4                 # shorter sentences state nothing
 # ----------------------------------------------------------------------------------
 
 
-def extractive_claims(questions: DataFrame, retrieved: DataFrame, max_claims: int = MAX_CLAIMS,
+def extractive_claims(questions: DataFrame, retrieved: DataFrame, max_claims: int | None = None,
                       min_percent: int = MIN_PERCENT, min_top_score: float | None = None,
                       hits: DataFrame | None = None) -> DataFrame:
     """Built-in lexical claim writer: sentences of the retrieved texts.
 
     A sentence is a claim if at least ``min_percent`` of its distinct tokens
-    occur in the question; the ``max_claims`` with the largest share (ties:
-    paper rank, then place in the text) are kept, each citing the paper it
-    stands in (claim_id = claim_pos = 1, 2, ...). A question that no
+    (it has one at least) occur in the question. Claims come by the share,
+    the largest first (ties: paper rank, then place in the text), each citing
+    the paper it stands in (claim_id = claim_pos = 1, 2, ...); with
+    ``max_claims`` only so many are kept. A question that no
     retrieved sentence addresses gets no claim, as does one whose best hit
     scores below ``min_top_score``."""
     r = retrieved
@@ -45,12 +44,14 @@ def extractive_claims(questions: DataFrame, retrieved: DataFrame, max_claims: in
         best = hits.groupBy("qid").agg(F.max("score").alias("_best")).filter(F.col("_best") >= F.lit(min_top_score))
         r = r.join(best.select("qid"), "qid", "left_semi")
     s = r.select("qid", "rank", "paper_id", F.posexplode(sentences("abstract")).alias("_p", "_s"))
-    s = s.withColumn("_t", F.array_distinct(tokens("_s"))).filter(F.size("_t") >= MIN_TOKENS)
+    s = s.withColumn("_t", F.array_distinct(tokens("_s"))).filter(F.size("_t") > 0)
     q = questions.select("qid", F.array_distinct(tokens("question")).alias("_q"))
     j = s.join(q, "qid").withColumn("_o", F.size(F.array_intersect("_t", "_q")))
     j = j.filter(F.col("_o") * 100 >= F.size("_t") * min_percent)
     order = Window.partitionBy("qid").orderBy((F.col("_o").cast("double") / F.size("_t")).desc(), "rank", "_p", "paper_id")
-    top = j.withColumn("claim_pos", F.row_number().over(order).cast("int")).filter(F.col("claim_pos") <= max_claims)
+    top = j.withColumn("claim_pos", F.row_number().over(order).cast("int"))
+    if max_claims is not None:
+        top = top.filter(F.col("claim_pos") <= max_claims)
     return top.select("qid", "claim_pos", F.col("claim_pos").alias("claim_id"), F.trim("_s").alias("text"),
                       F.array("paper_id").alias("paper_ids"))
 

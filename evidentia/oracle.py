@@ -112,8 +112,7 @@ SELECT qid, CAST(rn AS INTEGER) AS claim_pos, CAST(rn AS INTEGER) AS claim_id, t
        CASE WHEN rn % {every} = 0 THEN [paper_id, CAST(CAST(paper_id AS BIGINT) + {offset} AS VARCHAR)]
             ELSE [paper_id] END AS paper_ids
 FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY CAST(o AS DOUBLE) / n DESC, rank, p, paper_id) AS rn
-      FROM sent WHERE n >= 4 AND o * 100 >= n * {percent})
-WHERE rn <= 8"""
+      FROM sent WHERE n > 0 AND o * 100 >= n * {percent})"""
 CTE["claims"] = _CLAIMS.format(every=FX.FABRICATE_EVERY, offset=FX.FABRICATED_OFFSET, percent=60)
 
 CTE["cit"] = """
