@@ -1,22 +1,11 @@
-"""Exact top-k search of large query tables: a grid of (query block, corpus
-shard) cells.
-
-Queries are dealt into blocks and copied to every shard, corpus rows into
-shards and copied to every block; each cell is one matrix product that
-keeps its k best rows per query, so no task holds more than ``max_queries``
-queries and ``max_members`` corpus rows (twice that, for uneven hashing) and
-no pair becomes a row. The k best per query are then cut in each task and
-once more after the shuffle. Nothing depends on how the vectors lie.
-"""
+"""The k best corpus rows for each query of a cell: one matrix product over a
+bounded number of queries and rows (used by the inverted lists)."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from evidentia.operators.search import RANK_DECIMALS, hits_schema, usable, valid_vectors
+from evidentia.operators.search import RANK_DECIMALS, usable
 
 MAX_MEMBERS = 20000
 MAX_QUERIES = 2000
@@ -46,19 +35,3 @@ def cell_topk(k: int):
         # plain object strings: pandas' own string columns may come in chunks, which Arrow's row batches refuse
         return f.astype({"paper_id": object} | ({} if f["qid"].dtype.kind in "iu" else {"qid": object}))
     return run
-
-
-def grid_hits(queries: DataFrame, corpus: DataFrame, k: int, n_queries: int, dims: int, *, ckey: str = "paper_id",
-              cvec: str = "embedding", max_members: int = MAX_MEMBERS, max_queries: int = MAX_QUERIES) -> DataFrame:
-    """Candidate hits (qid, paper_id, distance, dkey) of ``queries`` (qid,
-    qv): the k best of every cell, among which are the k best of all."""
-    rows = valid_vectors(corpus.select(F.col(ckey).cast("string").alias("paper_id"),
-                                       F.col(cvec).cast("array<double>").alias("v")), "v", dims)
-    blocks = max(1, -(-n_queries // max_queries))
-    shards = max(1, -(-rows.count() // max_members))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    spot = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    q = queries.select(spot("qid", blocks).alias("block"), every(shards).alias("shard"), "qid", "qv")
-    d = rows.select(every(blocks).alias("block"), spot("paper_id", shards).alias("shard"), "paper_id", "v")
-    return q.groupBy("block", "shard").cogroup(d.groupBy("block", "shard")).applyInPandas(
-        cell_topk(k), hits_schema(queries.schema["qid"].dataType))

@@ -8,9 +8,10 @@ query (``mapInArrow``). The survivors (partitions x queries x k rows) meet in
 one window ``row_number() <= k`` per query. No pair of (query, document) is
 ever materialised as a row, and the work stays in BLAS.
 
-Query sets above the broadcast bound never pass through the driver: they
-meet the corpus in a grid of (query block, corpus shard) cells
-(``grid.grid_hits``), with the same rules for vectors, ties and results.
+Query sets above the broadcast bound go block by block: one block is on the
+driver and in a task at a time, each is one scan of the corpus, and its hits
+are merged in two steps and written before the next. The rules for vectors,
+ties and results are the same.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from evidentia.session import cut_lineage
 DEFAULT_K = 5
 # Upper bound for the broadcast query block (rows x dims x 8 bytes).
 MAX_QUERY_BLOCK_BYTES = 256 << 20
+TASK_GROUPS = 256              # groups of tasks whose hits of a block are merged first
 # Memory for one similarity slice inside a task.
 SLICE_BYTES = 64 << 20
 # Distances are compared at this many decimals so that exact copies of a
@@ -176,9 +178,12 @@ def _topk_fn(bq, k: int, dims: int, qid: pa.DataType):
 
 
 def _search_block(queries: DataFrame, corpus: DataFrame, k: int, qkey: str, qvec: str,
-                  ckey: str, cvec: str, dims: int) -> DataFrame:
+                  ckey: str, cvec: str, dims: int, sent: list | None = None) -> DataFrame:
+    """The k best of every task for a block of queries; ``sent`` gets its broadcast."""
     spark = corpus.sparkSession
     bq = spark.sparkContext.broadcast(_collect_block(queries, qkey, qvec, dims))
+    if sent is not None:
+        sent.append(bq)
     scan = valid_vectors(corpus.select(F.col(ckey).cast("string").alias("paper_id"),
                                        F.col(cvec).cast("array<double>").alias("v")), "v", dims)
     kind = id_type(queries, qkey)
@@ -186,6 +191,28 @@ def _search_block(queries: DataFrame, corpus: DataFrame, k: int, qkey: str, qvec
                            hits_schema(kind))
 
 
+def _in_blocks(q: DataFrame, corpus: DataFrame, k: int, n: int, dims: int, ckey: str, cvec: str,
+               block_bytes: int) -> DataFrame:
+    """Hits of a query table that is too large for one broadcast: block after
+    block, each one scan of the corpus, whose rows are never shuffled. The hits
+    of a block are merged in two steps, first those of groups of tasks, so that
+    no window holds the hits of all tasks; they are written before the next
+    block is gathered, and only one block is held at a time."""
+    blocks = max(1, min(n, -(-n * dims * 8 // max(1, block_bytes))))
+    found = None
+    for i in range(blocks):
+        sent: list = []
+        part = q.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == i)
+        hits = _search_block(part, corpus, k, "qid", "qv", ckey, cvec, dims, sent)
+        w = Window.partitionBy("qid", "_tasks").orderBy("dkey", "paper_id")
+        merged = hits.withColumn("_tasks", F.pmod(F.spark_partition_id(), F.lit(TASK_GROUPS))).withColumn(
+            "_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r", "_tasks")
+        done = cut_lineage(merged, "block-hits")
+        sent[0].destroy()
+        found = done if found is None else found.unionByName(done)
+    return found
+
+
 def best_of(hits: DataFrame, k: int) -> DataFrame:
     """(qid, rank, paper_id, distance, score, dkey): the k best hits of each
     query. The limit works in each task before the shuffle and after it."""
@@ -205,8 +232,8 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, *,
 
     Corpus vectors that are null, of another length, zero or not finite take
     no part; so do null, zero or not finite queries; queries of different
-    lengths are refused. Both paths, the broadcast block and the grid beyond
-    ``max_block_bytes``, follow the same rules and give the same rows."""
+    lengths are refused. Queries beyond ``max_block_bytes`` go in blocks of
+    that size, one scan of the corpus each, and give the same rows."""
     if k < 1:
         raise ValueError("k must be at least 1")
     check_one_embedder(queries, corpus)
@@ -215,8 +242,7 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int = DEFAULT_K, *,
     q = cut_lineage(q, "queries")          # sized, then read again: computed once
     n, d = one_length(q, "qv")
     if n * d * 8 > max_block_bytes:
-        from evidentia.operators.grid import grid_hits
-        return best_of(grid_hits(q, corpus, k, n, d, ckey=ckey, cvec=cvec), k)
+        return best_of(_in_blocks(q, corpus, k, n, d, ckey, cvec, max_block_bytes), k)
     return best_of(_search_block(q, corpus, k, "qid", "qv", ckey, cvec, d), k)
 
 

@@ -103,8 +103,9 @@ def _vector_queries(spark, sf):
 
 
 def vector_search_grid(spark, sf):
-    """The path of large query tables: the grid of cells, forced."""
-    return knn(_vector_queries(spark, sf), _stored_corpus(spark, sf), FX.K, max_block_bytes=0).select(
+    """The path of large query tables, forced: blocks of queries, one scan of the corpus each."""
+    q = _vector_queries(spark, sf)
+    return knn(q, _stored_corpus(spark, sf), FX.K, max_block_bytes=q.count() * 64 * 8 // 3).select(
         "qid", "rank", "paper_id", "score")
 
 

@@ -50,6 +50,28 @@ def test_large_query_side_goes_distributed(spark, data):
     assert sorted(a) == sorted(b)
 
 
+def test_blocks_of_queries_shuffle_no_corpus_row(spark, data, monkeypatch):  # J1, W1
+    """Each block is one scan without a shuffle; with few task groups the two merges give the same hits."""
+    from evidentia.operators import search as SE
+    Q, D, ids, corpus, queries = data
+    plans, scan = [], SE._search_block
+
+    def seen(*a, **kw):
+        out = scan(*a, **kw)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+    monkeypatch.setattr(SE, "_search_block", seen)
+    monkeypatch.setattr(SE, "TASK_GROUPS", 2)
+    got = {}
+    for r in knn(queries, corpus.repartition(7), 5, max_block_bytes=8 * 8 * 5).orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.paper_id)
+    assert got == brute(Q, D, ids, 5) and len(plans) == 4
+    monkeypatch.undo()
+    from evidentia.session import cut_lineage
+    one = SE._search_block(queries, cut_lineage(corpus), 5, "qid", "embedding", "paper_id", "embedding", 8)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+
+
 def test_k_rows_however_far(spark, data):  # E6
     Q, D, ids, corpus, queries = data
     far = spark.createDataFrame([(0, (-D[0]).tolist())], "qid long, embedding array<double>")
