@@ -100,7 +100,7 @@ def test_pipeline_over_empty_tables(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = set(ENTRY.queries())
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op") and n[2].isdigit()} == set(range(1, 14))
     assert "pipeline" in names and set(QU.ORACLE) <= set(QU.QUERIES) <= names
 
 
