@@ -104,7 +104,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             raise NoSharedFolderError("set spark.checkpoint.dir to a folder that driver and executors share")
         d = tempfile.mkdtemp(prefix="evidentia-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
-    if not (spark.sparkContext.getCheckpointDir() or "").startswith(d):      # each call of it makes a folder
+    # each call makes a folder; Spark may have put a scheme before the path
+    if d.split("://")[-1].rstrip("/") not in (spark.sparkContext.getCheckpointDir() or ""):
         spark.sparkContext.setCheckpointDir(d)
     return d
 
