@@ -51,8 +51,8 @@ class TokenRollup:
     key (combined before the shuffle; a source of any size is a few rows per
     task). ``commit`` writes it under a temporary name and renames it, so a
     batch is there as a whole or not at all; an id that is there already is
-    left as it is, which makes replays harmless. ``compact`` folds all
-    batches into one and keeps their ids.
+    left as it is, which makes replays harmless. Totals read every batch
+    ever committed; batches are not folded.
     """
 
     def __init__(self, spark: SparkSession, path: str):
