@@ -643,4 +643,5 @@ ORACLE["vector_search_ivf"] = sql(_KNN.format(qk="vec_id", qv="e", dk="id", dv="
                                   .replace("SELECT qid, CAST(rank AS INTEGER) AS rank, paper_id, dist,",
                                            "SELECT qid, CAST(rank AS INTEGER) AS rank, paper_id,"))
 ORACLE["vector_search_grid"] = ORACLE["vector_search_ivf"]
+ORACLE["vector_search_index"] = ORACLE["vector_search_ivf"]
 ORACLE["usage_by_day_stream"] = ORACLE["usage_by_day"]

@@ -116,11 +116,37 @@ def vector_search_ivf(spark, sf):
         "qid", "rank", "paper_id", "score")
 
 
+def _kept_index(spark, sf):
+    """The corpus index, written once per session and opened from its files."""
+    from evidentia.operators.pq_index import open_index, write_index
+    k = ("index",) + _key(spark, sf)
+    if k not in _CACHE:
+        path = os.path.join(checkpoint_dir(spark), f"index-{uuid.uuid4().hex}")
+        _CACHE[k] = write_index(_stored_corpus(spark, sf), path).path
+    return open_index(spark, _CACHE[k])
+
+
+def vector_search_index(spark, sf):
+    """The kept index, looking into all lists and comparing all ids exactly."""
+    from evidentia.operators.ivf import MAX_LISTS
+    from evidentia.operators.pq_index import search_index
+    index = _kept_index(spark, sf)
+    return search_index(_vector_queries(spark, sf), index, FX.K, nprobe=MAX_LISTS, rerank=max(1, index.rows.count())).hits.select(
+        "qid", "rank", "paper_id", "score")
+
+
 def ivf_recall(spark, sf):
-    """Recall of the approximate mode (lists per query as measured on a sample) for every stored vector."""
-    from evidentia.operators.ivf import ivf_knn, recall
-    q, c = _vector_queries(spark, sf), _stored_corpus(spark, sf)
-    return recall(ivf_knn(q, c, FX.K), knn(q, c, FX.K))
+    """Recall of the kept index for every stored vector, lists and ids per
+    query as measured on a sample, and the share of all (query, vector) pairs
+    whose vector was read for an exact distance."""
+    from evidentia.operators.ivf import recall
+    from evidentia.operators.pq_index import search_index
+    q, index = _vector_queries(spark, sf), _kept_index(spark, sf)
+    found = search_index(q, index, FX.K)
+    pairs = max(1, q.count() * index.rows.count())
+    share = found.compared.agg((F.count(F.lit(1)) / F.lit(pairs)).alias("exact_share"))
+    return recall(found.hits, knn(q, _stored_corpus(spark, sf), FX.K)).join(share).select(
+        "expected", "found", "recall", "exact_share", F.lit(found.nprobe).alias("nprobe"), F.lit(found.rerank).alias("rerank"))
 
 
 def vector_health_q(spark, sf):
@@ -606,6 +632,7 @@ QUERIES = {
     "vector_search_one": vector_search_one,
     "vector_search_grid": vector_search_grid,
     "vector_search_ivf": vector_search_ivf,
+    "vector_search_index": vector_search_index,
     "ivf_recall": ivf_recall,
     "recall_at_k": recall_at_k,
     "vector_health": vector_health_q,

@@ -116,6 +116,7 @@ def test_ivf_recall_holds_on_many_lists(spark):
     from evidentia.queries import ivf_recall
     got = ivf_recall(spark, "/root/testdata/sf0.1").first()
     assert got.expected == 10000 and 0.9 <= got.recall <= 1.0
+    assert got.exact_share <= 0.2
 
 
 BAD = [("a", [1.0, 0.0]), ("b", None), ("c", [0.0, 0.0]), ("d", [1.0, 2.0, 3.0]), ("e", [0.0, 1.0]),
