@@ -22,16 +22,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from evidentia.llm.bloom import bit_table, bloom, in_table, mark, possible
 from evidentia.llm.exact_dedup import normalised
 from evidentia.llm.rarity import SLOTS, word_levels
+from evidentia.llm.scratch import Scratch
 from evidentia.llm.words import blocks, byte_tables, fold, lists, mix, shingles, signed, words
 from evidentia.session import cut_lineage
 
 WINDOW = 13
+HOT = 4096                     # texts of a pick beyond which its windows are combined in each task
 _TOP = np.uint64(56)
-LAST_ID = (1 << 63) - 1        # stands for a null id, which is larger than any other
+LAST_ID = (1 << 63) - 1        # stands for a null id
 
 
 def compress(sym, lo, hi, rare, row, salt: int):
@@ -162,23 +165,55 @@ def _describe(levels, window: int):
     return run
 
 
-def _windows(levels, shared, window: int):
-    """Windows whose pick may be shared."""
+def _windows(levels, shared, hot, window: int):
+    """Windows whose pick may be shared, one row per run of neighbours of one
+    pick: (id, tag of the words and first word in one number, pick, whether
+    very many texts have it, hashes of the windows)."""
     def run(batches):
         tables = byte_tables(True, False)
         for b in blocks(batches, "text"):
             w = words(b.column(1), tables)
             at, h, pick = picks(w, _rare(w, levels.value), window)
             mine = in_table(shared.value, pick)
-            at, h = at[mine], h[mine]
+            at, h, pick = at[mine], h[mine], pick[mine]
             row = w.row[at]
-            # tag of the words and first word in one number
-            place = (_tags(_names(w, b.num_rows)[1]).to_numpy()[row] << 32) | (at - w.ptr[row])
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(place), pa.array(signed(h))],
-                                             names=["doc_id", "place", "win"])
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (row[1:] != row[:-1]) | (pick[1:] != pick[:-1]) | (at[1:] != at[:-1] + 1)
+            first = np.flatnonzero(new)
+            f_at, f_row, f_pick = at[first], row[first], pick[first]
+            place = (_tags(_names(w, b.num_rows)[1]).to_numpy()[f_row] << 32) | (f_at - w.ptr[f_row])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(f_row)), pa.array(place), pa.array(signed(f_pick)),
+                 pa.array(in_table(hot.value, f_pick)), lists(signed(h), np.append(first, len(at)), pa.int64())],
+                names=["doc_id", "place", "pick", "hot", "wins"])
     return run
 
 
+def _starts():
+    """Columns of a repeated window: id, tag of the words, first word."""
+    at = F.col("place") + F.col("step")
+    return [F.col("doc_id").alias("s_id"), F.shiftright(at, 32).alias("s_tag"),
+            at.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start")]
+
+
+def _repeated(runs: DataFrame, held: Scratch) -> DataFrame:
+    """(s_id, s_tag, start) of the windows that a smaller id has too; windows
+    are equal if both pick and hash are. Runs of most picks meet once, by
+    their pick, and give the smallest id of each window there. A pick of more
+    than HOT texts would gather them in one task: its windows' smallest ids
+    are combined in each task first, and joined by window."""
+    cold = runs.filter("not hot").repartition("pick").select(
+        "doc_id", "place", "pick", F.posexplode("wins").alias("step", "win"))
+    low = F.min("doc_id").over(W.partitionBy("pick", "win"))
+    few = cold.withColumn("low", low).filter("doc_id > low").select(*_starts())
+    many = runs.filter("hot").select("doc_id", "place", "pick", F.posexplode("wins").alias("step", "win"))
+    least = many.groupBy("pick", "win").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).filter("low < top")
+    least = held.table(least.select(F.col("pick").alias("l_pick"), F.col("win").alias("l_win"), "low"), "least-ids")
+    more = many.join(least, (F.col("pick") == F.col("l_pick")) & (F.col("win") == F.col("l_win"))).filter(
+        "doc_id > low").select(*_starts())
+    return few.unionByName(more)
+
+
 def _cut(window: int, keep_text: bool):
     def run(batches):
         tables = byte_tables(True, False)
@@ -207,7 +242,7 @@ def _cut(window: int, keep_text: bool):
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
-                   slots: int = SLOTS, keep_text: bool = False) -> DataFrame:
+                   slots: int = SLOTS, keep_text: bool = False, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, n_removed, kept_sha256
     (and kept_text with ``keep_text``, words joined by one space).
 
@@ -215,53 +250,58 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     words also stand in a row in a document with a smaller id; windows are
     judged on the input. Texts of equal words are one class: all but its
     smallest id lose everything (if they hold a window at all), and only that
-    one is compared, so large groups of copies cost nothing. Windows travel
-    as 64-bit hashes, and only those whose pick several classes have. Texts
-    are read where they lie; only those that lose words are shuffled.
+    one is compared, so large groups of copies cost nothing. Only windows
+    whose pick several classes have travel, as 64-bit hashes beside the 64
+    bits of their pick, and both must agree. Texts are read where they lie;
+    only those that lose words are shuffled.
 
-    Null text has no words; a null id counts as larger than any other, rows
+    Null text has no words; a null id counts as the largest possible one, rows
     of one id never remove one another's words; no rows in, no rows out;
     other columns are ignored.
     """
+    held = Scratch(docs.sparkSession)
     levels = word_levels(docs, text_col, False, slots)
-    src = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    described = src.mapInArrow(_describe(levels, window), "doc_id long, name binary, tag long, n_words long, sha string, "
-                               "picks array<long>")
-    rows = cut_lineage(described.withColumn("row", F.monotonically_increasing_id()), "picks")     # ids are fixed once written
+    given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    last = F.coalesce("doc_id", F.lit(LAST_ID))
+    src = given.withColumn("doc_id", last)
+    described = given.mapInArrow(_describe(levels, window), "doc_id long, name binary, tag long, n_words long, sha string, "
+                                 "picks array<long>")
+    described = described.withColumn("no_id", F.col("doc_id").isNull()).withColumn("doc_id", last)
+    rows = held.table(described.withColumn("row", F.monotonically_increasing_id()), "picks")     # numbers are fixed once written
     classes = rows.groupBy("name").agg(F.min(F.struct("doc_id", "row")).alias("head"))
-    classes = cut_lineage(classes.select(F.col("name").alias("c_name"), F.col("head.doc_id").alias("first_id"),
-                                         F.col("head.row").alias("head_row")), "classes")
+    classes = held.table(classes.select(F.col("name").alias("c_name"), F.col("head.doc_id").alias("first_id"),
+                                        F.col("head.row").alias("head_row")), "classes")
     heads = rows.filter(F.size("picks") > 0).select("row", "picks").join(
         classes.select("head_row"), F.col("row") == F.col("head_row"), "left_semi")
     shared = heads.select(F.explode("picks").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = bit_table(shared.select("key"))
+    shared = held.table(shared, "shared")
+    shared, common = bit_table(shared.select("key")), bit_table(shared.filter(F.col("n") > hot).select("key"))
     # texts of the classes' first rows: what surely is no later copy, and what the exact join leaves of the rest
-    copies = cut_lineage(rows.select("doc_id", "name").join(classes, F.col("name") == F.col("c_name")).filter(
+    copies = held.table(rows.select("doc_id", "name").join(classes, F.col("name") == F.col("c_name")).filter(
         "doc_id > first_id").select(F.col("doc_id").alias("k_id"), F.col("name").alias("k_name")), "copies")
     marked = mark(src, F.col("doc_id"), bloom(copies.select(F.col("k_id").alias("key"))), "may_copy")
     name = F.unhex(F.md5(F.trim(normalised(F.col("text")))))
     rest = marked.filter("may_copy").withColumn("t_name", name).join(
         copies, (F.col("doc_id") == F.col("k_id")) & (F.col("t_name") == F.col("k_name")), "left_anti")
     firsts = marked.filter("not may_copy").select("doc_id", "text").unionByName(rest.select("doc_id", "text"))
-    win = cut_lineage(firsts.mapInArrow(_windows(levels, shared, window), "doc_id long, place long, win long"), "windows")
-    low = win.groupBy("win").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        F.col("win").alias("l_win"), "low")
-    starts = win.join(low, F.col("win") == F.col("l_win")).filter("doc_id > low").select(
-        F.col("doc_id").alias("s_id"), F.shiftright("place", 32).alias("s_tag"),
-        F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("start"))
-    starts = starts.groupBy("s_id", "s_tag").agg(F.collect_list("start").alias("starts"))
-    starts = cut_lineage(starts, "repeated-starts")
+    runs = held.table(firsts.mapInArrow(_windows(levels, shared, common, window),
+                                        "doc_id long, place long, pick long, hot boolean, wins array<long>"), "windows")
+    starts = _repeated(runs, held).groupBy("s_id", "s_tag").agg(F.collect_list("start").alias("starts"))
+    starts = held.table(starts, "repeated-starts")
+    held.drop("windows", "least-ids", "shared", "copies")
     losing = possible(src, F.col("doc_id"), starts.select(F.col("s_id").alias("key")))
     cut = losing.join(starts, F.col("doc_id") == F.col("s_id")).select("doc_id", "text", "s_tag", "starts").mapInArrow(
         _cut(window, keep_text), "r_id long, r_tag long, n_removed long, kept_sha256 string, kept_text string")
     cut = cut.dropDuplicates(["r_id", "r_tag"])          # repeated rows
-    out = rows.select("doc_id", "name", "tag", "n_words", "sha").join(classes, F.col("name") == F.col("c_name")).join(
+    out = rows.select("doc_id", "no_id", "name", "tag", "n_words", "sha").join(classes, F.col("name") == F.col("c_name")).join(
         cut, (F.col("doc_id") == F.col("r_id")) & (F.col("tag") == F.col("r_tag")), "left")
     copy = (F.col("doc_id") > F.col("first_id")) & (F.col("n_words") >= window)
     empty = hashlib.sha256(b"").hexdigest()
-    cols = [F.when(F.col("doc_id") < LAST_ID, F.col("doc_id")).alias("doc_id"), "n_words",
+    cols = [F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "n_words",
             F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
             F.when(copy, F.lit(empty)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256")]
     if keep_text:
         cols.append(F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text"))
-    return out.select(*cols)
+    out = cut_lineage(out.select(*cols), "repeated-spans")
+    held.close()
+    return out

@@ -141,9 +141,11 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
-def test_repeated_spans(spark, rows):
-    extra = rows + [(None, rows[0][1]), (3, rows[3][1]), (3, rows[5][1]), (None, None)]
-    got = sorted(map(tuple, S.repeated_spans(frame(spark, extra), slots=1 << 16).collect()), key=str)
+@pytest.mark.parametrize("hot", [S.HOT, 1, 3])
+def test_repeated_spans(spark, rows, hot):
+    """Also where all or some picks count as had by very many texts."""
+    extra = rows + [(None, rows[0][1]), (3, rows[3][1]), (3, rows[5][1]), (None, None), ((1 << 63) - 1, "the last id")]
+    got = sorted(map(tuple, S.repeated_spans(frame(spark, extra), slots=1 << 16, hot=hot).collect()), key=str)
     assert got == sorted(B.repeated(extra), key=str)
     assert S.repeated_spans(frame(spark, []), slots=1 << 16).collect() == []
 
