@@ -645,3 +645,32 @@ ORACLE["vector_search_ivf"] = sql(_KNN.format(qk="vec_id", qv="e", dk="id", dv="
 ORACLE["vector_search_grid"] = ORACLE["vector_search_ivf"]
 ORACLE["vector_search_index"] = ORACLE["vector_search_ivf"]
 ORACLE["usage_by_day_stream"] = ORACLE["usage_by_day"]
+
+# claims ranked by BM25: k1 1.2, b 0.75, 0.3 of the question's weight, 40 percent new words
+ORACLE["synthesize_ranked"] = sql(f"""SELECT qid, claim_id, text, paper_ids, round(score, 6) AS score FROM (
+  WITH qw AS (SELECT DISTINCT qid, unnest(regexp_extract_all(lower(question), {TOK})) AS tok FROM questions),
+  dw AS (SELECT tok, count(*) AS df FROM (
+      SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), {TOK})) AS tok FROM documents) GROUP BY tok),
+  size AS (SELECT count(text) AS n FROM documents),
+  mean AS (SELECT avg(n) AS m FROM (
+      SELECT len(list_distinct(regexp_extract_all(lower(s), {TOK}))) AS n
+      FROM (SELECT unnest(regexp_extract_all(text, '[^.!?]+[.!?]')) AS s FROM documents)) WHERE n > 0),
+  w AS (SELECT qw.qid, qw.tok, ln(1.0 + (size.n - COALESCE(dw.df, 0) + 0.5) / (COALESCE(dw.df, 0) + 0.5)) AS idf
+        FROM qw CROSS JOIN size LEFT JOIN dw ON dw.tok = qw.tok),
+  total AS (SELECT qid, sum(idf) AS total FROM w GROUP BY qid),
+  se AS (SELECT qid, rank, paper_id, unnest(ss) AS s, generate_subscripts(ss, 1) AS p
+         FROM (SELECT qid, rank, paper_id, regexp_extract_all(abstract, '[^.!?]+[.!?]') AS ss FROM retrieved)),
+  sw AS (SELECT DISTINCT qid, rank, p, unnest(regexp_extract_all(lower(s), {TOK})) AS tok FROM se),
+  got AS (SELECT sw.qid, sw.rank, sw.p, count(*) AS n, sum(w.idf) AS held
+          FROM sw LEFT JOIN w ON w.qid = sw.qid AND w.tok = sw.tok GROUP BY ALL),
+  near AS (SELECT got.qid, got.rank, got.p, got.n,
+                  round(held * 2.2 / (1 + 1.2 * (1 - 0.75 + 0.75 * got.n / mean.m)), 9) AS score
+           FROM got JOIN total ON total.qid = got.qid CROSS JOIN mean WHERE round(held / total.total, 9) >= 0.3),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank, p) AS turn FROM near),
+  novel AS (SELECT qid, turn, count(*) AS novel FROM (
+      SELECT r.qid, sw.tok, min(r.turn) AS turn
+      FROM ranked r JOIN sw ON sw.qid = r.qid AND sw.rank = r.rank AND sw.p = r.p GROUP BY r.qid, sw.tok) GROUP BY ALL)
+  SELECT r.qid, CAST(row_number() OVER (PARTITION BY r.qid ORDER BY r.turn) AS INTEGER) AS claim_id,
+         trim(se.s) AS text, se.paper_id AS paper_ids, r.score
+  FROM ranked r JOIN novel USING (qid, turn) JOIN se ON se.qid = r.qid AND se.rank = r.rank AND se.p = r.p
+  WHERE r.turn = 1 OR novel.novel * 100 >= r.n * 40)""")

@@ -18,6 +18,7 @@ from evidentia.operators import compare as CMP
 from evidentia.operators import corpus as CO
 from evidentia.operators import evaluate as E
 from evidentia.operators import guardrail as G
+from evidentia.operators import ranking as R
 from evidentia.operators import usage as U
 from evidentia.operators.retrieve import previews, prompt_summary, sources_block
 from evidentia.operators.search import knn, search_one, search_results
@@ -185,6 +186,13 @@ def synthesize(spark, sf):
     return _answers(spark, sf).claims.select("qid", "claim_id", "text", _ids(F.col("paper_ids")).alias("paper_ids"))
 
 
+def synthesize_ranked(spark, sf):
+    """Claims ranked by BM25 over the corpus, none where a question's rare words are missing."""
+    a = _answers(spark, sf)
+    return R.ranked_claims(a.questions, a.retrieved, read_table(spark, sf, "documents").select(F.col("text").alias("abstract"))).select(
+        "qid", "claim_id", "text", _ids(F.col("paper_ids")).alias("paper_ids"), F.round("score", 6).alias("score"))
+
+
 def claim_evidence(spark, sf):
     a = _answers(spark, sf)
     ev = C.claim_evidence(a.claims, a.retrieved)
@@ -640,6 +648,7 @@ QUERIES = {
     "retrieve_preview": retrieve_preview,
     "sources_block": sources_block_q,
     "synthesize": synthesize,
+    "synthesize_ranked": synthesize_ranked,
     "claim_evidence": claim_evidence,
     "claims_block": claims_block,
     "support_check": support_check,
