@@ -299,7 +299,6 @@ def test_language_model(spark):
     import math
     import zlib
 
-    import numpy as np
     rng = random.Random(6)
     rows = []
     for i in range(200):
@@ -319,11 +318,99 @@ def test_language_model(spark):
     fresh = [r for r in got if r.held_out and r.doc_id is not None and r.doc_id < 200]
     assert sum(r.score for r in fresh) > sum(r.base_score for r in fresh)
     assert LM.model_scores(frame(spark, [])).collect() == []
-    cells = np.zeros((8, 8, 8))
-    cells[1, 2, 3], cells[1, 2, 4], cells[0, 2, 3] = 5000, 3, 1
-    p = LM.gibbs(cells)
-    assert np.allclose(p.sum(-1), 1) and p[1, 2, 3] > 0.99 and p[5, 2, 3] > p[5, 2, 7] and (p > 0).all()
-    assert np.allclose(LM.gibbs(cells), p)
+    # pairs and words that are joined instead of sent change nothing
+    key = lambda r: (str(r.doc_id), r.n_tokens, round(r.score, 6))
+    few = LM.model_scores(frame(spark, rows), frequent=20, vocabulary=5, pairs_sent=0).collect()
+    some = LM.model_scores(frame(spark, rows), vocabulary=5, pairs_sent=30).collect()
+    assert sorted(map(key, few)) == sorted(map(key, some)) == sorted(map(
+        key, LM.model_scores(frame(spark, rows), vocabulary=5).collect()))
+    # nothing to learn from: uniform over the symbols, then over the words of a group
+    alone = LM.model_scores(frame(spark, [(None, ""), (None, None)])).collect()
+    assert [round(r.score, 9) for r in alone] == [round(-math.log10(1 + LM.GROUPS), 9)] * 2
+
+
+def one_by_one(texts, asked, size, rounds, burn_in, seed):
+    """Two levels of restaurants, every customer taken out and seated again
+    alone in each round; log10 probability of each asked text, averaged in
+    probability per token over the rounds after ``burn_in``."""
+    import collections
+    import math
+    rng = random.Random(seed)
+    customers = [(a, b) for t in texts for a, b in zip(["\n"] + t, t + ["\n"])]
+    n = collections.Counter(customers)
+    d = LM.discount(sum(c == 1 for c in n.values()), sum(c == 2 for c in n.values()))
+    seats, rooms = collections.defaultdict(list), collections.Counter()
+    total, top, top_tables = collections.Counter(a for a, _ in customers), collections.defaultdict(list), 0
+
+    def top_discount():
+        c = [sum(x) for x in top.values()]
+        return LM.discount(c.count(1), c.count(2))
+
+    def parent(b, d1):
+        c, t = sum(top[b]), len(top[b])
+        return (max(c - d1 * t, 0) + (1 + d1 * top_tables) / size) / (1 + sum(rooms.values()))
+
+    def pick(tables, new, dd):
+        x = rng.random() * (sum(tables) - dd * len(tables) + new)
+        for k, c in enumerate(tables):
+            x -= c - dd
+            if x < 0:
+                tables[k] += 1
+                return False
+        tables.append(1)
+        return True
+
+    def drop(tables):
+        x = rng.random() * sum(tables)
+        k = 0
+        while x >= tables[k]:
+            x -= tables[k]
+            k += 1
+        tables[k] -= 1
+        if not tables[k]:
+            del tables[k]
+            return True
+        return False
+
+    sums = [[0.0] * (len(t) + 1) for t in asked]
+    for turn in range(rounds):
+        d1 = top_discount() if turn else 0.5
+        for a, b in customers:
+            if turn and drop(seats[a, b]):
+                rooms[a] -= 1
+                top_tables -= drop(top[b])
+            if pick(seats[a, b], (1 + d * rooms[a]) * parent(b, d1), d):
+                top_tables += pick(top[b], (1 + d1 * top_tables) / size, d1)
+                rooms[a] += 1
+        if turn >= burn_in:
+            d1 = top_discount()
+            for s, t in zip(sums, asked):
+                for i, (a, b) in enumerate(zip(["\n"] + t, t + ["\n"])):
+                    own = sum(seats[a, b]) - d * len(seats[a, b])
+                    s[i] += (own + (1 + d * rooms[a]) * parent(b, d1)) / (1 + total[a])
+    return [sum(math.log10(x / (rounds - burn_in)) for x in s) for s in sums]
+
+
+def test_language_model_matches_seating_one_by_one(spark):
+    import zlib
+    rng = random.Random(4)
+    rows, after = [], {k: [rng.randrange(30) for _ in range(4)] for k in range(30)}
+    for i in range(150):
+        at, t = rng.randrange(30), []
+        for _ in range(rng.randint(1, 25)):
+            t.append("w%d" % at)
+            at = rng.choice(after[at]) if rng.random() < 0.8 else rng.randrange(30)
+        rows.append((i, " ".join(t)))
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0}
+    learn = [t.split() for i, t in rows if i not in held]
+    asked = [(i, t.split()) for i, t in rows]
+    size = len({w for t in learn for w in t}) + 1 + LM.GROUPS
+    want = dict(zip((i for i, _ in asked), one_by_one(learn, [t for _, t in asked], size, 25, 5, 3)))
+    got = {r.doc_id: r.score for r in LM.model_scores(frame(spark, rows), sweeps=12, burn_in=3).collect()}
+    for part in (held, set(want) - held):
+        a, b = sum(got[i] for i in part), sum(want[i] for i in part)
+        assert abs(a - b) < 0.02 * abs(b), (a, b)
+    assert all(abs(got[i] - want[i]) < 0.1 * abs(want[i]) + 0.3 for i in want)
 
 
 def test_reseat_matches_one_by_one():
