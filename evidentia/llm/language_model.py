@@ -43,12 +43,11 @@ VOCABULARY = 1 << 16           # words that are symbols of their own
 GROUPS = 256                   # symbols that the other words share
 FREQUENT = 1 << 20             # words whose counts are sent to every task; all others are joined
 PAIRS_SENT = 1 << 20           # pairs whose seating is sent to every task; all others are joined
-HELD = 1 << 21                 # pairs a task holds before it sends them on; pairs seated at once
+HELD = 1 << 21                 # tokens a task combines at once; an eighth of it: pairs seated at once
 SWEEPS, BURN_IN = 6, 2
 SMOOTH = 0.1
 THETA = 1.0
 EXACT_SEATS = 256              # customers of a dish seated one by one; beyond, the wait for a new table is drawn
-ASKED = 1 << 44                # added to the count of a pair that stands in a held-out text
 
 
 def held_out(doc_id: Column) -> Column:
@@ -113,48 +112,45 @@ class Symbols:
         return sym
 
     def cells(self, w, rows: int):
-        """(row, cell, symbol) of each token, the end of each text included; a
-        cell is (preceding symbol, symbol). Before a text stands an end."""
+        """(row, cell) of each token, the end of each text included, and the
+        symbol of each word; a cell is (preceding symbol, symbol). Before a
+        text stands an end."""
         ends = w.ptr[1:] + np.arange(rows)
         sym = np.full(len(w.hash) + rows, self.end, dtype=np.int64)
         own = np.ones(len(sym), dtype=bool)
         own[ends] = False
-        sym[own] = self.of(w)
+        of_words = sym[own] = self.of(w)
         before = np.concatenate([[self.end], sym[:-1]])    # what stands before a text is the end of the last one
-        return np.repeat(np.arange(rows), w.counts + 1), before * self.size + sym, sym
+        return np.repeat(np.arange(rows), w.counts + 1), before * self.size + sym, of_words
 
 
 def _count_pairs(symbols):
-    """Cells of a task's texts and their numbers; those of held-out texts only
-    as ASKED. Merged whenever HELD are held."""
+    """Cells of a task's learnt texts with their numbers, and those of its
+    held-out texts as asked; combined over HELD tokens at a time."""
     def run(batches):
         tables = byte_tables(True, True)
-        parts, size = [], 0
-
-        def merged():
-            cell, n, ask = (np.concatenate(x) for x in zip(*parts))
-            u, at = np.unique(cell, return_inverse=True)
-            return u, np.bincount(at, n).astype(np.int64), np.bincount(at, ask) > 0
-
-        def out(cell, n, ask):
-            for lo in range(0, len(cell), 1 << 16):
-                part = slice(lo, lo + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(cell[part]), pa.array(n[part] + ask[part] * np.int64(ASKED))],
-                                                 names=["cell", "n"])
+        parts, size = ([], []), 0
+
+        def out():
+            for asked, part in enumerate(parts):
+                if part:
+                    cell, n = np.unique(np.concatenate(part), return_counts=True)
+                    part.clear()
+                    for lo in range(0, len(cell), 1 << 16):
+                        c = cell[lo:lo + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(c), pa.array(np.zeros(len(c), np.int64) if asked else n[lo:lo + (1 << 16)]),
+                             pa.array(np.full(len(c), bool(asked)))], names=["cell", "n", "asked"])
         for b in blocks(batches, "text"):
             row, cell, _ = symbols.value.cells(words(b.column(0), tables), b.num_rows)
             fresh = b.column(1).to_numpy(zero_copy_only=False)[row]
-            u, at = np.unique(cell, return_inverse=True)
-            parts.append((u, np.bincount(at[~fresh], minlength=len(u)).astype(np.int64), np.bincount(at[fresh], minlength=len(u)) > 0))
-            size += len(u)
+            parts[0].append(cell[~fresh])
+            parts[1].append(cell[fresh])
+            size += len(cell)
             if size > HELD:
-                parts = [merged()]
-                size = len(parts[0][0])
-                if size > HELD // 2:
-                    yield from out(*parts.pop())
-                    size = 0
-        if parts:
-            yield from out(*merged())
+                yield from out()
+                size = 0
+        yield from out()
     return run
 
 
@@ -165,9 +161,8 @@ def _tally(size: int):
     def run(batches):
         once = np.zeros(2 * size, dtype=np.int64)
         for b in batches:
-            cell, n = (b.column(k).to_numpy() for k in (0, 1))
-            ask, n = n >= ASKED, n % ASKED
-            keep = (n > 1) | (ask & (n > 0))
+            cell, n, asked = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+            keep = (n > 1) | (asked & (n > 0))
             alone = cell[~keep & (n > 0)]
             once[:size] += np.bincount(alone // size, minlength=size)
             once[size:] += np.bincount(alone % size, minlength=size)
@@ -318,8 +313,8 @@ def fit(src: DataFrame, symbols: Symbols, sweeps: int, burn_in: int, held: Scrat
     key), from rows of ``text`` and ``held_out``."""
     spark, size = src.sparkSession, symbols.size
     sent = spark.sparkContext.broadcast(symbols)
-    counted = src.select("text", "held_out").mapInArrow(_count_pairs(sent), "cell long, n long").groupBy("cell").agg(
-        F.sum("n").alias("n"))
+    counted = src.select("text", "held_out").mapInArrow(_count_pairs(sent), "cell long, n long, asked boolean").groupBy("cell").agg(
+        F.sum("n").alias("n"), F.max("asked").alias("asked"))
     table = held.table(counted.mapInArrow(_tally(size), "cell long, n long"), "pairs")
     pairs = table.filter("cell >= 0")
     kind = F.floor((-1 - F.col("cell")) / F.lit(size))
@@ -355,7 +350,7 @@ def _score(shared, filt):
     def run(batches):
         tables = byte_tables(True, True)
         s = shared.value
-        m, known, known_n = s["model"], s["words"], s["counts"]
+        m, known, known_log = s["model"], s["words"], s["logs"]
         size = m.symbols.size
         for b in blocks(batches, "text"):
             rows = b.num_rows
@@ -372,14 +367,17 @@ def _score(shared, filt):
             chain = np.bincount(row, times * np.log10((own + m.backing(cell)) / m.weight(cell)), minlength=rows)
             ask = ~sent & in_table(filt.value, mix(cell.astype(np.uint64)))
             ask_ptr = np.searchsorted(row[ask], np.arange(rows + 1))
-            sym = m.symbols.of(w)
             grouped = sym > m.symbols.end
             chain -= np.bincount(w.row[grouped], s["group_log"][sym[grouped]], minlength=rows)
-            at = np.minimum(np.searchsorted(known, w.hash), max(len(known) - 1, 0))
-            have = (known[at] == w.hash) if len(known) else np.zeros(len(w.hash), dtype=bool)
-            c = np.log10(known_n[at[have]] + SMOOTH) if len(known) else np.zeros(0)
-            plain = np.bincount(w.row[have], c, minlength=rows) + np.log10(s["end_n"] + SMOOTH)
-            chain += np.bincount(w.row[have], np.where(grouped[have], c, 0.0), minlength=rows)
+            # a word of the vocabulary brings its count along, only the others are looked up
+            logs, have = s["own_log"][sym], ~grouped
+            look = w.hash[grouped]
+            at = np.minimum(np.searchsorted(known, look), max(len(known) - 1, 0))
+            got = (known[at] == look) if len(known) else np.zeros(len(look), dtype=bool)
+            have[grouped] = got
+            logs[grouped] = np.where(got, known_log[at], 0.0) if len(known) else 0.0
+            plain = np.bincount(w.row, logs, minlength=rows) + np.log10(s["end_n"] + SMOOTH)
+            chain += np.bincount(w.row[grouped], logs[grouped], minlength=rows)
             n_known = np.bincount(w.row[have], minlength=rows) + (s["end_n"] > 0)
             # words outside the sent table, once per text with their number
             r, h = w.row[~have], w.hash[~have]
@@ -456,7 +454,8 @@ def model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     cells = top.column("cell").to_numpy()
     order = np.argsort(cells)
     shared = spark.sparkContext.broadcast({
-        "model": model, "words": word, "counts": count, "end_n": end_n, "group_log": group_log,
+        "model": model, "words": word[~own], "logs": np.log10(count[~own] + SMOOTH), "end_n": end_n, "group_log": group_log,
+        "own_log": np.concatenate([np.log10(count[own] + SMOOTH), np.zeros(1 + GROUPS)]),
         "cells": cells[order], "own": top.column("own").to_numpy()[order]})
     others = pairs.filter(F.col("n") < pair_floor)
     scored = src.mapInArrow(_score(shared, bit_table(others.select("key"))),
