@@ -43,7 +43,8 @@ VOCABULARY = 1 << 16           # words that are symbols of their own
 GROUPS = 256                   # symbols that the other words share
 FREQUENT = 1 << 20             # words whose counts are sent to every task; all others are joined
 PAIRS_SENT = 1 << 20           # pairs whose seating is sent to every task; all others are joined
-HELD = 1 << 21                 # tokens a task combines at once; an eighth of it: pairs seated at once
+HELD = 1 << 21                 # tokens a task combines at once
+SEATED = 1 << 18               # pairs seated at once
 SWEEPS, BURN_IN = 6, 2
 SMOOTH = 0.1
 THETA = 1.0
@@ -155,18 +156,29 @@ def _count_pairs(symbols):
 
 
 def _tally(size: int):
-    """Pairs that are seated go on as they are; of the others (met once, asked
-    by no held-out text) the numbers per symbol, as cells below 0: -1 - symbol
-    for the preceding one, -1 - size - symbol for the other."""
+    """Numbers of each pair, from rows sorted by cell. Pairs that are seated
+    go on; of the others (met once, asked by no held-out text) the numbers per
+    symbol, as cells below 0: -1 - symbol for the preceding one, -1 - size -
+    symbol for the other."""
     def run(batches):
         once = np.zeros(2 * size, dtype=np.int64)
-        for b in batches:
-            cell, n, asked = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+
+        def out(cell, n, asked):
             keep = (n > 1) | (asked & (n > 0))
             alone = cell[~keep & (n > 0)]
             once[:size] += np.bincount(alone // size, minlength=size)
             once[size:] += np.bincount(alone % size, minlength=size)
-            yield pa.RecordBatch.from_arrays([pa.array(cell[keep]), pa.array(n[keep])], names=["cell", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(cell[keep]), pa.array(n[keep])], names=["cell", "n"])
+        last = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)]   # the pair that may go on
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cell, n, asked = (np.concatenate([x, b.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate(last))
+            first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            cell, n, asked = cell[first], np.add.reduceat(n, first), np.logical_or.reduceat(asked, first)
+            last = [x[-1:] for x in (cell, n, asked)]
+            yield out(cell[:-1], n[:-1], asked[:-1])
+        yield out(*last)
         at = np.flatnonzero(once)
         yield pa.RecordBatch.from_arrays([pa.array(-1 - at), pa.array(once[at])], names=["cell", "n"])
     return run
@@ -244,12 +256,12 @@ def seat_pairs(cell, n, sweep: Sweep, size: int, d: float):
 
 
 def _runs(batches):
-    """Batches of (cell, n) joined to runs of at least HELD / 8 rows."""
+    """Batches of (cell, n) joined to runs of at least SEATED rows."""
     parts, size = [], 0
     for b in batches:
         parts.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
         size += b.num_rows
-        if size >= HELD // 8:
+        if size >= SEATED:
             yield tuple(np.concatenate(x) for x in zip(*parts))
             parts, size = [], 0
     if size:
@@ -313,8 +325,9 @@ def fit(src: DataFrame, symbols: Symbols, sweeps: int, burn_in: int, held: Scrat
     key), from rows of ``text`` and ``held_out``."""
     spark, size = src.sparkSession, symbols.size
     sent = spark.sparkContext.broadcast(symbols)
-    counted = src.select("text", "held_out").mapInArrow(_count_pairs(sent), "cell long, n long, asked boolean").groupBy("cell").agg(
-        F.sum("n").alias("n"), F.max("asked").alias("asked"))
+    counted = src.select("text", "held_out").mapInArrow(_count_pairs(sent), "cell long, n long, asked boolean")
+    # combined in the tasks already, so rows of a pair are few: sorted and added up
+    counted = counted.repartition("cell").sortWithinPartitions("cell")
     table = held.table(counted.mapInArrow(_tally(size), "cell long, n long"), "pairs")
     pairs = table.filter("cell >= 0")
     kind = F.floor((-1 - F.col("cell")) / F.lit(size))
