@@ -5,8 +5,10 @@ A stored table is a folder of generations and a log of commits:
     <path>/gen=<id>/bucket=<n>/part-*.parquet    rows, written once, never changed
     <path>/_commits/<version>.json               which generation holds each bucket
 
-A change writes its buckets to a new generation and then publishes one small
-file that names, for every bucket, the generation to read. Until that file is
+A change writes its rows to a new generation and then publishes one small file
+that names, for every bucket, the generations to read, the oldest first. Where a
+key is in several, the newest counts (``live_rows``), so a change need not write
+what it does not change. Until that file is
 there readers see the old table, from then on the new one; a change that stops
 anywhere leaves at worst a generation that no commit names. Publishing is a
 rename that refuses an existing version, so of two writers that started from
@@ -20,11 +22,13 @@ import json
 import time
 import uuid
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evidentia.operators.sizing import broadcast_if_bounded
 from evidentia.session import drop_path, path_exists
 
 LOG = "_commits"
@@ -36,21 +40,32 @@ class ConcurrentChangeError(RuntimeError):
     """Another change was published since this one read the table."""
 
 
+class Run(NamedTuple):
+    gen: str                                             # generation
+    age: int                                             # version that wrote it
+    rows: int                                            # rows of the bucket in it
+
+
 @dataclass(frozen=True)
 class Commit:
     version: int
     buckets: int
-    generations: dict = field(default_factory=dict)      # bucket with rows -> its generation
+    generations: dict = field(default_factory=dict)      # bucket with rows -> its runs, the oldest first
     rows: int | None = None                              # rows of the whole table
 
     def text(self) -> str:
         return json.dumps({"version": self.version, "buckets": self.buckets, "rows": self.rows,
-                           "generations": {str(b): g for b, g in sorted(self.generations.items())}})
+                           "generations": {str(b): runs for b, runs in sorted(self.generations.items())}})
 
     @staticmethod
     def read(text: str) -> "Commit":
         d = json.loads(text)
-        return Commit(d["version"], d["buckets"], {int(b): g for b, g in d["generations"].items()}, d["rows"])
+        # a commit of an older kind names one generation a bucket
+        runs = {int(b): [Run(g, 0, 0)] if isinstance(g, str) else [Run(*r) for r in g] for b, g in d["generations"].items()}
+        return Commit(d["version"], d["buckets"], runs, d["rows"])
+
+    def named(self) -> set:
+        return {r.gen for runs in self.generations.values() for r in runs}
 
 
 def _fs(spark: SparkSession, path: str):
@@ -127,18 +142,46 @@ def write_generation(path: str, rows: DataFrame) -> dict:
     return {int(n[7:]): gen for n, _ in folder_names(spark, folder) if n.startswith("bucket=")}
 
 
+def live_rows(rows: DataFrame, ages: dict, key: str, few: bool) -> DataFrame:
+    """``rows`` (with their ``gen``) without those whose key a later generation
+    holds. Keys and ages alone are grouped. Unless there are ``few`` rows, the
+    keys that come again are counted first: none, and no row is moved at all."""
+    age = F.create_map(*[F.lit(x) for g, a in sorted(ages.items()) for x in (g, a)])[F.col("gen")]
+    aged = rows.withColumn("_age", age)
+    last = aged.groupBy(key).agg(F.min("_age").alias("_first"), F.max("_age").alias("_last")).filter("_first < _last").select(
+        F.col(key).alias("_key"), "_last")
+    n = None if few else last.count()
+    if n == 0:
+        return rows
+    return aged.join(broadcast_if_bounded(last, n, row_bytes=56),
+                     (F.col(key) == F.col("_key")) & (F.col("_age") < F.col("_last")), "left_anti")
+
+
 def read_commit(spark: SparkSession, path: str, commit: Commit, schema: T.StructType,
-                buckets: list[int] | None = None) -> DataFrame:
-    """The rows of ``commit``, or of some of its buckets. Only folders that the
-    commit names are listed or read; a filter on ``bucket`` prunes them."""
+                buckets: list[int] | None = None, key: str = "id", only: DataFrame | None = None,
+                columns: list | None = None) -> DataFrame:
+    """The rows of ``commit``, or of some of its buckets, or those whose key is
+    in ``only``. Only folders that the commit names are listed or read; a filter
+    on ``bucket`` prunes them. ``columns`` (the key among them) are made as the
+    rows are read, so no more than these is moved."""
     root = path.rstrip("/")
     held = commit.generations if buckets is None else {b: commit.generations[b] for b in buckets if b in commit.generations}
     if not held:
-        return spark.createDataFrame([], schema)
+        none = spark.createDataFrame([], schema)
+        return none if columns is None else none.select(*columns)
     with_gen = T.StructType([*[f for f in schema.fields if f.name != "bucket"], T.StructField("gen", T.StringType()),
                              T.StructField("bucket", T.IntegerType())])
-    paths = [f"{root}/gen={g}/bucket={b}" for b, g in sorted(held.items())]
-    return spark.read.schema(with_gen).option("basePath", root).parquet(*paths).select(*schema.fieldNames())
+    paths = [f"{root}/gen={r.gen}/bucket={b}" for b, runs in sorted(held.items()) for r in runs]
+    rows = spark.read.schema(with_gen).option("basePath", root).parquet(*paths)
+    if only is not None:
+        rows = rows.join(only, key, "left_semi")
+    names = schema.fieldNames()
+    if columns is not None:
+        names = spark.createDataFrame([], schema).select(*columns).columns
+        rows = rows.select(*columns, "gen")
+    if any(len(runs) > 1 for runs in held.values()):
+        rows = live_rows(rows, {r.gen: r.age for runs in held.values() for r in runs}, key, only is not None)
+    return rows.select(*names)
 
 
 def history(spark: SparkSession, path: str) -> DataFrame:
@@ -158,9 +201,9 @@ def vacuum(spark: SparkSession, path: str, keep: int = KEEP_VERSIONS, orphan_hou
     old, kept = known[:-keep], known[-keep:]
     live, dead = set(), set()
     for v in kept:
-        live |= set(commit_at(spark, path, v).generations.values())
+        live |= commit_at(spark, path, v).named()
     for v in old:
-        dead |= set(commit_at(spark, path, v).generations.values())
+        dead |= commit_at(spark, path, v).named()
     limit = (time.time() - orphan_hours * 3600) * 1000
     gone = 0
     for name, changed in folder_names(spark, path):

@@ -4,9 +4,10 @@ listing (T3, T4) and the topic predicate (P1, P2).
 
 Storage layout for the table form: parquet in buckets, ``bucket =
 pmod(xxhash64(id), B)``, and a log of commits that names the files of each
-bucket (``commits.py``). An upsert rewrites only the buckets its source keys
-fall in, as a new generation, so its cost follows the size of the change, not
-of the corpus, and it is seen as a whole or not at all.
+bucket (``commits.py``). An upsert writes its rows as a new generation, one more
+run of the buckets its keys fall in; runs are merged only when they are small or
+many (``runs_kept``). So its cost follows the size of the change, not of the
+corpus, and it is seen as a whole or not at all.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evidentia.functions.text import collapse_ws
-from evidentia.operators.commits import (KEEP_VERSIONS, Commit, commit_at, folder_names, publish, read_commit, vacuum,
+from evidentia.operators.commits import (KEEP_VERSIONS, Commit, Run, commit_at, folder_names, publish, read_commit, vacuum,
                                          write_generation)
 from evidentia.operators.sizing import broadcast_if_bounded
 from evidentia.schemas import PAPERS, REQUIRED_PAPER_COLUMNS
@@ -27,6 +28,9 @@ from evidentia.session import drop_path, stage
 DEFAULT_BUCKETS = 64
 BUCKET_ROWS = 2_000_000        # rows per bucket that a table made from a sized source aims at
 BUCKET_PARTS = 8               # tasks that write one bucket, at most
+PART_ROWS = 10_000             # rows of a bucket from which on another task writes it too
+SMALL_RUN = 1000               # a run of a bucket with fewer rows is merged with the next
+RUNS = 16                      # runs of a bucket, at most
 MAX_RESULTS_LIMIT = 2000       # bound of the interactive form; the batch job has none
 
 
@@ -150,14 +154,35 @@ def create_table_if_absent(spark: SparkSession, path: str, buckets: int | None =
     return current.buckets
 
 
-def _generation(path: str, rows: DataFrame, key: str = "id") -> tuple[dict, int]:
-    """``rows`` written as a new generation: (its buckets, row count read from
-    the file footers). A bucket's rows are written by up to BUCKET_PARTS tasks,
-    so no task holds a whole bucket."""
-    part = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(BUCKET_PARTS))
-    held = write_generation(path, rows.repartition("bucket", part))
-    n = read_commit(rows.sparkSession, path, Commit(0, 0, held), TABLE_SCHEMA).count()
-    return held, n
+def _generation(path: str, rows: DataFrame, version: int, largest: int | None = None, key: str = "id") -> dict:
+    """``rows`` written as a new generation: bucket -> its run, rows counted from
+    the files. A bucket's rows are written by up to BUCKET_PARTS tasks (fewer
+    where the ``largest`` bucket is known to be small), so no task holds a whole
+    bucket."""
+    parts = BUCKET_PARTS if largest is None else min(BUCKET_PARTS, -(-largest // PART_ROWS) or 1)
+    part = F.pmod(F.xxhash64(F.col(key), F.lit(1)), F.lit(parts))
+    held = {b: [Run(g, version, 0)] for b, g in write_generation(path, rows.repartition("bucket", part)).items()}
+    written = read_commit(rows.sparkSession, path, Commit(0, 0, held), TABLE_SCHEMA)
+    counts = {r["bucket"]: r["n"] for r in written.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return {b: runs[0]._replace(rows=counts[b]) for b, runs in held.items()}
+
+
+def runs_kept(runs: list[Run], rows: int) -> int:
+    """How many of the runs of a bucket stay as they are when ``rows`` rows
+    come; the others are merged with these. Small runs are; and where there
+    would be more than RUNS, half of them at least, and as many more as are no
+    larger than all after them. So a row is written again few times, whatever
+    the number of changes."""
+    keep = len(runs)
+    while keep and runs[keep - 1].rows < SMALL_RUN:
+        keep -= 1
+        rows += runs[keep].rows
+    if keep + 1 > RUNS:
+        least = keep - RUNS // 2
+        while keep and (keep > least or runs[keep - 1].rows <= rows):
+            keep -= 1
+            rows += runs[keep].rows
+    return keep
 
 
 def write_table(path: str, rows: DataFrame, buckets: int = DEFAULT_BUCKETS) -> None:
@@ -166,8 +191,8 @@ def write_table(path: str, rows: DataFrame, buckets: int = DEFAULT_BUCKETS) -> N
     spark = rows.sparkSession
     if commit_at(spark, path) is not None:
         raise FileExistsError(f"there is a table at {path}")
-    held, n = _generation(path, with_bucket(rows.select(*PAPERS.fieldNames()), buckets=buckets))
-    publish(spark, path, Commit(0, buckets, held, n))
+    held = _generation(path, with_bucket(rows.select(*PAPERS.fieldNames()), buckets=buckets), 0)
+    publish(spark, path, Commit(0, buckets, {b: [r] for b, r in held.items()}, sum(r.rows for r in held.values())))
 
 
 def keep_last(source: DataFrame, key: str = "id", order: str = "ingested_at") -> DataFrame:
@@ -179,6 +204,17 @@ def keep_last(source: DataFrame, key: str = "id", order: str = "ingested_at") ->
                   .select(*source.columns))
 
 
+def fold_repeats(source: DataFrame, key: str = "id", order: str = "ingested_at") -> DataFrame:
+    """As ``keep_last``, but only the rows of keys that come again are grouped."""
+    again = source.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col(key).alias("_again"))
+    n = again.count()
+    if not n:
+        return source
+    keys = broadcast_if_bounded(again, n, row_bytes=48)
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    return keep_last(source.join(keys, same, "left_semi"), key, order).unionByName(source.join(keys, same, "left_anti"))
+
+
 def newer_rows(target: DataFrame, source: DataFrame, key: str = "id", order: str = "ingested_at") -> DataFrame:
     """The rows of ``source`` (one per key) that come after the stored row of
     their key: by ``order``, ties by the rest of the row as in ``keep_last``.
@@ -191,12 +227,96 @@ def newer_rows(target: DataFrame, source: DataFrame, key: str = "id", order: str
     return late.filter(F.col("_stored").isNull() | (F.col("_version") > F.col("_stored"))).select(*source.columns)
 
 
+def _digest(columns: list[str]) -> Column:
+    """SHA-256 of the columns: equal rows have equal ones."""
+    return F.sha2(F.concat_ws(",", *[F.coalesce(F.sha2((F.col(c) if isinstance(PAPERS[c].dataType, T.StringType) else F.to_json(F.struct(c)))
+                                                       .cast("binary"), 256), F.lit("-")) for c in columns]), 256)
+
+
+def newer_keys(stored, source: DataFrame, key: str, order: str) -> tuple[DataFrame, int, int, int]:
+    """The keys of ``newer_rows`` (as often as it returns a row), found from
+    keys and ``order`` alone; other columns are read only where ``order`` ties, first
+    as digests. ``stored`` gives the columns it is asked for. (keys, their number,
+    pairs of a source and a stored row, these and the source rows without one)."""
+    old = stored(key, F.col(order).alias("_old"), F.lit(True).alias("_held"))
+    met = source.select(key, F.col(order).alias("_new")).join(old, key, "left")
+    newer = F.col("_old").isNull() | (F.col("_new") > F.col("_old"))
+    tie = F.col("_new") == F.col("_old")
+    c = met.agg(F.count_if(newer).alias("newer"), F.count_if(tie).alias("ties"), F.count_if("_held").alias("pairs"),
+                F.count_if(F.col("_held").isNull()).alias("fresh")).first()
+    keys, n = met.filter(newer).select(key), c["newer"]
+    if c["ties"]:
+        rest = [x for x in source.columns if x not in (key, order, "bucket")]
+        mine = source.select(key, F.col(order).alias("_at"), _digest(rest).alias("_mine"))
+        theirs = stored(key, F.col(order).alias("_old"), _digest(rest).alias("_theirs"))
+        other = mine.join(theirs, key).filter("_at = _old and _mine != _theirs").select(key).distinct().persist()
+        m = other.count()
+        if m:
+            few = broadcast_if_bounded(other, m, row_bytes=48)
+            won = newer_rows(stored(*source.columns).join(few, key, "left_semi").select(*source.columns).join(
+                source.select(F.col(key).alias("_key"), F.col(order).alias("_at")),
+                (F.col(key) == F.col("_key")) & (F.col(order) == F.col("_at")), "left_semi"),
+                source.join(few, key, "left_semi"), key, order).select(key)
+            keys, n = keys.unionByName(won), n + won.count()
+        other.unpersist()
+    return keys, n, c["pairs"], c["pairs"] + c["fresh"]
+
+
+def merge_rows(spark: SparkSession, path: str, rows: DataFrame, key: str = "id", buckets: int | None = None,
+               newest_by: str | None = None, keep_versions: int = KEEP_VERSIONS) -> tuple[int, int]:
+    """``upsert_table`` of rows that are cheap to read again and do not repeat
+    a key: (source rows, affected rows). Of the stored table keys and
+    ``newest_by`` are read; rows are written once, with the runs that are merged."""
+    paths = []
+    by_bucket = lambda df: {r["bucket"]: r["n"] for r in df.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    try:
+        require_columns(rows)
+        create_table_if_absent(spark, path, buckets)
+        base = _commit(spark, path)
+        src = with_bucket(rows, key, base.buckets)
+        touched = by_bucket(src)                                 # <= buckets values
+        delivered = affected = sum(touched.values())
+
+        def stored(*columns):
+            keys = broadcast_if_bounded(src.select(key), affected, row_bytes=48)
+            return read_commit(spark, path, base, TABLE_SCHEMA, list(touched), key, keys, list(columns))
+
+        replaced = None
+        if newest_by and touched:
+            keys, affected, replaced, pairs = newer_keys(stored, src, key, newest_by)
+            if affected and not affected == pairs == delivered:
+                taken = src.join(broadcast_if_bounded(keys, affected, row_bytes=48), key).select(*src.columns)
+                src, at = stage(taken, "newer")
+                paths.append(at)
+                touched, replaced = by_bucket(src), None
+        if not affected:
+            return delivered, 0
+        if replaced is None:
+            replaced = stored(key).count()
+        kept = {b: runs_kept(base.generations.get(b, []), n) for b, n in touched.items()}
+        merged = {b: base.generations[b][k:] for b, k in kept.items() if k < len(base.generations.get(b, []))}
+        out = src
+        if merged:
+            old = read_commit(spark, path, Commit(base.version, base.buckets, merged), TABLE_SCHEMA, key=key)
+            out = upsert_frame(old.select(*src.columns), src, key, affected)
+        largest = max(n + sum(r.rows for r in merged.get(b, [])) for b, n in touched.items())
+        held = _generation(path, out, base.version + 1, largest, key)
+        now = base.generations | {b: base.generations.get(b, [])[:kept[b]] + [held[b]] for b in touched}
+        publish(spark, path, Commit(base.version + 1, base.buckets, now,
+                                    None if base.rows is None else base.rows - replaced + affected))
+        vacuum(spark, path, keep_versions)
+    finally:
+        for at in paths:
+            drop_path(spark, at)
+    return delivered, affected
+
+
 def upsert_table(spark: SparkSession, path: str, source: DataFrame, key: str = "id",
                  buckets: int | None = None, newest_by: str | None = None,
                  keep_versions: int = KEEP_VERSIONS) -> int:
     """Upsert ``source`` into the corpus table at ``path``; returns the number
-    of affected rows. Only the buckets the source touches are read; the merged
-    buckets are written once, as a new generation, and one commit makes them
+    of affected rows. Only the buckets the source touches are read; its rows are
+    written once, as a new generation, and one commit makes them
     the table. A change that stops before it leaves the table as it was.
     Running it twice with the same source gives the same table.
 
@@ -206,42 +326,12 @@ def upsert_table(spark: SparkSession, path: str, source: DataFrame, key: str = "
     # Stage the source once as a written table; the checks, the bucket
     # list and the merge all read the staged rows, so an expensive source
     # (embedding calls) is never recomputed
-    paths = []
-
-    def staging(df, name):
-        out, at = stage(df, name)
-        paths.append(at)
-        return out
-
+    staged, at = stage(source.select(*PAPERS.fieldNames()), "staging")
     try:
-        staged = staging(source.select(*PAPERS.fieldNames()), "staging")
         require_unique(staged, key)
-        require_columns(staged)
-        create_table_if_absent(spark, path, buckets)
-        base = _commit(spark, path)
-
-        def touched_part(src):
-            touched = [r["bucket"] for r in src.select("bucket").distinct().collect()]      # <= buckets values
-            return touched, read_commit(spark, path, base, TABLE_SCHEMA, touched).filter(F.col("bucket").isin(touched))
-
-        src = with_bucket(staged, key, base.buckets)
-        touched, target = touched_part(src)
-        if newest_by and touched:
-            src = staging(newer_rows(target.select(*src.columns), src, key, newest_by), "newer")
-            touched, target = touched_part(src)
-        if not touched:
-            return 0
-        affected = src.count()
-        before = target.count()
-        held, merged = _generation(path, upsert_frame(target.select(*src.columns), src, key), key)
-        now = {b: g for b, g in base.generations.items() if b not in touched} | held
-        publish(spark, path, Commit(base.version + 1, base.buckets, now,
-                                    None if base.rows is None else base.rows - before + merged))
-        vacuum(spark, path, keep_versions)
+        return merge_rows(spark, path, staged, key, buckets, newest_by, keep_versions)[1]
     finally:
-        for at in paths:
-            drop_path(spark, at)
-    return affected
+        drop_path(spark, at)
 
 
 def read_ids(spark: SparkSession, path: str, ids: DataFrame, key: str = "id",

@@ -404,14 +404,15 @@ def upsert_source(spark, sf) -> DataFrame:
     as a new paper."""
     emb = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"),
                                                      F.col("embedding").cast("array<double>").alias("embedding"))
-    d = read_table(spark, sf, "documents").join(emb, "doc_id", "left")
     at = F.lit(UPSERT_INGESTED_AT).cast("timestamp").alias("ingested_at")
-    again = d.select(F.col("doc_id").cast("string").alias("id"), title_of("text").alias("title"),
-                     F.col("source").alias("authors"),
-                     F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(365)).cast("int")).alias("published_date"),
-                     collapse_ws("text", unicode=False).alias("abstract"),
-                     F.concat(F.lit(FIXTURE_URL_PREFIX), F.col("doc_id").cast("string")).alias("url"),
-                     "embedding", at)
+    # made before the join: a caller that needs no abstract moves no text
+    d = read_table(spark, sf, "documents").select(
+        "doc_id", F.col("doc_id").cast("string").alias("id"), title_of("text").alias("title"),
+        F.col("source").alias("authors"),
+        F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("doc_id", F.lit(365)).cast("int")).alias("published_date"),
+        collapse_ws("text", unicode=False).alias("abstract"),
+        F.concat(F.lit(FIXTURE_URL_PREFIX), F.col("doc_id").cast("string")).alias("url"))
+    again = d.join(emb, "doc_id", "left").select("id", "title", "authors", "published_date", "abstract", "url", "embedding", at)
     e = pages_as_entries(read_table(spark, sf, "pages"))
     new = e.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), "title", "authors",
                    F.lit("2024-01-01").cast("date").alias("published_date"), "abstract", "url",
