@@ -10,16 +10,22 @@ to compare:
   share at least one. A shingle is ranked by its rarest word (an upper
   bound on its own frequency); one whose rarest word occurs once has no
   other document and no region.
-* In each region, documents are chosen as pivots and every member is
+* Of each document that stands in a region, the shingles are counted that no
+  other such document has. What it can have in common with any other is the
+  rest, so a document of mostly own shingles stands in no region, and a pair
+  meets only if both rests allow the similarity. Regions of the same members
+  are one.
+* In each region, documents are chosen as pivots, those of the fewest own
+  shingles first (the middle of a group of near copies), and every member is
   compared with them. Members within the radius are linked.
-* A region of many members that one pivot did not join up is split: each
+* A region of many members that the pivots did not join up is split: each
   member belongs to the Voronoi cell of its nearest pivot, those far from
   all pivots to the rest; by the triangle inequality a near pair of two
   cells has each member inside a window around the other's pivot, and so
   boundary members are replicated. Cells are split in the same way, with
   new pivots; small ones go on with further pivots until all have met.
 * A region whose members are connected already, or whose own members have
-  all been pivots, is done.
+  all been pivots, is done; a member leaves that no size left there allows.
 
 Sets travel as 64 bits a shingle (the rank of its rarest word and 56 bits of
 its hash), and only those of documents in a region.
@@ -29,11 +35,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from evidentia.llm.bloom import blocks_for, possible
+from evidentia.llm.bloom import blocks_for, bloom, mark, possible
 from evidentia.llm.components import components
 from evidentia.llm.rarity import SLOTS, word_levels
 from evidentia.llm.scratch import Scratch
@@ -43,8 +50,10 @@ from evidentia.session import cut_lineage
 WORDS = 5
 PERCENT = 80                   # similarity in percent: whole numbers keep the bound exact
 PIVOTS = 256                   # pivots of a region per round
-LEAF = 1024                    # regions of more members are dealt into cells by distance
+LEAF = 1024                    # regions of more members beside the largest component are dealt into cells by distance
 NO_ID = -(1 << 63)             # stands for a null id where keys are hashed
+SHARE = 1 << 20                # shingles counted together, on average
+HAND = 1 << 20                 # shingles that a task deals out at once
 _TOP = np.uint64(56)
 
 
@@ -97,31 +106,85 @@ def whole_sets(key, ptr) -> pa.Array:
 
 
 def _describe(levels, k: int, percent: int):
-    """Per document: id, number of shingles, 128-bit name of the set, and the
-    numbers and places of its regions."""
+    """Per document: id, hash of the text, number of shingles, 128-bit name of
+    the set, and the numbers and places of its regions."""
     def run(batches):
         tables = byte_tables(True, True)
         for b in blocks(batches, "text"):
             key, row, ptr = ranked_sets(words(b.column(1), tables), b.num_rows, levels.value, k)
             sig, sig_ptr, place = prefixes(key, row, ptr, percent)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).cast(pa.int64()), pa.array(np.diff(ptr).astype(np.int64)), set_names(key, ptr),
+                [b.column(0).cast(pa.int64()), b.column(2), pa.array(np.diff(ptr).astype(np.int64)), set_names(key, ptr),
                  lists(signed(sig), sig_ptr, pa.int64()), lists(place.astype(np.int32), sig_ptr, pa.int32())],
-                names=["doc_id", "n", "name", "sig", "place"])
+                names=["doc_id", "hash", "n", "name", "sig", "place"])
     return run
 
 
 def _sets(levels, k: int):
-    """Names and whole sets of documents."""
+    """Whole sets of the texts whose set has the name that is asked for."""
     def run(batches):
         tables = byte_tables(True, True)
         for b in blocks(batches, "text"):
-            key, _, ptr = ranked_sets(words(b.column(1), tables), b.num_rows, levels.value, k)
-            yield pa.RecordBatch.from_arrays([b.column(0), set_names(key, ptr), whole_sets(key, ptr)],
-                                             names=["doc_id", "name", "keys"])
+            key, _, ptr = ranked_sets(words(b.column(2), tables), b.num_rows, levels.value, k)
+            right = pc.equal(set_names(key, ptr), b.column(1).cast(pa.binary()))
+            yield pa.RecordBatch.from_arrays([b.column(0), whole_sets(key, ptr)], names=["node", "keys"]).filter(right)
+    return run
+
+
+def _dealt(shares: int):
+    """The numbers of sets, dealt by their hash to shares: 32 bits of each,
+    with the nodes that they belong to and how many in a row are a node's;
+    one row per share of at most HAND numbers (or one set)."""
+    def run(batches):
+        for b in batches:
+            size = pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(size)
+            lo = 0
+            while lo < b.num_rows:
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + HAND, side="right")))
+                part = b.slice(lo, hi - lo)
+                h = pc.list_flatten(part.column(1)).to_numpy(zero_copy_only=False).view(np.uint64)
+                node = np.repeat(part.column(0).to_numpy(zero_copy_only=False), size[lo:hi])
+                share = ((h >> np.uint64(32)) & np.uint64(0xFFFFFF)) % np.uint64(shares)
+                order = np.argsort(share, kind="stable")
+                share, node, bits = share[order], node[order], (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order].view(np.int32)
+                new = np.ones(len(share), dtype=bool)
+                new[1:] = share[1:] != share[:-1]
+                first = np.flatnonzero(new)
+                new[1:] |= node[1:] != node[:-1]
+                run = np.flatnonzero(new)
+                ptr = np.append(first, len(share))
+                runs = np.searchsorted(run, ptr)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(share[first].astype(np.int32)), lists(node[run], runs, pa.int64()),
+                     lists(np.diff(np.append(run, len(share))), runs, pa.int32()), lists(bits, ptr, pa.int32())],
+                    names=["share", "nodes", "times", "bits"])
+                lo = hi
     return run
 
 
+def _own(table: pa.Table) -> pa.Table:
+    """Of one share: how many numbers of each node no other node has."""
+    node = np.repeat(pc.list_flatten(table.column("nodes")).to_numpy(), pc.list_flatten(table.column("times")).to_numpy())
+    bits = pc.list_flatten(table.column("bits")).to_numpy()
+    order = np.lexsort((node, bits))
+    node, bits = node[order], bits[order]
+    new = np.ones(len(bits), dtype=bool)
+    new[1:] = bits[1:] != bits[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(bits)) - 1           # a set that came twice counts once
+    got, n = np.unique(node[first[node[first] == node[last]]], return_counts=True)
+    return pa.table({"node": pa.array(got, pa.int64()), "own": pa.array(n.astype(np.int64), pa.int64())})
+
+
+def _own_counts(sets: DataFrame, numbers: int) -> DataFrame:
+    """(node, own): at most as many numbers of a set as no other set has.
+    Numbers that agree in the bits compared count as shared."""
+    shares = max(1, min(1 << 24, numbers // SHARE))
+    dealt = sets.mapInArrow(_dealt(shares), "share int, nodes array<long>, times array<int>, bits array<int>")
+    return dealt.groupBy("share").applyInArrow(_own, "node long, own long").groupBy("node").agg(F.sum("own").alias("own"))
+
+
 def _named(levels, k: int):
     """Ids, names of the sets and texts of documents."""
     def run(batches):
@@ -152,18 +215,19 @@ def _compare(pairs: DataFrame, sets: DataFrame, held: Scratch, node: str = "long
 def _pairs(members: DataFrame, pivots: DataFrame, percent: int, links_only: bool) -> DataFrame:
     """Distinct pairs (a < b) of members and pivots of their region. Where
     only links matter, pairs are left out that are connected already, whose
-    sizes rule a link out, or whose shared shingle, were it the first one,
-    stands too far back in either (a linked pair passes at its first). Where
+    sizes rule a link out, or too few of whose shingles others have, or whose
+    shared shingle, were it the first one, stands too far back in either (a
+    linked pair passes at its first). Where
     distances deal out cells, only those are left out whose sizes put the
     member beyond every window."""
     p = pivots.select(F.col("region").alias("p_region"), F.col("node").alias("pivot"), F.col("n").alias("pn"),
-                      F.col("place").alias("p_place"), F.col("root").alias("p_root"))
+                      F.col("place").alias("p_place"), F.col("rest").alias("p_rest"), F.col("root").alias("p_root"))
     j = members.join(p, F.col("region") == F.col("p_region")).filter("node <> pivot")
     small, large = F.least("n", "pn"), F.greatest("n", "pn")
     bound = percent if links_only else max(0, 100 - 4 * (100 - percent))
     j = j.filter(small * 100 >= large * bound)
     if links_only:
-        most = F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("p_place"))
+        most = F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("p_place"), "rest", "p_rest")
         j = j.filter("root <> p_root").filter(most * (100 + percent) >= (F.col("n") + F.col("pn")) * percent)
     first = F.col("node") < F.col("pivot")
     return j.select(F.when(first, F.col("node")).otherwise(F.col("pivot")).alias("a"),
@@ -194,16 +258,16 @@ def _cells(members: DataFrame, pivots: DataFrame, dist: DataFrame, percent: int)
         F.col("region").alias("b_region"), F.col("node").alias("b_node"), "best")
     m = stay.join(best, (F.col("region") == F.col("b_region")) & (F.col("node") == F.col("b_node")), "left")
     home = F.when(F.col("best.d") < 3 * e, F.col("best.pivot"))
-    own = m.select(F.when(home.isNull(), F.xxhash64("region")).otherwise(F.xxhash64("region", home)).alias("cell"), "node", "n", "place", "owner")
+    own = m.select(F.when(home.isNull(), F.xxhash64("region")).otherwise(F.xxhash64("region", home)).alias("cell"), "node", "n", "place", "rest", "owner")
     far = F.least(F.col("best.d") + 2 * e, F.lit(4 * e)) + 1e-9
     copies = m.join(near.select(F.col("region").alias("n_region"), F.col("node").alias("n_node"),
                                 F.col("pivot").alias("other"), F.col("d").alias("other_d")),
                     (F.col("region") == F.col("n_region")) & (F.col("node") == F.col("n_node")))
     copies = copies.filter((F.col("other_d") <= F.when(home.isNull(), F.lit(4 * e + 1e-9)).otherwise(far))
                            & (home.isNull() | (F.col("other") != home)))
-    copies = copies.select(F.xxhash64("region", "other").alias("cell"), "node", "n", "place", F.lit(False).alias("owner"))
+    copies = copies.select(F.xxhash64("region", "other").alias("cell"), "node", "n", "place", "rest", F.lit(False).alias("owner"))
     edge = m.filter(home.isNotNull() & (F.col("best.d") >= 2 * e - 1e-9)).select(
-        F.xxhash64("region").alias("cell"), "node", "n", "place", F.lit(False).alias("owner"))
+        F.xxhash64("region").alias("cell"), "node", "n", "place", "rest", F.lit(False).alias("owner"))
     return own.unionByName(copies).unionByName(edge).withColumnRenamed("cell", "region")
 
 
@@ -230,29 +294,48 @@ def _classes(docs: DataFrame, id_col, text_col, k, percent, pivots, leaf, slots,
     """``similar_classes`` with the name of each row's set; reads tables of ``held``."""
     levels = word_levels(docs, text_col, True, slots)
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = src.mapInArrow(_describe(levels, k, percent), "doc_id long, n long, name binary, sig array<long>, place array<int>")
+    src = src.withColumn("hash", F.xxhash64("text"))
+    described = src.mapInArrow(_describe(levels, k, percent),
+                               "doc_id long, hash long, n long, name binary, sig array<long>, place array<int>")
     # a class is known by the row number of one of its rows, fixed once written
     rows = held.table(described.withColumn("row", F.monotonically_increasing_id()), "sets")
     classes = held.table(rows.groupBy("name").agg(F.min("row").alias("node"), F.min("doc_id").alias("first_id")), "classes")
-    heads = rows.filter(F.size("sig") > 0).join(
-        classes.select(F.col("node").alias("c_node")), F.col("row") == F.col("c_node"), "left_semi")
+    # one row of each class stands for it; only what may be another one is shuffled
+    later = held.table(rows.select("row", "name").join(classes.select(F.col("name").alias("c_name"), "node"),
+                                                       F.col("name") == F.col("c_name")).filter("row > node").select(
+        F.col("row").alias("key")), "later")
+    marked = mark(rows.filter(F.size("sig") > 0), F.col("row"), bloom(later), "may_later")
+    heads = marked.filter("not may_later").unionByName(marked.filter("may_later").join(
+        later, F.col("row") == F.col("key"), "left_anti")).drop("may_later")
     spread = heads.select(F.col("row").alias("node"), "n", F.explode(F.arrays_zip("sig", "place")).alias("x")).select(
         "node", "n", F.col("x.sig").alias("region"), F.col("x.place").alias("place"))
     shared = held.table(spread.groupBy("region").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select(
         F.col("region").alias("key")), "shared")
-    members = possible(spread, F.col("region"), shared).join(
-        shared, F.col("region") == F.col("key"), "left_semi").withColumn("owner", F.lit(True))
-    members = held.table(members, "members")
-    # whole sets, only of the documents that stand in a region
-    needed = held.table(heads.select("row", "doc_id", "name").join(
+    members = held.table(possible(spread, F.col("region"), shared).join(
+        shared, F.col("region") == F.col("key"), "left_semi"), "members")
+    # whole sets, only of the documents that stand in a region: their texts are found first, which are shorter
+    needed = held.table(heads.select("row", "doc_id", "hash", "name", "n").join(
         members.select(F.col("node").alias("m_node")).distinct(), F.col("row") == F.col("m_node"), "left_semi").select(
-        F.col("row").alias("node"), F.col("doc_id").alias("n_id"), F.col("name").alias("n_name")), "needed")
+        F.col("row").alias("node"), F.col("doc_id").alias("n_id"), F.col("hash").alias("n_hash"), "name", "n"), "needed")
     asked = possible(src.withColumn("id_key", F.coalesce("doc_id", F.lit(NO_ID))), F.col("id_key"),
-                     needed.select(F.coalesce("n_id", F.lit(NO_ID)).alias("key"))).select("doc_id", "text")
-    sets = asked.mapInArrow(_sets(levels, k), "doc_id long, name binary, keys array<long>").join(
-        needed, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("name") == F.col("n_name")))
-    sets = held.table(sets.select("node", "keys"), "needed-sets")
-    held.drop("shared", "needed")
+                     needed.select(F.coalesce("n_id", F.lit(NO_ID)).alias("key"))).select("doc_id", "hash", "text")
+    asked = asked.join(needed, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("hash") == F.col("n_hash")))
+    sets = held.table(asked.select("node", "name", "text").mapInArrow(_sets(levels, k), "node long, keys array<long>"), "needed-sets")
+    numbers = needed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rests = needed.select(F.col("node").alias("s_node"), F.col("n").alias("s_n")).join(
+        _own_counts(sets, numbers), F.col("s_node") == F.col("node"), "left").select(
+        "s_node", (F.col("s_n") - F.coalesce("own", F.lit(0))).alias("rest")).filter(F.col("rest") * 100 >= F.col("s_n") * percent)
+    rests = held.table(rests, "rests")
+    sets = held.table(possible(sets, F.col("node"), rests.select(F.col("s_node").alias("key"))), "needed-sets")
+    members = members.join(rests, F.col("node") == F.col("s_node")).drop("s_node")
+    members = held.table(members, "members")
+    # regions of the same members (the same number, the same sum of hashes: others would only join up) are one
+    same = members.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("node")).alias("sum")).filter(
+        "rows > 1").select(F.col("region").alias("key"), F.xxhash64("rows", "sum").alias("group"))
+    members = members.join(same, F.col("region") == F.col("key")).groupBy(F.col("group").alias("region"), "node").agg(
+        F.first("n").alias("n"), F.min("place").alias("place"), F.first("rest").alias("rest")).withColumn("owner", F.lit(True))
+    members = held.table(members, "members")
+    held.drop("shared", "needed", "rests", "later")
 
     roots, wide = None, 1
     while True:
@@ -262,17 +345,21 @@ def _classes(docs: DataFrame, id_col, text_col, k, percent, pivots, leaf, slots,
             r = roots.select(F.col("node").alias("r_node"), F.col("root").alias("r_root"))
             m = members.join(r, F.col("node") == F.col("r_node"), "left").withColumn(
                 "root", F.coalesce("r_root", "node")).drop("r_node", "r_root")
-        open_ = m.groupBy("region").agg(F.min("root").alias("lo"), F.max("root").alias("hi"),
-                                        F.count(F.when(F.col("owner"), 1)).alias("owners")).filter("lo <> hi and owners > 0")
-        m = held.table(m.join(open_.select(F.col("region").alias("o_region"), "owners"),
-                               F.col("region") == F.col("o_region")).drop("o_region"), "open-regions")
+        parts = m.groupBy("region", "root").agg(F.count(F.when(F.col("owner"), 1)).alias("own"), F.min("n").alias("low"))
+        open_ = parts.groupBy("region").agg(F.count(F.lit(1)).alias("parts"), F.sum("own").alias("owners"),
+                                            F.max("own").alias("most"), F.min("low").alias("low")).filter("parts > 1 and owners > 0")
+        m = m.join(open_.select(F.col("region").alias("o_region"), (F.col("owners") - F.col("most")).alias("others"), "low"),
+                   F.col("region") == F.col("o_region")).drop("o_region")
+        # who cannot be linked with the smallest size there is can be linked with none
+        m = held.table(m.filter(F.col("rest") * (100 + percent) >= (F.col("n") + F.col("low")) * percent).drop("low"), "open-regions")
         if not m.take(1):
             break
         # the first round asks only for links to one pivot, which joins up most regions
-        crowded = (F.col("owners") > leaf) if roots is not None else F.lit(False)
+        crowded = (F.col("others") > leaf) if roots is not None else F.lit(False)
         # members of the region's smaller components first: once they have met all others, one component is left
         alike = F.count(F.lit(1)).over(W.partitionBy("region", "root")) if roots is not None else F.lit(1)
-        turn = F.row_number().over(W.partitionBy("region").orderBy("alike", F.xxhash64("node"), "node"))
+        turn = F.row_number().over(W.partitionBy("region").orderBy(
+            "alike", (F.col("n") - F.col("rest")) / F.col("n"), F.xxhash64("node"), "node"))
         chosen = m.filter("owner").withColumn("alike", alike).withColumn("turn", turn).filter(
             F.col("turn") <= wide).drop("turn", "alike")
         chosen = held.table(chosen, "pivots")
@@ -285,9 +372,9 @@ def _classes(docs: DataFrame, id_col, text_col, k, percent, pivots, leaf, slots,
             roots = components(links, held)
         plain = m.filter(~crowded).join(chosen.select(F.col("region").alias("p_region"), F.col("node").alias("p_node")),
                                         (F.col("region") == F.col("p_region")) & (F.col("node") == F.col("p_node")), "left_anti")
-        cells = _cells(m.filter(crowded).select("region", "node", "n", "place", "owner"), chosen.filter(crowded), dist, percent)
-        members = plain.select("region", "node", "n", "place", "owner").unionByName(cells.select(
-            "region", "node", "n", "place", "owner"))
+        cells = _cells(m.filter(crowded).select("region", "node", "n", "place", "rest", "owner"), chosen.filter(crowded), dist, percent)
+        members = plain.select("region", "node", "n", "place", "rest", "owner").unionByName(cells.select(
+            "region", "node", "n", "place", "rest", "owner"))
         members = held.table(members, "members")
         # four times as many pivots a round: links found in between leave fewer pairs of different components
         wide = min(4 * wide, pivots)

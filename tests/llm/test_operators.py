@@ -87,6 +87,34 @@ def test_similar_classes_many_rounds(spark):
     assert got == {i: c for i, (_, c) in B.similar(rows).items()}
 
 
+def test_near_copies_of_too_many_own_shingles_never_meet(spark, monkeypatch):
+    """More than a fifth of each text's shingles is its own, of words that are
+    common: no two are similar, so hardly any are compared."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(40):
+        w = ["b%d" % j for j in range(200)]
+        for j in range(10):
+            at = 20 * j + rng.randrange(5, 14)
+            w[at:at + 2] = ["y%d" % rng.randrange(20), "y%d" % rng.randrange(20)]
+        rows.append((i, " ".join(w)))
+    met, compare = [], J._compare
+
+    def counted(pairs, *rest):
+        met.append(pairs.count())
+        return compare(pairs, *rest)
+    monkeypatch.setattr(J, "_compare", counted)
+    got = {r.doc_id: r.component_id for r in J.similar_classes(frame(spark, rows), slots=1 << 16).collect()}
+    assert got == {i: c for i, (_, c) in B.similar(rows).items()}
+    assert sum(met) < 40
+
+
+def test_own_counts(spark):
+    """Also a set that came twice, and one of another text in part."""
+    sets = spark.createDataFrame([(1, [5, 6, 7]), (1, [5, 6, 7]), (2, [7, 8]), (3, [9 << 20])], "node long, keys array<long>")
+    assert {r.node: r.own for r in J._own_counts(sets, 9).collect()} == {1: 2, 2: 1, 3: 1}
+
+
 def test_similar_classes_null_id_repeated_rows_and_empty_table(spark):
     t = "q w e r t y u i o p"
     got = sorted(J.similar_classes(frame(spark, [(5, t), (5, t), (None, t), (2, t + " a"), (None, "other words")]),
