@@ -13,8 +13,9 @@ to compare:
 * Of each document that stands in a region, the shingles are counted that no
   other such document has. What it can have in common with any other is the
   rest, so a document of mostly own shingles stands in no region, and a pair
-  meets only if both rests allow the similarity. Regions of the same members
-  are one.
+  meets only if both rests allow the similarity, and 512 parity marks of the
+  sets, which differ in no more places than the sets do. Regions of the same
+  members are one.
 * In each region, documents are chosen as pivots, those of the fewest own
   shingles first (the middle of a group of near copies), and every member is
   compared with them. Members within the radius are linked.
@@ -53,6 +54,7 @@ PIVOTS = 256                   # pivots of a region per round
 LEAF = 1024                    # regions of more members beside the largest component are dealt into cells by distance
 NO_ID = -(1 << 63)             # stands for a null id where keys are hashed
 SHARE = 1 << 20                # shingles counted together, on average
+MARKS = 8                      # 64-bit words of a set's parity marks
 HAND = 1 << 20                 # shingles that a task deals out at once
 _TOP = np.uint64(56)
 
@@ -120,14 +122,25 @@ def _describe(levels, k: int, percent: int):
     return run
 
 
+def _parity(key, ptr) -> np.ndarray:
+    """MARKS words per row; a bit tells whether an odd number of the row's
+    numbers hash to it. Of two sets, no more bits differ than numbers."""
+    row = np.repeat(np.arange(len(ptr) - 1), np.diff(ptr))
+    at = row * (64 * MARKS) + (key & np.uint64(64 * MARKS - 1)).astype(np.int64)
+    odd = np.bincount(at, minlength=(len(ptr) - 1) * 64 * MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(levels, k: int):
-    """Whole sets of the texts whose set has the name that is asked for."""
+    """Whole sets and parity marks of the texts whose set has the name that
+    is asked for."""
     def run(batches):
         tables = byte_tables(True, True)
         for b in blocks(batches, "text"):
             key, _, ptr = ranked_sets(words(b.column(2), tables), b.num_rows, levels.value, k)
             right = pc.equal(set_names(key, ptr), b.column(1).cast(pa.binary()))
-            yield pa.RecordBatch.from_arrays([b.column(0), whole_sets(key, ptr)], names=["node", "keys"]).filter(right)
+            bits = lists(_parity(key, ptr), np.arange(b.num_rows + 1) * MARKS, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), whole_sets(key, ptr), bits], names=["node", "keys", "bits"]).filter(right)
     return run
 
 
@@ -215,20 +228,23 @@ def _compare(pairs: DataFrame, sets: DataFrame, held: Scratch, node: str = "long
 def _pairs(members: DataFrame, pivots: DataFrame, percent: int, links_only: bool) -> DataFrame:
     """Distinct pairs (a < b) of members and pivots of their region. Where
     only links matter, pairs are left out that are connected already, whose
-    sizes rule a link out, or too few of whose shingles others have, or whose
+    sizes rule a link out, or too few of whose shingles others have, or too
+    many of whose parity marks differ, or whose
     shared shingle, were it the first one, stands too far back in either (a
     linked pair passes at its first). Where
     distances deal out cells, only those are left out whose sizes put the
     member beyond every window."""
     p = pivots.select(F.col("region").alias("p_region"), F.col("node").alias("pivot"), F.col("n").alias("pn"),
-                      F.col("place").alias("p_place"), F.col("rest").alias("p_rest"), F.col("root").alias("p_root"))
+                      F.col("place").alias("p_place"), F.col("rest").alias("p_rest"), F.col("bits").alias("p_bits"), F.col("root").alias("p_root"))
     j = members.join(p, F.col("region") == F.col("p_region")).filter("node <> pivot")
     small, large = F.least("n", "pn"), F.greatest("n", "pn")
     bound = percent if links_only else max(0, 100 - 4 * (100 - percent))
     j = j.filter(small * 100 >= large * bound)
     if links_only:
         most = F.least(F.col("n") - F.col("place"), F.col("pn") - F.col("p_place"), "rest", "p_rest")
-        j = j.filter("root <> p_root").filter(most * (100 + percent) >= (F.col("n") + F.col("pn")) * percent)
+        apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("p_bits")[i])) for i in range(1, MARKS)),
+                    F.bit_count(F.col("bits")[0].bitwiseXOR(F.col("p_bits")[0])))
+        j = j.filter("root <> p_root").filter(apart * (100 + percent) <= (F.col("n") + F.col("pn")) * (100 - percent)).filter(most * (100 + percent) >= (F.col("n") + F.col("pn")) * percent)
     first = F.col("node") < F.col("pivot")
     return j.select(F.when(first, F.col("node")).otherwise(F.col("pivot")).alias("a"),
                     F.when(first, F.col("pivot")).otherwise(F.col("node")).alias("b"),
@@ -258,16 +274,16 @@ def _cells(members: DataFrame, pivots: DataFrame, dist: DataFrame, percent: int)
         F.col("region").alias("b_region"), F.col("node").alias("b_node"), "best")
     m = stay.join(best, (F.col("region") == F.col("b_region")) & (F.col("node") == F.col("b_node")), "left")
     home = F.when(F.col("best.d") < 3 * e, F.col("best.pivot"))
-    own = m.select(F.when(home.isNull(), F.xxhash64("region")).otherwise(F.xxhash64("region", home)).alias("cell"), "node", "n", "place", "rest", "owner")
+    own = m.select(F.when(home.isNull(), F.xxhash64("region")).otherwise(F.xxhash64("region", home)).alias("cell"), "node", "n", "place", "rest", "bits", "owner")
     far = F.least(F.col("best.d") + 2 * e, F.lit(4 * e)) + 1e-9
     copies = m.join(near.select(F.col("region").alias("n_region"), F.col("node").alias("n_node"),
                                 F.col("pivot").alias("other"), F.col("d").alias("other_d")),
                     (F.col("region") == F.col("n_region")) & (F.col("node") == F.col("n_node")))
     copies = copies.filter((F.col("other_d") <= F.when(home.isNull(), F.lit(4 * e + 1e-9)).otherwise(far))
                            & (home.isNull() | (F.col("other") != home)))
-    copies = copies.select(F.xxhash64("region", "other").alias("cell"), "node", "n", "place", "rest", F.lit(False).alias("owner"))
+    copies = copies.select(F.xxhash64("region", "other").alias("cell"), "node", "n", "place", "rest", "bits", F.lit(False).alias("owner"))
     edge = m.filter(home.isNotNull() & (F.col("best.d") >= 2 * e - 1e-9)).select(
-        F.xxhash64("region").alias("cell"), "node", "n", "place", "rest", F.lit(False).alias("owner"))
+        F.xxhash64("region").alias("cell"), "node", "n", "place", "rest", "bits", F.lit(False).alias("owner"))
     return own.unionByName(copies).unionByName(edge).withColumnRenamed("cell", "region")
 
 
@@ -320,20 +336,21 @@ def _classes(docs: DataFrame, id_col, text_col, k, percent, pivots, leaf, slots,
     asked = possible(src.withColumn("id_key", F.coalesce("doc_id", F.lit(NO_ID))), F.col("id_key"),
                      needed.select(F.coalesce("n_id", F.lit(NO_ID)).alias("key"))).select("doc_id", "hash", "text")
     asked = asked.join(needed, F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("hash") == F.col("n_hash")))
-    sets = held.table(asked.select("node", "name", "text").mapInArrow(_sets(levels, k), "node long, keys array<long>"), "needed-sets")
+    sets = held.table(asked.select("node", "name", "text").mapInArrow(_sets(levels, k), "node long, keys array<long>, bits array<long>"), "needed-sets")
     numbers = needed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rests = needed.select(F.col("node").alias("s_node"), F.col("n").alias("s_n")).join(
         _own_counts(sets, numbers), F.col("s_node") == F.col("node"), "left").select(
         "s_node", (F.col("s_n") - F.coalesce("own", F.lit(0))).alias("rest")).filter(F.col("rest") * 100 >= F.col("s_n") * percent)
+    rests = rests.join(sets.groupBy("node").agg(F.first("bits").alias("bits")), F.col("s_node") == F.col("node")).drop("node")
     rests = held.table(rests, "rests")
-    sets = held.table(possible(sets, F.col("node"), rests.select(F.col("s_node").alias("key"))), "needed-sets")
+    sets = held.table(possible(sets.drop("bits"), F.col("node"), rests.select(F.col("s_node").alias("key"))), "needed-sets")
     members = members.join(rests, F.col("node") == F.col("s_node")).drop("s_node")
     members = held.table(members, "members")
     # regions of the same members (the same number, the same sum of hashes: others would only join up) are one
     same = members.groupBy("region").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("node")).alias("sum")).filter(
         "rows > 1").select(F.col("region").alias("key"), F.xxhash64("rows", "sum").alias("group"))
     members = members.join(same, F.col("region") == F.col("key")).groupBy(F.col("group").alias("region"), "node").agg(
-        F.first("n").alias("n"), F.min("place").alias("place"), F.first("rest").alias("rest")).withColumn("owner", F.lit(True))
+        F.first("n").alias("n"), F.min("place").alias("place"), F.first("rest").alias("rest"), F.first("bits").alias("bits")).withColumn("owner", F.lit(True))
     members = held.table(members, "members")
     held.drop("shared", "needed", "rests", "later")
 
@@ -372,9 +389,9 @@ def _classes(docs: DataFrame, id_col, text_col, k, percent, pivots, leaf, slots,
             roots = components(links, held)
         plain = m.filter(~crowded).join(chosen.select(F.col("region").alias("p_region"), F.col("node").alias("p_node")),
                                         (F.col("region") == F.col("p_region")) & (F.col("node") == F.col("p_node")), "left_anti")
-        cells = _cells(m.filter(crowded).select("region", "node", "n", "place", "rest", "owner"), chosen.filter(crowded), dist, percent)
-        members = plain.select("region", "node", "n", "place", "rest", "owner").unionByName(cells.select(
-            "region", "node", "n", "place", "rest", "owner"))
+        cells = _cells(m.filter(crowded).select("region", "node", "n", "place", "rest", "bits", "owner"), chosen.filter(crowded), dist, percent)
+        members = plain.select("region", "node", "n", "place", "rest", "bits", "owner").unionByName(cells.select(
+            "region", "node", "n", "place", "rest", "bits", "owner"))
         members = held.table(members, "members")
         # four times as many pivots a round: links found in between leave fewer pairs of different components
         wide = min(4 * wide, pivots)

@@ -115,6 +115,17 @@ def test_own_counts(spark):
     assert {r.node: r.own for r in J._own_counts(sets, 9).collect()} == {1: 2, 2: 1, 3: 1}
 
 
+def test_parity_marks_never_differ_more_than_the_sets():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 3000, n).astype(np.uint64) * np.uint64(0x9E3779B1)) for n in (0, 5, 300, 1500, 1500, 40)]
+    ptr = np.cumsum([0] + [len(s) for s in sets])
+    marks = J._parity(np.concatenate(sets), ptr).reshape(len(sets), J.MARKS)
+    for a, x in zip(sets, marks):
+        for b, y in zip(sets, marks):
+            assert sum(bin(int(v) & (1 << 64) - 1).count("1") for v in x ^ y) <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
 def test_similar_classes_null_id_repeated_rows_and_empty_table(spark):
     t = "q w e r t y u i o p"
     got = sorted(J.similar_classes(frame(spark, [(5, t), (5, t), (None, t), (2, t + " a"), (None, "other words")]),
